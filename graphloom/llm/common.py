@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut, scratch  # noqa: F401
+
 #: The contract's words: runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: bytes.translate table and str.translate map that lower-case A-Z only.
@@ -24,23 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder that cuts lineage: spark.checkpoint.dir, or (where that is unset, as in tests) a folder of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = os.environ.get("GRAPHLOOM_TEST_SCRATCH") or tempfile.mkdtemp(prefix="spark-graphloom-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither recompute it nor depend on any executor."""
-    spark = df.sparkSession
-    path = scratch(spark)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null becomes the empty text."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

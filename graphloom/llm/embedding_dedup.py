@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
-from .components import components
+from ..operators.components import components
 
 THRESHOLD, RECALL = 0.93, 0.998
 #: Classes that a bucket should hold about, and rows of the cosine block that is computed at a time.

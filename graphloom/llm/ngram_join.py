@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, WORD, cut, text_slices
-from .components import components
+from ..operators.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: A column is frequent from this height on, or more where otherwise over MOST_FREQUENT columns (a broadcast of 16 MB) could be.
