@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,10 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, scratch  # noqa: F401
 
-#: The contract's words: runs of anything but ASCII white space.
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-#: bytes.translate table and str.translate map that lower-case A-Z only.
-ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Characters of text that one vectorised step inside a task handles at a time (bounds a worker's memory).
 CHUNK_CHARS = 2_000_000
 
@@ -33,6 +28,11 @@ def crc_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def words_of(text: str) -> list[bytes]:
+    """The contract's words of a text in UTF-8, A-Z lower-cased. (On bytes, lower() and split() know ASCII only.)"""
+    return text.encode("utf-8", "replace").lower().split()
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Consecutive slices of a batch with their texts (null: empty), each of about `limit` characters; one long text may exceed it."""
     texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, cut, text_slices
+from .common import cut, text_slices, words_of
 from ..operators.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -61,10 +61,10 @@ class Shingler:
         if len(self.known) > self.memory:
             self.known = {}
         known, n = self.known, self.n
-        words = [WORD.findall(t.translate(ASCII_LOWER) if not t.isascii() else t.lower()) for t in texts]
+        words = [words_of(t) for t in texts]
         for ws in words:
             for w in set(ws).difference(known):
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace"))
+                known[w] = xxhash.xxh3_64_intdigest(w)
         length = np.fromiter(map(len, words), np.int64, len(words))
         flat = np.fromiter((known[w] for ws in words for w in ws), U64, int(length.sum()))
         end = np.cumsum(length)

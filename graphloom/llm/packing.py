@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, cut, text_slices
+from .common import cut, text_slices, words_of
 
 CAPACITY, PER_SOURCE, SHARD_PIECES = 4096, 4, 4000
 
@@ -35,10 +35,10 @@ def measure(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
-                length = [len(WORD.findall(t)) for t in texts]
+                length = [len(words_of(t)) for t in texts]
                 given = part.column(3)
                 if given.null_count == len(given):
-                    given = pa.array([xxhash.xxh3_128_hexdigest((t.lower() if t.isascii() else t.translate(ASCII_LOWER)).encode("utf-8", "replace")) for t in texts], pa.string())
+                    given = pa.array([xxhash.xxh3_128_hexdigest(t.encode("utf-8", "replace").lower()) for t in texts], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), given, pa.array(length, pa.int64())], ["doc_id", "source", "cluster", "length"])
 
     given = F.col(cluster).cast("string") if cluster else F.lit(None).cast("string")
