@@ -41,6 +41,8 @@ FREQUENT, MOST_FREQUENT = 64, 2_000_000
 COUNTED = 1.3
 #: Partners of one class that a task checks.
 MEMBERS = 1000
+#: Up to so many routes of sets (below 50 MB) are broadcast; more are joined by class.
+FEW_ROUTES = 400_000
 U64 = np.uint64
 
 
@@ -269,7 +271,20 @@ def _pairs_table(a: np.ndarray, b: np.ndarray, classes: np.ndarray, sizes: np.nd
     both, count = np.unique(lo[fits] * len(classes) + hi[fits], return_counts=True)
     lo, hi = both // max(len(classes), 1), both % max(len(classes), 1)
     name = lambda i: pa.array([x.tobytes() for x in classes[i]], pa.binary())
-    return pa.table({"a": name(lo), "b": name(hi), "n": pa.array(count, pa.int64())})
+    return pa.table({"a": name(lo), "b": name(hi), "n": pa.array(count, pa.int64()), "size_a": pa.array(sizes[lo], pa.int64()), "size_b": pa.array(sizes[hi], pa.int64())})
+
+
+PAIRS = "a binary, b binary, n long, size_a long, size_b long"
+
+
+def _bounded(pairs: DataFrame, times: int = 1) -> DataFrame:
+    """Pairs with their overlap counts summed over the blocks, without those that cannot link.
+
+    Beyond the columns that both prefixes hold, two sets can share no more than what one of them has outside its
+    prefix; with the count that must reach what both sizes ask for. (Two spare: columns that fell together.)"""
+    summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size_a").alias("size_a"), F.min("size_b").alias("size_b"))
+    outside = lambda c: F.ceil(F.col(c) * NUMERATOR / DENOMINATOR) - 1  # noqa: E731  a size less prefix_length
+    return summed.where((F.col("n") * times + 2 + F.greatest(outside("size_a"), outside("size_b"))) * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col("size_a") + F.col("size_b")))
 
 
 def _first_round(table: pa.Table) -> pa.Table:
@@ -360,6 +375,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, text: str, doc_i
     dealt = cut(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
     route = dealt.select(F.col("b").alias("class"), F.col("a").alias("key"), "part").unionByName(dealt.select(F.col("a").alias("class"), F.col("a").alias("key"), "part").distinct())
     route = cut(route.join(reps, "class").withColumnRenamed("rep", "of"))
+    if route.count() <= FEW_ROUTES:
+        route = F.broadcast(route)
     sets = _sets_of(docs, route.select("class", F.col("of").alias("rep")).distinct(), text, doc_id)
     sent = sets.join(route, "class").where(F.col("rep").eqNullSafe(F.col("of"))).select("key", "part", "class", "set")
     return cut(sent.groupBy("key", "part").applyInArrow(_check, "a binary, b binary"))
@@ -384,13 +401,15 @@ def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     counted = _counted(docs, text, blocks).groupBy("block").applyInArrow(heavy, "column long")
     late = np.sort(np.fromiter((r[0] for r in counted.toLocalIterator()), np.int64)).astype(U64)
     shared = cut(_postings(docs, text, blocks, late).groupBy("block").applyInArrow(_shared_columns, "block int, class binary, size long, columns binary"))
-    pairs = shared.groupBy("block").applyInArrow(_first_round, "a binary, b binary, n long")
-    best = pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b")
+    pairs = shared.groupBy("block").applyInArrow(_first_round, PAIRS)
+    # round 1 counts a pair only where one leads the other, so the bound is eased; what it misses is left to round 2
+    best = _bounded(pairs, times=2).groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b")
 
     found = _linked(docs, best, reps, text, doc_id)
     joined = components(found)
     placed = shared.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    more = placed.groupBy("block").applyInArrow(_second_round, "a binary, b binary, n long").select("a", "b").distinct()
+    more = placed.groupBy("block").applyInArrow(_second_round, PAIRS)
+    more = _bounded(more).select("a", "b")
     more = _linked(docs, more, reps, text, doc_id)
     if not more.isEmpty():
         joined = components(found.unionByName(more))
