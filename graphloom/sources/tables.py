@@ -140,3 +140,15 @@ def runs(graph_nodes: DataFrame, graph_edges: DataFrame, graph_diagnostics: Data
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
     n, e, d = nodes(spark, sf_dir), edges(spark, sf_dir), diagnostics(spark, sf_dir)
     return Graph(n, e, d, runs(n, e, d))
+
+
+def trade_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """A small graph that can hold cycles: which nation's suppliers deliver to which nation's customers (25 nodes at most)."""
+    t = lambda name: read(spark, sf_dir, name)
+    c = F.col
+    sold = t("lineitem").select("l_orderkey", "l_suppkey").join(t("orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
+    pairs = sold.select("s_nationkey", "c_nationkey").distinct()
+    n = _node(t("nation"), 0, sortable(c("n_nationkey")), "module", id=_id("mod:n", c("n_nationkey")), name=c("n_name"), qualified_name=c("n_name"))
+    e = _edge(pairs, 0, "imports", _id("mod:n", c("s_nationkey")), _id("mod:n", c("c_nationkey")), "exact", (sortable(c("s_nationkey")), sortable(c("c_nationkey"))))
+    d = diagnostics(spark, sf_dir).limit(0)
+    return Graph(n, e, d, runs(n, e, d))
