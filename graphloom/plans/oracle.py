@@ -79,7 +79,7 @@ units as (
     from flows group by f, t
 )"""
 SCORE = " + ".join(f"case when not (contains(lower(name), '{w}') or contains(lower(qualified_name), '{w}') or contains(lower(coalesce(file, '')), '{w}')) then 0 when lower(name) = '{w}' then 20 when contains(lower(name), '{w}') then 10 when contains(lower(coalesce(file, '')), '{w}') then 6 else 4 end" for w in WORDS)
-TERMS = "array_to_string(list_filter([" + ", ".join(f"case when contains(lower(name), '{w}') or contains(lower(qualified_name), '{w}') or contains(lower(coalesce(file, '')), '{w}') then '{w}' end" for w in WORDS) + "], x -> x is not null), ', ')"
+TERMS = "array_to_string(list_filter([" + ", ".join(f"case when contains(lower(name), '{w}') or contains(lower(qualified_name), '{w}') or contains(lower(coalesce(file, '')), '{w}') then '{w}' end" for w in WORDS) + "], lambda x: x is not null), ', ')"
 DEGREES = "degrees as (select id, count(*) as degree from (select source as id from edges union all select target from edges where source <> target) group by id)"
 RANKED = f"""
 {DEGREES}, pool as (
@@ -144,7 +144,7 @@ SQL: dict[str, str] = {
     "architecture_nodes": _sql(" select v.id, v.kind, v.name, v.symbol_count, v.synthesised, (select count(*) from rolled where target = v.id and source in (select id from visible)) as incoming_count, (select count(*) from rolled where source = v.id and target in (select id from visible)) as outgoing_count from visible v", UNITS + f", visible as (select * from (select unit as id, 'file' as kind, split_part(file, '/', -1) as name, file as qn, symbol_count, synthesised, 0 as g from units union all select id, kind, name, qualified_name, 0, false, 1 from {nodes('code')} where kind = 'external_package' and (id in (select source from rolled) or id in (select target from rolled))) order by g, qn, id limit 60)"),
     "architecture_knowledge": _sql(f" select {NODE_COLUMNS} from {nodes('code+docs')} order by case kind when 'repository' then 0 when 'directory' then 1 when 'framework_command' then 2 when 'framework_event' then 3 when 'file' then 4 else case when graph_domain = 'knowledge' then 6 else 5 end end, qualified_name, ord limit 80"),
     "degrees": _sql(" select * from degrees", DEGREES),
-    "context_symbols": _sql(" select id, degree, round(cast(score as double), 6) as score, array_to_string(list_filter([case when terms <> '' then 'matched task terms: ' || terms end, case when degree > 0 then 'graph degree ' || degree end, case when kind like 'framework\\_%' escape '\\' then 'framework binding' end], x -> x is not null), '; ') as reasons from ranked", RANKED),
+    "context_symbols": _sql(" select id, degree, round(cast(score as double), 6) as score, array_to_string(list_filter([case when terms <> '' then 'matched task terms: ' || terms end, case when degree > 0 then 'graph degree ' || degree end, case when kind like 'framework\\_%' escape '\\' then 'framework binding' end], lambda x: x is not null), '; ') as reasons from ranked", RANKED),
     "context_files": _sql(" select file, round(cast(sum(score) as double), 6) as score from ranked where file is not null group by file order by sum(score) desc, file limit 20", RANKED),
     "context_relationships": _sql(f" select {EDGE_COLUMNS} from {edges()} where source in (select id from ranked) and target in (select id from ranked) order by ord limit 150", RANKED),
     "context_related_tests": _sql(f" select distinct file from nodes where file is not null and (regexp_matches(file, '\\.(?:test|spec)\\.[^.]+$') or regexp_matches(file, '(?:^|/)__tests__(?:/|$)') or regexp_matches(file, '(?:^|/)tests?/[^/]+$')) and id in (select case when source in (select id from ranked) then target else source end from {edges()} where source in (select id from ranked) or target in (select id from ranked))", RANKED),
