@@ -264,11 +264,12 @@ def _leaders(which: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple
     return a[keep], b[keep]
 
 
-def _pairs_table(a: np.ndarray, b: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> pa.Table:
+def _pairs_table(a: np.ndarray, b: np.ndarray, classes: np.ndarray, sizes: np.ndarray, times: np.ndarray | None = None) -> pa.Table:
     """Distinct pairs whose sizes allow a link, the lesser name first, with the number of columns they share here."""
     lo, hi = np.minimum(a, b), np.maximum(a, b)  # classes are sorted by name
     fits = (lo != hi) & (DENOMINATOR * np.minimum(sizes[lo], sizes[hi]) >= NUMERATOR * np.maximum(sizes[lo], sizes[hi]))
-    both, count = np.unique(lo[fits] * len(classes) + hi[fits], return_counts=True)
+    both, back = np.unique(lo[fits] * len(classes) + hi[fits], return_inverse=True)
+    count = np.bincount(back, None if times is None else times[fits], len(both)).astype(np.int64)
     lo, hi = both // max(len(classes), 1), both % max(len(classes), 1)
     name = lambda i: pa.array([x.tobytes() for x in classes[i]], pa.binary())
     return pa.table({"a": name(lo), "b": name(hi), "n": pa.array(count, pa.int64()), "size_a": pa.array(sizes[lo], pa.int64()), "size_b": pa.array(sizes[hi], pa.int64())})
@@ -329,10 +330,17 @@ def _second_round(table: pa.Table) -> pa.Table:
     classes, sizes, columns, which, table = _unpack(table)
     code: dict[bytes, int] = {}
     part = np.array([code.setdefault(x, len(code)) for x in table.column("component").to_pylist()])
-    found = np.zeros(0, np.int64)
+    found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
     n = len(classes)
-    waiting = []
+    waiting: list[np.ndarray] = []
     size = 0
+
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        """All pairs so far and in how many columns each was met."""
+        every = np.concatenate([found, *waiting])
+        pairs, back = np.unique(every, return_inverse=True)
+        return pairs, np.bincount(back, np.append(times, np.ones(len(every) - len(times))), len(pairs)).astype(np.int64)
+
     for i, j in zip(*_runs(columns), strict=True):
         w = which[i:j]
         if len(np.unique(part[w])) < 2:
@@ -347,9 +355,10 @@ def _second_round(table: pa.Table) -> pa.Table:
                 waiting.append(p)
                 size += len(p)
                 if size > 2_000_000:
-                    found, waiting, size = np.unique(np.concatenate([found, *waiting])), [], 0
-    found = np.unique(np.concatenate([found, *waiting]))
-    return _pairs_table(found // n, found % n, classes, sizes)
+                    (found, times), size = gathered(), 0
+                    waiting.clear()
+    found, times = gathered()
+    return _pairs_table(found // n, found % n, classes, sizes, times)
 
 
 def _check(table: pa.Table) -> pa.Table:
