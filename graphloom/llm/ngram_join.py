@@ -9,9 +9,11 @@ has produces nothing.
 
 Within a column, round 1 multiplies every class with its local leader only (there are about as many as
 the square root of the column's height, chosen alike in all columns). Overlap counts accumulate over
-the blocks, each class's best leader is checked exactly and the links are joined to components. Round 2
-multiplies all pairs of a column that are still in different components and whose sizes allow a link:
-nothing else is left out, since a pair in one component needs no link of its own. Exact counts of a
+the blocks, the pairs left are checked exactly and the links are joined to components. Then columns where
+different components meet are all that is kept. NEAREST times each class there is checked with the one class
+of another component that looks nearest by the parities of both sets (see parity()), so pairs stay as many as
+classes while groups of near copies grow together. The last round multiplies all pairs of a column that are
+still in different components and whose sizes and parities allow a link: nothing else is left out, since a pair in one component needs no link of its own. Exact counts of a
 pair come from both whole sets; pairs below the bound that both sizes give are discarded.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased; fewer words than n
@@ -37,6 +39,8 @@ from ..operators.components import components
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: A column is frequent from this height on, or more where otherwise over MOST_FREQUENT columns (a broadcast of 16 MB) could be.
 FREQUENT, MOST_FREQUENT = 64, 2_000_000
+#: Rounds in which each class is checked with its nearest class of another component.
+NEAREST = 1
 #: Columns are counted over a longer prefix than is multiplied: what moves up when frequent columns leave is then known, too.
 COUNTED = 1.3
 #: Partners of one class that a task checks.
@@ -99,20 +103,57 @@ def enough(size_a, size_b, shared):
     return DENOMINATOR * shared >= NUMERATOR * (size_a + size_b - shared)
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap with about a bit per n-gram: each n-gram flips the bit that its hash names.
+
+    Bits in which two sets' bitmaps differ are no more than the n-grams that only one of them has, so pairs
+    with too many such bits cannot link. Twice as long a bitmap folds to the shorter by exclusive or of its halves."""
+    bits = max(64, 1 << max(3 * len(s) // 4, 1).bit_length())
+    return np.packbits(np.bincount((s & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+class Parities:
+    """The bitmaps of a block's classes, by length; classes of twice the length are there too, folded."""
+
+    def __init__(self, sizes: np.ndarray, bitmaps: list[bytes]):
+        self.sizes = sizes
+        self.length = np.fromiter(map(len, bitmaps), np.int64, len(bitmaps))
+        self.row, self.rows = {}, {}
+        for n in np.unique(self.length).tolist():
+            own, twice = np.flatnonzero(self.length == n), np.flatnonzero(self.length == 2 * n)
+            short, long = (np.frombuffer(b"".join([bitmaps[i] for i in of]), U64).reshape(len(of), w) for of, w in ((own, n // 8), (twice, n // 4)))
+            self.rows[n] = np.concatenate((short, long[:, : n // 8] ^ long[:, n // 8 :]))
+            self.row[n] = np.full(len(bitmaps), -1, np.int64)
+            self.row[n][np.concatenate((own, twice))] = np.arange(len(own) + len(twice))
+
+    def differ(self, one: int, others: np.ndarray) -> np.ndarray:
+        """In how many bits one class differs from each of the others, which are as large or up to twice as large."""
+        n = int(self.length[one])
+        row, rows = self.row[n], self.rows[n]
+        step = max(1, 4_000_000 // n)
+        return np.concatenate([np.bitwise_count(rows[row[others[at : at + step]]] ^ rows[row[one]]).sum(1, dtype=np.int64) for at in range(0, len(others), step)])
+
+    def allowed(self, one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The others that may link with one class, and the share of both sets that differs at least."""
+        differ, both = self.differ(one, others), self.sizes[one] + self.sizes[others]
+        may = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * both
+        return others[may], differ[may] / both[may]
+
+
 def prefix_length(size: int) -> int:
     return size - (NUMERATOR * size + DENOMINATOR - 1) // DENOMINATOR + 1
 
 
 def memberships(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, n_shingles, and the name of the set's class (null for empty sets)."""
+    """doc_id, n_shingles, and the name and parity of the set's class (null for empty sets)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler()
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 found = sets(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([_name(s) if len(s) else None for s in found], pa.binary())], ["doc_id", "n_shingles", "class"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), *[pa.array([f(s) if len(s) else None for s in found], pa.binary()) for f in (_name, parity)]], ["doc_id", "n_shingles", "class", "parity"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class binary, parity binary")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -325,38 +366,83 @@ def _unpack(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return classes, table.column("size").to_numpy(), columns[by], which[by], table
 
 
-def _second_round(table: pa.Table) -> pa.Table:
-    """All pairs of a column that are in different components."""
-    classes, sizes, columns, which, table = _unpack(table)
+def _by_component(table: pa.Table) -> np.ndarray:
     code: dict[bytes, int] = {}
-    part = np.array([code.setdefault(x, len(code)) for x in table.column("component").to_pylist()])
-    found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    n = len(classes)
-    waiting: list[np.ndarray] = []
-    size = 0
+    return np.array([code.setdefault(x, len(code)) for x in table.column("component").to_pylist()], np.int64)
 
-    def gathered() -> tuple[np.ndarray, np.ndarray]:
-        """All pairs so far and in how many columns each was met."""
-        every = np.concatenate([found, *waiting])
-        pairs, back = np.unique(every, return_inverse=True)
-        return pairs, np.bincount(back, np.append(times, np.ones(len(every) - len(times))), len(pairs)).astype(np.int64)
 
+def _crossing(table: pa.Table) -> pa.Table:
+    """The block's entries in columns where different components meet."""
+    classes, sizes, columns, which, table = _unpack(table)
+    part = _by_component(table)[which]
+    start, stop = _runs(columns)
+    keep = np.repeat(np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start), stop - start)
+    columns, which = columns[keep], which[keep]
+    by = np.argsort(which, kind="stable")
+    columns, which = columns[by], which[by]
+    at, end = _runs(which)
+    left = table.take(pa.array(which[at]))
+    return pa.table({**{c: left.column(c) for c in ("block", "class", "size", "component")}, "columns": pa.array([columns[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary())})
+
+
+def _crossing_pairs(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
+    """A row of the block's product at a time: a class, partners in other components that it may link with, how far they are, and in how many columns."""
+    classes, sizes, columns, which, table = _unpack(table)
+    part, parities = _by_component(table), Parities(sizes, table.column("parity").to_pylist())
+    alike: dict[bytes, int] = {}  # columns of the same classes are multiplied once
     for i, j in zip(*_runs(columns), strict=True):
-        w = which[i:j]
-        if len(np.unique(part[w])) < 2:
-            continue
+        w = which[i:j].astype(np.int32).tobytes()
+        alike[w] = alike.get(w, 0) + 1
+    for key, many in alike.items():
+        w = np.frombuffer(key, np.int32).astype(np.int64)
         w = w[np.argsort(sizes[w], kind="stable")]
-        for k in range(len(w) - 1):  # a row of the product at a time; partners are a range of sizes
-            top = np.searchsorted(sizes[w], DENOMINATOR * sizes[w[k]] / NUMERATOR, "right")
-            other = w[k + 1 : top]
+        tops = np.searchsorted(sizes[w], DENOMINATOR * sizes[w] / NUMERATOR, "right")
+        for k in range(len(w) - 1):  # partners are a range of sizes
+            other = w[k + 1 : tops[k]]
             other = other[part[other] != part[w[k]]]
             if len(other):
-                p = np.minimum(other, w[k]) * n + np.maximum(other, w[k])
-                waiting.append(p)
-                size += len(p)
-                if size > 2_000_000:
-                    (found, times), size = gathered(), 0
-                    waiting.clear()
+                other, far = parities.allowed(int(w[k]), other)
+                if len(other):
+                    yield int(w[k]), other, far, many
+
+
+def _nearest(table: pa.Table) -> pa.Table:
+    """Each class with the nearest of the classes that it may link with."""
+    classes = _unpack(table)[0]
+    best, least = np.full(len(classes), -1, np.int64), np.full(len(classes), np.inf)
+    for one, others, far, _ in _crossing_pairs(table):
+        k = int(np.argmin(far))
+        if far[k] < least[one]:
+            best[one], least[one] = others[k], far[k]
+        nearer = far < least[others]
+        best[others[nearer]], least[others[nearer]] = one, far[nearer]
+    have = np.flatnonzero(best >= 0)
+    name = lambda i: pa.array([x.tobytes() for x in classes[i]], pa.binary())
+    return pa.table({"a": name(best[have]), "b": name(have), "far": pa.array(least[have], pa.float64())})
+
+
+def _second_round(table: pa.Table) -> pa.Table:
+    """All pairs of a column that are in different components and may link."""
+    classes, sizes = _unpack(table)[:2]
+    n = len(classes)
+    found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    waiting: list[np.ndarray] = []
+    weight: list[np.ndarray] = []
+    size = 0
+
+    def gathered() -> tuple[np.ndarray, np.ndarray]:
+        """All pairs so far and in how many columns each was met."""
+        pairs, back = np.unique(np.concatenate([found, *waiting]), return_inverse=True)
+        return pairs, np.bincount(back, np.concatenate([times, *weight]), len(pairs)).astype(np.int64)
+
+    for one, others, _, many in _crossing_pairs(table):
+        waiting.append(np.minimum(others, one) * n + np.maximum(others, one))
+        weight.append(np.full(len(others), many))
+        size += len(others)
+        if size > 2_000_000:
+            (found, times), size = gathered(), 0
+            waiting.clear()
+            weight.clear()
     found, times = gathered()
     return _pairs_table(found // n, found % n, classes, sizes, times)
 
@@ -383,7 +469,7 @@ def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, text: str, doc_i
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     dealt = cut(pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part")))
     route = dealt.select(F.col("b").alias("class"), F.col("a").alias("key"), "part").unionByName(dealt.select(F.col("a").alias("class"), F.col("a").alias("key"), "part").distinct())
-    route = cut(route.join(reps, "class").withColumnRenamed("rep", "of"))
+    route = cut(route.join(reps.select("class", F.col("rep").alias("of")), "class"))
     if route.count() <= FEW_ROUTES:
         route = F.broadcast(route)
     sets = _sets_of(docs, route.select("class", F.col("of").alias("rep")).distinct(), text, doc_id)
@@ -395,7 +481,7 @@ def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     members = cut(memberships(docs, text, doc_id))
-    reps = cut(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep")))
+    reps = cut(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity")))
     entries = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     # about a block per shuffle partition, or more where the columns are many
     blocks = 1 << max(int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, entries // 4_000_000, 1).bit_length()
@@ -412,16 +498,21 @@ def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     shared = cut(_postings(docs, text, blocks, late).groupBy("block").applyInArrow(_shared_columns, "block int, class binary, size long, columns binary"))
     pairs = shared.groupBy("block").applyInArrow(_first_round, PAIRS)
     # round 1 counts a pair only where one leads the other, so the bound is eased; what it misses is left to round 2
-    best = _bounded(pairs, times=2).groupBy("b").agg(F.max(F.struct("n", "a"))["a"].alias("a")).select("a", "b")
-
-    found = _linked(docs, best, reps, text, doc_id)
-    joined = components(found)
-    placed = shared.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    more = placed.groupBy("block").applyInArrow(_second_round, PAIRS)
-    more = _bounded(more).select("a", "b")
-    more = _linked(docs, more, reps, text, doc_id)
-    if not more.isEmpty():
-        joined = components(found.unionByName(more))
+    links = _linked(docs, _bounded(pairs, times=2).select("a", "b"), reps, text, doc_id)
+    joined, crossing = components(links), shared
+    for k in range(NEAREST + 1):
+        placed = crossing.drop("component").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+        crossing = cut(placed.groupBy("block").applyInArrow(_crossing, "block int, class binary, size long, component binary, columns binary"))
+        blocked = crossing.join(reps.select("class", "parity"), "class").groupBy("block")
+        if k < NEAREST:
+            near = blocked.applyInArrow(_nearest, "a binary, b binary, far double").groupBy("b").agg(F.min(F.struct("far", "a"))["a"].alias("a"))
+            more = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        else:
+            more = _bounded(blocked.applyInArrow(_second_round, PAIRS)).select("a", "b")
+        more = _linked(docs, more, reps, text, doc_id)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            joined = components(links)
     named = reps.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     result = named.join(least, "component").select("class", "component_id")
