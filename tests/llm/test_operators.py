@@ -54,6 +54,29 @@ def test_ngram_join_equals_brute_force(spark):
     assert got == brute_components(texts)
 
 
+def test_parities_never_exclude_a_link():
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 2**63, 4000).astype(np.uint64)
+    sets = [np.unique(np.concatenate((pool[at : at + size], pool[rng.integers(0, 4000, size // 7)]))) for size in (1, 2, 7, 60, 61, 300, 900) for at in (0, 3, 40, 200)]
+    sets.sort(key=len)
+    size = np.array([len(s) for s in sets])
+    parities = ngram_join.Parities(size, [ngram_join.parity(s) for s in sets])
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        shared = len(np.intersect1d(sets[i], sets[j]))
+        if 100 * size[i] >= 75 * size[j]:
+            assert parities.differ(i, np.array([j]))[0] <= size[i] + size[j] - 2 * shared
+            assert len(parities.allowed(i, np.array([j]))[0]) or not ngram_join.enough(size[i], size[j], shared)
+
+
+def test_ngram_join_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 500, 80)
+    texts = [" ".join(map(str, np.where(rng.random(80) < 0.02, rng.integers(0, 500, 80), base))) for _ in range(60)]
+    texts += [" ".join(map(str, (*rng.integers(0, 500, 40), *base[:40]))) for _ in range(20)]  # a passage that many share
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.classes_of(docs(spark, texts)).collect()}
+    assert got == brute_components(texts)
+
+
 def test_packing_keeps_every_word_once_and_its_constraints(spark):
     rows = packing.pack(docs(spark), capacity=16).collect()
     words = {i: len(words_of(t or "")) for i, t in enumerate(TEXTS)}
