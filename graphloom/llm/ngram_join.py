@@ -9,10 +9,10 @@ has produces nothing.
 
 Within a column, round 1 multiplies every class with its local leader only (there are about as many as
 the square root of the column's height, chosen alike in all columns). Overlap counts accumulate over
-the blocks, the pairs left are checked exactly and the links are joined to components. Then columns where
-different components meet are all that is kept. NEAREST times each class there is checked with the one class
-of another component that looks nearest by the parities of both sets (see parity()), so pairs stay as many as
-classes while groups of near copies grow together. The last round multiplies all pairs of a column that are
+the blocks, the pairs left are checked exactly and the links are joined to components. Then each class is
+checked with the one class of another component that looks nearest by the parities of both sets (see
+parity()), so pairs stay as many as classes while groups of near copies grow together; classes that parities
+let link with no class of another component in a block leave it. The last round multiplies all pairs of a column that are
 still in different components and whose sizes and parities allow a link: nothing else is left out, since a pair in one component needs no link of its own. Exact counts of a
 pair come from both whole sets; pairs below the bound that both sizes give are discarded.
 
@@ -39,8 +39,6 @@ from ..operators.components import components
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
 #: A column is frequent from this height on, or more where otherwise over MOST_FREQUENT columns (a broadcast of 16 MB) could be.
 FREQUENT, MOST_FREQUENT = 64, 2_000_000
-#: Rounds in which each class is checked with its nearest class of another component.
-NEAREST = 1
 #: Columns are counted over a longer prefix than is multiplied: what moves up when frequent columns leave is then known, too.
 COUNTED = 1.3
 #: Partners of one class that a task checks.
@@ -371,20 +369,6 @@ def _by_component(table: pa.Table) -> np.ndarray:
     return np.array([code.setdefault(x, len(code)) for x in table.column("component").to_pylist()], np.int64)
 
 
-def _crossing(table: pa.Table) -> pa.Table:
-    """The block's entries in columns where different components meet."""
-    classes, sizes, columns, which, table = _unpack(table)
-    part = _by_component(table)[which]
-    start, stop = _runs(columns)
-    keep = np.repeat(np.minimum.reduceat(part, start) != np.maximum.reduceat(part, start), stop - start)
-    columns, which = columns[keep], which[keep]
-    by = np.argsort(which, kind="stable")
-    columns, which = columns[by], which[by]
-    at, end = _runs(which)
-    left = table.take(pa.array(which[at]))
-    return pa.table({**{c: left.column(c) for c in ("block", "class", "size", "component")}, "columns": pa.array([columns[i:j].tobytes() for i, j in zip(at, end, strict=True)], pa.binary())})
-
-
 def _crossing_pairs(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
     """A row of the block's product at a time: a class, partners in other components that it may link with, how far they are, and in how many columns."""
     classes, sizes, columns, which, table = _unpack(table)
@@ -395,6 +379,8 @@ def _crossing_pairs(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarr
         alike[w] = alike.get(w, 0) + 1
     for key, many in alike.items():
         w = np.frombuffer(key, np.int32).astype(np.int64)
+        if (part[w] == part[w[0]]).all():
+            continue
         w = w[np.argsort(sizes[w], kind="stable")]
         tops = np.searchsorted(sizes[w], DENOMINATOR * sizes[w] / NUMERATOR, "right")
         for k in range(len(w) - 1):  # partners are a range of sizes
@@ -407,8 +393,8 @@ def _crossing_pairs(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarr
 
 
 def _nearest(table: pa.Table) -> pa.Table:
-    """Each class with the nearest of the classes that it may link with."""
-    classes = _unpack(table)[0]
+    """The block's classes that may link with one of another component, each with the nearest."""
+    classes, *_, table = _unpack(table)
     best, least = np.full(len(classes), -1, np.int64), np.full(len(classes), np.inf)
     for one, others, far, _ in _crossing_pairs(table):
         k = int(np.argmin(far))
@@ -417,8 +403,8 @@ def _nearest(table: pa.Table) -> pa.Table:
         nearer = far < least[others]
         best[others[nearer]], least[others[nearer]] = one, far[nearer]
     have = np.flatnonzero(best >= 0)
-    name = lambda i: pa.array([x.tobytes() for x in classes[i]], pa.binary())
-    return pa.table({"a": name(best[have]), "b": name(have), "far": pa.array(least[have], pa.float64())})
+    kept = table.take(pa.array(have))
+    return pa.table({**{c: kept.column(c) for c in ("block", "class", "size", "columns", "parity")}, "a": pa.array([x.tobytes() for x in classes[best[have]]], pa.binary()), "far": pa.array(least[have], pa.float64())})
 
 
 def _second_round(table: pa.Table) -> pa.Table:
@@ -499,20 +485,19 @@ def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     pairs = shared.groupBy("block").applyInArrow(_first_round, PAIRS)
     # round 1 counts a pair only where one leads the other, so the bound is eased; what it misses is left to round 2
     links = _linked(docs, _bounded(pairs, times=2).select("a", "b"), reps, text, doc_id)
-    joined, crossing = components(links), shared
-    for k in range(NEAREST + 1):
-        placed = crossing.drop("component").join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-        crossing = cut(placed.groupBy("block").applyInArrow(_crossing, "block int, class binary, size long, component binary, columns binary"))
-        blocked = crossing.join(reps.select("class", "parity"), "class").groupBy("block")
-        if k < NEAREST:
-            near = blocked.applyInArrow(_nearest, "a binary, b binary, far double").groupBy("b").agg(F.min(F.struct("far", "a"))["a"].alias("a"))
-            more = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            more = _bounded(blocked.applyInArrow(_second_round, PAIRS)).select("a", "b")
-        more = _linked(docs, more, reps, text, doc_id)
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            joined = components(links)
+    joined = components(links)
+    part_of = lambda df: df.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = shared.join(part_of(reps.select("class", "parity")), "class")
+    near = cut(placed.groupBy("block").applyInArrow(_nearest, "block int, class binary, size long, columns binary, parity binary, a binary, far double"))
+    best = near.groupBy(F.col("class").alias("b")).agg(F.min(F.struct("far", "a"))["a"].alias("a"))
+    more = _linked(docs, best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), reps, text, doc_id)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        joined = components(links)
+    placed = part_of(near.drop("a", "far"))
+    more = _linked(docs, _bounded(placed.groupBy("block").applyInArrow(_second_round, PAIRS)).select("a", "b"), reps, text, doc_id)
+    if not more.isEmpty():
+        joined = components(links.unionByName(more))
     named = reps.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     result = named.join(least, "component").select("class", "component_id")
