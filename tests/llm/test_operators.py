@@ -128,3 +128,23 @@ def test_embeddings_equal_brute_force(spark):
     for i in range(len(x)):
         assert got[i][0] == near[i].sum() - 1
     assert got[8] == (2, 0) and got[90] == (0, 90) and got[91] == (0, 91) and got[92] == (0, 92)
+
+
+def test_lm_trains_on_every_word_of_every_training_document(spark):
+    texts = [" ".join(f"w{(i + j) % 30}" for j in range(1500)) for i in range(12)] + [None, ""]
+    train = docs(spark, texts).select("doc_id", "text")
+    model = gru_lm.Model([(b"", 14), *((b"w%d" % i, 600) for i in range(30))], [0] * gru_lm.OTHER_CLASSES)
+    before = model.vector()
+    words = 12 * 1501 + 2
+    assert gru_lm.train_all(train, model, words) == gru_lm.EPOCHS * words
+    after = model.vector()
+    assert np.isfinite(after).all() and (before != after).any()
+
+
+def test_lm_vocabulary_follows_the_counts(spark, monkeypatch):
+    rows = docs(spark, [" ".join(f"w{j}" for j in range(40))] * 20)
+    seen = []
+    monkeypatch.setattr(gru_lm, "VOCABULARY", 10)
+    monkeypatch.setattr(gru_lm, "train_all", lambda train, model, words: seen.append(len(model.ids)))
+    gru_lm.score_documents(rows)
+    assert seen == [41]  # all words occur often enough, not only the ten commonest
