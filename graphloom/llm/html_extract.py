@@ -1,6 +1,9 @@
 """Main text of web pages by wrapper induction.
 
-Pages become trees of block elements (runs of like siblings count as one node). The trees of a host's
+Pages become trees of block elements; siblings are aligned one by one, in order, where equal texts come
+before equal classes and those before equal tags (classes are compared whole, then without digits). Only
+paragraphs, headings and items of lists and tables of one label are folded into one node; a wrapper counts
+the texts of all its nodes' parts, so a part that stays the same among varying ones is template too. The trees of a host's
 pages are aligned one after the other by simple tree matching, first within tasks, then the partial
 wrappers of a host with each other. A wrapper's node knows in how many pages it occurs, whether its
 text ever changes and how much of it is link text. Nodes that stay constant over enough different pages
@@ -37,6 +40,10 @@ CONSTANT_PAGES, CONSTANT_SHARE = 5, 0.5
 #: Share of the varying text that the main region must hold where no element names it.
 REGION_SHARE = 0.6
 MOST_DEPTH, MOST_NODES, MOST_CELLS = 60, 1500, 40_000
+#: Different texts of a node's parts that are counted at a time; beyond them all counts fall alike (frequent ones stay).
+MOST_SEEN = 4096
+#: Elements whose like siblings are one node.
+FOLDED = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 pre blockquote".split())
 #: Wrappers are broadcast up to this size in all, otherwise joined by host.
 BROADCAST_BYTES = 32_000_000
 
@@ -61,16 +68,25 @@ NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(
 
 
 class Node:
-    __slots__ = ("tag", "label", "unwanted", "items", "links")
+    __slots__ = ("tag", "label", "name", "unwanted", "items", "links", "_whole")
 
-    def __init__(self, tag: str, label: str, unwanted: bool):
-        self.tag, self.label, self.unwanted = tag, label, unwanted
+    def __init__(self, tag: str, name: str, unwanted: bool):
+        self.tag, self.label, self.name, self.unwanted = tag, re.sub(r"\d+", "", name) if "." in name else name, name, unwanted
+        self._whole: int | None = None
         self.items: list = []  # texts and nodes, in page order
         self.links = 0  # characters of link text directly inside
 
+    def whole(self) -> int:
+        """A digest of all text below; 0 without text."""
+        if self._whole is None:
+            parts = [x.strip() if isinstance(x, str) else f"\0{x.tag}{x.whole()}" if x.whole() else "" for x in self.items]
+            own = "\n".join(x for x in parts if x)
+            self._whole = xxhash.xxh3_64_intdigest(own.encode("utf-8", "replace")) & (2**53 - 1) if own else 0
+        return self._whole
+
 
 def _marks(tag: str, attributes: str) -> tuple[str, bool]:
-    """A node's label (its tag and class), and whether its names say that it is no content."""
+    """A node's name (its tag and whole class), and whether its names say that it is no content."""
     label, unwanted = tag, tag in DROPPED
     for m in NAMES.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -82,7 +98,7 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool]:
             if tag not in ("body", "html") and not kinds.isdisjoint(w.lower() for w in words):
                 unwanted = True
             if name == "class":
-                label += "." + re.sub(r"\d+", "", value)[:40]
+                label += "." + value
     return label, unwanted
 
 
@@ -167,10 +183,16 @@ def parse(page: str) -> Node:
 class Run:
     """Like siblings of a page, as one node of the tree that is aligned."""
 
-    __slots__ = ("label", "unwanted", "nodes", "children", "text", "links")
+    __slots__ = ("label", "name", "unwanted", "nodes", "children", "text", "links")
+
+    def __init__(self, label: str, name: str, unwanted: bool):
+        self.label, self.name, self.unwanted, self.nodes, self.children, self.text, self.links = label, name, unwanted, [], [], 0, 0
 
-    def __init__(self, label: str, unwanted: bool):
-        self.label, self.unwanted, self.nodes, self.children, self.text, self.links = label, unwanted, [], [], 0, 0
+    def whole(self) -> int:
+        return self.nodes[0].whole() if len(self.nodes) == 1 else sum(n.whole() * (2 * i + 1) for i, n in enumerate(self.nodes)) & (2**53 - 1)
+
+    def parts(self) -> set[int]:
+        return {x.whole() for n in self.nodes for x in n.items if isinstance(x, Node)} - {0}
 
     def digest(self) -> int:
         own = "\n".join(x for n in self.nodes for x in n.items if isinstance(x, str) and x.strip())
@@ -178,7 +200,7 @@ class Run:
 
 
 def runs(nodes: list[Node]) -> Run:
-    out = Run(nodes[0].label, nodes[0].unwanted)
+    out = Run(nodes[0].label, nodes[0].name, nodes[0].unwanted)
     out.nodes = nodes
     groups: list[list[Node]] = []
     last: dict[str, int] = {}
@@ -188,7 +210,7 @@ def runs(nodes: list[Node]) -> Run:
         place = -1
         for x in n.items:
             if isinstance(x, Node):
-                k = last.get(x.label, -1)
+                k = last.get(x.label, -1) if x.tag in FOLDED else -1
                 if k >= 0 and k >= place:  # later nodes of the run join the groups of the first
                     groups[k].append(x)
                     place = k
@@ -200,14 +222,32 @@ def runs(nodes: list[Node]) -> Run:
 
 
 def new_wrapper(run: Run) -> dict:
-    """label, unwanted, pages, first digest, whether it varies, text and link characters, children."""
-    return {"l": run.label, "u": run.unwanted, "n": 1, "h": run.digest(), "v": False, "t": run.text, "a": run.links, "c": [new_wrapper(c) for c in run.children]}
+    """label, name, unwanted, pages, first digests (own text, all text), whether it varies, text and link characters, pages by part and by all text, children."""
+    return {"l": run.label, "f": run.name, "d": run.whole(), "s": {str(x): 1 for x in run.parts()}, "o": {str(run.whole()): 1}, "u": run.unwanted, "n": 1, "h": run.digest(), "v": False, "t": run.text, "a": run.links, "c": [new_wrapper(c) for c in run.children]}
+
+
+def _seen(counts: dict, more: dict) -> None:
+    """Add counts of texts; beyond MOST_SEEN of them the least ones go, the others lose as much."""
+    for k, n in more.items():
+        counts[k] = counts.get(k, 0) + n
+    if len(counts) > MOST_SEEN:
+        less = sorted(counts.values(), reverse=True)[MOST_SEEN // 2]
+        for k in [k for k, n in counts.items() if n <= less]:
+            del counts[k]
+        for k in counts:
+            counts[k] -= less
+
+
+def _worth(x, y: dict) -> int:
+    """What aligning two nodes of one label is worth: equal texts before equal names before like children."""
+    name, whole, below = (x["f"], x["d"], x["c"]) if isinstance(x, dict) else (x.name, x.whole(), x.children)
+    return 1 + min(_size(below, y["c"]), 50) + 100 * (name == y["f"]) + 10_000 * (whole == y["d"] != 0)
 
 
 def match(a: list, b: list, label_a, label_b, below) -> list[tuple[int, int]]:
     """Simple tree matching of two child lists: the order-preserving pairs of like labels with the most matching nodes below."""
     la, lb = [label_a(x) for x in a], [label_b(x) for x in b]
-    if la == lb:
+    if la == lb and len(set(la)) == len(la):
         return [(i, i) for i in range(len(la))]
     n, m = len(a), len(b)
     if n * m > MOST_CELLS:  # very long lists of unlike children: each label's next occurrence
@@ -254,7 +294,7 @@ def _size(a: list, b: list) -> int:
 
 
 def _run_pairs(run: Run, w: dict) -> list[tuple[int, int]]:
-    return match(run.children, w["c"], lambda x: x.label, lambda x: x["l"], lambda x, y: 1 + _size(x.children, y["c"]))
+    return match(run.children, w["c"], lambda x: x.label, lambda x: x["l"], _worth)
 
 
 def add_page(w: dict, run: Run) -> None:
@@ -263,6 +303,8 @@ def add_page(w: dict, run: Run) -> None:
     w["t"] += run.text
     w["a"] += run.links
     w["v"] = w["v"] or w["h"] != run.digest()
+    _seen(w["s"], {str(x): 1 for x in run.parts()})
+    _seen(w["o"], {str(run.whole()): 1})
     pairs = _run_pairs(run, w)
     matched = dict(pairs)
     old = list(w["c"])
@@ -285,7 +327,9 @@ def merge(w: dict, o: dict) -> None:
     w["t"] += o["t"]
     w["a"] += o["a"]
     w["v"] = w["v"] or o["v"] or w["h"] != o["h"]
-    pairs = match(o["c"], w["c"], lambda x: x["l"], lambda x: x["l"], lambda x, y: 1 + _size(x["c"], y["c"]))
+    _seen(w["s"], o["s"])
+    _seen(w["o"], o["o"])
+    pairs = match(o["c"], w["c"], lambda x: x["l"], lambda x: x["l"], _worth)
     matched, old, out, j = dict(pairs), list(w["c"]), [], 0
     for a, b in pairs:
         merge(old[b], o["c"][a])
@@ -322,6 +366,10 @@ def finish(w: dict, different: int) -> dict:
 
     def mass(x: dict) -> float:
         x["k"] = different >= CONSTANT_PAGES and not x["v"] and bool(x["h"]) and x["n"] >= max(CONSTANT_PAGES, CONSTANT_SHARE * pages)
+        # parts that most pages have, whatever the rest of them: copies of the commonest page don't count
+        copies = max(x.pop("o").values(), default=0) - 1
+        least = max(CONSTANT_PAGES, CONSTANT_SHARE * (pages - copies)) + copies
+        x["s"] = [int(k) for k, n in x["s"].items() if different >= CONSTANT_PAGES and n >= least]
         own = 0 if x["u"] or x["k"] else max(0, x["t"] - 2 * x["a"])
         x["m"] = 0 if x["u"] else own + sum(mass(c) for c in x["c"])
         if x["u"]:
@@ -346,6 +394,7 @@ def finish(w: dict, different: int) -> dict:
 def blocks(page: Node, wrapper: dict | None) -> list[str]:
     """The page's content blocks in page order."""
     status: dict[int, int] = {}  # of nodes: 1 template, 2 main region
+    dropped: set[int] = set()  # nodes that are template with all below
 
     def mark(run: Run, w: dict) -> None:
         # a template node goes with its text; its own varying children stay
@@ -353,6 +402,8 @@ def blocks(page: Node, wrapper: dict | None) -> list[str]:
         if code:
             for n in run.nodes:
                 status[id(n)] = code
+        same = set(w["s"])
+        dropped.update(id(x) for n in run.nodes for x in n.items if same and isinstance(x, Node) and x.whole() in same)
         for i, j in _run_pairs(run, w):
             mark(run.children[i], w["c"][j])
 
@@ -389,7 +440,7 @@ def blocks(page: Node, wrapper: dict | None) -> list[str]:
                 continue  # an unwanted inline element
             else:
                 flush()
-                if not x.unwanted:
+                if not x.unwanted and id(x) not in dropped:
                     walk(x)
         flush()
 

@@ -148,3 +148,14 @@ def test_lm_vocabulary_follows_the_counts(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "train_all", lambda train, model, words: seen.append(len(model.ids)))
     gru_lm.score_documents(rows)
     assert seen == [41]  # all words occur often enough, not only the ten commonest
+
+
+def test_html_aligns_unclassed_siblings_one_by_one(spark):
+    body = lambda i: f"article {i} has words of its own, " * 9
+    page = lambda i, a, b, c: f"<body><div{a}><ul><li>Home<li>News</ul></div><div{b}><p>{body(i)}</p><p>Read our rules.</p><p>{body(i + 50)}</p></div><div{c}>All rights {'kept' if i % 2 else 'held'}</div></body>"
+    rows = [(i, f"http://plain/{i}", page(i, "", "", "")) for i in range(8)] + [(i + 10, f"http://numbered/{i}", page(i, ' class="c1"', ' class="c2"', ' class="c3"')) for i in range(8)]
+    rows += [(i + 20, f"http://copies/{i}", page(99, "", "", "") if i < 9 else page(i, "", "", "")) for i in range(15)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, _, _ in rows:
+        k = i % 10 if i < 20 else 99 if i < 29 else i - 20
+        assert got[i].split("\n") == [body(k).strip(), body(k + 50).strip()]
