@@ -514,7 +514,13 @@ def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str =
     rows, extra = pages, None
     if not small:
         host, extra = free_name(pages, "_host"), free_name(pages, "_wrapper")
-        with_host = pages.withColumn(host, F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit(""))))
+
+        def hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_host(u) for u in batch.column(names.index(url)).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*names, host])
+
+        with_host = pages.mapInArrow(hosts, T.StructType([*pages.schema.fields, T.StructField(host, T.StringType(), False)]))
         rows = with_host.join(wrappers.select(F.col("host").alias(host), F.col("wrapper").alias(extra)), host, "left").select(*names, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,3 +159,13 @@ def test_html_aligns_unclassed_siblings_one_by_one(spark):
     for i, _, _ in rows:
         k = i % 10 if i < 20 else 99 if i < 29 else i - 20
         assert got[i].split("\n") == [body(k).strip(), body(k + 50).strip()]
+
+
+def test_html_is_the_same_with_broadcast_and_joined_wrappers(spark, monkeypatch):
+    urls = ["http://a_b.example/{}", "http://münchen.example/{}", "http://x.example/a b|{}", "http://y.example/q?x={{{}}}", "http://[2001:db8::1]/{}", "http://UP.example:80/{}", "//z/{}", None, "http://[bad/{}"]
+    rows = [(k * 100 + i, u and u.format(i), f"<body><div>Menu of this site</div><div><p>text {k} {i} {'word ' * i}</p></div></body>") for k, u in enumerate(urls) for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = lambda: {r["page_id"]: r["text"] for r in html_extract.extract(pages).collect()}
+    small = text()
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert text() == small and not any("Menu" in t for t in small.values())
