@@ -31,10 +31,11 @@ def containment_join(texts: DataFrame, needles: DataFrame, text: str, needle: st
     if not few:
         return found
     if len(few) > SHORT_NEEDLES:
-        # many short needles: their own first character run is looked up at each word's suffixes
-        parts = F.flatten(F.transform(F.array_distinct(F.split(text, pattern)), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.substring(w, i, F.lit(3)))))
-        grams = texts.withColumn(key, F.explode(F.array_distinct(parts)))
-        short = short.withColumn(key, F.substring(F.element_at(F.split(needle, pattern), 1), 1, 3))
+        # many short needles: up to three characters of their first word are looked up at each place of each word; needles of separators alone meet all texts
+        parts = F.flatten(F.transform(F.array_distinct(F.split(text, pattern)), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.array(*[F.substring(w, i, F.lit(n)) for n in (1, 2, 3)])))))
+        grams = texts.withColumn(key, F.explode(F.array_distinct(F.concat(parts, F.array(F.lit(""))))))
+        first = F.get(F.filter(F.split(needle, pattern), lambda w: w != ""), 0)
+        short = short.withColumn(key, F.coalesce(F.substring(first, 1, 3), F.lit("")))
         return found.unionByName(grams.join(short, key).where(F.contains(F.col(text), F.col(needle))).drop(key))
     hits = F.filter(F.array(*[F.lit(r[0]) for r in few]), lambda n: F.contains(F.col(text), n))
     pairs = texts.withColumn(needle, F.explode(hits)).join(F.broadcast(short), needle)
