@@ -52,3 +52,11 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def without(df: DataFrame, results: list[str], inputs: list[str]) -> DataFrame:
+    """df without columns that results take the place of, as withColumn would (Spark's names ignore case); an input can't be replaced."""
+    new = {r.lower() for r in results}
+    if clash := [c for c in inputs if c.lower() in new]:
+        raise ValueError(f"results {results} would replace the input {clash}")
+    return df.select(*[df[f"`{c.replace('`', '``')}`"] for c in df.columns if c.lower() not in new])

@@ -9,12 +9,15 @@ has produces nothing.
 
 Within a column, round 1 multiplies every class with its local leader only (there are about as many as
 the square root of the column's height, chosen alike in all columns). Overlap counts accumulate over
-the blocks, the pairs left are checked exactly and the links are joined to components. Then each class is
+the blocks, and of the leaders that the size-derived bound leaves a class is checked with the one it shares most with, so
+there are as many checks as classes. The links found are joined to components. Then each class is
 checked with the one class of another component that looks nearest by the parities of both sets (see
-parity()), so pairs stay as many as classes while groups of near copies grow together; classes that parities
-let link with no class of another component in a block leave it. The last round multiplies all pairs of a column that are
-still in different components and whose sizes and parities allow a link: nothing else is left out, since a pair in one component needs no link of its own. Exact counts of a
-pair come from both whole sets; pairs below the bound that both sizes give are discarded.
+parity()), so checks stay as many as classes while groups of near copies grow together; classes that parities
+let link with no class of another component in a block leave it. What is left, all pairs of a column that are
+still in different components and whose sizes and parities allow a link, is never written out as pairs: each block sends
+a spanning forest of them, their components are groups of classes that may link, and every group is cut into tiles. The
+task of two tiles has their whole sets, takes their sparse product, compares each overlap count with what both sizes ask
+for and sends a spanning forest of the links. Nothing else is left out, since a pair in one component needs no link of its own.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+ of the text with A-Z lower-cased; fewer words than n
 make one n-gram of all of them; a null, empty or blank text has an empty set, links with nothing and is
@@ -30,10 +33,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices, words_of
+from .common import cut, free_name, text_slices, words_of
 from ..operators.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -45,6 +48,8 @@ COUNTED = 1.3
 MEMBERS = 1000
 #: Up to so many routes of sets (below 50 MB) are broadcast; more are joined by class.
 FEW_ROUTES = 400_000
+#: Classes and entries that a tile holds about, and pairs that a task looks at in one step.
+TILE, TILE_ENTRIES, STEP = 1000, 1_000_000, 500_000
 U64 = np.uint64
 
 
@@ -124,18 +129,22 @@ class Parities:
             self.row[n] = np.full(len(bitmaps), -1, np.int64)
             self.row[n][np.concatenate((own, twice))] = np.arange(len(own) + len(twice))
 
-    def differ(self, one: int, others: np.ndarray) -> np.ndarray:
-        """In how many bits one class differs from each of the others, which are as large or up to twice as large."""
-        n = int(self.length[one])
-        row, rows = self.row[n], self.rows[n]
-        step = max(1, 4_000_000 // n)
-        return np.concatenate([np.bitwise_count(rows[row[others[at : at + step]]] ^ rows[row[one]]).sum(1, dtype=np.int64) for at in range(0, len(others), step)])
+    def differ(self, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """In how many bits the classes of each pair differ; the other is as large as the one or up to twice as large."""
+        out = np.zeros(len(one), np.int64)
+        for n in np.unique(self.length[one]).tolist():
+            at, row, rows = np.flatnonzero(self.length[one] == n), self.row[n], self.rows[n]
+            step = max(1, 16_000_000 // n)
+            for i in range(0, len(at), step):
+                k = at[i : i + step]
+                out[k] = np.bitwise_count(rows[row[one[k]]] ^ rows[row[other[k]]]).sum(1, dtype=np.int64)
+        return out
 
-    def allowed(self, one: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The others that may link with one class, and the share of both sets that differs at least."""
-        differ, both = self.differ(one, others), self.sizes[one] + self.sizes[others]
+    def allowed(self, one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs that may link, and the share of both sets that differs at least."""
+        differ, both = self.differ(one, other), self.sizes[one] + self.sizes[other]
         may = (DENOMINATOR + NUMERATOR) * differ <= (DENOMINATOR - NUMERATOR) * both
-        return others[may], differ[may] / both[may]
+        return one[may], other[may], differ[may] / both[may]
 
 
 def prefix_length(size: int) -> int:
@@ -143,15 +152,19 @@ def prefix_length(size: int) -> int:
 
 
 def memberships(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """doc_id, n_shingles, and the name and parity of the set's class (null for empty sets)."""
+    """doc_id, a hash of the text, n_shingles, and the name and parity of the set's class (null for empty sets)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Shingler()
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 found = sets(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), *[pa.array([f(s) if len(s) else None for s in found], pa.binary()) for f in (_name, parity)]], ["doc_id", "n_shingles", "class", "parity"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in found], pa.int64()), *[pa.array([f(s) if len(s) else None for s in found], pa.binary()) for f in (_name, parity)]], ["doc_id", "key", "n_shingles", "class", "parity"])
+
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _text_key(F.col(text)).alias("key")).mapInArrow(run, "doc_id long, key long, n_shingles long, class binary, parity binary")
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_shingles long, class binary, parity binary")
+
+def _text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -303,41 +316,40 @@ def _leaders(which: np.ndarray, classes: np.ndarray, sizes: np.ndarray) -> tuple
     return a[keep], b[keep]
 
 
-def _pairs_table(a: np.ndarray, b: np.ndarray, classes: np.ndarray, sizes: np.ndarray, times: np.ndarray | None = None) -> pa.Table:
-    """Distinct pairs whose sizes allow a link, the lesser name first, with the number of columns they share here."""
-    lo, hi = np.minimum(a, b), np.maximum(a, b)  # classes are sorted by name
-    fits = (lo != hi) & (DENOMINATOR * np.minimum(sizes[lo], sizes[hi]) >= NUMERATOR * np.maximum(sizes[lo], sizes[hi]))
-    both, back = np.unique(lo[fits] * len(classes) + hi[fits], return_inverse=True)
-    count = np.bincount(back, None if times is None else times[fits], len(both)).astype(np.int64)
-    lo, hi = both // max(len(classes), 1), both % max(len(classes), 1)
-    name = lambda i: pa.array([x.tobytes() for x in classes[i]], pa.binary())
-    return pa.table({"a": name(lo), "b": name(hi), "n": pa.array(count, pa.int64()), "size_a": pa.array(sizes[lo], pa.int64()), "size_b": pa.array(sizes[hi], pa.int64())})
-
+LED = "class binary, leader binary, n long, size long, size_leader long"
 
-PAIRS = "a binary, b binary, n long, size_a long, size_b long"
 
-
-def _bounded(pairs: DataFrame, times: int = 1) -> DataFrame:
-    """Pairs with their overlap counts summed over the blocks, without those that cannot link.
+def _bounded(led: DataFrame) -> DataFrame:
+    """Each class with the leader it shares most columns with, among those that the bound leaves.
 
     Beyond the columns that both prefixes hold, two sets can share no more than what one of them has outside its
-    prefix; with the count that must reach what both sizes ask for. (Two spare: columns that fell together.)"""
-    summed = pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("size_a").alias("size_a"), F.min("size_b").alias("size_b"))
+    prefix; with the count that must reach what both sizes ask for. (Two spare: columns that fell together. Twice the
+    count, as a pair is counted only where one leads the other.)"""
+    summed = led.groupBy("class", "leader").agg(F.sum("n").alias("n"), F.min("size").alias("size"), F.min("size_leader").alias("size_leader"))
     outside = lambda c: F.ceil(F.col(c) * NUMERATOR / DENOMINATOR) - 1  # noqa: E731  a size less prefix_length
-    return summed.where((F.col("n") * times + 2 + F.greatest(outside("size_a"), outside("size_b"))) * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col("size_a") + F.col("size_b")))
+    may = summed.where((F.col("n") * 2 + 2 + F.greatest(outside("size"), outside("size_leader"))) * (DENOMINATOR + NUMERATOR) >= NUMERATOR * (F.col("size") + F.col("size_leader")))
+    best = may.groupBy("class").agg(F.max(F.struct("n", "leader"))["leader"].alias("leader"))
+    return best.select(F.col("leader").alias("a"), F.col("class").alias("b"))
 
 
 def _first_round(table: pa.Table) -> pa.Table:
-    """Each class with its leaders."""
+    """Each class with its leaders whose size allows a link, and the number of columns they share here."""
     classes, sizes, columns, which, _ = _unpack(table)
-    left, right = [], []
+    lead, member = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for i, j in zip(*_runs(columns), strict=True):
         if j - i > 1:
             a, b = _leaders(which[i:j], classes, sizes)
-            left.append(a)
-            right.append(b)
-    none = np.zeros(0, np.int64)
-    return _pairs_table(np.concatenate([none, *left]), np.concatenate([none, *right]), classes, sizes)
+            lead.append(a)
+            member.append(b)
+    lead, member = np.concatenate(lead), np.concatenate(member)
+    fits = DENOMINATOR * np.minimum(sizes[lead], sizes[member]) >= NUMERATOR * np.maximum(sizes[lead], sizes[member])
+    both, count = np.unique(member[fits] * len(classes) + lead[fits], return_counts=True)
+    member, lead = both // max(len(classes), 1), both % max(len(classes), 1)
+    return pa.table({"class": _names(classes[member]), "leader": _names(classes[lead]), "n": pa.array(count, pa.int64()), "size": pa.array(sizes[member], pa.int64()), "size_leader": pa.array(sizes[lead], pa.int64())})
+
+
+def _names(classes: np.ndarray) -> pa.Array:
+    return pa.array([x.tobytes() for x in classes], pa.binary())
 
 
 def _shared_columns(table: pa.Table) -> pa.Table:
@@ -369,68 +381,162 @@ def _by_component(table: pa.Table) -> np.ndarray:
     return np.array([code.setdefault(x, len(code)) for x in table.column("component").to_pylist()], np.int64)
 
 
-def _crossing_pairs(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, int]]:
-    """A row of the block's product at a time: a class, partners in other components that it may link with, how far they are, and in how many columns."""
-    classes, sizes, columns, which, table = _unpack(table)
-    part, parities = _by_component(table), Parities(sizes, table.column("parity").to_pylist())
-    alike: dict[bytes, int] = {}  # columns of the same classes are multiplied once
-    for i, j in zip(*_runs(columns), strict=True):
-        w = which[i:j].astype(np.int32).tobytes()
-        alike[w] = alike.get(w, 0) + 1
-    for key, many in alike.items():
-        w = np.frombuffer(key, np.int32).astype(np.int64)
-        if (part[w] == part[w[0]]).all():
+def _column_clusters(columns: np.ndarray, which: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sets of classes such that the classes of each column with more than one component are in one: pairs (two rows), and larger ones.
+
+    Columns of a group of near copies have mostly the same classes; a column joins a cluster that has half of its classes, as long as
+    the cluster stays within twice its highest column, so that a pair is looked at about once and not once per column."""
+    start, stop = _runs(columns)
+    low = np.minimum.reduceat(part[which], start) if len(start) else start
+    high = np.maximum.reduceat(part[which], start) if len(start) else start
+    crossing = np.flatnonzero(low != high)
+    height = (stop - start)[crossing]
+    two = start[crossing[height == 2]]
+    pairs = np.unique(np.stack((which[two], which[two + 1])), axis=1) if len(two) else np.zeros((2, 0), np.int64)
+    seen, clusters, tops = set(), [], []
+    home = np.full(len(part), -1, np.int64)
+    for k in crossing[height > 2][np.argsort(-height[height > 2], kind="stable")].tolist():
+        w = which[start[k] : stop[k]]
+        key = w.astype(np.int32).tobytes()
+        if key in seen:
             continue
+        seen.add(key)
+        at = home[w]
+        found, count = np.unique(at[at >= 0], return_counts=True)
+        if len(found) and 2 * count.max() >= len(w):
+            c = int(found[np.argmax(count)])
+            more = np.union1d(clusters[c], w)
+            if len(more) <= 2 * tops[c]:
+                clusters[c] = more
+                home[w] = c
+                continue
+        home[w] = len(clusters)
+        clusters.append(w)
+        tops.append(len(w))
+    return pairs, clusters
+
+
+def _crossing_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some of the block's product at a time: pairs in different components that may link, and how far they are."""
+    _, sizes, columns, which, table = _unpack(table)
+    part, parities = _by_component(table), Parities(sizes, table.column("parity").to_pylist())
+
+    def kept(one: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        apart = part[one] != part[other]
+        return parities.allowed(one[apart], other[apart])
+
+    pairs, clusters = _column_clusters(columns, which, part)
+    for at in range(0, pairs.shape[1], STEP):
+        x, y = pairs[:, at : at + STEP]
+        one, other = np.where(sizes[x] <= sizes[y], x, y), np.where(sizes[x] <= sizes[y], y, x)
+        fits = DENOMINATOR * sizes[one] >= NUMERATOR * sizes[other]
+        yield kept(one[fits], other[fits])
+    for w in clusters:
         w = w[np.argsort(sizes[w], kind="stable")]
-        tops = np.searchsorted(sizes[w], DENOMINATOR * sizes[w] / NUMERATOR, "right")
-        for k in range(len(w) - 1):  # partners are a range of sizes
-            other = w[k + 1 : tops[k]]
-            other = other[part[other] != part[w[k]]]
-            if len(other):
-                other, far = parities.allowed(int(w[k]), other)
-                if len(other):
-                    yield int(w[k]), other, far, many
+        many = np.searchsorted(sizes[w], DENOMINATOR * sizes[w] / NUMERATOR, "right") - np.arange(len(w)) - 1  # partners are a range of sizes
+        total = np.cumsum(many)
+        at = 0
+        while at < len(w):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
+            n = many[at:to]
+            first = np.repeat(np.arange(at, to) + 1 - (np.cumsum(n) - n), n)
+            yield kept(np.repeat(w[at:to], n), w[first + np.arange(len(first))])
+            at = to
 
 
 def _nearest(table: pa.Table) -> pa.Table:
     """The block's classes that may link with one of another component, each with the nearest."""
-    classes, *_, table = _unpack(table)
+    classes, *_, table_ = _unpack(table)
     best, least = np.full(len(classes), -1, np.int64), np.full(len(classes), np.inf)
-    for one, others, far, _ in _crossing_pairs(table):
-        k = int(np.argmin(far))
-        if far[k] < least[one]:
-            best[one], least[one] = others[k], far[k]
-        nearer = far < least[others]
-        best[others[nearer]], least[others[nearer]] = one, far[nearer]
+    for one, other, far in _crossing_pairs(table):
+        x, y, far = np.concatenate((one, other)), np.concatenate((other, one)), np.concatenate((far, far))
+        by = np.lexsort((y, far, x))
+        x, y, far = x[by], y[by], far[by]
+        new = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))[: len(x)]
+        x, y, far = x[new], y[new], far[new]
+        nearer = far < least[x]
+        best[x[nearer]], least[x[nearer]] = y[nearer], far[nearer]
     have = np.flatnonzero(best >= 0)
-    kept = table.take(pa.array(have))
-    return pa.table({**{c: kept.column(c) for c in ("block", "class", "size", "columns", "parity")}, "a": pa.array([x.tobytes() for x in classes[best[have]]], pa.binary()), "far": pa.array(least[have], pa.float64())})
-
-
-def _second_round(table: pa.Table) -> pa.Table:
-    """All pairs of a column that are in different components and may link."""
-    classes, sizes = _unpack(table)[:2]
-    n = len(classes)
-    found, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    waiting: list[np.ndarray] = []
-    weight: list[np.ndarray] = []
-    size = 0
-
-    def gathered() -> tuple[np.ndarray, np.ndarray]:
-        """All pairs so far and in how many columns each was met."""
-        pairs, back = np.unique(np.concatenate([found, *waiting]), return_inverse=True)
-        return pairs, np.bincount(back, np.concatenate([times, *weight]), len(pairs)).astype(np.int64)
-
-    for one, others, _, many in _crossing_pairs(table):
-        waiting.append(np.minimum(others, one) * n + np.maximum(others, one))
-        weight.append(np.full(len(others), many))
-        size += len(others)
-        if size > 2_000_000:
-            (found, times), size = gathered(), 0
-            waiting.clear()
-            weight.clear()
-    found, times = gathered()
-    return _pairs_table(found // n, found % n, classes, sizes, times)
+    kept = table_.take(pa.array(have))
+    return pa.table({**{c: kept.column(c) for c in ("block", "class", "size", "columns", "parity")}, "a": _names(classes[best[have]]), "far": pa.array(least[have], pa.float64())})
+
+
+class Forest:
+    """Numbered things that are joined, and the joins that were of use."""
+
+    def __init__(self, n: int):
+        self.up, self.joins = list(range(n)), []
+
+    def root(self, x: int) -> int:
+        while (p := self.up[x]) != x:
+            self.up[x] = x = self.up[p]
+        return x
+
+    def join(self, a: np.ndarray, b: np.ndarray, x: np.ndarray | None = None, y: np.ndarray | None = None) -> None:
+        """Join things a with b; x and y are what joins() lists for them."""
+        x, y = a if x is None else x, b if y is None else y
+        _, first = np.unique(a * len(self.up) + b, return_index=True)
+        for i in first.tolist():
+            p, q = self.root(int(a[i])), self.root(int(b[i]))
+            if p != q:
+                self.up[max(p, q)] = min(p, q)
+                self.joins.append((int(x[i]), int(y[i])))
+
+
+def _may_link(table: pa.Table) -> pa.Table:
+    """A spanning forest of the block's pairs that are in different components and may link."""
+    classes = _unpack(table)[0]
+    forest = Forest(len(classes))
+    for one, other, _ in _crossing_pairs(table):
+        forest.join(one, other)
+    a, b = np.array(forest.joins, np.int64).reshape(-1, 2).T
+    return pa.table({"a": _names(classes[a]), "b": _names(classes[b])})
+
+
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """The product of the sets' incidence matrix with itself: how many n-grams each pair shares."""
+    n = len(sets)
+    out = np.zeros(n * n, np.float64)
+    columns, which = np.concatenate(sets), np.repeat(np.arange(n), [len(s) for s in sets])
+    by = np.argsort(columns, kind="stable")
+    columns, which = columns[by], which[by]
+    start, stop = _runs(columns)
+    height = stop - start
+    start, height = start[height > 1], height[height > 1]
+    if len(start):
+        # columns of the same sets are multiplied once, by the sum of a random number per set
+        with np.errstate(over="ignore"):
+            mark = np.add.reduceat(np.concatenate((_mix(which.astype(U64) + U64(n)), [U64(0)])), np.stack((start, start + height), 1).ravel())[::2]
+        _, first, weight = np.unique(mark, return_index=True, return_counts=True)
+        start, height = start[first], height[first]
+        high = max(32, n // 10)
+        for h in np.unique(height[height <= high]).tolist():
+            at, w = start[height == h], weight[height == h]
+            step = max(1, 4_000_000 // (h * h))
+            for i in range(0, len(at), step):
+                rows = which[at[i : i + step, None] + np.arange(h)]
+                out += np.bincount((rows[:, :, None] * n + rows[:, None, :]).ravel(), np.repeat(w[i : i + step], h * h), n * n)
+        out = out.reshape(n, n)
+        tall = np.flatnonzero(height > high)
+        for i in range(0, len(tall), 2048):
+            k = tall[i : i + 2048]
+            rows, m = np.repeat(np.arange(len(k)), height[k]), np.zeros((len(k), n), np.float32)
+            at = np.repeat(start[k] - (np.cumsum(height[k]) - height[k]), height[k]) + np.arange(len(rows))
+            m[rows, which[at]] = 1
+            out += (m * weight[k, None]).astype(np.float32).T @ m
+    return out.reshape(n, n)
+
+
+def _tile_links(table: pa.Table) -> pa.Table:
+    """A spanning forest of the links between components among the whole sets of two tiles."""
+    names, parts = table.column("class").to_pylist(), _by_component(table)
+    sets = [np.frombuffer(x.as_buffer(), U64) for chunk in table.column("set").chunks for x in chunk]
+    size = np.array([len(s) for s in sets], np.int64)
+    shared = overlaps(sets).astype(np.int64)
+    a, b = np.nonzero(np.triu(enough(size[:, None], size[None, :], shared) & (parts[:, None] != parts[None, :]), 1))
+    forest = Forest(len(names))
+    forest.join(parts[a], parts[b], a, b)
+    return pa.table({"a": pa.array([names[i] for i, _ in forest.joins], pa.binary()), "b": pa.array([names[j] for _, j in forest.joins], pa.binary())})
 
 
 def _check(table: pa.Table) -> pa.Table:
@@ -463,11 +569,30 @@ def _linked(docs: DataFrame, pairs: DataFrame, reps: DataFrame, text: str, doc_i
     return cut(sent.groupBy("key", "part").applyInArrow(_check, "a binary, b binary"))
 
 
-def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _linked_in_tiles(docs: DataFrame, placed: DataFrame, reps: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """Links (a, b) that join all components between which placed's blocks have pairs that link."""
+    edges = cut(placed.groupBy("block").applyInArrow(_may_link, "a binary, b binary"))
+    if edges.isEmpty():
+        return edges
+    groups = components(edges).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    inside = cut(groups.join(placed.groupBy("class").agg(F.min("component").alias("component"), F.min("size").alias("size")), "class").join(reps.select("class", F.col("rep").alias("of")), "class"))
+    parts = inside.groupBy("group").agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_ENTRIES)).cast("int").alias("parts"))
+    tile = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    dealt = inside.join(parts, "group").select("class", "of", "component", "group", tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    route = cut(dealt.select("class", "of", "component", "group", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
+    if route.count() <= FEW_ROUTES:
+        route = F.broadcast(route)
+    sets = _sets_of(docs, inside.select("class", F.col("of").alias("rep")), text, doc_id)
+    sent = sets.join(route, "class").where(F.col("rep").eqNullSafe(F.col("of"))).select("group", "i", "j", "class", "component", "set")
+    # a rep that repeats in docs sends its set once
+    return cut(sent.dropDuplicates(["group", "i", "j", "class"]).groupBy("group", "i", "j").applyInArrow(_tile_links, "a binary, b binary"))
+
+
+def _grouped(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, DataFrame]:
+    """The memberships, and (class, component_id, first): first is the least (doc_id is null, doc_id, hash of the text) of the component."""
     spark = docs.sparkSession
     members = cut(memberships(docs, text, doc_id))
-    reps = cut(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity")))
+    reps = cut(members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.min("parity").alias("parity"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")))
     entries = members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     # about a block per shuffle partition, or more where the columns are many
     blocks = 1 << max(int(spark.conf.get("spark.sql.shuffle.partitions")) - 1, entries // 4_000_000, 1).bit_length()
@@ -482,9 +607,8 @@ def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     counted = _counted(docs, text, blocks).groupBy("block").applyInArrow(heavy, "column long")
     late = np.sort(np.fromiter((r[0] for r in counted.toLocalIterator()), np.int64)).astype(U64)
     shared = cut(_postings(docs, text, blocks, late).groupBy("block").applyInArrow(_shared_columns, "block int, class binary, size long, columns binary"))
-    pairs = shared.groupBy("block").applyInArrow(_first_round, PAIRS)
-    # round 1 counts a pair only where one leads the other, so the bound is eased; what it misses is left to round 2
-    links = _linked(docs, _bounded(pairs, times=2).select("a", "b"), reps, text, doc_id)
+    # what round 1 misses is left to the later ones
+    links = _linked(docs, _bounded(shared.groupBy("block").applyInArrow(_first_round, LED)), reps, text, doc_id)
     joined = components(links)
     part_of = lambda df: df.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     placed = shared.join(part_of(reps.select("class", "parity")), "class")
@@ -494,19 +618,33 @@ def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     if not more.isEmpty():
         links = links.unionByName(more)
         joined = components(links)
-    placed = part_of(near.drop("a", "far"))
-    more = _linked(docs, _bounded(placed.groupBy("block").applyInArrow(_second_round, PAIRS)).select("a", "b"), reps, text, doc_id)
+    more = _linked_in_tiles(docs, cut(part_of(near.drop("a", "far"))), reps, text, doc_id)
     if not more.isEmpty():
         joined = components(links.unionByName(more))
-    named = reps.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", F.coalesce("component", "class").alias("component"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    result = named.join(least, "component").select("class", "component_id")
+    named = reps.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "rep", "first", F.coalesce("component", "class").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))
+    return members, named.select("class", "component").join(least, "component").select("class", "component_id", "first")
+
+
+def classes_of(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    members, result = _grouped(docs, text, doc_id)
     full = members.where("class is not null").join(result, "class").select("doc_id", "n_shingles", "component_id")
     empty = members.where("class is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 
 def keep_rows(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one document of each group: the one that names the component; rows that repeat it stay as one."""
-    drop = classes_of(docs, text, doc_id).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop_id")).distinct()
-    return docs.join(drop, F.col(doc_id) == F.col("_drop_id"), "left_anti")
+    """docs with one row of each component: the one with the least doc_id (null ids last), and of several texts with that id the one
+    with the least hash. Rows that repeat both stay as one; documents without words all stay. All columns come back as they were."""
+    members, result = _grouped(docs, text, doc_id)
+    placed = members.where("class is not null").join(result.select("class", "first"), "class")
+    key, gone = free_name(docs, "text_key"), free_name(docs, "gone_id")
+    drop = placed.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("key") == F.col("first.key")))).select(F.col("doc_id").alias(gone), F.col("key").alias("gone_key")).distinct()
+    keyed = docs.withColumn(key, _text_key(F.col(text)))
+    same = lambda other: F.col(doc_id).eqNullSafe(other[gone]) & (F.col(key) == other["gone_key"])
+    kept = keyed.join(drop, same(drop), "left_anti")
+    twice = cut(placed.groupBy(F.col("doc_id").alias(gone), F.col("key").alias("gone_key")).agg(F.count("*").alias("n")).where("n > 1").join(drop, [gone, "gone_key"], "left_anti").select(gone, "gone_key"))
+    if not twice.isEmpty():
+        kept = kept.join(twice, same(twice), "left_anti").unionByName(keyed.join(twice, same(twice), "left_semi").dropDuplicates([doc_id, key]))
+    return kept.drop(key)

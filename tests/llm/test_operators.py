@@ -64,8 +64,8 @@ def test_parities_never_exclude_a_link():
     for i, j in itertools.combinations(range(len(sets)), 2):
         shared = len(np.intersect1d(sets[i], sets[j]))
         if 100 * size[i] >= 75 * size[j]:
-            assert parities.differ(i, np.array([j]))[0] <= size[i] + size[j] - 2 * shared
-            assert len(parities.allowed(i, np.array([j]))[0]) or not ngram_join.enough(size[i], size[j], shared)
+            assert parities.differ(np.array([i]), np.array([j]))[0] <= size[i] + size[j] - 2 * shared
+            assert len(parities.allowed(np.array([i]), np.array([j]))[0]) or not ngram_join.enough(size[i], size[j], shared)
 
 
 def test_ngram_join_of_a_large_group_of_near_copies(spark):
