@@ -1,8 +1,9 @@
 """Near-duplicate removal of embeddings by random-hyperplane sign hashing in several tables.
 
 Equal vectors of a label first collapse into one class with a weight, so copies never meet pairwise.
-A class enters one bucket per table (label, table, sign bits); inside a bucket blocks of exact cosines
-in double precision are compared, without making a row per pair: a class gets the weighted number of
+A class enters one bucket per table (label, table, sign bits). A bucket of more than TILE classes is cut by a hash into
+tiles, and each two tiles are a task's work, so dense groups spread over tasks and none is held whole. There blocks of
+exact cosines in double precision are compared, without making a row per pair: a class gets the weighted number of
 its links, and a spanning forest of the bucket's links goes on to the distributed connected
 components. A pair that meets in several tables is counted in the first of them only.
 
@@ -11,7 +12,7 @@ follows from the recall asked for at the threshold's angle (pairs above it are f
 
 Defined results: a null label, or a vector that is null, empty, zero or holds null or non-finite
 components, links with nothing (0 links, its own component); vectors of different lengths never link;
-repeated rows are copies of each other; a null id never names a component unless all ids of it are null.
+repeated rows are copies of each other; extra columns play no part; a null id never names a component unless all ids of it are null.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from ..operators.components import components
 THRESHOLD, RECALL = 0.93, 0.998
 #: Classes that a bucket should hold about, and rows of the cosine block that is computed at a time.
 BUCKET, BLOCK = 256, 1024
+#: Classes that a tile holds about.
+TILE = 512
 
 
 def plan(largest: int, threshold: float = THRESHOLD, recall: float = RECALL, bucket: int = BUCKET) -> tuple[int, int]:
@@ -43,8 +46,8 @@ def planes(dim: int, bits: int, tables: int, seed: int = 3) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, bits * tables))
 
 
-def _bucket_links(vectors: np.ndarray, codes: np.ndarray, table: int, weight: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Weighted links that each row first meets in this table, and a spanning forest of the bucket's links."""
+def _bucket_links(vectors: np.ndarray, codes: np.ndarray, table: int, weight: np.ndarray, threshold: float, tile: np.ndarray | None = None) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Weighted links that each row first meets in this table, and a spanning forest of these links; between two tiles only, if tile is given."""
     n = len(vectors)
     unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
     links = np.zeros(n, np.int64)
@@ -55,6 +58,8 @@ def _bucket_links(vectors: np.ndarray, codes: np.ndarray, table: int, weight: np
             near = unit[i : i + BLOCK] @ unit[j : j + BLOCK].T >= threshold
             if i == j:
                 np.fill_diagonal(near, False)
+            if tile is not None:
+                near &= tile[i : i + BLOCK, None] != tile[None, j : j + BLOCK]
             if not near.any():
                 continue
             a, b = np.nonzero(near)
@@ -107,7 +112,15 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(dims.astype(np.int32)), part.column(3), code_lists], ["key", "w", "label", "dim", "v", "codes"])
 
     coded = classes.select("key", "w", "label", "v").mapInArrow(sign, "key string, w long, label string, dim int, v array<double>, codes array<int>")
-    bucketed = coded.select("key", "w", "label", "dim", "v", "codes", F.posexplode("codes").alias("t", "code"))
+    coded = cut(coded)
+    bucket = ["label", "dim", "t", "code"]
+    # which class goes to which tiles is settled without the vectors, which follow by key
+    entries = coded.select("key", "label", "dim", F.posexplode("codes").alias("t", "code"))
+    parts = entries.groupBy(*bucket).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")).where("parts > 1")
+    dealt = entries.join(cut(parts), bucket, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("tile", F.pmod(F.xxhash64("key", F.lit(9)), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", *bucket, F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile")
+    bucketed = dealt.join(coded.select("key", "w", "v", "codes"), "key")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -115,13 +128,13 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
         n = len(keys)
         x = group.column("v").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(n, -1)
         codes = group.column("codes").combine_chunks().values.to_numpy(zero_copy_only=False).reshape(n, -1)
-        links, forest = _bucket_links(x, codes, group.column("t")[0].as_py(), group.column("w").to_numpy(), threshold)
+        links, forest = _bucket_links(x, codes, group.column("t")[0].as_py(), group.column("w").to_numpy(), threshold, None if group.column("i")[0] == group.column("j")[0] else group.column("tile").to_numpy())
         some = np.flatnonzero(links)
         a = [keys[i] for i in some] + [keys[i] for i, _ in forest]
         b = [None] * len(some) + [keys[j] for _, j in forest]
         return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "links": pa.array(links[some].tolist() + [0] * len(forest), pa.int64())})
 
-    found = cut(bucketed.groupBy("label", "dim", "t", "code").applyInArrow(compare, "a string, b string, links long"))
+    found = cut(bucketed.groupBy(*bucket, "i", "j").applyInArrow(compare, "a string, b string, links long"))
     counts = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     joined = components(found.where("b is not null").select("a", "b"))
     # a component's name is the least id of its classes

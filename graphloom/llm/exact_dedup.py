@@ -23,6 +23,8 @@ from .common import ascii_lower, cut, free_name
 
 #: Bits per row, up to the most bits that are ever broadcast (32 MB). A fuller filter lets more rows shuffle, no more.
 BITS_PER_ROW, MOST_BITS, SEGMENT_BITS = 16, 2**28, 2**18
+#: Copies that make a text hot, and the most hot texts (below 10 MB broadcast).
+HOT_COPIES, HOT_WINNERS = 1000, 50_000
 
 
 def _positions(batch: pa.RecordBatch, m: int) -> np.ndarray:
@@ -93,11 +95,17 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
     digests = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(ascii_lower(F.col(text)), 256).alias("text_sha256"))
     digests = cut(digests.withColumn("row_id", F.monotonically_increasing_id()))
-    m, bits = repeated_bits(digests, digests.count())
+    rows = digests.count()
+    m, bits = repeated_bits(digests, rows)
     tested = may_repeat(digests, m, bits, "maybe")
     alone = tested.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     maybe = tested.where("maybe").drop("maybe")
-    joined = maybe.join(_winners(maybe), "text_sha256").select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
+    winners = cut(_winners(maybe))
+    # texts with so many copies are few (HOT_WINNERS at most) and meet their rows by broadcast, so no task gathers the copies of one
+    often = F.col("group_size") >= max(HOT_COPIES, rows // HOT_WINNERS)
+    hot = F.broadcast(winners.where(often))
+    both = maybe.join(hot, "text_sha256").unionByName(maybe.join(hot, "text_sha256", "left_anti").join(winners.where(~often), "text_sha256"))
+    joined = both.select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), "text_sha256")
     return alone.unionByName(joined)
 
 

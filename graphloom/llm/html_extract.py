@@ -16,7 +16,8 @@ wrapper that holds most of the varying text that is not links.
 Defined results: null or empty html gives "" ; a page without tags is one block of text; pages without
 a host share the empty host; a host with one page (or only copies of it) has no template, and only the
 element rules apply; repeated pages get the same text; other columns pass through. Unclosed and
-unknown tags are tolerated; elements nested deeper than MOST_DEPTH count as text of their ancestor.
+unknown tags are tolerated; elements nested deeper than MOST_DEPTH are blocks of their ancestor, or dropped with it where
+their kind or class says so.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, free_name, text_slices
+from .common import cut, free_name, text_slices, without
 
 #: Different pages over which a slot must stay constant to be template, and the share of the host's pages that must have it.
 CONSTANT_PAGES, CONSTANT_SHARE = 5, 0.5
@@ -106,10 +107,11 @@ def parse(page: str) -> Node:
     """The page's tree of block elements; inline elements dissolve into their block unless they are unwanted."""
     root = Node("#page", "#page", False)
     stack, inline = [root], []
+    deep: list[tuple[str, bool]] = []  # open elements below MOST_DEPTH, and whether they are unwanted
     at, end = 0, len(page)
 
     def text(raw: str) -> None:
-        if raw:
+        if raw and not any(unwanted for _, unwanted in deep):
             raw = entities.unescape(raw) if "&" in raw else raw
             stack[-1].items.append(raw)
             if "a" in inline:
@@ -134,9 +136,14 @@ def parse(page: str) -> Node:
                 if tag in inline:
                     del inline[len(inline) - 1 - inline[::-1].index(tag) :]
                 continue
+            if (k := max((k for k, (t, _) in enumerate(deep) if t == tag), default=-1)) >= 0:
+                del deep[k:]
+                stack[-1].items.append(Node(tag, tag, False))
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     leave(k)
+                    deep.clear()
                     break
             continue
         if tag in ("br", "wbr"):
@@ -173,7 +180,9 @@ def parse(page: str) -> Node:
             continue
         node = Node(tag, label, unwanted)
         if tag == "hr" or len(stack) > MOST_DEPTH:
-            stack[-1].items.append(node)  # a border between blocks
+            stack[-1].items.append(Node(tag, tag, False))  # a border between blocks
+            if tag != "hr":
+                deep.append((tag, unwanted))
             continue
         stack[-1].items.append(node)
         stack.append(node)
@@ -504,7 +513,8 @@ def induce(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
 
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url", text: str = "text") -> DataFrame:
-    """pages with the main text of each page's whole html."""
+    """pages with the main text of each page's whole html; a column with the result's name is replaced."""
+    pages = without(pages, [text], [html, url])
     wrappers = induce(pages, html, url)
     size = wrappers.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     names = pages.columns

@@ -11,8 +11,8 @@ Constraints: a bin holds at most one piece of a duplicate cluster, and at most P
 a source. Full sequences that one document fills are bins of their own.
 
 Defined results: null or empty text is a piece of length 0 that is placed like others; a null source is
-a source of its own; without a cluster column, equal texts (A-Z lower-cased) are a cluster; ties go to
-the lower doc_id; repeated rows are copies of each other; an empty table gives no rows.
+a source of its own; without a cluster column, equal texts (A-Z lower-cased) are a cluster, with one a null cluster conflicts with nothing; ties go to
+the lower doc_id; extra columns play no part; repeated rows are copies of each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,9 +36,7 @@ def measure(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
         for batch in batches:
             for part, texts in text_slices(batch, "text"):
                 length = [len(words_of(t)) for t in texts]
-                given = part.column(3)
-                if given.null_count == len(given):
-                    given = pa.array([xxhash.xxh3_128_hexdigest(t.encode("utf-8", "replace").lower()) for t in texts], pa.string())
+                given = part.column(3) if cluster else pa.array([xxhash.xxh3_128_hexdigest(t.encode("utf-8", "replace").lower()) for t in texts], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), given, pa.array(length, pa.int64())], ["doc_id", "source", "cluster", "length"])
 
     given = F.col(cluster).cast("string") if cluster else F.lit(None).cast("string")
@@ -49,7 +47,7 @@ def measure(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
 def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> list[int]:
     """The bin of each piece. Pieces come from the longest down; the tightest compatible bin takes each."""
     source_bit = {s: 1 << i for i, s in enumerate(dict.fromkeys(sources))}
-    cluster_bit = {c: 1 << i for i, c in enumerate(dict.fromkeys(clusters))}
+    cluster_bit = {c: 1 << i for i, c in enumerate(x for x in dict.fromkeys(clusters) if x is not None)} | {None: 0}
     order: list[tuple[int, int]] = []  # (residual, bin), ascending
     full_sources: list[int] = []  # per bin: sources that have reached their share
     held: list[int] = []  # per bin: clusters

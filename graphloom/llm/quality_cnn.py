@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import text_slices, without
 
 SAMPLE_DOCS, CHUNKS_PER_DOC = 1500, 3
 CHUNK, OVERLAP, PAD = 1024, 64, 256
@@ -131,7 +131,8 @@ def learn(docs: DataFrame, labels: DataFrame, target: str = "quality", text: str
 
 
 def score(df: DataFrame, network: Network | None, text: str = "text", name: str = "score") -> DataFrame:
-    """df with the probability of label 1 for each whole text."""
+    """df with the probability of label 1 for each whole text; a column with the result's name is replaced."""
+    df = without(df, [name], [text])
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType(), False)])
     shared = df.sparkSession.sparkContext.broadcast(network)
 

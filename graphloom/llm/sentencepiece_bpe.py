@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import text_slices, without
 
 SPACE = "▁"
 NO_RANK = np.int64(2**62)
@@ -319,7 +319,9 @@ class Encoder:
 
 
 def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with a column of token ids (array of int, end id last) for its whole texts. model: the model file's content."""
+    """df with a column of token ids (array of int, end id last) for its whole texts. model: the model file's content.
+    A column with the result's name is replaced."""
+    df = without(df, [ids], [text])
     schema = T.StructType([*df.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False), False)])
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -336,7 +338,8 @@ def encode(df: DataFrame, model: bytes, text: str = "text", ids: str = "ids") ->
 
 
 def decode(df: DataFrame, model: bytes, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """df with the text of each row's ids; a null list gives the empty text."""
+    """df with the text of each row's ids; a null list gives the empty text. A column with the result's name is replaced."""
+    df = without(df, [text], [ids])
     schema = T.StructType([*df.schema.fields, T.StructField(text, T.StringType(), False)])
     shared = df.sparkSession.sparkContext.broadcast(model)
 
