@@ -25,10 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents without a letter go, and those that no learned language reads (UNREADABLE phrases per character or more)."""
     samples = language_id.learn(docs.where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT))
-    pred, score = free_name(docs, "lang_pred"), free_name(docs, "lang_score")
-    return language_id.predict(docs, samples, lang_pred=pred, score=score).where(F.col(pred) != "und").drop(pred, score)
+    pred, score, fit = (free_name(docs, c) for c in ("lang_pred", "lang_score", "lang_fit"))
+    read = language_id.predict(docs, samples, lang_pred=pred, score=score, fit=fit)
+    return read.where((F.col(pred) != "und") & (F.col(fit) < language_id.UNREADABLE)).drop(pred, score, fit)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in spark.checkpoint.dir, or (where that is unset, as in tests) in a folder of our own."""
+    """A new path in spark.checkpoint.dir. Where that is unset: in the warehouse, or on a single machine (as in tests) in a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = os.environ.get("GRAPHLOOM_TEST_SCRATCH") or tempfile.mkdtemp(prefix="spark-graphloom-", dir="/tmp")
+        master = spark.sparkContext.master
+        alone = master.startswith("local") and not master.startswith("local-cluster")
+        base = tempfile.mkdtemp(prefix="spark-graphloom-", dir="/tmp") if alone else f"{spark.conf.get('spark.sql.warehouse.dir')}/graphloom-scratch"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
