@@ -25,18 +25,20 @@ def containment_join(texts: DataFrame, needles: DataFrame, text: str, needle: st
     needles = needles.where(F.length(needle) > 0).withColumn(key, longest)
     long = needles.where(F.col(key).isNotNull() & (F.col(key) != ""))
     short = needles.where(F.col(key).isNull() | (F.col(key) == "")).drop(key)
-    words = texts.withColumn(key, F.explode(F.array_distinct(F.split(text, pattern))))
-    found = words.join(long, key).where(F.contains(F.col(text), F.col(needle))).drop(key)
+    # only a text's hash goes with its words; the text itself meets what is left once
+    keyed = texts.withColumn("_text", F.xxhash64(text))
+    meet = lambda keys, some: keyed.join(keys.distinct().join(some, key).drop(key), "_text").where(F.contains(F.col(text), F.col(needle))).drop("_text")
+    found = meet(keyed.select("_text", F.explode(F.array_distinct(F.split(text, pattern))).alias(key)), long)
     few = short.select(needle).distinct().limit(SHORT_NEEDLES + 1).collect()
     if not few:
         return found
     if len(few) > SHORT_NEEDLES:
         # many short needles: up to three characters of their first word are looked up at each place of each word; needles of separators alone meet all texts
         parts = F.flatten(F.transform(F.array_distinct(F.split(text, pattern)), lambda w: F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.array(*[F.substring(w, i, F.lit(n)) for n in (1, 2, 3)])))))
-        grams = texts.withColumn(key, F.explode(F.array_distinct(F.concat(parts, F.array(F.lit(""))))))
+        grams = keyed.select("_text", F.explode(F.array_distinct(F.concat(parts, F.array(F.lit(""))))).alias(key))
         first = F.get(F.filter(F.split(needle, pattern), lambda w: w != ""), 0)
         short = short.withColumn(key, F.coalesce(F.substring(first, 1, 3), F.lit("")))
-        return found.unionByName(grams.join(short, key).where(F.contains(F.col(text), F.col(needle))).drop(key))
+        return found.unionByName(meet(grams, short))
     hits = F.filter(F.array(*[F.lit(r[0]) for r in few]), lambda n: F.contains(F.col(text), n))
     pairs = texts.withColumn(needle, F.explode(hits)).join(F.broadcast(short), needle)
     return found.unionByName(pairs.select(*found.columns))

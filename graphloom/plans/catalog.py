@@ -14,6 +14,7 @@ from ..operators import scope as sc
 from ..operators import snapshots, traverse
 from ..operators.scope import scoped_edges
 from ..sources.tables import graph_of, read, trade_graph
+from . import text_catalog, text_oracle
 from .oracle import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,7 +104,8 @@ QUERIES: dict[str, Query] = {
     "mentions": _over(lambda g: g.edges.where("kind = 'mentions'").select("source", "target")),
     "name_multiplicity": _over(lambda g: g.nodes.where("kind = 'function'").groupBy("name").agg(F.count("*").alias("n"))),
 }
-ORACLE_SQL: dict[str, str] = {k: v for k, v in SQL.items() if k in QUERIES}
+QUERIES |= text_catalog.QUERIES
+ORACLE_SQL: dict[str, str] = {k: v for k, v in (SQL | text_oracle.SQL).items() if k in QUERIES}
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -8,7 +8,7 @@ with parts as (
 ), props as (select json_extract_string(props, '$.k') as k, event_type from events),
 tested as (select doc_id, max(quality) as quality from labels group by doc_id),
 turns as (select distinct conv_id, turn from conversations),
-nodes as (
+nodes as materialized (
     select '00:' as ord, 'repo' as id, 'repository' as kind, 'repo' as name, 'repo' as qualified_name, cast(null as varchar) as language, cast(null as varchar) as file, cast(null as integer) as start_line, 'code' as graph_domain, cast(null as varchar) as source_category, cast(null as varchar) as framework
     union all select '01:r' || lpad(cast(r_regionkey as varchar), 14, '0'), 'dir:r' || r_regionkey, 'directory', r_name, r_name, null, r_name, null, 'code', null, null from region
     union all select '01:s' || lpad(cast(n_nationkey as varchar), 14, '0'), 'dir:n' || n_nationkey, 'directory', n_name, r_name || '/' || n_name, null, r_name || '/' || n_name, null, 'code', null, null from nation join region on n_regionkey = r_regionkey
@@ -42,7 +42,7 @@ nodes as (
     union all select '07:' || lpad(cast(doc_id as varchar), 14, '0') || '>' || lpad(cast(doc_id as varchar), 14, '0'), 'test:' || doc_id, 'doc:' || doc_id, 'tests', case when quality = 1 then 'resolved' else 'probable' end, 'knowledge' from tested
     union all select distinct '08:' || k || '>' || event_type, 'cfg:' || k, 'evt:' || event_type, 'configures', 'exact', 'knowledge' from props where k is not null
     union all select '09:' || lpad(cast(conv_id as varchar), 14, '0') || '.' || lpad(cast(turn as varchar), 6, '0') || '>' || lpad(cast(conv_id as varchar), 14, '0') || '.' || lpad(cast(nxt as varchar), 6, '0'), 'wf:' || conv_id || ':' || turn, 'wf:' || conv_id || ':' || nxt, 'describes_workflow', 'exact', 'knowledge' from (select conv_id, turn, lead(turn) over (partition by conv_id order by turn) as nxt from turns) where nxt is not null
-), edges as (select *, kind || ':' || source || '->' || target as id from links),
+), edges as materialized (select *, kind || ':' || source || '->' || target as id from links),
 diagnostics as (select lpad(cast(o_orderkey as varchar), 14, '0') as ord, 'order-' || o_orderstatus as code, case o_orderpriority when '1-URGENT' then 'error' when '2-HIGH' then 'warning' else 'info' end as severity, 'order ' || o_orderkey as message from orders)
 """
 NODE_COLUMNS, EDGE_COLUMNS = "id, kind, name, qualified_name, file", "id, source, target, kind, confidence"
