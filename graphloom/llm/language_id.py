@@ -14,15 +14,14 @@ Everything is parsed in full at prediction.
 Defined results: null text or a text without a letter gives `und` with score 0; without any labelled
 text all are `und`; ties go to the first language by name; repeated rows are scored alike; other
 columns pass through, but a column with a result's name is replaced. The score is 1 - best/second cost, so it is 0 when
-two languages fit equally. The fit, if asked for, is the best language's phrases per character: 1 for a text that
-shares no character with it, about 0.2 for its own.
+two languages fit equally. The fit, if asked for, is how many phrases per character end in the best language's parse, the
+first SPARED left out: near 1 for a long text that shares no character with it, about 0.2 for its own.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,21 +29,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, without
+from .common import cut, text_slices, without
 
 SAMPLE_DOCS, SAMPLE_SPAN = 120, 300
 #: Characters of a language with dense transitions, and characters of a window.
-ALPHABET, WINDOW = 80, 256
-#: From so many phrases per character on no learned language reads the text.
-UNREADABLE = 0.5
+ALPHABET, WINDOW = 48, 256
+#: Ended phrases per character from which on no learned language reads the text; so many of a text do not count, as short texts say little.
+UNREADABLE, SPARED = 0.5, 8
 
 
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", docs: int = SAMPLE_DOCS, span: int = SAMPLE_SPAN) -> dict[str, str]:
     """A bounded sample of text per language from the rows of `labelled` (null texts and languages are left out)."""
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.length(text) > 0)).select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    # the least hashes of each language; a task hands on no more of them than that
-    least = Window.partitionBy("lang").orderBy("h")
-    few = rows.select("lang", "h").distinct().withColumn("nth", F.row_number().over(least)).where(F.col("nth") <= docs).select("lang", "h")
+    # the least hashes of each language: they lie in the lowest part of the range, of which four times as many are ranked
+    distinct = cut(rows.select("lang", "h").distinct())
+    share = F.least(F.lit(1.0), 4.0 * docs / F.col("n"))
+    low = distinct.join(F.broadcast(distinct.groupBy("lang").agg(F.count("*").alias("n"))), "lang").where(F.col("h").cast("double") <= F.lit(-(2.0**63)) + share * 2.0**64)
+    few = low.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("nth") <= docs).select("lang", "h")
     at = F.pmod("h", F.greatest(F.length("text") - span, F.lit(1))) + 1
     chosen = rows.join(F.broadcast(few), ["lang", "h"]).select("lang", "h", F.substring("text", at.cast("int"), F.lit(span)).alias("t"))  # docs rows a language
     out = defaultdict(list)
@@ -180,15 +181,22 @@ class Parser:
         return misses.sum(0)
 
     def costs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits per character and phrases per character, one row per text and one column per language."""
+        """Bits per character and fit, one row per text and one column per language."""
         lower = [t.lower() for t in texts]
-        share = self.phrases(lower) / np.maximum(np.fromiter(map(len, lower), np.int64, len(lower)), 1)[:, None]
-        return share * self.bits, share
+        length = np.maximum(np.fromiter(map(len, lower), np.int64, len(lower)), 1)[:, None]
+        phrases = self.phrases(lower)
+        return phrases / length * self.bits, np.maximum(phrases - 1 - SPARED, 0) / length
+
+
+#: A worker's parser; it goes before another is made.
+_made: dict[tuple[tuple[str, str], ...], Parser] = {}
 
 
-@lru_cache(2)
 def _parser(samples: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(samples)
+    if samples not in _made:
+        _made.clear()
+        _made[samples] = Parser(samples)
+    return _made[samples]
 
 
 def predict(df: DataFrame, samples: dict[str, str], text: str = "text", lang_pred: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:

@@ -62,7 +62,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class Shingler:
     """Sets of n-gram columns of texts, with a bounded memory of word columns."""
 
-    def __init__(self, n: int = WORDS, memory: int = 300_000):
+    def __init__(self, n: int = WORDS, memory: int = 150_000):
         self.n, self.memory, self.known = n, memory, {}
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
@@ -215,8 +215,8 @@ def _slices(docs: DataFrame, text: str, emit, schema: str) -> DataFrame:
         shingles = Shingler()
         seen: set[bytes] = set()
         for batch in batches:
-            for _, texts in text_slices(batch, "text", 4_000_000):
-                if len(seen) > 200_000:
+            for _, texts in text_slices(batch, "text"):
+                if len(seen) > 100_000:
                     seen = set()
                 fresh = {}
                 for s in shingles(texts):
