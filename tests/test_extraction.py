@@ -94,7 +94,7 @@ def test_queries_over_the_stored_graph(analysed, spark, repository):
     assert touching.count() == graph.edges.where((F.col("source") == place) | (F.col("target") == place)).count()
     plan = touching._jdf.queryExecution().toString()
     assert "EqualTo(source" in plan and "EqualTo(target" in plan
-    assert lookups.nodes_by_ids(graph, [place]).count() == 1
+    assert lookups.nodes_by_ids(graph, graph.edges.where(F.col("source") == place), "source").count() == 1
     store.export_json(graph, index)
     assert spark.read.json(f"{store.discover(spark, index)}/exports/nodes").count() == graph.nodes.count()
 
