@@ -138,7 +138,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
     kind = rows.schema["conv_id"].dataType
     ddl = f"ck string, conv_id {kind.simpleString()}, part long, seq long, signature string, {STATS}, roles array<string>, texts array<string>"
-    schema = to_arrow_schema(StructType.fromDDL(ddl), timezone="UTC")
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
     order = ["ck", "turn", "role", "digest", "row"]
     return rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("digest", "row").mapInArrow(run, ddl)
 

@@ -145,7 +145,8 @@ def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(docs, secret_scan.learn(docs))
     base = F.filter("spans", lambda s: s["kind"] != "format")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    of_kind = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -200,8 +201,11 @@ with recursive bits(i, c, k) as (
 ), f as (
     select *, case when fault in ('blank', 'duplicate') then 'd' when fault is not null then upper(role_letter) else role_letter end as letter from (
         select *, case when role[:1] in ('s', 'u', 'a') then role[:1] else 'o' end as role_letter,
-            case when not regexp_matches(text, '[^ 	-]') then 'blank' when seen > 1 then 'duplicate'
-                when regexp_extract(text, '([^ 	-])[ 	-]*\z', 1) not in ('.', '!', '?') then 'truncated' end as fault
+            case when not regexp_matches(text, '[^ 	-
+]') then 'blank' when seen > 1 then 'duplicate'
+                when regexp_extract(text, '([^ 	-
+])[ 	-
+]*\z', 1) not in ('.', '!', '?') then 'truncated' end as fault
         from e)
 ), g as (
     select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'blank') as blank,

@@ -58,7 +58,7 @@ def test_search_of_empty_tables(spark):
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
     assert treap_search.rank(none, items).count() == 0
     assert treap_search.rank(some, items.limit(0)).count() == 0
-    assert [tuple(r) for r in treap_search.rank(some, items).collect()] == [(1, 1, 1, 693 * (10**9 // (1000 + 12 * 100)))]
+    assert [tuple(r) for r in treap_search.rank(some, items).collect()] == [(1, 1, 1, 287 * (10**9 // (1000 + 12 * 100)))]
 
 
 def test_treaps_are_heaps_by_impact_and_prune():
