@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,17 +36,42 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+#: Rows of a batch that goes to a Python worker, where the session says nothing else: with whole texts, Spark's 10,000 make a worker (and the executor
+#: beside it) hold tens of megabytes several times over.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with batches of whole texts kept small in its session (a setting of the user's own stays). Results don't depend on it."""
+    conf, (name, default, ours) = df.sparkSession.conf, BATCH_ROWS
+    if conf.get(name) == default:
+        conf.set(name, ours)
+    return df
+
+
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = CHUNK_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Consecutive slices of a batch with their texts (null: empty), each of about `limit` characters; one long text may exceed it."""
-    texts = ["" if t is None else t for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > limit:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, size = i, 0
-        size += len(t) + 1
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
+    """Consecutive slices of a batch with their texts (null: empty), each of about `limit` bytes; one long text may exceed it. Only a slice's texts become Python strings."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    reach = (lengths.astype("int64") + 1).cumsum()
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(reach.searchsorted((reach[start - 1] if start else 0) + limit, "right")))
+        part = batch.slice(start, stop - start)
+        yield part, ["" if t is None else t for t in part.column(part.schema.get_field_index(column)).to_pylist()]
+        start = stop
+
+
+def tidy(run):
+    """A task's function over batches that at its end gives what the worker holds in vain back to the system: workers live on, and an executor's memory is shared."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return tidied
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut, free_name
+from .common import ascii_lower, cut, free_name, small_batches, tidy
 
 #: Bits per row, up to the most bits that are ever broadcast (32 MB). A fuller filter lets more rows shuffle, no more.
 BITS_PER_ROW, MOST_BITS, SEGMENT_BITS = 16, 2**28, 2**18
@@ -84,7 +84,7 @@ def may_repeat(df: DataFrame, m: int, bits: np.ndarray, flag: str, digest: str =
     one, two = free_name(df, "_bit1"), free_name(df, "_bit2")
     numbers = _numbers(digest)
     schema = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", {flag} boolean"
-    return df.withColumns({one: numbers[0], two: numbers[1]}).mapInArrow(test, schema)
+    return small_batches(df).withColumns({one: numbers[0], two: numbers[1]}).mapInArrow(tidy(test), schema)
 
 
 def _winners(digests: DataFrame) -> DataFrame:

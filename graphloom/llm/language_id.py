@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, text_slices, without
+from .common import cut, small_batches, text_slices, tidy, without
 
 SAMPLE_DOCS, SAMPLE_SPAN = 120, 300
 #: Characters of a language with dense transitions, and characters of a window.
@@ -221,4 +221,4 @@ def predict(df: DataFrame, samples: dict[str, str], text: str = "text", lang_pre
                             names[i], scores[i] = parser.names[best[i]], float(np.clip(margin[i], 0, 1))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(scores), *([pa.array(fits)] if fit else [])], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(tidy(run), schema)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name, text_slices, words_of
+from .common import cut, free_name, small_batches, text_slices, tidy, words_of
 from ..operators.components import components
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 75, 100
@@ -160,7 +160,7 @@ def memberships(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
                 found = sets(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([len(s) for s in found], pa.int64()), *[pa.array([f(s) if len(s) else None for s in found], pa.binary()) for f in (_name, parity)]], ["doc_id", "key", "n_shingles", "class", "parity"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _text_key(F.col(text)).alias("key")).mapInArrow(run, "doc_id long, key long, n_shingles long, class binary, parity binary")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _text_key(F.col(text)).alias("key")).mapInArrow(tidy(run), "doc_id long, key long, n_shingles long, class binary, parity binary")
 
 
 def _text_key(text: Column) -> Column:
@@ -201,7 +201,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> Data
                 if full:
                     yield pa.RecordBatch.from_arrays([pa.array([_name(found[i]) for i in full], pa.binary()), part.column(0).take(pa.array(full)), pa.array([found[i].tobytes() for i in full], pa.binary())], ["class", "rep", "set"])
 
-    return docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(bits)).alias("at")).mapInArrow(run, "class binary, rep long, set binary")
+    return docs.select(F.col(doc_id).alias("rep"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(bits)).alias("at")).mapInArrow(tidy(run), "class binary, rep long, set binary")
 
 
 def _column_ids(s: np.ndarray, blocks: int) -> np.ndarray:
@@ -226,7 +226,7 @@ def _slices(docs: DataFrame, text: str, emit, schema: str) -> DataFrame:
                 if fresh:
                     yield emit(list(fresh), list(fresh.values()))
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(text).alias("text")).mapInArrow(tidy(run), schema)
 
 
 def _counted(docs: DataFrame, text: str, blocks: int) -> DataFrame:

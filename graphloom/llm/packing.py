@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_slices, words_of
+from .common import cut, small_batches, text_slices, tidy, words_of
 
 CAPACITY, PER_SOURCE, SHARD_PIECES = 4096, 4, 4000
 
@@ -41,7 +41,7 @@ def measure(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source:
 
     given = F.col(cluster).cast("string") if cluster else F.lit(None).cast("string")
     chosen = docs.select(F.col(doc_id).alias("doc_id"), (F.col(source).cast("string") if source else F.lit(None).cast("string")).alias("source"), F.col(text).alias("text"), given.alias("cluster"))
-    return chosen.mapInArrow(run, "doc_id long, source string, cluster string, length long")
+    return small_batches(chosen).mapInArrow(tidy(run), "doc_id long, source string, cluster string, length long")
 
 
 def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int = CAPACITY, per_source: int = PER_SOURCE) -> list[int]:

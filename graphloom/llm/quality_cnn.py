@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices, without
+from .common import small_batches, text_slices, tidy, without
 
 SAMPLE_DOCS, CHUNKS_PER_DOC = 1500, 3
 CHUNK, OVERLAP, PAD = 1024, 64, 256
@@ -148,4 +148,4 @@ def score(df: DataFrame, network: Network | None, text: str = "text", name: str
                     out = 1 / (1 + np.exp(-mean))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out)], [*part.schema.names, name])
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(tidy(run), schema)
