@@ -121,14 +121,42 @@ def with_offsets(lines: DataFrame) -> DataFrame:
 
 
 def place_of(content: Column, needle: Column) -> tuple[Column, Column]:
-    """Line and column, from 1, of the first place of needle in content; the start where it is not there."""
+    """Line and column, from 1, of the first place of needle in content; the start where it is not there. It is for manifests, where the first place is what counts."""
     at = F.instr(content, needle)
     ahead = F.when(at > 0, F.substring(content, F.lit(1), at - 1)).otherwise("")
-    return F.size(F.split(ahead, "\n", -1)), F.length(F.element_at(F.split(ahead, "\n", -1), -1)) + 1
+    return F.size(F.split(ahead, "\n", -1)), F.length(F.substring_index(ahead, "\n", -1)) + 1
 
 
-def matches(df: DataFrame, text: str, pattern: str, *groups: str, whole: bool = False) -> DataFrame:
-    """A row for each match of pattern in the text column, with nth (from 0) and each named group (1, 2, ...) as a column; with whole the first name is the match's."""
+#: Marks the start of each match while places are counted; it stands for a blank where a text holds it.
+MARK = "\u0001"
+
+
+def matches(df: DataFrame, text: str, pattern: str, *groups: str, whole: bool = False, at: str | None = None) -> DataFrame:
+    """A row for each match of pattern in the text column, with nth (from 0) and each named group (1, 2, ...) as a column; with whole the first name is the match's.
+
+    With at, a column of that name has each match's own place in the text, from 1. It is for lines; see placed() for whole files."""
+    found = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i + (not whole))).alias(g) for i, g in enumerate(groups)]
+    rows = df.select("*", F.posexplode(F.arrays_zip(*found)).alias("nth", "_m"))
+    extra = []
+    if at is not None:
+        ahead = F.slice(F.split(_marked(text, pattern), MARK, -1), F.lit(1), F.col("nth") + 1)
+        extra = [(F.aggregate(ahead, F.lit(0), lambda n, x: n + F.length(x)) + 1).alias(at)]
+    return rows.select(*df.columns, "nth", *[F.col("_m")[g].alias(g) for g in groups], *extra)
+
+
+def _marked(text: str, pattern: str) -> Column:
+    return F.regexp_replace(F.translate(F.col(text), MARK, " "), pattern, MARK + "$0")
+
+
+def placed(df: DataFrame, text: str, pattern: str, *groups: str, whole: bool = False) -> DataFrame:
+    """matches() over whole files, df(path, ...): path, nth, the groups, and each match's own offset (from 0), line and column (from 1).
+
+    Only the text between two matches goes with a row; running sums over a file's matches give the places."""
     found = [F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(i + (not whole))) for i in range(len(groups))]
-    zipped = F.arrays_zip(*[f.alias(g) for f, g in zip(found, groups, strict=True)])
-    return df.select("*", F.posexplode(zipped).alias("nth", "_m")).select(*df.columns, "nth", *[F.col("_m")[g].alias(g) for g in groups])
+    ahead = F.slice(F.split(_marked(text, pattern), MARK, -1), F.lit(1), F.size(found[0]))
+    rows = df.select("path", F.posexplode(F.arrays_zip(ahead.alias("ahead"), *[f.alias(g) for f, g in zip(found, groups, strict=True)])).alias("nth", "_m"))
+    rows = rows.select("path", "nth", *[F.col("_m")[g].alias(g) for g in groups], F.length(F.col("_m")["ahead"]).alias("_n"), (F.size(F.split(F.col("_m")["ahead"], "\n", -1)) - 1).alias("_lines"), F.length(F.substring_index(F.col("_m")["ahead"], "\n", -1)).alias("_tail"))
+    so_far = W.partitionBy("path").orderBy("nth").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = rows.withColumn("offset", F.sum("_n").over(so_far).cast("int"))
+    start = F.coalesce(F.max(F.when(F.col("_lines") > 0, F.col("offset") - F.col("_tail"))).over(so_far), F.lit(0))
+    return rows.select("path", "nth", *groups, "offset", (F.sum("_lines").over(so_far) + 1).cast("int").alias("line"), (F.col("offset") - start + 1).cast("int").alias("column"))

@@ -1,66 +1,85 @@
-"""Structure of source code by lines: text without strings and comments, bracket depth, ranges, owners and calls.
+"""Structure of source code: lines with what is code in them, what surrounds a place, names ahead of brackets, and the files that imports mean.
 
-There is no compiler behind this: declarations, calls and bindings are recognised by patterns on single lines
-(imports also over several), and ranges follow the brackets. Rows are joined by file; nothing wider than one
-file's lines is ever sorted or gathered.
+There is no compiler behind this: the scanner in lexer.py tells code from strings and comments and closes brackets and
+statements; declarations, calls and bindings are patterns over its tokens. Rows meet by file; nothing wider than one file is gathered.
 """
 
 from __future__ import annotations
 
+import heapq
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import dirname, normalize
-from .base import lines_of, matches
-
-#: Strings of a line by language; what is inside them is no code.
-STRINGS = {"typescript": r""""(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`""", "rust": r"""r#+"[^"]*"#+|"(?:\\.|[^"\\])*"|'(?:\\.[^']*|[^'\\])'"""}
+from .base import matches
+from .lexer import masked
 
 
 def code_lines(files: DataFrame, language: str) -> DataFrame:
-    """path, line, text, bare (without strings and comments), before and after (bracket depth), braces ({ up to and with this line)."""
-    so_far = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, W.currentRow)
-    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", STRINGS[language], '""'), r"//.*$", ""), r"/\*.*?\*/", "")
-    lines = lines_of(files).withColumn("bare", bare)
-    opens, closes = F.contains("bare", F.lit("/*")).cast("int"), F.contains("bare", F.lit("*/")).cast("int")
-    open_comments = F.sum(opens - closes).over(so_far)
-    lines = lines.withColumn("_open", open_comments).withColumn("_was", F.col("_open") - opens + closes)
-    kept = F.when((F.col("_was") > 0) & (closes == 0), "").when(F.col("_was") > 0, F.regexp_replace("bare", r"^.*?\*/", "")).when(F.col("_open") > 0, F.regexp_replace("bare", r"/\*.*$", "")).otherwise(F.col("bare"))
-    lines = lines.withColumn("bare", kept).drop("_open", "_was")
-    count = lambda chars: F.length("bare") - F.length(F.regexp_replace("bare", chars, ""))
-    lines = lines.withColumn("_up", count(r"[({\[]")).withColumn("_down", count(r"[)}\]]"))
-    after = F.sum(F.col("_up") - F.col("_down")).over(so_far)
-    return lines.withColumn("after", after).withColumn("before", F.col("after") - F.col("_up") + F.col("_down")).withColumn("braces", F.sum(count(r"\{")).over(so_far)).drop("_up", "_down")
-
-
-def with_ends(declared: DataFrame, lines: DataFrame, bodiless: Column | None = None) -> DataFrame:
-    """declared (path, line, before, ...) with end: the first line on which the brackets are closed again after a brace or a semicolon.
-
-    bodiless marks declarations that need neither (arrow functions); one without an end goes to the end of the file."""
-    listed = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "after", "braces", F.col("bare").rlike(r";\s*$").alias("stop"), F.col("bare").rlike(r"(?:=>|=|\(|,|\?|:|&&|\|\|)\s*$").alias("more")))).alias("_l"), F.max("line").alias("_last"))
-    bodiless = bodiless if bodiless is not None else F.lit(False)
-    rows = declared.join(lines.select("path", "line", (F.col("braces") - F.length("bare") + F.length(F.regexp_replace("bare", r"\{", ""))).alias("_seen")), ["path", "line"]).join(listed, "path")
-    closed = F.filter("_l", lambda k: (k["line"] >= F.col("line")) & (k["after"] <= F.col("before")) & (F.when(bodiless, ~k["more"]).otherwise((k["braces"] > F.col("_seen")) | k["stop"])))
-    return rows.withColumn("end", F.coalesce(F.try_element_at(closed, F.lit(1))["line"], F.col("_last"))).drop("_l", "_last", "_seen")
-
-
-def with_owner(places: DataFrame, ranges: DataFrame, name: str = "owner") -> DataFrame:
-    """places (path, line, ...) with the fields of the smallest range (path, line, end, ...) around each as a struct; null outside all.
-
-    The ranges of one file are listed once, so a place is never multiplied by them."""
+    """path, line, text, bare (of the same length, blank where it is no code) of every line, from 1."""
+    both = F.arrays_zip(F.split("content", "\n", -1).alias("text"), F.split("bare", "\n", -1).alias("bare"))
+    lines = masked(files, language).select("path", F.posexplode(both).alias("i", "l"))
+    return lines.select("path", (F.col("i") + 1).alias("line"), *[F.regexp_replace(F.col("l")[c], "\r$", "").alias(c) for c in ("text", "bare")])
+
+
+def in_context(tokens: DataFrame, back: int = 2, ahead: int = 3) -> DataFrame:
+    """Code tokens with their neighbours: p1, p2 (texts before), t1, t2 (texts after) and k1, k2 (their kinds), then1, then2."""
+    w = W.partitionBy("path").orderBy("i")
+    code = tokens.where("i is not null")
+    text = [F.lag("text", n).over(w).alias(f"p{n}") for n in range(1, back + 1)] + [F.lead("text", n).over(w).alias(f"t{n}") for n in range(1, ahead + 1)]
+    more = [F.lead(c, n).over(w).alias(f"{a}{n}") for c, a in (("kind", "k"), ("then", "then")) for n in range(1, ahead + 1)]
+    return code.select("*", *text, *more)
+
+
+def _around(places: pa.Table, ranges: pa.Table, at: str, to: str) -> list[int | None]:
+    """For each place the number of the smallest range around it: ranges are taken up as the places reach them, and leave when they have ended."""
+    starts, ends, where = (t.column(c).to_pylist() for t, c in ((ranges, at), (ranges, to), (places, at)))
+    order = sorted(range(len(starts)), key=lambda k: starts[k])
+    out: list[int | None] = [None] * len(where)
+    active: list[tuple[int, int, int]] = []
+    taken = 0
+    for p in sorted((p for p in range(len(where)) if where[p] is not None), key=lambda p: where[p]):
+        while taken < len(order) and starts[order[taken]] <= where[p]:
+            k = order[taken]
+            heapq.heappush(active, (ends[k] - starts[k], starts[k], k))
+            taken += 1
+        while active and ends[active[0][2]] < where[p]:
+            heapq.heappop(active)
+        if active:
+            out[p] = active[0][2]
+    return out
+
+
+def with_owner(places: DataFrame, ranges: DataFrame, name: str = "owner", at: str = "line", to: str = "end") -> DataFrame:
+    """places (path, at, ...) with the fields of the smallest range (path, at, to, ...) around each as a struct; null outside all.
+
+    A sweep over one file's sorted starts and places: no row carries more than its own owner."""
     fields = [c for c in ranges.columns if c != "path"]
-    span = F.struct((F.col("end") - F.col("line")).alias("_span"), F.col("line").alias("_line"), *fields)
-    listed = ranges.groupBy("path").agg(F.array_sort(F.collect_list(span)).alias("_r"))
-    around = F.filter("_r", lambda r: (r["line"] <= F.col("line")) & (r["end"] >= F.col("line")))
-    return places.join(listed, "path", "left").withColumn(name, F.try_element_at(around, F.lit(1))).drop("_r")
+    struct = T.StructType([T.StructField(c, ranges.schema[c].dataType) for c in fields])
+
+    def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns([c.removeprefix("r_") for c in right.column_names]).sort_by([(c, "ascending") for c in (at, to)])
+        found = pa.array(_around(left, right, at, to), pa.int64())
+        taken = right.select(fields).take(found)
+        columns = [taken.column(c).combine_chunks() for c in fields]
+        owner = pa.StructArray.from_arrays(columns, fields=[pa.field(c, x.type) for c, x in zip(fields, columns, strict=True)], mask=found.is_null())
+        return left.append_column(name, owner)
+
+    schema = T.StructType([*places.schema.fields, T.StructField(name, struct)])
+    # names of their own: both sides may stem from one table
+    other = ranges.select(*[F.col(c).alias(f"r_{c}") for c in ("path", *fields)])
+    return places.groupBy("path").cogroup(other.groupBy("r_path")).applyInArrow(sweep, schema)
 
 
 def calls_in(lines: DataFrame, pattern: str, keywords: tuple[str, ...]) -> DataFrame:
     """path, line, column, nth, callee: names ahead of an opening bracket, without keywords."""
-    found = matches(lines.select("path", "line", "text", "bare"), "bare", pattern, "callee")
+    found = matches(lines.select("path", "line", "bare"), "bare", pattern, "callee", at="column")
     callee = F.regexp_replace("callee", r"\s+", "")
-    return found.withColumn("callee", callee).where(~F.regexp_extract("callee", r"^([^.:]*)", 1).isin(*keywords)).select("path", "line", F.greatest(F.instr("text", F.col("callee")), F.lit(1)).alias("column"), "nth", "callee")
+    return found.withColumn("callee", callee).where(~F.regexp_extract("callee", r"^([^.:]*)", 1).isin(*keywords)).select("path", "line", "column", "nth", "callee")
 
 
 def import_candidates(path: Column, specifier: Column) -> Column:

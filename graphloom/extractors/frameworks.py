@@ -7,19 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from .base import RUST_FILES, TYPESCRIPT_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, lines_of, matches, node_rows, union
-from .code import with_owner
+from .base import RUST_FILES, TYPESCRIPT_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, matches, node_rows, union
+from .code import code_lines, in_context, with_owner
+from .lexer import tokens
 from .rust import absolute, key, module_of, use_bindings
 
-# Patterns of markup, callback properties, calls across the bridge, handler lists and event calls.
-TAG, CALLBACK = r"<([A-Z][A-Za-z0-9_.]*)\b", r"\b(on[A-Z][A-Za-z0-9_]*)\s*=\s*\{\s*([A-Za-z_$][A-Za-z0-9_$]*)\s*\}"
-LITERAL_CALLS = [("invokes", r"""\binvoke\s*(?:<[^>]*>)?\s*\(\s*["'`]([^"'`]+)["'`]"""), ("listens", r"""\b(?:listen|once)\s*(?:<[^>]*>)?\s*\(\s*["'`]([^"'`]+)["'`]"""), ("emits", r"""\bemit\s*\(\s*["'`]([^"'`]+)["'`]""")]
-HANDLERS = r"generate_handler!\s*\[([\s\S]*?)\]"
+# Callback properties, calls across the bridge, the macro of handler lists, and patterns of event calls.
+CALLBACK = "^on[A-Z][A-Za-z0-9_]*$"
+LITERAL_CALLS = {"invoke": "invokes", "listen": "listens", "once": "listens", "emit": "emits"}
+HANDLERS = "generate_handler"
 EVENT_CALLS = [("emits", r"\.emit(?:_filter)?\s*\(\s*([^,\n)]+)"), ("emits", r"\.emit_to\s*\(\s*[^,\n)]+\s*,\s*([^,\n)]+)"), ("listens", r"\.listen(?:_global|_any)?\s*\(\s*([^,\n)]+)")]
 COMMAND_ATTRIBUTE = r"^tauri\s*::\s*command(?:\s*\(.*\))?$"
-CONSTANT = r"\bconst\s+([A-Za-z_][A-Za-z0-9_]*)\s*(?::[^=;]+)?=\s*([^;]+);"
-#: Constants that a chain of constants may lead through.
-CHAIN = 6
 
 
 def _ranges(nodes: DataFrame, kinds: tuple[str, ...] = ("function", "method", "react_component"), language: str | None = None) -> DataFrame:
@@ -31,7 +29,7 @@ def _ranges(nodes: DataFrame, kinds: tuple[str, ...] = ("function", "method", "r
 class Components:
     """Functions that look like components become components under the same id; markup and callback properties become edges."""
 
-    name, version, rank = "react", "1", 20
+    name, version, rank = "react", "2", 20
 
     def detect(self, corpus: Corpus) -> bool:
         return not corpus.files.where(F.col("path").rlike(r"\.(?:tsx|jsx)$") | F.col("content").rlike(r"""from\s+["']react["']""")).select("path").limit(1).isEmpty()
@@ -43,33 +41,42 @@ class Components:
         parts = callable_.where(looks)
         refined = parts.withColumn("metadata", F.to_json(F.struct(c("kind").alias("originalKind"), c("adapter").alias("originalAdapter"), F.get_json_object("metadata", "$.jsxCandidate").alias("jsxCandidate")))).withColumn("kind", F.lit("react_component")).withColumn("adapter", F.lit(self.name)).withColumn("ord", F.concat(F.lit(f"{self.rank:02d}:"), "ord"))
         ranges = _ranges(callable_)
-        lines = lines_of(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)))
+        code = cut(in_context(tokens(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)), "typescript"), 1, 4))
         by_name = parts.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("one"))
-        tags = matches(lines, "text", TAG, "tag").withColumn("name", F.element_at(F.split("tag", r"\."), -1))
+        shown_tags = code.where((c("kind") == "jsx") & c("text").rlike("^[A-Z]"))
+        tags = shown_tags.select("path", "line", "column", F.element_at(F.split("text", r"\."), -1).alias("name"))
         shown = with_owner(tags, ranges).where("owner is not null").join(by_name, "name", "left")
-        place = F.concat_ws(":", c("line").cast("string"), c("nth").cast("string"))
+        place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))
         unknown = shown.where("coalesce(n, 0) <> 1")
         blank = id_of(corpus, "unresolved_symbol", F.concat(F.lit("jsx:"), "name"), c("path"), "typescript", place)
-        lost = node_rows(unknown, corpus, self.name, self.rank, "unresolved_symbol", c("name"), F.concat(F.lit("jsx:"), "name"), language="typescript", file=c("path"), start_line=c("line"), metadata=F.to_json(F.struct(F.lit("jsx-component").alias("category"), F.coalesce("n", F.lit(0)).alias("candidateCount"))), discriminator=place)
-        renders = edge_rows(shown, self.name, self.rank, "renders", c("owner.id"), F.when(c("n") == 1, c("one")).otherwise(blank), F.when(c("n").isNull(), "unresolved").otherwise("probable"), c("path"), c("line"), 1, "jsx-element", c("name"), "component-name-heuristic")
+        lost = node_rows(unknown, corpus, self.name, self.rank, "unresolved_symbol", c("name"), F.concat(F.lit("jsx:"), "name"), language="typescript", file=c("path"), start_line=c("line"), start_column=c("column"), metadata=F.to_json(F.struct(F.lit("jsx-component").alias("category"), F.coalesce("n", F.lit(0)).alias("candidateCount"))), discriminator=place)
+        renders = edge_rows(shown, self.name, self.rank, "renders", c("owner.id"), F.when(c("n") == 1, c("one")).otherwise(blank), F.when(c("n").isNull(), "unresolved").otherwise("probable"), c("path"), c("line"), c("column"), "jsx-element", c("name"), "component-name-heuristic")
         names = callable_.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("one"))
-        given = with_owner(matches(lines, "text", CALLBACK, "prop", "callback"), ranges).join(names.withColumnRenamed("name", "callback"), "callback", "left")
+        handed = code.where((c("kind") == "jsx_attr") & c("text").rlike(CALLBACK) & (c("t1") == "=") & (c("t2") == "{") & (c("k3") == "word") & (c("t4") == "}"))
+        given = with_owner(handed.select("path", "line", "column", c("text").alias("prop"), c("t3").alias("callback")), ranges).join(names.withColumnRenamed("name", "callback"), "callback", "left")
         fine = c("owner").isNotNull() & (F.coalesce("n", F.lit(0)) == 1)
-        passes = edge_rows(given.where(fine), self.name, self.rank, "passes_callback", c("owner.id"), c("one"), "probable", c("path"), c("line"), 1, "jsx-attribute", c("callback"), "unique-function-name-heuristic", metadata=F.to_json(F.struct("prop")))
+        passes = edge_rows(given.where(fine), self.name, self.rank, "passes_callback", c("owner.id"), c("one"), "probable", c("path"), c("line"), c("column"), "jsx-attribute", c("callback"), "unique-function-name-heuristic", metadata=F.to_json(F.struct("prop")))
         told = diagnostic_rows(given.where(~fine), self.name, "unresolved-react-callback", "info", F.concat(F.lit("No single function for callback property "), "prop", F.lit("={"), "callback", F.lit("}")), c("path"), c("line"))
         return Found(refined.unionByName(lost), renders.unionByName(passes), told)
 
 
-def handler_tokens(files: DataFrame) -> DataFrame:
-    """(path, line, name): the last path segment of each entry of a handler list. A segment's place is the running length of those before it."""
-    bodies = matches(files.where(F.col("path").rlike(RUST_FILES)), "content", HANDLERS, "body")
-    start = F.instr("content", F.col("body")) - 1
-    segments = bodies.select("path", "content", start.alias("start"), F.posexplode(F.split("body", ",", -1)).alias("nth", "segment"), "body")
-    ahead = F.coalesce(F.sum(F.length("segment") + 1).over(W.partitionBy("path", "start").orderBy("nth").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    token = F.regexp_extract("segment", r"((?:[A-Za-z_][A-Za-z0-9_]*::)*[A-Za-z_][A-Za-z0-9_]*)", 1)
-    placed = segments.withColumn("ahead", ahead).withColumn("token", token).where("token <> ''")
-    upto = F.substring("content", F.lit(1), (F.col("start") + F.col("ahead") + F.instr("segment", F.col("token")) + F.length("token") - 1).cast("int"))
-    return placed.select("path", F.size(F.split(upto, "\n", -1)).alias("line"), F.element_at(F.split("token", "::"), -1).alias("name"))
+def handler_tokens(toks: DataFrame) -> DataFrame:
+    """(path, line, column, name): the last path segment of each entry of a handler list; toks are of Rust files."""
+    lists = in_context(toks, 2, 0).where(F.col("text") == "[").where((F.col("p1") == "!") & (F.col("p2") == HANDLERS)).select("path", F.col("i").alias("up"))
+    entries = toks.where("kind = 'word'").join(lists, ["path", "up"]).groupBy("path", "up", "stmt").agg(F.max_by(F.struct("line", "column", "text"), "i").alias("t"))
+    return entries.select("path", "t.line", "t.column", F.col("t.text").alias("name"))
+
+
+def constants_of(toks: DataFrame) -> DataFrame:
+    """(path, line, name, value): constants and the text of what they are, from the tokens of Rust files."""
+    c = F.col
+    code = in_context(toks, 1, 1)
+    heads = code.where("kind = 'word' and text = 'const' and k1 = 'word' and t1 <> 'fn'").select("path", "stmt", "depth", "line", c("t1").alias("name"), c("i").alias("from"))
+    rest = toks.where("i is not null").select("path", "stmt", "depth", "i", "text").join(heads, ["path", "stmt", "depth"]).where("i > from")
+    equal = rest.where("text = '='").groupBy("path", "stmt", "depth").agg(F.min("i").alias("equal"))
+    value = rest.join(equal, ["path", "stmt", "depth"]).where("i > equal and text <> ';'")
+    listed = value.groupBy("path", "line", "name", "from").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "").alias("value"))
+    return listed.select("path", "line", "name", "value")
 
 
 def literal(expression: Column) -> Column:
@@ -79,23 +86,19 @@ def literal(expression: Column) -> Column:
     return F.when(text.rlike(r'^"[^"]*"$'), F.substring(text, F.lit(2), F.length(text) - 2)).when(text.rlike(r'^r#*"[\s\S]*"#*$'), raw)
 
 
-def event_names(said: DataFrame, corpus: Corpus, nodes: DataFrame) -> DataFrame:
-    """said (call, path, line, owner_id, expression) with event: a literal, or what constants in scope lead to; else null.
+def event_names(said: DataFrame, toks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """said (call, path, line, owner_id, expression) with event: a literal, or what constants in scope lead to; else null. toks are of Rust files.
 
     Of several constants one in the same file and latest before the call wins (an as-of choice by file and name); two in
-    other files leave it open. The chain of constants is a bounded loop of joins."""
+    other files leave it open. A chain of constants is followed to its end; a constant that a call has met already is none of its candidates, so circles end."""
     c = F.col
-    rust = corpus.files.where(c("path").rlike(RUST_FILES))
     ranges = _ranges(nodes, ("function", "method"), "rust")
-    found = matches(rust, "content", CONSTANT, "name", "value")
-    ahead = F.substring("content", F.lit(1), F.instr("content", F.concat(F.lit("const "), "name")) - 1)
-    constants = with_owner(found.select("path", F.size(F.split(ahead, "\n", -1)).alias("line"), "name", F.trim("value").alias("value")), ranges)
+    constants = with_owner(constants_of(toks), ranges)
     constants = cut(constants.select(key(F.concat(module_of(c("path")), F.array("name"))).alias("at"), c("path").alias("c_path"), c("line").alias("c_line"), c("owner.id").alias("c_owner"), "value"))
-    empty = rust.select("path").limit(0).select("path", F.lit(0).alias("line"), F.lit(0).alias("end"), F.lit("").alias("name"))
-    bound = use_bindings(rust, empty, ranges).where("not wildcard and owner_id is null").select(key(c("module")).alias("from"), "alias", key(c("target")).alias("imported"))
+    bound = cut(use_bindings(toks, ranges, "line", "end").where("not wildcard and owner_id is null").select(key(c("module")).alias("from"), "alias", key(c("target")).alias("imported")))
     open_ = said.select("call", "path", "line", "owner_id", F.regexp_replace(F.trim("expression"), "^&", "").alias("expression"))
-    done = []
-    for _ in range(CHAIN):
+    done, seen = [], None
+    while True:
         open_ = open_.withColumn("event", literal(c("expression")))
         done.append(open_.where("event is not null").select("call", "event"))
         asked = open_.where("event is null").withColumn("parts", F.filter(F.split("expression", "::"), lambda p: p != "")).where(F.size("parts") > 0).withColumn("module", module_of(c("path"))).withColumn("from", key(c("module")))
@@ -103,19 +106,21 @@ def event_names(said: DataFrame, corpus: Corpus, nodes: DataFrame) -> DataFrame:
         own = asked.select("*", F.explode(F.array_distinct(F.when(single, F.array(key(F.concat("module", "parts")), key(c("parts")))).otherwise(F.array(key(absolute(c("parts"), c("module"))), key(c("parts")))))).alias("at"))
         brought = asked.where(single).withColumn("alias", c("parts")[0]).join(bound, ["from", "alias"]).withColumn("at", c("imported")).select(own.columns)
         met = own.unionByName(brought).join(constants, "at").where((c("c_path") != c("path")) | (c("c_line") < c("line"))).where("c_owner is null or c_owner = owner_id").dropDuplicates(["call", "c_path", "c_line"])
+        met = met if seen is None else met.join(seen, ["call", "c_path", "c_line"], "left_anti")
         here = c("c_path") == c("path")
         best = met.groupBy("call").agg(F.max_by(F.struct("c_path", "c_line", "c_owner", "value"), F.struct(here, c("c_line"))).alias("k"), F.count_if(here).alias("near"), F.count("*").alias("n"))
         chosen = best.where("near > 0 or n = 1")
         open_ = cut(chosen.select("call", c("k.c_path").alias("path"), c("k.c_line").alias("line"), c("k.c_owner").alias("owner_id"), c("k.value").alias("expression")))
         if open_.isEmpty():
             break
+        seen = union(seen, open_.select("call", c("path").alias("c_path"), c("line").alias("c_line")))
     return said.join(union(*done).dropDuplicates(["call"]), "call", "left")
 
 
 class Bridge:
     """Commands and events between a TypeScript frontend and a Rust backend, and what is missing on either side."""
 
-    name, version, rank = "tauri", "1", 21
+    name, version, rank = "tauri", "2", 21
 
     def detect(self, corpus: Corpus) -> bool:
         c = F.col
@@ -134,23 +139,32 @@ class Bridge:
         defined = marked.select(c("file").alias("path"), F.coalesce(F.try_element_at("m.attributeLines", c("at").cast("int")), c("start_line")).alias("line"), "name", "id")
         parts = [edge_rows(defined, self.name, self.rank, "invokes", own("framework_command", c("name")), c("id"), "exact", c("path"), c("line"), 1, "attribute_item", c("name"), "structured-rust-attribute", metadata=row(role=F.lit("command-definition")))]
         # the frontend's literal names
-        lines = lines_of(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)))
+        code = in_context(tokens(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)), "typescript"), 1, 1)
         ranges = _ranges(graph.nodes)
-        said = union(*[matches(lines, "text", p, "name").withColumn("kind", F.lit(k)) for k, p in LITERAL_CALLS])
-        placed = with_owner(said, ranges).withColumn("owner_id", F.coalesce("owner.id", file_id(corpus, c("path")))).withColumn("column", F.greatest(F.instr("text", c("name")), F.lit(1)))
+        first = code.where("kind in ('string', 'template')").select("path", (c("i") - 1).alias("opens"), F.expr("substring(text, 2, length(text) - 2)").alias("name"), c("column").alias("at"), c("line").alias("at_line"), c("kind").alias("how"), c("t1").alias("after"))
+        calls = code.where((c("kind") == "word") & c("text").isin(*LITERAL_CALLS) & c("opens").isNotNull()).select("path", "opens", "line", c("text").alias("word"))
+        kind_of = F.create_map(*[F.lit(x) for pair in LITERAL_CALLS.items() for x in pair])
+        said = calls.join(first.where("name <> '' and not (how = 'template' and after = '$')"), ["path", "opens"]).select("path", "line", "name", kind_of[c("word")].alias("kind"), F.when(c("at_line") == c("line"), c("at") + 1).otherwise(F.lit(1)).alias("column"))
+        placed = with_owner(said, ranges).withColumn("owner_id", F.coalesce("owner.id", file_id(corpus, c("path"))))
         command, event = own("framework_command", c("name")), own("framework_event", c("name"))
         to_event = c("kind") == "emits"
         parts.append(edge_rows(placed.where("kind = 'invokes'"), self.name, self.rank, "invokes", c("owner_id"), command, "exact", c("path"), c("line"), c("column"), "invoke()", c("name"), "literal-command-name", metadata=F.lit(extra)))
         parts.append(edge_rows(placed.where("kind <> 'invokes'"), self.name, self.rank, c("kind"), F.when(to_event, c("owner_id")).otherwise(event), F.when(to_event, event).otherwise(c("owner_id")), "exact", c("path"), c("line"), c("column"), F.concat("kind", F.lit("()")), c("name"), "literal-event-name", metadata=F.lit(extra)))
         # registrations
-        registered = handler_tokens(corpus.files)
-        parts.append(edge_rows(registered, self.name, self.rank, "registers", file_id(corpus, c("path")), command, "exact", c("path"), c("line"), 1, "generate_handler! handler", c("name"), "literal-handler-token", metadata=F.lit(extra)))
+        rust_files = corpus.files.where(c("path").rlike(RUST_FILES))
+        rust_tokens = cut(tokens(rust_files, "rust"))
+        registered = cut(handler_tokens(rust_tokens))
+        parts.append(edge_rows(registered, self.name, self.rank, "registers", file_id(corpus, c("path")), command, "exact", c("path"), c("line"), c("column"), "generate_handler! handler", c("name"), "literal-handler-token", metadata=F.lit(extra)))
         # the backend's event expressions
-        rust = lines_of(corpus.files.where(c("path").rlike(RUST_FILES)))
-        raised = union(*[matches(rust, "text", p, "expression").withColumn("kind", F.lit(k)) for k, p in EVENT_CALLS])
-        raised = with_owner(raised.withColumn("expression", F.trim("expression")).where("expression <> ''"), ranges).withColumn("owner_id", F.coalesce("owner.id", file_id(corpus, c("path"))))
-        raised = cut(raised.select("path", "line", "kind", "expression", "owner_id", F.greatest(F.instr("text", c("expression")), F.lit(1)).alias("column")).withColumn("call", F.monotonically_increasing_id()))
-        named = event_names(raised, corpus, graph.nodes)
+        rust = code_lines(rust_files, "rust")
+        raised = union(*[matches(rust, "text", p, "expression", at="at").withColumn("kind", F.lit(k)) for k, p in EVENT_CALLS])
+        # a call inside a comment or string is none: there the bare line is blank
+        raised = raised.where(F.substring("bare", c("at"), F.lit(2)) == F.substring("text", c("at"), F.lit(2))).withColumn("expression", F.trim("expression")).where("expression <> ''")
+        # events belong to the function around them; outside of any there is none to own them
+        raised = with_owner(raised, ranges).where("owner is not null").withColumn("owner_id", c("owner.id"))
+        inside = F.instr(F.expr("substring(text, at)"), c("expression"))
+        raised = cut(raised.select("path", "line", "kind", "expression", "owner_id", (c("at") + inside - 1).alias("column")).withColumn("call", F.monotonically_increasing_id()))
+        named = event_names(raised, rust_tokens, graph.nodes)
         fine, open_ = named.where("event is not null").withColumn("name", c("event")), named.where("event is null")
         blank = id_of(corpus, "unresolved_symbol", F.concat(F.lit("tauri:event-expression:"), "path", F.lit(":"), "expression"), c("path"), "framework")
         how = F.when(literal(c("expression")).isNotNull(), "literal-event-name").otherwise("repository-string-constant")

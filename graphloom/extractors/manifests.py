@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .lexer import tokens
 from .base import Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, knowledge_rows, lines_of, node_rows, place_of, union
 
 # Which files are which manifest, and the keys that are read.
@@ -142,20 +143,27 @@ class CargoManifests:
 
 
 def settings(files: DataFrame) -> DataFrame:
-    """(path, content, key, value): the settings that matter, wherever they are nested; the first place wins."""
-    rows = json_files(files, SETTINGS_FILES).where("doc is not null")
-    found = []
-    level = rows.select("path", "content", F.col("doc").alias("v"), F.array().cast("array<int>").alias("at"))
-    for _ in range(8):
-        inside = F.coalesce(F.map_entries(F.try_variant_get("v", "$", "map<string, variant>")), F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.lit(None).cast("string").alias("key"), x.alias("value"))))
-        level = level.select("path", "content", "at", F.posexplode(inside).alias("pos", "e")).select("path", "content", F.concat("at", F.array("pos")).alias("at"), F.col("e.key").alias("key"), F.col("e.value").alias("v"))
-        found.append(level.where(F.col("key").isin(*SETTING_KEYS)).select("path", "content", "key", "at", F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v")).alias("value")))
-    first = union(*found).groupBy("path", "key").agg(F.min_by("value", F.struct(F.size("at"), "at")).alias("value"), F.min("content").alias("content"))
-    return first.select("path", "content", "key", "value")
+    """(path, content, key, value): the settings that matter, however deep they are nested.
+
+    An object's own key comes before those inside its values, and earlier values before later ones: so the key wins whose object opens
+    first on the page. Of a key that an object repeats the last counts. The scanner's brackets tell which object a key is in."""
+    c = F.col
+    rows = json_files(files, SETTINGS_FILES).where("doc is not null").select("path", "content")
+    code = tokens(rows, "typescript").where("i is not null")
+    after = lambda n, *columns: code.select("path", (c("i") - n).alias("i"), *[c(x).alias(f"v_{x}") for x in columns])
+    name = F.expr("substring(text, 2, length(text) - 2)")
+    keys = code.where("kind = 'string'").withColumn("key", name).where(c("key").isin(*SETTING_KEYS)).select("path", "i", "up", "key").join(after(1, "text").where("v_text = ':'").select("path", "i"), ["path", "i"])
+    first = keys.groupBy("path", "key").agg(F.max_by("i", F.struct(-c("up"), "i")).alias("i"))
+    # a negative sign is a token of its own
+    value = first.join(after(2, "text", "start", "end", "partner"), ["path", "i"]).join(after(3, "end").withColumnRenamed("v_end", "next_end"), ["path", "i"], "left")
+    ends = value.join(code.select("path", c("i").alias("v_partner"), c("end").alias("closed")), ["path", "v_partner"], "left")
+    until = F.coalesce("closed", F.when(c("v_text") == "-", c("next_end")), c("v_end"))
+    raw = ends.join(rows, "path").withColumn("v", F.try_parse_json(F.substring("content", c("v_start") + 1, until - c("v_start"))))
+    return raw.select("path", "content", "key", F.when(F.schema_of_variant("v") == "STRING", F.try_variant_get("v", "$", "string")).otherwise(F.to_json("v")).alias("value"))
 
 
 class AppSettings:
-    name, version, rank = "tauriConfig", "1", 33
+    name, version, rank = "tauriConfig", "2", 33
 
     def detect(self, corpus: Corpus) -> bool:
         return not corpus.files.where(F.col("path").rlike(SETTINGS_FILES)).select("path").limit(1).isEmpty()

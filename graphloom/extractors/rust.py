@@ -2,29 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.fixpoint import fixpoint
 from ..functions.lineage import cut
 from .base import RUST_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, matches, node_rows, union
-from .code import calls_in, code_lines, with_ends, with_owner
+from .code import calls_in, code_lines, in_context, with_owner
+from .lexer import tokens
 
 ADAPTER, RANK = "rust", 11
 # Methods that say too little to be told apart, and words that are no calls.
 LOW_VALUE = ("new", "get", "send", "clone", "insert", "update", "default", "expect", "unwrap", "map", "collect", "into", "from")
 KEYWORDS = ("if", "for", "while", "match", "return", "fn", "let", "mut", "in", "loop", "move", "async", "await", "where", "impl", "pub", "use", "as", "unsafe", "else", "dyn", "ref", "Some", "Ok", "Err", "crate(")
 NAME = r"[A-Za-z_][A-Za-z0-9_]*"
-PUB = r"(?:pub(?:\([^)]*\))?\s+)?"
-FN = rf"^\s*{PUB}(?:default\s+)?(?:const\s+)?(?:async\s+)?(?:unsafe\s+)?(?:extern\s+\S+\s+)?fn\s+({NAME})"
-ITEM = rf"^\s*{PUB}(?:unsafe\s+)?(struct|enum|trait|mod)\s+({NAME})"
-IMPL = r"^\s*(?:unsafe\s+)?impl(?:\s*<[^{]*?>)?\s+(?:([^{]+?)\s+for\s+)?([^{]+?)\s*(?:\bwhere\b.*)?(?:\{.*)?$"
+IMPL = r"^impl\s*(?:<.*?>\s*(?=[A-Za-z_&:(\[*!']))?(?:(.+?)\s+for\s+)?(.+?)\s*(?:\bwhere\b.*)?$"
 CALL = rf"(?<![A-Za-z0-9_.:!])((?:(?:{NAME}|\))(?:::<[^<>]*>)?(?:::|\.))*{NAME})\s*(?:::<[^()]*?>)?\("
-USE = rf"(?m)^\s*{PUB}use\s+([^;]+);"
-#: Rounds of re-exports that an import is followed through; a chain without an end ends with them.
-REEXPORTS = 6
 
 
 def module_of(path: Column) -> Column:
@@ -53,17 +49,32 @@ def key(parts: Column) -> Column:
     return F.array_join(parts, "::")
 
 
-def modules(lines: DataFrame) -> DataFrame:
-    """path, line, end, name of modules with a body in the file."""
-    found = lines.where(F.regexp_extract("bare", ITEM, 1) == "mod").where(~F.col("bare").rlike(r";\s*$")).select("path", "line", "before", F.regexp_extract("bare", ITEM, 2).alias("name"))
-    return with_ends(found, lines).select("path", "line", "end", "name")
+def modules(toks: DataFrame) -> DataFrame:
+    """path, i, to, line, end, name of modules with a body in the file."""
+    return in_context(toks, 1, 2).where("text = 'mod' and kind = 'word' and k1 = 'word' and t2 = '{'").select("path", "i", F.col("stop").alias("to"), "line", F.col("stop_line").alias("end"), F.col("t1").alias("name"))
+
+
+def with_module(places: DataFrame, inline: DataFrame, at: str = "line", to: str = "end", strictly: bool = False) -> DataFrame:
+    """places with module: the file's module path and the modules around the place in it, from the outermost.
 
+    A sweep over one file's places: the modules that are open at a place are a stack."""
+    def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
+        ranges = sorted(zip(*(right.column(f"r_{c}").to_pylist() for c in (at, to, "name")), strict=True), key=lambda r: (r[0], -r[1]))
+        where = left.column(at).to_pylist()
+        out: list[list[str]] = [[] for _ in where]
+        open_: list[tuple[int, int, str]] = []
+        taken = 0
+        for p in sorted(range(len(where)), key=lambda p: where[p]):
+            while taken < len(ranges) and (ranges[taken][0] < where[p] if strictly else ranges[taken][0] <= where[p]):
+                open_ = [r for r in open_ if r[1] >= ranges[taken][0]] + [ranges[taken]]
+                taken += 1
+            out[p] = [name for _, end, name in open_ if end >= where[p]]
+        return left.append_column("_inner", pa.array(out, pa.list_(pa.string())))
 
-def with_module(places: DataFrame, inline: DataFrame, strictly: bool = False) -> DataFrame:
-    """places with module: the file's module path and the modules around the place in it."""
-    listed = inline.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "end", "name"))).alias("_m"))
-    around = F.filter("_m", lambda m: ((m["line"] < F.col("line")) if strictly else (m["line"] <= F.col("line"))) & (m["end"] >= F.col("line")))
-    return places.join(listed, "path", "left").withColumn("module", F.concat(module_of(F.col("path")), F.coalesce(F.transform(around, lambda m: m["name"]), F.array().cast("array<string>")))).drop("_m")
+    schema = T.StructType([*places.schema.fields, T.StructField("_inner", T.ArrayType(T.StringType()))])
+    other = inline.select(*[F.col(c).alias(f"r_{c}") for c in ("path", at, to, "name")])
+    found = places.groupBy("path").cogroup(other.groupBy("r_path")).applyInArrow(sweep, schema)
+    return found.withColumn("module", F.concat(module_of(F.col("path")), "_inner")).drop("_inner")
 
 
 def attributes(lines: DataFrame) -> DataFrame:
@@ -76,64 +87,92 @@ def attributes(lines: DataFrame) -> DataFrame:
     return listed.select("path", (F.col("last") + 1).alias("line"), "attributes")
 
 
-def items(lines: DataFrame) -> DataFrame:
-    """path, line, end, column, kind, name, owner_type, trait_owner, module, attributes of functions, methods, types, traits and modules."""
+def items(toks: DataFrame, lines: DataFrame) -> DataFrame:
+    """path, i, to, line, end, column, kind, name, owner_type, trait_owner, module, attributes of functions, methods, types, traits and modules."""
     c = F.col
-    blocks = lines.where(c("bare").rlike(r"^\s*(?:unsafe\s+)?impl\b")).select("path", "line", "before", F.regexp_extract("bare", IMPL, 1).alias("of"), plain_type(F.regexp_extract("bare", IMPL, 2)).alias("type"))
-    traits = lines.where(F.regexp_extract("bare", ITEM, 1) == "trait").select("path", "line", "before", F.regexp_extract("bare", ITEM, 2).alias("of"), F.lit(None).cast("string").alias("type"))
-    owners = with_ends(blocks.unionByName(traits), lines).select("path", "line", "end", F.when(c("of") != "", c("of")).alias("of"), "type")
-    functions = lines.where(F.regexp_extract("bare", FN, 1) != "").select("path", "line", "before", "text", F.lit("function").alias("kind"), F.regexp_extract("bare", FN, 1).alias("name"))
-    others = lines.where(F.regexp_extract("bare", ITEM, 1) != "").select("path", "line", "before", "text", F.when(F.regexp_extract("bare", ITEM, 1) == "mod", "module").otherwise(F.regexp_extract("bare", ITEM, 1)).alias("kind"), F.regexp_extract("bare", ITEM, 2).alias("name"))
-    ranged = with_ends(functions.unionByName(others), lines)
-    placed = with_module(with_owner(ranged, owners), modules(lines), strictly=True)
+    code = cut(in_context(toks, 1, 2))
+    word = c("kind") == "word"
+    # the header of an impl block: the texts up to its brace
+    blocks = code.where(word & (c("text") == "impl") & ((c("i") == c("stmt")) | F.coalesce(c("p1").isin("unsafe", "]", "default"), F.lit(False)))).select("path", "stmt", "depth", c("i").alias("from"), "stop", "line", "stop_line")
+    braces = code.where("text = '{'").join(blocks.select("path", "stmt", "depth"), ["path", "stmt", "depth"]).groupBy("path", "stmt").agg(F.min("i").alias("brace"))
+    heads = code.select("path", "stmt", "i", "text").join(blocks.join(braces, ["path", "stmt"]).select("path", "stmt", "from", "brace"), ["path", "stmt"]).where("i >= from and i < brace")
+    spelled = heads.groupBy("path", "stmt", "from").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), " ").alias("head"))
+    of = F.regexp_extract("head", IMPL, 1)
+    impls = blocks.join(spelled, ["path", "stmt", "from"]).select("path", c("from").alias("i"), c("stop").alias("to"), F.when(of != "", F.regexp_replace(of, r"\s+", "")).alias("of"), plain_type(F.regexp_extract("head", IMPL, 2)).alias("type"))
+    traits = code.where(word & (c("text") == "trait") & (c("k1") == "word")).select("path", "i", c("stop").alias("to"), c("t1").alias("of"), F.lit(None).cast("string").alias("type"))
+    owners = impls.unionByName(traits)
+    found = code.where(word & c("text").isin("fn", "struct", "enum", "trait", "mod") & (c("k1") == "word") & ~F.coalesce(c("p1").isin(".", "::"), F.lit(False)))
+    kind = F.when(c("text") == "fn", "function").when(c("text") == "mod", "module").otherwise(c("text"))
+    first = toks.where("i is not null").groupBy("path", "line").agg(F.min("column").alias("column"))
+    ranged = found.select("path", "i", c("stop").alias("to"), "line", c("stop_line").alias("end"), kind.alias("kind"), c("t1").alias("name")).join(first, ["path", "line"])
+    placed = with_module(with_owner(ranged, owners, "owner", "i", "to"), modules(toks), "i", "to", strictly=True)
     inner = (c("kind") == "function") & c("owner").isNotNull()
-    kind = F.when(inner, "method").otherwise(c("kind"))
     known = placed.join(attributes(lines), ["path", "line"], "left")
-    return known.select("path", "line", "end", (F.length("text") - F.length(F.ltrim("text")) + 1).alias("column"), kind.alias("kind"), "name", F.when(inner, c("owner.type")).alias("owner_type"), F.when(inner, c("owner.of")).alias("trait_owner"), "module", "attributes").withColumn("qualified_name", F.concat("path", F.lit("::"), F.when(c("owner_type").isNotNull(), F.concat("owner_type", F.lit("."))).otherwise(""), "name"))
-
-
-def use_bindings(files: DataFrame, inline: DataFrame, functions: DataFrame) -> DataFrame:
-    """module, alias, absolute path (array), wildcard, owner_id (of a use inside a function): nested lists come apart one level a step."""
-    found = matches(files, "content", USE, "tree")
-    ahead = F.substring("content", F.lit(1), F.instr("content", F.col("tree")) - 1)
-    rows = found.select("path", F.size(F.split(ahead, "\n", -1)).alias("line"), F.regexp_replace(F.regexp_replace("tree", r"//[^\n]*", ""), r"\s+", " ").alias("tree"))
-    deepest = r"^(.*?)\{([^{}]*)\}(.*)$"
-    for _ in range(5):
-        options = F.filter(F.split(F.regexp_extract("tree", deepest, 2), ","), lambda x: F.trim(x) != "")
-        grown = F.transform(options, lambda x: F.concat(F.regexp_extract("tree", deepest, 1), F.trim(x), F.regexp_extract("tree", deepest, 3)))
-        rows = rows.withColumn("tree", F.explode(F.when(F.col("tree").contains("{"), grown).otherwise(F.array("tree")))).distinct()
-    parts = F.filter(F.split(F.regexp_replace(F.trim(F.regexp_replace("tree", r"\s+as\s+.*$", "")), r"\s+", ""), "::"), lambda p: p != "")
+    return known.select("path", "i", "to", "line", "end", "column", F.when(inner, "method").otherwise(c("kind")).alias("kind"), "name", F.when(inner, c("owner.type")).alias("owner_type"), F.when(inner, c("owner.of")).alias("trait_owner"), "module", "attributes").withColumn("qualified_name", F.concat("path", F.lit("::"), F.when(c("owner_type").isNotNull(), F.concat("owner_type", F.lit("."))).otherwise(""), "name"))
+
+
+def _leaves(texts: Column) -> Column:
+    """The paths that a use tree spells: a fold over its tokens with the prefixes of the lists that are open; no depth is too deep."""
+    state = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("path"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        before = F.coalesce(F.try_element_at(s["open"], F.lit(-1)), F.lit(""))
+        ended = F.when(s["path"] != before, F.concat(s["out"], F.array(s["path"]))).otherwise(s["out"])
+        less = F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+        make = lambda open_, path, out: F.struct(open_.alias("open"), path.alias("path"), out.alias("out"))
+        grown = F.concat(s["path"], F.when(t == "as", " as ").otherwise(t))
+        return F.when(t == "{", make(F.concat(s["open"], F.array(s["path"])), s["path"], s["out"])).when(t == ",", make(s["open"], before, ended)).when(t == "}", make(less, F.coalesce(F.try_element_at(less, F.lit(-1)), F.lit("")), ended)).otherwise(make(s["open"], grown, s["out"]))
+
+    return F.aggregate(texts, state, step, lambda s: F.when(s["path"] != "", F.concat(s["out"], F.array(s["path"]))).otherwise(s["out"]))
+
+
+def use_bindings(toks: DataFrame, functions: DataFrame, at: str = "i", to: str = "to") -> DataFrame:
+    """module, alias, absolute path (array), wildcard, owner_id (of a use inside a function). functions: path, at, to, id, ..."""
+    code = in_context(toks, 1, 1)
+    heads = code.where("text = 'use' and kind = 'word' and (i = stmt or p1 in ('pub', ')', ']'))").select("path", "stmt", F.col("i").alias("from"), F.col("stop").alias("last"), "line")
+    # the statement's tokens and those of the lists in it follow each other, so a running maximum of heads tells which use a token is part of
+    w = W.partitionBy("path").orderBy("i")
+    marked = code.join(heads.select("path", F.col("from").alias("i"), F.col("from"), "last", F.col("line").alias("use_line")), ["path", "i"], "left")
+    spread = marked.select("path", "i", "text", *[F.last(x, ignorenulls=True).over(w).alias(x) for x in ("from", "last", "use_line")])
+    inside = spread.where("i > from and i <= last and text <> ';'")
+    rows = inside.groupBy("path", "from", "use_line").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("t"))
+    rows = rows.select("path", F.col("from").alias("i"), F.col("use_line").alias("line"), F.explode(_leaves(F.col("t"))).alias("tree"))
+    parts = F.filter(F.split(F.regexp_replace("tree", r"\s+as\s+.*$", ""), "::"), lambda p: p != "")
     named = F.trim(F.regexp_extract("tree", r"\s+as\s+(\S+)\s*$", 1))
     last = F.element_at(parts, -1)
     wild = last == "*"
     own = F.filter(parts, lambda p: p != "*")
-    inner = with_owner(with_module(rows, inline), functions)
+    inner = with_owner(with_module(rows, modules(toks), "i", "to"), functions, "owner", at, to)
     # a list's own self is the module that the list is of
     whole = F.when((last == "self") & (F.size(parts) > 1), F.slice(parts, 1, F.size(parts) - 1)).otherwise(own)
     return inner.select("module", F.when(named != "", named).when(wild, "*").otherwise(F.element_at(whole, -1)).alias("alias"), absolute(whole, F.col("module")).alias("target"), wild.alias("wildcard"), F.col("owner.id").alias("owner_id")).distinct()
 
 
 def followed(bindings: DataFrame, functions: DataFrame) -> DataFrame:
-    """(module, alias, owner_id, id): functions that an import means, through re-exports without an owner; a fixpoint of joins."""
+    """(module, alias, owner_id, id): functions that an import means, through re-exports (imports without an owner) of any length."""
     named = bindings.where("not wildcard").select(key(F.col("module")).alias("module"), "alias", "owner_id", "target")
-    open_ = named.select("module", "alias", "owner_id", key(F.col("target")).alias("at"), key(F.slice("target", 1, F.greatest(F.size("target") - 1, F.lit(0)))).alias("there"), F.element_at("target", -1).alias("name"))
-    exports = named.where("owner_id is null").select(F.col("module").alias("there"), F.col("alias").alias("name"), F.col("target").alias("next"))
-    found = []
-    for _ in range(REEXPORTS):
-        hit = open_.join(functions.select("at", "id"), "at", "left")
-        found.append(hit.where("id is not null").select("module", "alias", "owner_id", "id"))
-        step = hit.where("id is null").drop("id").join(exports, ["there", "name"])
-        open_ = cut(step.select("module", "alias", "owner_id", key(F.col("next")).alias("at"), key(F.slice("next", 1, F.greatest(F.size("next") - 1, F.lit(0)))).alias("there"), F.element_at("next", -1).alias("name")).distinct())
-        if open_.isEmpty():
-            break
-    return reduce(DataFrame.unionByName, found).distinct()
+    there = key(F.slice("target", 1, F.greatest(F.size("target") - 1, F.lit(0))))
+    seed = named.select("module", "alias", F.coalesce("owner_id", F.lit("")).alias("owner"), key(F.col("target")).alias("at"), there.alias("there"), F.element_at("target", -1).alias("name"))
+    passed = named.where("owner_id is null").select(F.col("module").alias("there"), F.col("alias").alias("name"), F.col("target").alias("next")).distinct()
+    # what a wildcard brings is given on under its own name
+    wild = bindings.where("wildcard and owner_id is null").select(key(F.col("module")).alias("there"), F.col("target").alias("base")).distinct()
+    columns = seed.columns
+
+    def step(new: DataFrame) -> DataFrame:
+        open_ = new.join(functions.select("at"), "at", "left_anti")
+        by_name = open_.join(passed, ["there", "name"]).select("module", "alias", "owner", key(F.col("next")).alias("at"), key(F.slice("next", 1, F.greatest(F.size("next") - 1, F.lit(0)))).alias("there"), F.element_at("next", -1).alias("name"))
+        by_wild = open_.join(wild, "there").select("module", "alias", "owner", key(F.concat("base", F.array("name"))).alias("at"), key(F.col("base")).alias("there"), "name")
+        return by_name.unionByName(by_wild).select(*columns)
+
+    reached = fixpoint(cut(seed), step, ["module", "alias", "owner", "at"])
+    return reached.join(functions.select("at", "id"), "at").select("module", "alias", F.when(F.col("owner") != "", F.col("owner")).alias("owner_id"), "id").distinct()
 
 
 def receiver_types(lines: DataFrame, functions: DataFrame) -> DataFrame:
     """(id, name, line, type): types that a function's parameters and let statements give to names, by line."""
     c = F.col
-    inner = with_owner(lines, functions)
-    inside = inner.where("owner is not null").select("path", "line", "bare", c("owner.id").alias("id"), c("owner.line").alias("start"))
+    bodies = functions.select("path", "line", "end", "id")
+    inside = with_owner(lines, bodies).where("owner is not null").select("path", "line", "bare", c("owner.id").alias("id"), c("owner.line").alias("start"))
     signature = lines.join(functions.select("path", "line", "id"), ["path", "line"]).select("id", "line", F.regexp_extract("bare", r"fn\s+[^(]*\((.*)$", 1).alias("list"))
     parameters = matches(signature, "list", rf"(?:^|,|\()\s*(?:mut\s+)?({NAME})\s*:\s*([^,]+?)\s*(?=,|\)|$)", "name", "type").select("id", "name", "line", "type")
     lets = inside.select("id", "line", F.regexp_extract("bare", rf"\blet\s+(?:mut\s+)?({NAME})", 1).alias("name"), F.regexp_extract("bare", rf"\blet\s+(?:mut\s+)?{NAME}\s*:\s*([^=;]+)", 1).alias("given"), F.regexp_extract("bare", rf"=\s*(?:{NAME}::)*?({NAME})(?:::<[^>]*>)?::{NAME}\s*\(", 1).alias("made")).where("name <> ''")
@@ -142,7 +181,7 @@ def receiver_types(lines: DataFrame, functions: DataFrame) -> DataFrame:
 
 
 class Rust:
-    name, version = ADAPTER, "1"
+    name, version = ADAPTER, "2"
 
     def detect(self, corpus: Corpus) -> bool:
         return not corpus.files.where(F.col("path").rlike(RUST_FILES)).select("path").limit(1).isEmpty()
@@ -150,10 +189,11 @@ class Rust:
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
         files = corpus.files.where(c("path").rlike(RUST_FILES))
+        toks = cut(tokens(files, "rust"))
         lines = cut(code_lines(files, "rust"))
-        inline = modules(lines)
+        inline = modules(toks)
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))
-        found = cut(items(lines).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "rust", place)))
+        found = cut(items(toks, lines).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "rust", place)))
         facts = F.to_json(F.struct(F.transform("attributes", lambda a: a["name"]).alias("attributes"), F.transform("attributes", lambda a: a["at"]).alias("attributeLines"), c("module").alias("modulePath"), c("owner_type").alias("ownerType"), c("trait_owner").alias("traitOwner")))
         macros = matches(lines, "bare", rf"\b({NAME})!\s*[(\[{{]", "macro").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "macro"))).alias("macros"))
         with_macros = files.select("path").join(macros, "path", "left").withColumn("module", module_of(c("path")))
@@ -162,16 +202,17 @@ class Rust:
             node_rows(found, corpus, ADAPTER, RANK, c("kind"), c("name"), c("qualified_name"), language="rust", file=c("path"), start_line=c("line"), start_column=c("column"), end_line=c("end"), metadata=facts, discriminator=place),
         ]
         contains = edge_rows(found, ADAPTER, RANK, "contains", file_id(corpus, c("path")), c("id"), "exact", c("path"), c("line"), c("column"))
-        broken = lines.groupBy("path").agg(F.max_by("after", "line").alias("left"), F.min("after").alias("least")).where("left <> 0 or least < 0")
+        open_brackets = c("text").isin("(", "[", "{", ")", "]", "}") & (c("kind") == "punct") & c("partner").isNull()
+        broken = toks.where(open_brackets).select("path").distinct()
         recovered = diagnostic_rows(broken, ADAPTER, "rust-parser-error-node", "warning", F.concat(F.lit("Brackets do not close in "), "path"), c("path"))
         # what can be called
         functions = found.where("kind = 'function'").select(key(F.concat("module", F.array("name"))).alias("at"), "name", "id")
         methods = found.where("kind = 'method' and owner_type is not null and trait_owner is null").select(key(F.concat("module", F.array("owner_type", "name"))).alias("at"), "id")
-        bodies = found.where("kind in ('function', 'method')").select("path", "line", "end", "id", "owner_type", "name", "module")
-        bound = cut(use_bindings(files, inline, bodies))
+        bodies = found.where("kind in ('function', 'method')").select("path", "i", "to", "line", "end", "id", "owner_type", "name", "module")
+        bound = cut(use_bindings(toks, bodies))
         visible = bound.select(key(c("module")).alias("from"), "alias", "target", "wildcard", "owner_id")
         # calls
-        said = with_owner(calls_in(lines.where(~c("bare").rlike(r"^\s*#!?\s*\[")), CALL, KEYWORDS), bodies)
+        said = with_owner(calls_in(lines.where(~c("bare").rlike(r"^\s*#!?\s*\[")), CALL, KEYWORDS), bodies.drop("i", "to"))
         said = said.join(found.select("path", "line", c("name").alias("callee")), ["path", "line", "callee"], "left_anti")
         outer = with_module(said, inline).withColumn("module", F.coalesce("owner.module", "module"))
         calls = cut(outer.withColumn("source", F.coalesce("owner.id", file_id(corpus, c("path")))).withColumn("owner_type", c("owner.owner_type")).withColumn("owner_id", c("owner.id")).drop("owner").withColumn("call", F.monotonically_increasing_id()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename
-from .base import Corpus, Found, edge_rows, file_id, id_of, knowledge_rows, matches, node_rows, place_of, union
+from .base import Corpus, Found, edge_rows, file_id, id_of, knowledge_rows, matches, node_rows, placed, union
 from .code import resolve_imports
 
 ADAPTER, RANK = "tests", 35
@@ -28,10 +28,9 @@ def named_tests(files: DataFrame) -> DataFrame:
     c = F.col
     held = test_files(files)
     rust = c("path").rlike(r"\.rs$")
-    calls = matches(held.where(~rust), "content", TEST_CALL, "match", "name", whole=True).withColumn("method", F.lit("test_call"))
-    marks = matches(held.where(rust), "content", RUST_TEST, "match", "name", whole=True).withColumn("method", F.lit("rust_test_attribute"))
-    line, _ = place_of(c("content"), c("match"))
-    rows = calls.unionByName(marks).select("path", "nth", "name", line.alias("line"), "method")
+    calls = placed(held.where(~rust), "content", TEST_CALL, "name").withColumn("method", F.lit("test_call"))
+    marks = placed(held.where(rust), "content", RUST_TEST, "name").withColumn("method", F.lit("rust_test_attribute"))
+    rows = calls.unionByName(marks).select("path", "nth", "name", "line", "method")
     none = held.select("path").join(rows.select("path").distinct(), "path", "left_anti").select("path", F.lit(0).alias("nth"), basename(c("path")).alias("name"), F.lit(1).alias("line"), F.lit("test_file").alias("method"))
     return rows.unionByName(none)
 

@@ -1,102 +1,235 @@
-"""TypeScript and JavaScript: declarations, imports, calls and type references."""
+"""TypeScript and JavaScript: declarations, imports, calls and type references, as patterns over tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.fixpoint import fixpoint
 from ..functions.lineage import cut
 from ..functions.text import package_of
-from .base import TYPESCRIPT_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, matches, node_rows, union
-from .code import calls_in, code_lines, resolve_imports, with_ends, with_owner
+from .base import TYPESCRIPT_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, node_rows, union
+from .code import in_context, resolve_imports, with_owner
+from .lexer import tokens
 
 ADAPTER, RANK = "typescript", 10
 # Methods that say too little to be told apart, and words that are no calls.
 LOW_VALUE = ("new", "get", "send", "clone", "insert", "update", "set", "map", "filter", "reduce", "forEach", "toString")
 KEYWORDS = ("if", "for", "while", "switch", "catch", "function", "return", "typeof", "await", "import", "super", "constructor", "with", "of", "in", "else", "do", "case", "throw", "delete", "void", "yield", "async")
-NAME = r"[A-Za-z_$][A-Za-z0-9_$]*"
-#: kind, pattern with the name as its last group, and whether it counts at the top of a file only.
-DECLARATIONS = [
-    ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:async\s+)?function\s*\*?\s*({NAME})", False),
-    ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?(?:abstract\s+)?class\s+({NAME})", True),
-    ("interface", rf"^\s*(?:export\s+)?(?:default\s+)?(?:declare\s+)?interface\s+({NAME})", True),
-    ("type_alias", rf"^\s*(?:export\s+)?(?:declare\s+)?type\s+({NAME})[^=]*=", True),
-    ("arrow", rf"^\s*(?:export\s+)?(?:const|let|var)\s+({NAME})\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|(?:<[^>]*>)?\([^()]*\)\s*(?::[^=]*)?=>|{NAME}\s*=>|(?:<[^>]*>)?\($)", True),
-]
-METHOD = rf"^\s*(?:(?:public|private|protected|static|readonly|async|override|abstract|get|set)\s+)*\*?#?({NAME})\s*(?:<[^>]*>)?\("
-CALL = rf"(?<![A-Za-z0-9_$.])((?:{NAME}\??\.)*{NAME})\s*(?:<[^<>()]*>)?\("
-IMPORT = r"""(?m)^[ \t]*((?:import|export)\b[^;'"]*?\bfrom\s*["'][^"']+["']|import\s*["'][^"']+["'])"""
-
-
-def declarations(lines: DataFrame) -> DataFrame:
-    """path, line, end, column, kind, name, class, exported, async, jsx; arrow and function expressions count as functions."""
+#: Words ahead of a declaration, and ahead of a member's name.
+MODIFIERS = ("export", "default", "declare", "async", "abstract")
+MEMBER_MODIFIERS = ("public", "private", "protected", "static", "readonly", "async", "override", "abstract", "declare", "*")
+VARIABLES = ("const", "let", "var")
+#: What stands right before a type.
+BEFORE_TYPES = ("<", "|", "&", "as", "is", "keyof", "satisfies", "extends", "=>")
+
+
+def _leads() -> Column:
+    """Whether a statement begins here, or only modifiers stand before it."""
+    at = F.col("i") - F.col("stmt")
+    before = [F.coalesce(F.col(f"p{n}").isin(*MODIFIERS), F.lit(False)) for n in (1, 2, 3)]
+    return (at == 0) | ((at == 1) & before[0]) | ((at == 2) & before[0] & before[1]) | ((at == 3) & before[0] & before[1] & before[2])
+
+
+def _at(tokens_: DataFrame, index: str, prefix: str, *columns: str) -> DataFrame:
+    """Columns of code tokens by path and a renamed index, to be joined."""
+    return tokens_.where("i is not null").select("path", F.col("i").alias(index), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
+
+
+def declarations(toks: DataFrame) -> DataFrame:
+    """path, i, to (first and last token), line, end, column, kind, name, class, arrow, exported, default, async, jsx, name_i; arrow and function expressions count as functions."""
+    c = F.col
+    code = cut(in_context(toks, 4, 4).withColumn("markup", F.sum((c("kind") == "jsx").cast("int")).over(W.partitionBy("path").orderBy("i"))))
+    word = c("kind") == "word"
+    statement = code.where(word & c("text").isin("function", "class", "interface", "type")).where(_leads())
+    named = F.when((c("text") == "function") & (c("t1") == "*"), c("t2")).otherwise(c("t1"))
+    name_i = c("i") + F.when((c("text") == "function") & (c("t1") == "*"), 2).otherwise(1)
+    kinds = F.when(c("text") == "type", "type_alias").otherwise(c("text"))
+    fits = F.when(c("text") == "function", F.lit(True)).when(c("text") == "type", (c("depth") == 0) & c("t2").isin("=", "<")).otherwise((c("depth") == 0) | (c("text") == "class"))
+    plain = statement.where(fits & named.rlike(r"^[A-Za-z_$\u0080-￿]") & ~named.isin("extends", "implements"))
+    plain = plain.select("path", c("stmt").alias("i"), c("stop").alias("to"), kinds.alias("kind"), named.alias("name"), name_i.alias("name_i"), "depth", F.lit(False).alias("arrow"), F.array("p1", "p2", "p3").alias("before"))
+    # variables at the top of a file that hold a function
+    first = code.where("i = stmt and depth = 0").select("path", c("i").alias("stmt"), F.when(c("text") == "export", c("t1")).otherwise(c("text")).alias("opens_with"), (c("text") == "export").alias("exports"))
+    top = code.where("depth = 0").join(first.where(c("opens_with").isin(*VARIABLES)), ["path", "stmt"])
+    declares = word & (c("p1").isin(*VARIABLES) | (c("p1") == ","))
+    so_far = W.partitionBy("path", "stmt").orderBy("i")
+    held = top.withColumn("at", F.last(F.when(declares, c("i")), ignorenulls=True).over(so_far)).withColumn("told", F.last(F.when(declares, c("text")), ignorenulls=True).over(so_far))
+    arrow = (c("then1") == "=>") | ((c("t1") == "async") & (c("then2") == "=>")) | ((c("k1") == "word") & (c("t2") == "=>")) | ((c("t1") == "async") & (c("t3") == "=>")) | ((c("t1") == "<") & c("generic"))
+    expression = (c("t1") == "function") | ((c("t1") == "async") & (c("t2") == "function"))
+    held = held.withColumn("generic", F.coalesce(F.max((c("text") == "(") & (c("then") == "=>")).over(W.partitionBy("path", "stmt")), F.lit(False)))
+    following = held.where(declares).select("path", "stmt", "at", (F.lead("i").over(so_far) - 2).alias("until"))
+    given = held.where("text = '=' and at is not null").withColumn("nth", F.row_number().over(W.partitionBy("path", "stmt", "at").orderBy("i"))).where("nth = 1").where(F.coalesce(arrow, F.lit(False)) | F.coalesce(expression, F.lit(False)))
+    asynchronous = F.when(c("t1") == "async", "async")
+    variables = given.join(following, ["path", "stmt", "at"]).select("path", c("at").alias("i"), F.coalesce("until", "stop").alias("to"), F.lit("function").alias("kind"), c("told").alias("name"), c("at").alias("name_i"), F.lit(0).alias("depth"), (~F.coalesce(expression, F.lit(False))).alias("arrow"), F.array(F.when(c("exports"), "export"), asynchronous).alias("before"))
+    # members of classes and of objects
+    body = _at(toks.where("kind = 'punct' and text = '{'"), "up", "up_", "role")
+    params = _at(toks.where("text = '('"), "opens", "open_", "then")
+    ahead = c("i") - c("stmt")
+    modified = (ahead == 0) | c("p1").isin(*MEMBER_MODIFIERS) | ((c("p1") == ")") & (c("stmt_text") == "@")) | ((c("kind_1") == "word") & (c("p2") == "@"))
+    members = code.withColumn("kind_1", F.lag("kind").over(W.partitionBy("path").orderBy("i"))).where(word & c("opens").isNotNull() & ~c("text").isin(*KEYWORDS)).join(body, ["path", "up"]).join(params, ["path", "opens"])
+    members = members.where(c("up_role").isin("class", "object")).join(_at(code, "stmt", "stmt_", "text"), ["path", "stmt"])
+    whole = F.coalesce(c("open_then") == "{", F.lit(False))
+    members = members.where(modified & (whole | ((c("up_role") == "class") & F.coalesce(c("open_then").isin(";", "}"), F.lit(True)) & (c("text") != "constructor"))))
+    methods = members.select("path", c("stmt").alias("i"), c("stop").alias("to"), F.lit("method").alias("kind"), c("text").alias("name"), c("i").alias("name_i"), "depth", F.lit(False).alias("arrow"), F.array("p1", "p2", "p3").alias("before"))
+    every = cut(union(plain, variables, methods))
+    classes = every.where("kind = 'class'").select("path", c("i").alias("name_i"), "to", c("name").alias("class"))
+    owned = with_owner(every, classes, "around", "name_i", "to").withColumn("class", F.when(c("kind") != "class", c("around.class"))).drop("around")
+    place = _at(code, "i", "", "line", "column", "markup")
+    last = code.select("path", c("i").alias("to"), c("line").alias("end"), c("markup").alias("markup_end"))
+    placed = owned.where("kind <> 'class' or depth = 0").join(place, ["path", "i"]).join(last, ["path", "to"])
+    mark = lambda m: F.array_contains(F.filter("before", lambda x: x.isNotNull()), m)
+    full = F.concat("path", F.lit("::"), F.when(c("class").isNotNull() & (c("kind") != "class"), F.concat("class", F.lit("."))).otherwise(""), "name")
+    return placed.select("path", "i", "to", "line", "end", "column", "kind", "name", "class", "arrow", mark("export").alias("exported"), mark("default").alias("default"), mark("async").alias("async"), ((c("markup_end") > c("markup")) & c("path").rlike(r"\.(?:tsx|jsx|js)$")).alias("jsx"), "name_i", full.alias("qualified_name"))
+
+
+def imports(toks: DataFrame, files: DataFrame) -> DataFrame:
+    """path, stmt, line, column, word (import or export), specifier, target of every import and re-export that names a module."""
     c = F.col
-    found = []
-    for kind, pattern, top in DECLARATIONS:
-        name = F.regexp_extract("bare", pattern, 1)
-        found.append(lines.where((name != "") & (c("before") == 0 if top else F.lit(True))).select("path", "line", "before", "text", F.lit(kind).alias("kind"), name.alias("name")))
-    ranged = with_ends(union(*found), lines, c("kind").isin("arrow", "type_alias"))
-    classes = ranged.where("kind = 'class'").select("path", "line", "end", c("name").alias("class"), (c("before") + 1).alias("inside"))
-    name = F.regexp_extract("bare", METHOD, 1)
-    maybe = with_owner(lines.where((name != "") & ~name.isin(*KEYWORDS) & ~F.col("bare").rlike(r"^\s*(?:function|new|return|await)\b")).select("path", "line", "before", "text", name.alias("name")), classes)
-    methods = with_ends(maybe.where("owner is not null and before = owner.inside and line > owner.line").select("path", "line", "before", "text", F.lit("method").alias("kind"), "name", c("owner.class").alias("class")), lines)
-    others = with_owner(ranged, classes).withColumn("class", F.when((c("kind") == "function") & (c("owner.line") < c("line")), c("owner.class"))).drop("owner")
-    every = others.unionByName(methods, allowMissingColumns=True)
-    markup = lines.where(c("bare").rlike(r"<[A-Za-z][A-Za-z0-9.]*(?:\s[^>]*)?/?>")).groupBy("path").agg(F.collect_list("line").alias("_tags"))
-    marked = every.join(markup, "path", "left").withColumn("jsx", F.coalesce(F.exists("_tags", lambda t: (t >= c("line")) & (t <= c("end"))), F.lit(False)) & c("path").rlike(r"\.(?:tsx|jsx|js)$"))
-    kind = F.when(c("kind") == "arrow", "function").otherwise(c("kind"))
-    return marked.select("path", "line", "end", (F.length("text") - F.length(F.ltrim("text")) + 1).alias("column"), kind.alias("kind"), "name", "class", (c("kind") == "arrow").alias("arrow"), c("text").rlike(r"^\s*export\b").alias("exported"), c("text").rlike(r"\bdefault\b").alias("default"), c("text").rlike(r"\basync\b").alias("async"), "jsx").withColumn("qualified_name", F.concat("path", F.lit("::"), F.when(c("class").isNotNull() & (c("kind") != "class"), F.concat("class", F.lit("."))).otherwise(""), "name"))
-
-
-def imports(files: DataFrame) -> DataFrame:
-    """path, line, statement, specifier, target of every import and re-export that names a module."""
-    found = matches(files.where(F.col("path").rlike(TYPESCRIPT_FILES)), "content", IMPORT, "statement")
-    ahead = F.substring("content", F.lit(1), F.instr("content", F.col("statement")) - 1)
-    rows = found.select("path", F.size(F.split(ahead, "\n", -1)).alias("line"), "statement", F.regexp_extract("statement", r"""["']([^"']+)["']\s*$""", 1).alias("specifier"))
-    return resolve_imports(rows, files)
-
-
-def bindings(imported: DataFrame) -> DataFrame:
-    """path, alias, original, target of every name that an import binds; original is default or * for such imports."""
+    code = in_context(toks, 1, 1)
+    words = code.where("i = stmt and depth = 0 and text in ('import', 'export')").select("path", "stmt", "line", "column", c("text").alias("word"))
+    named = code.where("kind = 'string' and depth = 0 and p1 in ('from', 'import')").select("path", "stmt", F.expr("substring(text, 2, length(text) - 2)").alias("specifier"))
+    return resolve_imports(words.join(named, ["path", "stmt"]).dropDuplicates(["path", "stmt"]), files)
+
+
+def names_of(toks: DataFrame) -> DataFrame:
+    """path, stmt, word, original, alias of every name that an import or export statement lists: default for a default one, * for all."""
+    c = F.col
+    code = cut(in_context(toks, 2, 4))
+    heads = code.where("i = stmt and depth = 0 and text in ('import', 'export')").select("path", "stmt", c("text").alias("word"))
+    top = code.where("depth = 0").join(heads, ["path", "stmt"])
+    is_name = c("kind") == "word"
+    default = top.where((c("word") == "import") & is_name & c("p1").isin("import", "type") & (c("text") != "type") & c("t1").isin(",", "from")).select("path", "stmt", "word", F.lit("default").alias("original"), c("text").alias("alias"))
+    star = top.where("text = '*'").select("path", "stmt", "word", F.lit("*").alias("original"), F.when(c("t1") == "as", c("t2")).otherwise(F.when(c("word") == "export", F.lit("*"))).alias("alias")).where("alias is not null")
+    given = top.where("word = 'export' and text = 'default' and k1 = 'word' and t1 not in ('function', 'class', 'async', 'abstract', 'new', 'interface') and (t2 is null or t2 in (';', 'export', 'const', 'function', 'import', 'let', 'class', 'type', 'interface') or i + 1 = stop)").select("path", "stmt", "word", c("t1").alias("original"), F.lit("default").alias("alias"))
+    braces = top.where("text = '{' and role = 'names'").select("path", c("i").alias("up"), c("stmt").alias("of"), "word")
+    listed = code.where(is_name | (c("kind") == "string")).select("path", "up", "stmt", "i", "text").join(braces, ["path", "up"]).groupBy("path", "of", "word", "stmt").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]).alias("w"))
+    size = F.size("w")
+    typed = (c("w")[0] == "type") & (size > 1) & ((size == 2) | (c("w")[1] != "as"))
+    inner = listed.withColumn("w", F.when(typed, F.slice("w", F.lit(2), size - 1)).otherwise(c("w")))
+    names = inner.select("path", c("of").alias("stmt"), "word", c("w")[0].alias("original"), F.element_at("w", -1).alias("alias"))
+    return union(default, star, given, names)
+
+
+def bindings(toks: DataFrame, taken: DataFrame) -> DataFrame:
+    """path, alias, original, target of every name that an import of a file binds; original is default or * for such imports."""
+    rows = names_of(toks).where("word = 'import'").join(taken.where("target is not null").select("path", "stmt", "target"), ["path", "stmt"])
+    return rows.select("path", "alias", "original", "target")
+
+
+def exports(toks: DataFrame, taken: DataFrame, declared: DataFrame, bound: DataFrame) -> DataFrame:
+    """path, name, id, kind: what a module gives away, of its own, under other names, and from other modules through any chain of re-exports.
+
+    What a module names itself stands before what a star brings; modules that re-export each other end, as nothing new comes."""
     c = F.col
-    rows = imported.where("target is not null and statement like 'import%'").withColumn("head", F.regexp_replace(F.regexp_extract("statement", r"(?s)^import\s+(?:type\s+)?(.*?)\s*\bfrom\b", 1), r"\s+", " "))
-    braces = rows.select("path", "target", F.explode(F.split(F.regexp_extract("head", r"\{([^}]*)\}", 1), ",")).alias("b")).withColumn("b", F.regexp_replace(F.trim("b"), r"^type\s+", "")).where("b <> ''")
-    named = braces.select("path", F.trim(F.element_at(F.split("b", r"\s+as\s+"), -1)).alias("alias"), F.trim(F.split("b", r"\s+as\s+")[0]).alias("original"), "target")
-    star = rows.select("path", F.regexp_extract("head", rf"\*\s*as\s+({NAME})", 1).alias("alias"), F.lit("*").alias("original"), "target").where("alias <> ''")
-    default = rows.select("path", F.regexp_extract("head", rf"^({NAME})", 1).alias("alias"), F.lit("default").alias("original"), "target").where(c("alias") != "")
-    return union(named, star, default)
+    outer = declared.where("kind <> 'method'")
+    own = union(outer.where("exported and not default").select("path", "name", "id", "kind"), outer.where("exported and default").select("path", F.lit("default").alias("name"), "id", "kind"))
+    listed = names_of(toks).where("word = 'export'").join(taken.select("path", "stmt", "target", "specifier"), ["path", "stmt"], "left")
+    here = listed.where("specifier is null")
+    local = here.join(outer.select("path", c("name").alias("original"), "id", "kind"), ["path", "original"]).select("path", c("alias").alias("name"), "id", "kind")
+    # a name that was imported and is given on is a re-export
+    passed = here.select("path", "original", c("alias").alias("name")).join(bound.where("original <> '*'").select("path", c("alias").alias("original"), c("original").alias("there"), "target"), ["path", "original"]).select("path", "name", "there", "target")
+    links = cut(passed.unionByName(listed.where("target is not null and original <> '*'").select("path", c("alias").alias("name"), c("original").alias("there"), "target")))
+    stars = cut(listed.where("target is not null and original = '*' and alias = '*'").select("path", "target").distinct())
+    named = cut(union(own.select("path", "name"), local.select("path", "name"), links.select("path", "name")).distinct())
+
+    def given(new: DataFrame) -> DataFrame:
+        there = new.select(c("path").alias("target"), c("name").alias("there"), "id", "kind")
+        by_name = links.join(there, ["target", "there"]).select("path", "name", "id", "kind")
+        by_star = stars.join(there, "target").where("there <> 'default'").select("path", c("there").alias("name"), "id", "kind").join(named, ["path", "name"], "left_anti")
+        return by_name.unionByName(by_star)
 
+    return fixpoint(union(own, local), given)
 
-def named_in_scope(declared: DataFrame, bound: DataFrame) -> DataFrame:
-    """path, name, id, kind: declarations that a file's code can name plainly: its own ones, and those it imports by name."""
+
+def named_in_scope(declared: DataFrame, bound: DataFrame, exported: DataFrame) -> DataFrame:
+    """path, name, id, kind: declarations that a file's code can name plainly: its own ones, and those it imports."""
     own = declared.where("kind <> 'method'").select("path", "name", "id", "kind")
-    brought = bound.join(declared.where("kind <> 'method'").select(F.col("path").alias("target"), F.col("name").alias("_name"), "default", "id", "kind"), "target").where("original = _name or (original = 'default' and default)")
+    brought = bound.join(exported.select(F.col("path").alias("target"), F.col("name").alias("original"), "id", "kind"), ["target", "original"])
     return own.unionByName(brought.select("path", F.col("alias").alias("name"), "id", "kind")).distinct()
 
 
-def resolved_calls(calls: DataFrame, declared: DataFrame, bound: DataFrame) -> DataFrame:
+def typed_names(toks: DataFrame, declared: DataFrame) -> DataFrame:
+    """path, owner_id, class, name, i, type: names whose type stands with them: parameters and variables, `name = new Type()`, and fields of a class (owner_id null)."""
+    c = F.col
+    code = in_context(toks, 2, 4)
+    annotation = (c("kind") == "word") & (c("t1") == ":") & (c("k2") == "word") & F.coalesce(c("t3").isin(",", ")", "=", ";", "}") | (c("k3") == "word"), F.lit(True))
+    optional = (c("kind") == "word") & (c("t1") == "?") & (c("t2") == ":") & (c("k3") == "word")
+    made = (c("kind") == "word") & (c("t1") == "=") & (c("t2") == "new") & (c("k3") == "word") & ~F.coalesce(c("p1").isin(":", "."), F.lit(False))
+    roles = _at(toks.where("text = '{'"), "up", "up_", "role")
+    kind = F.when(annotation, c("t2")).when(optional | made, c("t3"))
+    rows = code.where(annotation | optional | made).select("path", "i", "up", "text", kind.alias("type"), c("p1")).join(roles, ["path", "up"], "left").where("coalesce(up_role, 'block') <> 'object'")
+    placed = with_owner(rows, declared.select("path", "i", "to", "id", "class", "kind", "name"), "owner", "i", "to")
+    field = (c("up_role") == "class") | c("p1").isin("private", "public", "protected", "readonly")
+    inside = F.when(c("owner.kind") == "class", c("owner.name")).otherwise(c("owner.class"))
+    return placed.select("path", F.when(~field, c("owner.id")).alias("owner_id"), F.when(field, inside).alias("class"), c("text").alias("name"), "i", "type")
+
+
+def resolved_calls(calls: DataFrame, declared: DataFrame, bound: DataFrame, exported: DataFrame, typed: DataFrame, parents: DataFrame) -> DataFrame:
     """calls with id and candidates: the one declaration that a call can mean (else null), and how many there are.
 
-    Plain names meet declarations in scope, this.x the methods of the class around, X.y the methods of a class or the functions of a
-    module in scope. Each way is an equi-join by file and name."""
+    Plain names meet declarations in scope, this.x the methods of the class around and of the classes it extends, X.y the methods of a
+    class or the exports of a module in scope, v.y and this.f.y those of the type given to a variable or field. Each way is an equi-join by file and name."""
     c = F.col
-    scope = named_in_scope(declared, bound)
-    parts = F.split(F.regexp_replace("callee", r"\?", ""), r"\.")
-    rows = cut(calls.withColumn("call", F.monotonically_increasing_id()).withColumn("parts", parts))
+    scope = cut(named_in_scope(declared, bound, exported))
+    rows = cut(calls.withColumn("call", F.monotonically_increasing_id()).withColumn("parts", F.split("callee", r"\.")))
     plain = rows.where(F.size("parts") == 1).select("call", "path", c("callee").alias("name")).join(scope.where("kind in ('function', 'class')"), ["path", "name"]).select("call", "id")
-    methods = declared.where("kind = 'method'").select("path", "class", "name", "id")
-    pair = rows.where(F.size("parts") == 2).select("call", "path", c("parts")[0].alias("first"), c("parts")[1].alias("name"), c("owner.class").alias("class"))
-    own = pair.where("first = 'this'").join(methods, ["path", "class", "name"]).select("call", "id")
-    classes = scope.where("kind = 'class'").select("path", c("name").alias("first"), c("id").alias("class_id")).join(declared.where("kind = 'class'").select(c("id").alias("class_id"), c("path").alias("at"), c("name").alias("class")), "class_id")
-    static = pair.drop("class").join(classes, ["path", "first"]).select("call", "name", "class", c("at").alias("path")).join(methods, ["path", "class", "name"]).select("call", "id")
+    # (class_id, name, id, far): methods of a class, its own and inherited ones
+    classes = declared.where("kind = 'class'").select("path", c("name").alias("class"), c("id").alias("class_id"))
+    own_methods = declared.where("kind = 'method'").join(classes, ["path", "class"]).select("class_id", "name", "id")
+    up = fixpoint(classes.select("class_id", c("class_id").alias("over"), F.lit(0).alias("far")), lambda new: new.withColumnRenamed("over", "sub").join(parents.select(c("class_id").alias("sub"), "over"), "sub").select("class_id", "over", (c("far") + 1).alias("far")), ["class_id", "over"])
+    inherited = up.join(own_methods.withColumnRenamed("class_id", "over"), "over").groupBy("class_id", "name").agg(F.min(F.struct("far", "id")).alias("m")).select("class_id", "name", c("m.id").alias("id"))
+    pair = rows.where((F.size("parts") == 2) & (c("parts")[0] != "")).select("call", "path", "i", c("parts")[0].alias("first"), c("parts")[1].alias("name"), "class", "owner_id")
+    own = pair.where("first = 'this'").join(classes, ["path", "class"]).select("call", "class_id", "name")
+    known = scope.where("kind = 'class'").select("path", c("name").alias("first"), c("id").alias("class_id"))
+    static = pair.join(known, ["path", "first"]).select("call", "class_id", "name")
+    # the latest type given to the name before the call, in the function around or at the top of the file
+    types = typed.where("class is null").select("path", c("name").alias("first"), c("owner_id").alias("given_in"), c("i").alias("given_at"), "type")
+    met = pair.join(types, ["path", "first"]).where("given_at <= i and (given_in is null or given_in = owner_id)")
+    latest = met.groupBy("call", "path", "name").agg(F.max_by("type", F.struct(c("given_in").isNotNull(), "given_at")).alias("first"))
+    fields = rows.where((F.size("parts") == 3) & (c("parts")[0] == "this")).select("call", "path", "class", c("parts")[1].alias("field"), c("parts")[2].alias("name")).join(typed.where("class is not null").select("path", "class", c("name").alias("field"), c("type").alias("first")), ["path", "class", "field"])
+    by_type = latest.select("call", "path", "name", "first").unionByName(fields.select("call", "path", "name", "first")).join(known, ["path", "first"]).select("call", "class_id", "name")
+    by_class = union(own, static, by_type).join(inherited, ["class_id", "name"]).select("call", "id")
     modules = bound.where("original = '*'").select("path", c("alias").alias("first"), c("target").alias("at"))
-    spaces = pair.join(modules, ["path", "first"]).select("call", "name", c("at").alias("path")).join(declared.where("exported and kind in ('function', 'class')").select("path", "name", "id"), ["path", "name"]).select("call", "id")
-    hit = union(plain, own, static, spaces).groupBy("call").agg(F.count_distinct("id").alias("n"), F.min("id").alias("one"))
+    spaces = pair.join(modules, ["path", "first"]).select("call", "name", c("at").alias("path")).join(exported.where("kind in ('function', 'class')").select("path", "name", "id"), ["path", "name"]).select("call", "id")
+    hit = union(plain, by_class, spaces).groupBy("call").agg(F.count_distinct("id").alias("n"), F.min("id").alias("one"))
     return rows.join(hit, "call", "left").withColumn("candidates", F.coalesce("n", F.lit(0))).withColumn("id", F.when(c("n") == 1, c("one"))).drop("n", "one", "call", "parts")
 
 
+def calls_of(toks: DataFrame, declared: DataFrame) -> DataFrame:
+    """path, i, line, column, callee: calls and constructions; names of declarations and of members are none."""
+    c = F.col
+    code = in_context(toks, 2, 1)
+    place = W.partitionBy("path").orderBy("i")
+    code = code.withColumn("new_line", F.lag("line").over(place)).withColumn("new_column", F.lag("column").over(place))
+    made = c("p1") == "new"
+    said = code.where((c("kind") == "word") & (c("opens").isNotNull() | F.coalesce(made & (c("t1") != "."), F.lit(False))) & ~F.split(F.col("chain"), r"[.(\[]")[0].isin(*KEYWORDS) & ~c("text").isin("function", "class"))
+    said = said.where(~F.coalesce(c("p1") == "function", F.lit(False)) & ~F.coalesce((c("p1") == "*") & (c("p2") == "function"), F.lit(False)) & ~F.coalesce(c("chain").contains(".") & c("text").isin("constructor"), F.lit(False)))
+    roles = _at(toks.where("text = '{'"), "up", "up_", "role")
+    params = _at(toks.where("text = '('"), "opens", "open_", "then")
+    inside = said.join(roles, ["path", "up"], "left").join(params, ["path", "opens"], "left")
+    signature = F.coalesce(c("up_role").isin("interface", "type"), F.lit(False)) | (F.coalesce(c("up_role").isin("class", "object"), F.lit(False)) & F.coalesce(c("open_then") == "{", F.lit(False)))
+    inside = inside.where(~signature).join(declared.where("kind in ('method', 'function')").select("path", c("name_i").alias("i")), ["path", "i"], "left_anti")
+    start = F.coalesce(made & (c("head") == c("i")), F.lit(False))
+    return inside.select("path", "i", F.when(start, c("new_line")).otherwise(c("head_line")).alias("line"), F.when(start, c("new_column")).otherwise(c("head_column")).alias("column"), c("chain").alias("callee"))
+
+
+def type_references(toks: DataFrame) -> DataFrame:
+    """path, i, line, column, name: words in the place of a type."""
+    c = F.col
+    role = F.lag("role").over(W.partitionBy("path").orderBy("i"))
+    code = in_context(toks.where("i is not null").withColumn("p_role", role), 3, 1)
+    in_list = (c("p1") == ",") & c("t1").isin(",", ">") & ~c("up_text").eqNullSafe("{")
+    inherits = (c("p1") == "extends") & F.coalesce(c("p3").isin("class", "interface"), F.lit(False))
+    ups = _at(toks, "up", "up_", "text")
+    there = ((c("p1") == ":") & (c("p_role") == "annotation")) | (c("p1").isin(*BEFORE_TYPES) & ~inherits) | in_list | ((c("p1") == "=") & (c("stmt_text") == "type"))
+    heads = toks.where("i = stmt").select("path", "stmt", F.col("text").alias("stmt_text"))
+    rows = code.where("kind = 'word' and p1 is not null").join(ups, ["path", "up"], "left").join(heads, ["path", "stmt"], "left")
+    return rows.where(F.coalesce(there, F.lit(False))).select("path", "i", "line", "column", c("text").alias("name"))
+
+
 class TypeScript:
-    name, version = ADAPTER, "1"
+    name, version = ADAPTER, "2"
 
     def detect(self, corpus: Corpus) -> bool:
         return not corpus.files.where(F.col("path").rlike(TYPESCRIPT_FILES)).select("path").limit(1).isEmpty()
@@ -104,9 +237,9 @@ class TypeScript:
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
         files = corpus.files.where(c("path").rlike(TYPESCRIPT_FILES))
-        lines = cut(code_lines(files, "typescript"))
+        toks = cut(tokens(files, "typescript"))
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))
-        declared = cut(declarations(lines).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "typescript", place)))
+        declared = cut(declarations(toks).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "typescript", place)))
         facts = F.to_json(F.struct("async", "exported", "arrow", c("jsx").alias("jsxCandidate")))
         nodes = [
             node_rows(files, corpus, ADAPTER, RANK, "file", F.element_at(F.split("path", "/"), -1), c("path"), language="typescript", file=c("path")),
@@ -114,22 +247,28 @@ class TypeScript:
         ]
         contains = edge_rows(declared, ADAPTER, RANK, "contains", file_id(corpus, c("path")), c("id"), "exact", c("path"), c("line"), c("column"))
         # imports
-        taken = cut(imports(files))
+        taken = cut(imports(toks, files))
         away = (~c("specifier").startswith(".")) & c("target").isNull()
         package = package_of(c("specifier"))
         lost = c("target").isNull() & c("specifier").startswith(".")
         nodes.append(node_rows(taken.where(away).select(package.alias("p")).distinct(), corpus, ADAPTER, RANK, "external_package", c("p"), c("p"), language="typescript"))
         nodes.append(node_rows(taken.where(lost).select("path", "specifier").distinct(), corpus, ADAPTER, RANK, "unresolved_symbol", c("specifier"), F.concat(F.lit("import:"), "specifier"), language="typescript", file=c("path"), metadata='{"category":"import"}'))
         target = F.when(c("target").isNotNull(), file_id(corpus, c("target"))).when(away, id_of(corpus, "external_package", package, None, "typescript")).otherwise(id_of(corpus, "unresolved_symbol", F.concat(F.lit("import:"), "specifier"), c("path"), "typescript"))
-        import_edges = edge_rows(taken, ADAPTER, RANK, "imports", file_id(corpus, c("path")), target, F.when(lost, "unresolved").otherwise("resolved"), c("path"), c("line"), 1, None, c("specifier"), F.when(c("target").isNotNull(), "module-file").otherwise(F.when(lost, "unresolved").otherwise("resolved")))
+        import_edges = edge_rows(taken, ADAPTER, RANK, "imports", file_id(corpus, c("path")), target, F.when(lost, "unresolved").otherwise("resolved"), c("path"), c("line"), c("column"), None, c("specifier"), F.when(c("target").isNotNull(), "module-file").otherwise(F.when(lost, "unresolved").otherwise("resolved")))
         misses = diagnostic_rows(taken.where(lost), ADAPTER, "unresolved-import", "warning", F.concat(F.lit("Unable to resolve import "), "specifier"), c("path"), c("line"))
         # calls
-        bound = cut(bindings(taken))
-        ranges = declared.select("path", "line", "end", "id", "class", "name", "kind")
-        said = with_owner(calls_in(lines, CALL, KEYWORDS), ranges)
-        # a declaration's own name ahead of its parameters is no call
-        said = said.join(declared.select("path", "line", c("name").alias("callee")), ["path", "line", "callee"], "left_anti")
-        met = cut(resolved_calls(said, declared, bound).withColumn("source", F.coalesce("owner.id", file_id(corpus, c("path")))))
+        bound = cut(bindings(toks, taken))
+        exported = cut(exports(toks, taken, declared, bound))
+        scope = named_in_scope(declared, bound, exported)
+        ranges = declared.select("path", "i", "to", "id", "class", "name", "kind")
+        # classes and what they extend
+        angle = F.sum(F.when(c("text") == "<", 1).when(c("text") == ">", -1).otherwise(0)).over(W.partitionBy("path", "stmt").orderBy("i"))
+        extends = in_context(toks, 1, 1).withColumn("angle", angle).where("text = 'extends' and kind = 'word' and angle = 0 and k1 = 'word'").select("path", c("stmt").alias("i"), c("t1").alias("name"))
+        over = declared.where("kind = 'class'").select("path", "i", c("id").alias("class_id")).join(extends, ["path", "i"])
+        parents = over.join(scope.where("kind = 'class'").select("path", "name", c("id").alias("over")), ["path", "name"]).select("class_id", "over").where("class_id <> over").distinct()
+        said = with_owner(calls_of(toks, declared), ranges, "owner", "i", "to")
+        said = said.withColumn("owner_id", c("owner.id")).withColumn("class", F.when(c("owner.kind") == "class", c("owner.name")).otherwise(c("owner.class")))
+        met = cut(resolved_calls(said, declared, bound, exported, typed_names(toks, declared), parents).withColumn("source", F.coalesce("owner_id", file_id(corpus, c("path")))))
         member = c("callee").contains(".")
         last = F.element_at(F.split("callee", r"\."), -1)
         scope_name = F.when(member & last.isin(*LOW_VALUE), "<common-method>").otherwise(c("callee"))
@@ -141,8 +280,7 @@ class TypeScript:
         lost_edges = edge_rows(unknown, ADAPTER, RANK, "calls", c("source"), id_of(corpus, "unresolved_symbol", c("key"), c("path"), "typescript"), "unresolved", c("path"), c("line"), c("column"), "CallExpression", c("callee"), F.when(c("candidates") > 0, "ambiguous-name").otherwise("unresolved-name"))
         told = diagnostic_rows(unknown.where(~member), ADAPTER, "unresolved-function-call", "info", F.concat(F.lit("No single declaration for call "), "callee"), c("path"), c("line"))
         # types
-        types = named_in_scope(declared, bound).where("kind in ('interface', 'type_alias', 'class')").select("path", "name", c("id").alias("type_id"))
-        referred = matches(lines.select("path", "line", "text", "bare"), "bare", r"(?::|<|\bas\b|\bextends\b|\||&)\s*([A-Z][A-Za-z0-9_$]*)(?![A-Za-z0-9_$]*\s*(?:/>|[a-z-]+=))", "name").where(~c("bare").rlike(r"^\s*(?:import|export)\b.*\bfrom\b"))
-        used = with_owner(referred.join(types, ["path", "name"]), ranges).withColumn("source", F.coalesce("owner.id", file_id(corpus, c("path"))))
-        type_edges = edge_rows(used.where("source <> type_id"), ADAPTER, RANK, "uses_type", c("source"), c("type_id"), "resolved", c("path"), c("line"), F.greatest(F.instr("text", c("name")), F.lit(1)), "TypeReference", c("name"), "name-in-scope")
+        types = scope.where("kind in ('interface', 'type_alias', 'class')").select("path", "name", c("id").alias("type_id"))
+        used = with_owner(type_references(toks).join(types, ["path", "name"]), ranges, "owner", "i", "to").withColumn("source", F.coalesce("owner.id", file_id(corpus, c("path"))))
+        type_edges = edge_rows(used.where("source <> type_id"), ADAPTER, RANK, "uses_type", c("source"), c("type_id"), "resolved", c("path"), c("line"), c("column"), "TypeReference", c("name"), "name-in-scope")
         return Found(union(*nodes), union(contains, import_edges, call_edges, lost_edges, type_edges), union(misses, told))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Sequence
 
@@ -38,7 +37,7 @@ def merged(rows: DataFrame) -> DataFrame:
 
 
 def duplicates(rows: DataFrame, what: str) -> DataFrame:
-    """An error for the second and each further row of an id."""
+    """An error for the second and each further row of an id, before they are merged."""
     again = rows.withColumn("nth", F.row_number().over(W.partitionBy("id").orderBy("ord"))).where("nth > 1")
     return diagnostic_rows(again, "core", f"duplicate-{what}-id", "error", F.concat(F.lit(f"Duplicate {what} id: "), "id"))
 
@@ -46,8 +45,10 @@ def duplicates(rows: DataFrame, what: str) -> DataFrame:
 def run(extractors: Sequence[Extractor], corpus: Corpus, enabled: dict[str, bool] | None = None, base: DataFrame | None = None) -> Graph:
     """Apply the extractors in turn. One that fails leaves a diagnostic and the others go on.
 
-    Each one's rows are written to the shared folder, so that later ones read and do not repeat them."""
+    Each one's rows are written to the shared folder, so that later ones read and do not repeat them. They are counted, and ids that one
+    extractor gives twice are told, before anything is merged."""
     spark = corpus.spark
+    scanned = corpus.files.count()
     nodes, edges, told = empty(spark, NODE), empty(spark, EDGE), empty(spark, DIAGNOSTIC) if base is None else base
     runs = []
     for e in extractors:
@@ -59,25 +60,23 @@ def run(extractors: Sequence[Extractor], corpus: Corpus, enabled: dict[str, bool
             detected = e.detect(corpus)
             if detected:
                 found = e.extract(corpus, Found(nodes, edges, told)).complete(spark)
-                own = [cut(merged(found.nodes)), cut(merged(found.edges)), cut(found.diagnostics)]
-                sizes = [own[0].agg(F.count("*"), F.count_distinct("file")).first(), own[1].count(), own[2].count()]
-                row |= {"node_count": sizes[0][0], "file_count": sizes[0][1], "edge_count": sizes[1], "diagnostic_count": sizes[2]}
-                nodes, edges, told = merged(nodes.unionByName(own[0])), merged(edges.unionByName(own[1])), told.unionByName(own[2])
+                own = [cut(found.nodes), cut(found.edges), cut(found.diagnostics)]
+                row = dict(zip(row, (scanned, *(df.count() for df in own)), strict=True))
+                told = cut(union(told, own[2], duplicates(own[0], "node"), duplicates(own[1], "edge")))
+                nodes, edges = cut(merged(nodes.unionByName(own[0]))), cut(merged(edges.unionByName(own[1])))
         except Exception as error:  # noqa: BLE001  one extractor's failure is not the others'
             told = told.unionByName(diagnostic_rows(spark.range(1), e.name, "adapter-failure", "error", F.lit(f"{e.name} failed: {str(error)[:500]}")))
             row["diagnostic_count"] = 1
         runs.append((e.name, detected, int(1000 * (time.time() - began)), row["file_count"], row["node_count"], row["edge_count"], row["diagnostic_count"]))
-    nodes, edges = cut(nodes), cut(edges)
-    told = union(told, duplicates(nodes, "node"), duplicates(edges, "edge"))
     return Graph(nodes, edges, told, shaped(spark.createDataFrame(runs, RUN), RUN))
 
 
-def manifest_for(graph: Graph, scan: scans.Scan, root: str, took: float) -> dict:
-    one = lambda df: df.count()
+def manifest_for(graph: Graph, scan: scans.Scan, root: str, took: float, enabled: list[str] | None = None) -> dict:
+    """What an index says of itself. enabled: the extractors that ran, where the graph's own runs do not tell (after a splice)."""
     return {
         "schemaVersion": SCHEMA_VERSION, "toolVersion": TOOL_VERSION, "repositoryRoot": root, "repositoryIdentity": scan.corpus.repository, "gitCommit": scans.commit_of(root), "generatedAt": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()),
-        "configHash": scan.config.digest(), "adapterVersions": VERSIONS, "scannedFileCount": one(scan.corpus.files), "excludedFileCount": scan.excluded, "nodeCount": one(graph.nodes), "edgeCount": one(graph.edges), "diagnosticCount": one(graph.diagnostics),
-        "enabledAdapters": [r["adapter"] for r in graph.runs.where("detected").collect()], "analysisDuration": round(1000 * took),
+        "configHash": scan.config.digest(), "adapterVersions": VERSIONS, "scannedFileCount": scan.corpus.files.count(), "excludedFileCount": scan.excluded, "nodeCount": graph.nodes.count(), "edgeCount": graph.edges.count(), "diagnosticCount": graph.diagnostics.count(),
+        "enabledAdapters": [r["adapter"] for r in graph.runs.where("detected").collect()] if enabled is None else enabled, "analysisDuration": round(1000 * took),
     }
 
 
@@ -92,7 +91,7 @@ def analyze(spark: SparkSession, path: str, index: str | None = None) -> tuple[G
     scan = scans.Scan(Corpus(cut(scan.corpus.files), scan.corpus.repository, scan.corpus.name), scan.diagnostics, scan.config, scan.excluded)
     graph = run(EXTRACTORS, scan.corpus, scan.config.adapters, scan.diagnostics)
     manifest = manifest_for(graph, scan, root, time.time() - began)
-    store.write(graph, _index(root, index), manifest, snapshots.fingerprints(scan.corpus.files))
+    store.write(graph, _index(root, index), manifest, snapshots.fingerprints(scan.corpus.files), exports=True)
     return store.read(spark, _index(root, index)), manifest
 
 
@@ -110,6 +109,7 @@ def status(spark: SparkSession, path: str, index: str | None = None) -> dict:
 
 def sync(spark: SparkSession, path: str, index: str | None = None) -> dict:
     """Nothing where the index is fresh; a splice where the changes stand alone; else a new analysis, with the reason."""
+    began = time.time()
     before = status(spark, path, index)
     none = dict.fromkeys(("nodesAdded", "nodesRemoved", "edgesAdded", "edgesRemoved", "filesReanalyzed"), 0)
     counts = {r["change"]: r["count"] for r in before["changes"].groupBy("change").count().collect()}
@@ -127,17 +127,12 @@ def sync(spark: SparkSession, path: str, index: str | None = None) -> dict:
         if snapshots.incremental(old.nodes, old.edges, changed, scan.corpus.files, new.nodes, new.edges).first()["incremental"]:
             affected = changed.select(F.col("path").alias("file"))
             gone = cut(old.nodes.join(affected, "file", "left_semi").select("id"))
-            graph = Graph(cut(snapshots.spliced(old.nodes, new.nodes, affected)), cut(snapshots.spliced(old.edges, new.edges, affected, gone)), snapshots.spliced(old.diagnostics, new.diagnostics, affected), old.runs)
+            graph = Graph(cut(snapshots.spliced(old.nodes, new.nodes, affected)), cut(snapshots.spliced(old.edges, new.edges, affected, gone)), cut(snapshots.spliced(old.diagnostics, new.diagnostics, affected)), new.runs)
             delta = [snapshots.delta(a, b).first() for a, b in ((old.nodes, graph.nodes), (old.edges, graph.edges))]
-            store.write(graph, where, before["manifest"] | {"nodeCount": graph.nodes.count(), "edgeCount": graph.edges.count(), "generatedAt": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())}, snapshots.fingerprints(scan.corpus.files))
+            store.write(graph, where, manifest_for(graph, scan, root, time.time() - began, before["manifest"].get("enabledAdapters", [])), snapshots.fingerprints(scan.corpus.files))
             return done | {"nodesAdded": delta[0]["added"], "nodesRemoved": delta[0]["removed"], "edgesAdded": delta[1]["added"], "edgesRemoved": delta[1]["removed"], "filesReanalyzed": fresh.count(), "incremental": True, "fallbackReason": None}
     reason = spark.range(1).select(snapshots.fallback_reason(*[F.lit(f) for f in flags])).first()[0]
     graph, _ = analyze(spark, root, where)
     before_nodes, before_edges = (old.nodes, old.edges) if old else (graph.nodes.limit(0), graph.edges.limit(0))
     delta = [snapshots.delta(a, b).first() for a, b in ((before_nodes, graph.nodes), (before_edges, graph.edges))]
     return done | {"nodesAdded": delta[0]["added"], "nodesRemoved": delta[0]["removed"], "edgesAdded": delta[1]["added"], "edgesRemoved": delta[1]["removed"], "filesReanalyzed": sum(counts.values()), "incremental": False, "fallbackReason": reason if old else None}
-
-
-def as_json(result: dict) -> str:
-    """A result's plain values; DataFrames stay out."""
-    return json.dumps({k: v for k, v in result.items() if isinstance(v, str | int | float | bool | list | dict) or v is None}, indent=2)

@@ -8,7 +8,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..extractors import code, frameworks, manifests, markdown, rust, tests, typescript
+from ..extractors import code, frameworks, lexer, manifests, markdown, rust, tests, typescript
 from ..extractors.base import Found, lines_of, with_offsets
 from ..extractors.files import Files
 from ..extractors.linker import Linker
@@ -100,11 +100,15 @@ def _architecture(part: int) -> Query:
     return lambda spark, d: architecture.architecture(graph_of(spark, d), 60)[part]
 
 
+def _tokens(spark: SparkSession, d: str, language: str = "typescript") -> DataFrame:
+    return lexer.tokens(_files(spark, d, r"\.rs$" if language == "rust" else r"\.(?:ts|tsx)$"), language)
+
+
 def _text_calls_owner(spark: SparkSession, d: str) -> DataFrame:
-    """The smallest range around lines 2 and 7 of each generated module: an interval join with the least span."""
-    lines = code.code_lines(_files(spark, d, r"^src/Brand.*\.ts$"), "typescript")
-    ranges = typescript.declarations(lines).select("path", "line", "end", "name")
-    return code.with_owner(lines.where("line in (2, 7)").select("path", "line"), ranges).select("path", "line", F.col("owner.name").alias("owner"))
+    """The smallest range around every line of each generated module."""
+    files = _files(spark, d, r"^src/Brand.*\.ts$")
+    ranges = typescript.declarations(lexer.tokens(files, "typescript")).select("path", "line", "end", "name")
+    return code.with_owner(lines_of(files).select("path", "line"), ranges).select("path", "line", F.col("owner.name").alias("owner"))
 
 
 def _bindings(spark: SparkSession, d: str) -> DataFrame:
@@ -124,13 +128,13 @@ QUERIES: dict[str, Query] = {
     "md_routes": lambda s, d: markdown.routes(markdown.sectioned(_files(s, d))).select("path", "line", "section", "route"),
     "package_facts": lambda s, d: manifests.package_facts(_files(s, d)).select("path", "what", "key", "value"),
     "toml_entries": lambda s, d: manifests.toml_entries(_files(s, d, r"Cargo\.toml$")).select("path", "line", "section", "key", "value"),
-    "ts_declarations": lambda s, d: typescript.declarations(code.code_lines(_files(s, d, r"^src/.*\.ts$"), "typescript")).select("path", "line", "end", "kind", "name", "exported"),
-    "ts_imports": lambda s, d: typescript.imports(_files(s, d)).select("path", "line", "specifier", "target"),
+    "ts_declarations": lambda s, d: typescript.declarations(_tokens(s, d)).where("path like 'src/%'").select("path", "line", "end", "kind", "name", "exported"),
+    "ts_imports": lambda s, d: typescript.imports(_tokens(s, d), _files(s, d)).select("path", "line", "specifier", "target"),
     "ts_calls": _calls("typescript", True),
     "ts_unresolved_calls": _calls("typescript", False),
     "ts_diagnostics": lambda s, d: found_by(s, d, "typescript").diagnostics.groupBy("code", "severity").agg(F.count("*").alias("n")),
     "range_owner": _text_calls_owner,
-    "rust_items": lambda s, d: rust.items(code.code_lines(_files(s, d, r"\.rs$"), "rust")).select("path", "line", "end", "kind", "name", "owner_type", F.array_join("module", "::").alias("module")),
+    "rust_items": lambda s, d: rust.items(_tokens(s, d, "rust"), code.code_lines(_files(s, d, r"\.rs$"), "rust")).select("path", "line", "end", "kind", "name", "owner_type", F.array_join("module", "::").alias("module")),
     "rust_calls": _calls("rust", True),
     "rust_unresolved_calls": _calls("rust", False),
     "test_names": lambda s, d: tests.named_tests(_files(s, d)).select("path", "nth", "name", "line", "method"),

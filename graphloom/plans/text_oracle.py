@@ -103,8 +103,14 @@ union all select 'tauri-event-no-consumer', 'info', count(*) from p where k not
 numbered as (select ts, sum(opens) over (order by ts rows between unbounded preceding and current row) as burst from marked)
 select min(ts) as "start", max(ts) + interval 1 minute as "end", count(*) as n from numbered group by burst
 """,
-    "fresh_errors": EVENTS + r""", told as (select user_id, path, epoch_us(ts) as t from ev), seen as (select *, lag(path) over (partition by user_id order by t) as p, lag(t) over (partition by user_id order by t) as b from told)
-select distinct user_id as session, path as operation, t as "at" from seen where p is null or p <> path or t - b > 3600000000
+    "fresh_errors": EVENTS.replace("with ", "with recursive ", 1) + r""", told as (select user_id, path, epoch_us(ts) as t, row_number() over (partition by user_id order by epoch_us(ts), path) as n from ev),
+shown(user_id, n, path, t, lately, since) as (
+    select user_id, n, path, t, path, t from told where n = 1
+    union all
+    select b.user_id, b.n, b.path, b.t, case when f then b.path else a.lately end, case when f then b.t else a.since end
+    from (select a.*, b.path as new_path, b.t as new_t, b.n as new_n, b.path <> a.lately or b.t - a.since > 3600000000 as f from shown a join told b on b.user_id = a.user_id and b.n = a.n + 1) a join told b on b.user_id = a.user_id and b.n = a.new_n
+)
+select distinct user_id as session, path as operation, t as "at" from shown where t = since and path = lately
 """,
     "nodes_standard": GRAPH + "select id, name, kind, file, start_line, qualified_name, language, 'tables' as adapter from nodes where kind = 'function'",
     "edges_compact": GRAPH + "select id, source, target, kind, confidence, 1 as pieces, 1 as line from edges where kind = 'imports'",

@@ -1,7 +1,11 @@
-"""Stored graphs: versions of Parquet tables behind a pointer that one small write swaps.
+"""Stored graphs: numbered versions of Parquet tables, each named by one small file that never changes.
 
-Nodes lie by kind; edges lie twice, sorted within files by source and by target, so that a look-up of one end reads
-few files and row groups by their statistics. Readers hold on to the version that the pointer named when they came.
+A writer puts its version's folder down whole and then claims the next number by a rename that fails where the number is taken; the highest
+number is the current version. So a reader finds a whole version at any time, a writer that dies leaves the last one current, and of two
+writers one is told. Versions older than the last KEPT are removed; readers of those kept read on.
+
+Nodes lie by kind and id, edges twice, by source and by target, each in ranges over many files, so that a look-up of one end reads
+few files and row groups by their statistics.
 """
 
 from __future__ import annotations
@@ -10,12 +14,13 @@ import json
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import DIAGNOSTIC, EDGE, NODE, RUN, SCHEMA_VERSION, Graph, shaped
 
-POINTER = "current"
+POINTERS, KEPT = "versions", 3
 
 
 def _fs(spark: SparkSession, path: str):
@@ -24,16 +29,25 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """A small file in whatever store the path names, replaced as a whole by a rename."""
+def write_text(spark: SparkSession, path: str, text: str) -> bool:
+    """A small file in whatever store the path names, that appears as a whole; False where it is there already."""
     fs, target, jvm = _fs(spark, path)
-    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}")
     out = fs.create(fresh, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(target, False)
-    if not fs.rename(fresh, target):
-        raise OSError(f"could not write {path}")
+    # a rename by the file context, unlike the file system's own, fails where the target is taken
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(fs.makeQualified(fresh), fs.makeQualified(target), none)
+    except Py4JJavaError as e:
+        fs.delete(fresh, False)
+        if "FileAlreadyExistsException" not in str(e.java_exception):
+            raise
+        return False
+    return True
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -44,30 +58,60 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return rows[0][0] if rows else ""
 
 
-def discover(spark: SparkSession, index: str) -> str:
-    """The folder of an index's current version."""
-    name = read_text(spark, f"{index.rstrip('/')}/{POINTER}")
-    if not name:
-        raise FileNotFoundError(f"no index in {index}: analyze the repository first")
-    return f"{index.rstrip('/')}/{name.strip()}"
+def _versions(spark: SparkSession, index: str) -> list[int]:
+    fs, folder, _ = _fs(spark, f"{index.rstrip('/')}/{POINTERS}")
+    if not fs.exists(folder):
+        return []
+    return sorted(int(n) for f in fs.listStatus(folder) if (n := f.getPath().getName()).isdigit())
 
 
-def write(graph: Graph, index: str, manifest: dict, state: DataFrame | None = None) -> str:
+def discover(spark: SparkSession, index: str) -> str:
+    """The folder of an index's current version."""
+    index = index.rstrip("/")
+    for n in reversed(_versions(spark, index)):
+        if name := read_text(spark, f"{index}/{POINTERS}/{n:012d}"):
+            return f"{index}/{name.strip()}"
+    raise FileNotFoundError(f"no index in {index}: analyze the repository first")
+
+
+def commit(spark: SparkSession, index: str, version: str, kept: int = KEPT) -> int:
+    """Make a version's folder the current one under the next free number, and remove versions older than the last ones kept."""
+    index = index.rstrip("/")
+    while True:
+        known = _versions(spark, index)
+        n = known[-1] + 1 if known else 1
+        if write_text(spark, f"{index}/{POINTERS}/{n:012d}", version):
+            break
+    for old in known[: max(0, len(known) + 1 - kept)]:
+        name = read_text(spark, f"{index}/{POINTERS}/{old:012d}")
+        fs, pointer, jvm = _fs(spark, f"{index}/{POINTERS}/{old:012d}")
+        fs.delete(pointer, False)  # the name goes first: nobody comes to a folder that is going
+        if name:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{index}/{name.strip()}"), True)
+    return n
+
+
+def write(graph: Graph, index: str, manifest: dict, state: DataFrame | None = None, exports: bool = False) -> str:
     """Write a graph as a new version and make it the current one; runs are appended to the history, all else is replaced.
 
-    state(path, sha256) are the fingerprints of the files it was made from."""
+    state(path, sha256) are the fingerprints of the files it was made from; exports adds the tables as JSON lines."""
     spark, version = graph.spark, f"v-{uuid.uuid4().hex}"
     base = f"{index.rstrip('/')}/{version}"
-    graph.nodes.repartition(F.col("kind")).sortWithinPartitions("id").write.partitionBy("kind").parquet(f"{base}/nodes")
+    # a kind of many nodes is many ranges, and so is an end that many edges share
+    graph.nodes.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").write.parquet(f"{base}/nodes")
     graph.nodes.where("kind = 'file' and file is not null").select("file", "id", "language", "adapter").write.parquet(f"{base}/files")
     for end in ("source", "target"):
-        graph.edges.repartitionByRange(F.col(end)).sortWithinPartitions(end, "ord").write.parquet(f"{base}/edges_by_{end}")
+        graph.edges.repartitionByRange(end, "id").sortWithinPartitions(end, "id").write.parquet(f"{base}/edges_by_{end}")
     graph.diagnostics.write.parquet(f"{base}/diagnostics")
     if state is not None:
         state.write.parquet(f"{base}/state")
     graph.runs.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{index.rstrip('/')}/runs")
     write_text(spark, f"{base}/manifest.json", json.dumps(manifest | {"schemaVersion": SCHEMA_VERSION}, indent=2))
-    write_text(spark, f"{index.rstrip('/')}/{POINTER}", version)
+    if exports:
+        _export(graph, base)
+    fs, folder, _ = _fs(spark, f"{index.rstrip('/')}/{POINTERS}")
+    fs.mkdirs(folder)
+    commit(spark, index, version)
     return base
 
 
@@ -102,8 +146,11 @@ def runs_history(spark: SparkSession, index: str) -> DataFrame:
     return spark.read.parquet(f"{index.rstrip('/')}/runs")
 
 
+def _export(graph: Graph, base: str) -> None:
+    for name in ("nodes", "edges", "diagnostics"):
+        getattr(graph, name).write.json(f"{base}/exports/{name}")
+
+
 def export_json(graph: Graph, index: str) -> None:
     """The current graph as JSON lines, one folder a table; null fields stay out."""
-    base = f"{discover(graph.spark, index)}/exports"
-    for name in ("nodes", "edges", "diagnostics"):
-        getattr(graph, name).write.json(f"{base}/{name}")
+    _export(graph, discover(graph.spark, index))

@@ -10,7 +10,6 @@ from graphloom.operators import lookups, output, snapshots, traverse
 from graphloom.plans import analysis
 from graphloom.sources import corpus as scans
 from graphloom.sources import store
-from graphloom.streaming import watch
 from tests.corpora import APP
 
 
@@ -95,7 +94,6 @@ def test_queries_over_the_stored_graph(analysed, spark, repository):
     plan = touching._jdf.queryExecution().toString()
     assert "EqualTo(source" in plan and "EqualTo(target" in plan
     assert lookups.nodes_by_ids(graph, graph.edges.where(F.col("source") == place), "source").count() == 1
-    store.export_json(graph, index)
     assert spark.read.json(f"{store.discover(spark, index)}/exports/nodes").count() == graph.nodes.count()
 
 
@@ -121,6 +119,8 @@ def test_status_and_sync(analysed, spark, repository):
     result = analysis.sync(spark, root)
     assert result["incremental"] and (result["filesAdded"], result["nodesAdded"], result["nodesRemoved"]) == (1, 2, 0)
     assert store.read(spark, str(repository / scans.INDEX_FOLDER)).nodes.count() == before + 2
+    told = store.manifest_of(spark, str(repository / scans.INDEX_FOLDER))
+    assert told["scannedFileCount"] == spark.read.parquet(f"{store.discover(spark, str(repository / scans.INDEX_FOLDER))}/state").count() and told["enabledAdapters"]
     alone.write_text('import { round } from "./money";\nexport function alone() {\n  return round;\n}\n')
     status = analysis.status(spark, root)
     assert status["stale"] and [(r["path"], r["change"]) for r in status["changes"].collect()] == [("src/util/alone.ts", "modified")]
@@ -156,6 +156,20 @@ def test_a_failing_extractor_leaves_a_diagnostic(spark):
     twice = graph.nodes.unionByName(graph.nodes)
     assert analysis.duplicates(twice, "node").count() == 2 and analysis.merged(twice).count() == 2
 
+    class Twice:
+        name, version = "twice", "1"
+
+        def detect(self, corpus):
+            return True
+
+        def extract(self, corpus, graph):
+            one = analysis.EXTRACTORS[0].extract(corpus, graph)
+            return Found(one.nodes.unionByName(one.nodes), one.edges)
+
+    graph = analysis.run([Twice()], Corpus(files))
+    assert sorted(r["code"] for r in graph.diagnostics.collect()) == ["duplicate-node-id"] * 2 and graph.nodes.count() == 2
+    assert [(r["file_count"], r["node_count"]) for r in graph.runs.collect()] == [(1, 4)]
+
 
 def test_settings(tmp_path):
     (tmp_path / "Cargo.toml").write_text("")
@@ -177,20 +191,6 @@ def test_settings(tmp_path):
     assert config == scans.Config() and scans.CONFIG_FILE in trouble
 
 
-def test_watching(spark, tmp_path):
-    times = spark.createDataFrame([("src/a.ts", 0), ("src/b.ts", 100), ("node_modules/x.ts", 150), ("src/a.ts", 900)], "path string, ms long").select("path", F.timestamp_millis("ms").alias("ts"))
-    assert sorted(r["n"] for r in watch.bursts(watch.relevant(times)).collect()) == [1, 2]
-    root = tmp_path / "w"
-    (root / "src").mkdir(parents=True)
-    (root / "package.json").write_text("{}")
-    (root / "src/a.ts").write_text("export const a = 1;\n")
-    results, index = [], str(tmp_path / "index")
-    query = watch.watch(spark, str(root), index, results.append, str(tmp_path / "cp"), "1 second")
-    query.processAllAvailable()
-    query.stop()
-    assert len(results) == 1 and results[0]["filesAdded"] == 2 and store.manifest_of(spark, index)["scannedFileCount"] == 2
-
-
 def test_diagnostics_are_concatenated(spark):
     one = diagnostic_rows(spark.range(2), "a", "c", "info", F.lit("m"))
     assert one.unionByName(one).count() == 4
