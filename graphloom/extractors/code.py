@@ -27,7 +27,9 @@ def code_lines(files: DataFrame, language: str) -> DataFrame:
 
 
 def in_context(tokens: DataFrame, back: int = 2, ahead: int = 3) -> DataFrame:
-    """Code tokens with their neighbours: p1, p2 (texts before), t1, t2 (texts after) and k1, k2 (their kinds), then1, then2."""
+    """Code tokens with their neighbours: p1, p2 (texts before), t1, t2 (texts after) and k1, k2 (their kinds), then1, then2. Tokens that have them stay as they are."""
+    if f"p{back}" in tokens.columns and (not ahead or f"t{ahead}" in tokens.columns):
+        return tokens
     w = W.partitionBy("path").orderBy("i")
     code = tokens.where("i is not null")
     text = [F.lag("text", n).over(w).alias(f"p{n}") for n in range(1, back + 1)] + [F.lead("text", n).over(w).alias(f"t{n}") for n in range(1, ahead + 1)]

@@ -152,7 +152,7 @@ class Bridge:
         parts.append(edge_rows(placed.where("kind <> 'invokes'"), self.name, self.rank, c("kind"), F.when(to_event, c("owner_id")).otherwise(event), F.when(to_event, event).otherwise(c("owner_id")), "exact", c("path"), c("line"), c("column"), F.concat("kind", F.lit("()")), c("name"), "literal-event-name", metadata=F.lit(extra)))
         # registrations
         rust_files = corpus.files.where(c("path").rlike(RUST_FILES))
-        rust_tokens = cut(tokens(rust_files, "rust"))
+        rust_tokens = cut(in_context(tokens(rust_files, "rust"), 2, 2))
         registered = cut(handler_tokens(rust_tokens))
         parts.append(edge_rows(registered, self.name, self.rank, "registers", file_id(corpus, c("path")), command, "exact", c("path"), c("line"), c("column"), "generate_handler! handler", c("name"), "literal-handler-token", metadata=F.lit(extra)))
         # the backend's event expressions

@@ -19,9 +19,9 @@ def unique_names(nodes: DataFrame) -> DataFrame:
     return nodes.where(F.col("kind").isin(*CODE_KINDS)).groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").select("name", "id")
 
 
-def line_in(body: str, needle: str, first: str) -> Column:
-    """The line of the first place of needle in a text that begins at line `first`."""
-    return F.col(first) + F.size(F.split(F.substring(F.col(body), F.lit(1), F.greatest(F.instr(body, F.col(needle)) - 1, F.lit(0))), "\n", -1)) - 1
+def line_in(body: str, place: Column, first: str) -> Column:
+    """The line of a place (from 1) in a text that begins at line `first`."""
+    return F.col(first) + F.size(F.split(F.substring(F.col(body), F.lit(1), F.greatest(place - 1, F.lit(0))), "\n", -1)) - 1
 
 
 class Linker:
@@ -39,12 +39,12 @@ class Linker:
         heads = n.where("kind = 'doc_section' and file is not null").select(c("id").alias("section_id"), c("file").alias("path"), c("start_line").alias("line"))
         sections = bodies(corpus.files).join(heads, ["path", "line"])
         # paths in sections, the first place counts
-        found = containment_join(sections.select("path", "line", "section_id", "body"), files, "body", "file").where("file <> path")
-        parts = [edge_rows(found, ADAPTER, RANK, "mentions", c("section_id"), c("file_id"), "exact", c("path"), line_in("body", "file", "line"), 1, "file path mention", c("file"), "exact_path_mention", **known)]
+        found = containment_join(sections.select("path", "line", "section_id", "body"), files, "body", "file", place="place").where("file <> path")
+        parts = [edge_rows(found, ADAPTER, RANK, "mentions", c("section_id"), c("file_id"), "exact", c("path"), line_in("body", c("place"), "line"), 1, "file path mention", c("file"), "exact_path_mention", **known)]
         # symbols in code spans
         names = unique_names(n)
-        spans = matches(sections, "body", "`([A-Za-z_][A-Za-z0-9_]*)`", "name").where(F.length("name") >= 3).join(names, "name")
-        parts.append(edge_rows(spans, ADAPTER, RANK, "mentions", c("section_id"), c("id"), "resolved", c("path"), line_in("body", "name", "line"), c("nth") + 1, "code span symbol mention", c("name"), "unique_symbol_mention", **known))
+        spans = matches(sections, "body", "`([A-Za-z_][A-Za-z0-9_]*)`", "name", at="place").where(F.length("name") >= 3).join(names, "name")
+        parts.append(edge_rows(spans, ADAPTER, RANK, "mentions", c("section_id"), c("id"), "resolved", c("path"), line_in("body", c("place"), "line"), c("nth") + 1, "code span symbol mention", c("name"), "unique_symbol_mention", **known))
         # command lines under headings: an interval join within a file
         commands = n.where("kind = 'cli_command'").select("id", c("file").alias("path"), c("start_line").alias("at"), "name")
         under = sections.select("path", "line", "end", "section_id").join(commands, "path").where("at >= line and at < end")
@@ -58,8 +58,8 @@ class Linker:
         # routes in code
         routes = n.where("kind = 'api_surface'").select(c("id").alias("api_id"), F.regexp_replace("name", r"^(?:GET|POST|PUT|PATCH|DELETE|ANY)\s+", "").alias("route"))
         sources = corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)).join(files.withColumnRenamed("file", "path"), "path").withColumn("first", F.lit(1))
-        served = containment_join(sources, routes, "content", "route")
-        parts.append(edge_rows(served, ADAPTER, RANK, "mentions", c("api_id"), c("file_id"), "resolved", c("path"), line_in("content", "route", "first"), 1, "api route literal", c("route"), "api_route_literal_match", **known))
+        served = containment_join(sources, routes, "content", "route", place="place")
+        parts.append(edge_rows(served, ADAPTER, RANK, "mentions", c("api_id"), c("file_id"), "resolved", c("path"), line_in("content", c("place"), "first"), 1, "api route literal", c("route"), "api_route_literal_match", **known))
         # settings that name a file or a command
         settings = n.where("kind in ('configuration', 'security_boundary')").select("id", "file", "start_line", fact("literalValue").alias("said")).where("said is not null")
         paths = settings.withColumn("path", normalize(c("said"))).join(files.select(c("file").alias("path"), "file_id"), "path")

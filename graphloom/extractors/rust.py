@@ -189,7 +189,7 @@ class Rust:
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
         files = corpus.files.where(c("path").rlike(RUST_FILES))
-        toks = cut(tokens(files, "rust"))
+        toks = cut(in_context(tokens(files, "rust"), 1, 2))
         lines = cut(code_lines(files, "rust"))
         inline = modules(toks)
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))

@@ -218,7 +218,7 @@ def type_references(toks: DataFrame) -> DataFrame:
     """path, i, line, column, name: words in the place of a type."""
     c = F.col
     role = F.lag("role").over(W.partitionBy("path").orderBy("i"))
-    code = in_context(toks.where("i is not null").withColumn("p_role", role), 3, 1)
+    code = in_context(toks.where("i is not null"), 3, 1).withColumn("p_role", role)
     in_list = (c("p1") == ",") & c("t1").isin(",", ">") & ~c("up_text").eqNullSafe("{")
     inherits = (c("p1") == "extends") & F.coalesce(c("p3").isin("class", "interface"), F.lit(False))
     ups = _at(toks, "up", "up_", "text")
@@ -237,7 +237,7 @@ class TypeScript:
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
         files = corpus.files.where(c("path").rlike(TYPESCRIPT_FILES))
-        toks = cut(tokens(files, "typescript"))
+        toks = cut(in_context(tokens(files, "typescript"), 4, 4))
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))
         declared = cut(declarations(toks).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "typescript", place)))
         facts = F.to_json(F.struct("async", "exported", "arrow", c("jsx").alias("jsxCandidate")))

@@ -11,13 +11,13 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..schema import CONFIDENCES, Graph
-from .components import components
 from .lookups import clamp, file_nodes, search_symbols, symbol
 from .scope import is_test_file, node_in_scope, scoped_edges, scoped_nodes
+from .strong import least_ancestor, strongly_connected, trimmed
 
 AFFECTED_KINDS = ("calls", "imports", "invokes", "renders", "listens", "uses_type")
 BOUNDARY_KINDS = ("invokes", "listens", "emits", "registers")
@@ -138,52 +138,89 @@ def affected(graph: Graph, name: str, depth: int = 3, max_nodes: int = 100, incl
     return Affected(roots.limit(max_nodes), relationships, nodes, files, tests, boundaries, summary, len(taken) >= max_nodes or n_roots > max_nodes)
 
 
-def _depth_first(edges: pd.DataFrame) -> pd.DataFrame:
-    """Cycles closed by back edges of the depth-first search in the roots' order; of equal member sets the last is kept."""
-    edges = edges.sort_values("ord")
+def _nexts(edges: pd.DataFrame) -> dict[str, list[str]]:
     nexts: dict[str, list[str]] = {}
     for s, t in zip(edges["source"], edges["target"], strict=True):
         nexts.setdefault(s, []).append(t)
-    root_order = dict(zip(edges["source"], edges["root_ord"], strict=True))
-    seen: set[str] = set()
+    return nexts
+
+
+def _closed_cycles(nexts: dict[str, list[str]], root: str) -> dict[tuple, list[str]]:
+    """Cycles closed by back edges of the depth-first search from root; of equal member sets the last is kept."""
     found: dict[tuple, list[str]] = {}
-    for root in sorted(nexts, key=root_order.__getitem__):
-        if root in seen:
-            continue
-        seen.add(root)
-        path, place, todo = [root], {root: 0}, [iter(nexts[root])]
-        while todo:
-            node = next(todo[-1], None)
+    seen, path, place, todo = {root}, [root], {root: 0}, [iter(nexts.get(root, ()))]
+    while todo:
+        node = next(todo[-1], None)
+        if node is None:
+            todo.pop()
+            del place[path.pop()]
+        elif node not in seen:
+            seen.add(node)
+            place[node] = len(path)
+            path.append(node)
+            todo.append(iter(nexts.get(node, ())))
+        elif node in place:
+            cycle = path[place[node] :]
+            found[tuple(sorted(cycle))] = cycle
+    return found
+
+
+def _first_entries(edges: pd.DataFrame) -> pd.DataFrame:
+    """The node by which a depth-first search of one root's region comes first to each component."""
+    nexts, root = _nexts(edges.sort_values("ord")), edges["root"].iloc[0]
+    part = dict(zip(edges["source"], edges["source_part"], strict=True)) | dict(zip(edges["target"], edges["target_part"], strict=True))
+    entry: dict[str, str] = {}
+    seen, todo = {root}, [root]
+    stack = [iter(nexts.get(root, ()))]
+    while todo:
+        node = todo.pop()
+        if isinstance(part.get(node), str):
+            entry.setdefault(part[node], node)
+        todo = []
+        while stack and not todo:
+            node = next(stack[-1], None)
             if node is None:
-                todo.pop()
-                del place[path.pop()]
+                stack.pop()
             elif node not in seen:
                 seen.add(node)
-                place[node] = len(path)
-                path.append(node)
-                todo.append(iter(nexts.get(node, ())))
-            elif node in place:
-                cycle = path[place[node] :]
-                found[tuple(sorted(cycle))] = cycle
-    return pd.DataFrame({"members": list(found.values()), "length": [len(c) for c in found.values()]})
-
-
-def without_sinks(edges: DataFrame, most_rounds: int = 4) -> DataFrame:
-    """Edges whose target has an edge of its own: those that lead only to sinks are on no cycle. Roots keep their order."""
-    for _ in range(most_rounds):
-        edges = edges.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
-    return edges
+                stack.append(iter(nexts.get(node, ())))
+                todo = [node]
+    return pd.DataFrame({"component": list(entry), "entry": list(entry.values())})
 
 
 def cycles(graph: Graph, scope: str = "code", probable: bool = False, unresolved: bool = False) -> DataFrame:
-    """(members in path order, length) of the cycles that a depth-first search closes.
-
-    The search is sequential by definition, so a weakly connected component is one task: sinks are trimmed first,
-    and the rest is split into components. Use it on sparse projections."""
-    edges = scoped_edges(graph, scope, probable, unresolved, CYCLE_KINDS[scope == "code"]).select("ord", "source", "target")
-    edges = edges.withColumn("root_ord", F.min("ord").over(W.partitionBy("source")))
-    edges = without_sinks(edges).persist()
-    label = components(edges.select("source", "target"))
-    # a node with only a self-loop has no component of its own
-    placed = edges.join(label.select(F.col("node").alias("source"), "component"), "source", "left").withColumn("component", F.coalesce("component", "source"))
-    return placed.groupBy("component").applyInPandas(lambda pdf: _depth_first(pdf), "members array<string>, length long")
+    """(members in path order, length) of the cycles that a depth-first search closes, whose roots and edges are taken in storage order."""
+    return cycles_of(scoped_edges(graph, scope, probable, unresolved, CYCLE_KINDS[scope == "code"]).select("ord", "source", "target"))
+
+
+def cycles_of(edges: DataFrame) -> DataFrame:
+    """cycles() of edges(ord, source, target).
+
+    A cycle lies within one strongly connected component, and the search from the component's first node stays in it until all of it is seen. So
+    each component is searched by itself, once it is known where the whole search enters it: at the root, if the root is in it; at the only node that edges
+    from outside lead to; only where they lead to several is the region of that root (the nodes that no earlier root reaches) walked to see which comes first."""
+    c = F.col
+    edges = edges.where("source is not null and target is not null")
+    # roots are sources in the order of their first edge, whether or not that edge leads to a cycle; a node's root is the first one that reaches it
+    first = cut(edges.groupBy(c("source").alias("node")).agg(F.min(F.struct("ord", c("source").alias("root"))).alias("label")))
+    edges = cut(trimmed(edges, both=False))
+    loops = edges.where("source = target").select(c("source").alias("node")).distinct()
+    strong = strongly_connected(edges)
+    part = cut(strong.unionByName(loops.join(strong.select("node"), "node", "left_anti").select("node", c("node").alias("component"))))
+    region = cut(least_ancestor(edges, first.join(edges.select(c("source").alias("node")).distinct(), "node", "left_semi")).select("node", "label.root"))
+    inner = lambda e: region.join(part, "node", "left").select(c("node").alias(e), c("root").alias(f"{e}_root"), c("component").alias(f"{e}_part"))
+    placed = cut(edges.join(inner("source"), "source").join(inner("target"), "target").where("source_root = target_root"))
+    inside = placed.where("source_part = target_part")
+    at_root = region.where("node = root").join(part, "node").select("component", c("node").alias("entry"))
+    others = part.select("component").distinct().join(at_root.select("component"), "component", "left_anti")
+    doors = cut(placed.where("target_part is not null and not (source_part <=> target_part)").select(c("target_part").alias("component"), c("target").alias("entry"), c("source_root").alias("root")).distinct().join(others, "component"))
+    single = doors.groupBy("component").agg(F.count_distinct("entry").alias("n"), F.min("entry").alias("entry"), F.min("root").alias("root"))
+    open_ = single.where("n > 1").select("root").distinct()
+    walked = placed.withColumn("root", c("source_root")).join(open_, "root").groupBy("root").applyInPandas(_first_entries, "component string, entry string")
+    entries = at_root.unionByName(single.where("n = 1").select("component", "entry")).unionByName(walked.join(single.where("n > 1").select("component"), "component").select("component", "entry"))
+
+    def search(rows: pd.DataFrame) -> pd.DataFrame:
+        found = list(_closed_cycles(_nexts(rows.sort_values("ord")), rows["entry"].iloc[0]).values())
+        return pd.DataFrame({"members": found, "length": [len(x) for x in found]})
+
+    return inside.select("ord", "source", "target", c("source_part").alias("component")).join(entries, "component").groupBy("component").applyInPandas(search, "members array<string>, length long")

@@ -75,7 +75,7 @@ union all select distinct path, cast(7 + c as integer), 'bin:0', 'name', 'b' ||
     "ts_calls": TS + "select path as source_file, 'p' || k as source_name, 'p' || nxt as target_name, 'resolved' as confidence, cast(4 * i + 1 as integer) as line from placed union all select path, 'p' || k, 'helper', 'resolved', cast(4 * i + 2 as integer) from placed",
     "ts_unresolved_calls": TS + "select path as source_file, 'p' || k as source_name, 'lost' || (k % 5) as target_name, 'unresolved' as confidence, cast(4 * i + 2 as integer) as line from placed union all select 'tests/n' || n_nationkey || '.test.ts', 'n' || n_nationkey || '.test.ts', t.f, 'unresolved', t.l from nation, (values ('it', 2), ('test', 3)) as t(f, l)",
     "ts_diagnostics": TS + "select 'unresolved-import' as code, 'warning' as severity, count(distinct path) as n from placed union all select 'unresolved-function-call', 'info', (select count(*) from part) + 2 * (select count(*) from nation)",
-    "range_owner": TS + "select path, 2 as line, cast(null as varchar) as owner from placed where i = 1 union all select path, 7, 'p' || k from placed where i = 1",
+    "range_owner": TS + "select path, cast(4 * i + o as integer) as line, 'p' || k as owner from placed, range(4) as r(o) union all select path, l, cast(null as varchar) from (select distinct path from placed), (values (1), (2), (3)) as h(l) union all select path, cast(4 * max(i) + 4 as integer), null from placed group by path",
     "rust_items": RS + "select path, cast(6 * i - 4 as integer) as line, cast(6 * i + 1 as integer) as \"end\", 'function' as kind, 's' || k as name, cast(null as varchar) as owner_type, module from placed union all select * from (values ('crate/src/base.rs', 1, 1, 'struct', 'Base', null, 'base'), ('crate/src/base.rs', 3, 3, 'method', 'make', 'Base', 'base'), ('crate/src/base.rs', 5, 5, 'function', 'start', null, 'base')) as v(a, b, c, d, e, f, g)",
     "rust_calls": RS + "select path as source_file, 's' || k as source_name, 's' || nxt as target_name, 'resolved' as confidence, cast(6 * i - 3 as integer) as line from placed union all select path, 's' || k, 'start', 'resolved', cast(6 * i - 2 as integer) from placed union all select path, 's' || k, 'make', 'resolved', cast(6 * i - 1 as integer) from placed",
     "rust_unresolved_calls": RS + "select path as source_file, 's' || k as source_name, 'gone' || (k % 3) as target_name, 'unresolved' as confidence, cast(6 * i as integer) as line from placed",
