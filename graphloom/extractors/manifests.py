@@ -146,7 +146,7 @@ def settings(files: DataFrame) -> DataFrame:
     """(path, content, key, value): the settings that matter, however deep they are nested.
 
     An object's own key comes before those inside its values, and earlier values before later ones: so the key wins whose object opens
-    first on the page. Of a key that an object repeats the last counts. The scanner's brackets tell which object a key is in."""
+    first on the page. The scanner's brackets tell which object a key is in."""
     c = F.col
     rows = json_files(files, SETTINGS_FILES).where("doc is not null").select("path", "content")
     code = tokens(rows, "typescript").where("i is not null")

@@ -11,17 +11,18 @@ from pyspark.sql import functions as F
 from ..extractors import code, frameworks, lexer, manifests, markdown, rust, tests, typescript
 from ..extractors.base import Found, lines_of, with_offsets
 from ..extractors.files import Files
+from ..extractors.frameworks import Components
 from ..extractors.linker import Linker
 from ..extractors.markdown import Markdown
 from ..extractors.manifests import PackageManifests
 from ..extractors.rust import Rust
 from ..extractors.typescript import TypeScript
 from ..functions.lineage import cut, scratch
-from ..operators import architecture, output, snapshots, views
+from ..operators import architecture, output, snapshots, traverse, views
 from ..operators.lookups import clamp
-from ..schema import DIAGNOSTIC, EDGE, NODE, Graph, empty
+from ..schema import DIAGNOSTIC, EDGE, NODE, RUN, Graph, empty
 from ..sources import store
-from ..sources.generated import corpus_of
+from ..sources.generated import corpus_of, rich_corpus_of
 from ..sources.tables import graph_of, read
 from ..streaming import watch
 from .analysis import duplicates, merged
@@ -41,6 +42,33 @@ def found_by(spark: SparkSession, sf_dir: str, *names: str) -> Found:
     return out
 
 
+@lru_cache(maxsize=8)
+def rich_found(spark: SparkSession, sf_dir: str, components: bool = False) -> Found:
+    """What the TypeScript extractor, and with components the one of components after it, find in the corpus of classes and markup."""
+    corpus = rich_corpus_of(spark, sf_dir)
+    before = rich_found(spark, sf_dir) if components else Found(empty(spark, NODE), empty(spark, EDGE), empty(spark, DIAGNOSTIC))
+    one = (Components() if components else TypeScript()).extract(corpus, before).complete(spark)
+    return Found(cut(merged(before.nodes.unionByName(one.nodes))), cut(merged(before.edges.unionByName(one.edges))), cut(before.diagnostics.unionByName(one.diagnostics)))
+
+
+def _rich_edges(kind: str, components: bool = False, confidence: str | None = None) -> Query:
+    def query(spark: SparkSession, d: str) -> DataFrame:
+        rows = _named_edges(rich_found(spark, d, components), kind)
+        rows = rows.where(F.col("confidence") == confidence) if confidence else rows
+        return rows.select("source_file", "source_name", "target_name", "confidence", F.col("evidence")[0]["line"].alias("line"))
+
+    return query
+
+
+def _call_cycles(spark: SparkSession, d: str) -> DataFrame:
+    """Cycles of calls in the generated modules: each module's functions call each other in a ring."""
+    found = found_by(spark, d, "typescript")
+    graph = Graph(found.nodes, found.edges, found.diagnostics, empty(spark, RUN))
+    rows = traverse.cycles(graph).withColumn("cycle", F.monotonically_increasing_id()).select("cycle", "length", F.posexplode("members").alias("pos", "id"))
+    named = rows.join(found.nodes.select("id", "name"), "id").groupBy("cycle").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]), ",").alias("members"), F.min("length").alias("length"))
+    return named.select("members", "length")
+
+
 def _files(spark: SparkSession, d: str, pattern: str = ".") -> DataFrame:
     return corpus_of(spark, d).files.where(F.col("path").rlike(pattern))
 
@@ -137,6 +165,14 @@ QUERIES: dict[str, Query] = {
     "rust_items": lambda s, d: rust.items(_tokens(s, d, "rust"), code.code_lines(_files(s, d, r"\.rs$"), "rust")).select("path", "line", "end", "kind", "name", "owner_type", F.array_join("module", "::").alias("module")),
     "rust_calls": _calls("rust", True),
     "rust_unresolved_calls": _calls("rust", False),
+    # classes, objects, types, markup, and what only looks like code
+    "token_kinds": lambda s, d: lexer.tokens(rich_corpus_of(s, d).files, "typescript").where("path like 'src/model/%' and kind in ('comment', 'template', 'string', 'number')").groupBy("path", "kind").agg(F.count("*").alias("n")),
+    "class_members": lambda s, d: typescript.declarations(lexer.tokens(rich_corpus_of(s, d).files, "typescript")).where("path like 'src/model/%'").select("path", "line", "end", "kind", "name", "class", "async"),
+    "member_calls": _rich_edges("calls"),
+    "type_uses": _rich_edges("uses_type"),
+    "jsx_renders": _rich_edges("renders", components=True),
+    "jsx_callbacks": _rich_edges("passes_callback", components=True),
+    "call_cycles": _call_cycles,
     "test_names": lambda s, d: tests.named_tests(_files(s, d)).select("path", "nth", "name", "line", "method"),
     "tested_files": lambda s, d: tests.tested_files(_files(s, d)).select("path", "target", "method"),
     "linked_symbols": lambda s, d: _named_edges(found_by(s, d, "typescript", "markdown", "semanticLinker"), "mentions").where("confidence = 'resolved'").select(F.col("source_name").alias("section"), F.col("target_name").alias("symbol"), "target_file"),

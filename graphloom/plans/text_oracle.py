@@ -51,7 +51,22 @@ GRIDDED = f"""placed as (select id, qualified_name, {LANE} as lane from nodes wh
 sized as (select *, count(*) over (partition by lane) as n, row_number() over (partition by lane order by qualified_name, id) - 1 as nth from placed),
 shaped as (select *, cast(case when n <= 1 then 1 when lane = 'tests' then least(4, greatest(2, (n + 4) // 5)) when lane = 'external' then least(3, greatest(2, (n + 4) // 5)) when lane = 'bridge' then least(3, n) else least(3, greatest(1, cast(ceil(sqrt(n)) as bigint))) end as integer) as columns from sized)"""
 
+RICH = """
+with placed as (select c_custkey as k, 'src/model/c' || (c_custkey // 25) || '.ts' as path, 2 + 21 * (row_number() over (partition by c_custkey // 25 order by c_custkey) - 1) as l0 from customer)
+"""
+
 SQL: dict[str, str] = {
+    "token_kinds": RICH + "select path, v.kind, sum(v.n)::bigint + (case when v.kind = 'string' then 1 else 0 end) as n from placed, (values ('comment', 2), ('template', 2), ('string', 1), ('number', 1)) as v(kind, n) group by path, v.kind",
+    "class_members": RICH + """select path, cast(l0 + v.a as integer) as line, cast(l0 + v.b as integer) as "end", v.kind, v.name || k as name, case when v.inside then 'Model' || k end as class, v.kind = 'method' and v.name = 'load' as async
+        from placed, (values (4, 4, 'type_alias', 'Key', false), (5, 16, 'class', 'Model', false), (8, 14, 'method', 'load', true), (15, 15, 'method', 'name', true), (18, 18, 'method', 'run', false)) as v(a, b, kind, name, inside)""",
+    "member_calls": RICH + """select path as source_file, v.s || k as source_name, case when v.t = 'base' then 'base' else v.t || k end as target_name, 'resolved' as confidence, cast(l0 + v.a as integer) as line
+        from placed, (values ('load', 'name', 10), ('load', 'name', 11), ('load', 'base', 12), ('run', 'Model', 18)) as v(s, t, a)
+        union all select 'src/view/v' || n_nationkey || '.tsx', 'View' || n_nationkey, 'call' || n_nationkey, 'resolved', 3 from nation""",
+    "type_uses": RICH + """select path as source_file, v.s || k as source_name, 'Key' || k as target_name, 'resolved' as confidence, cast(l0 + v.a as integer) as line from placed, (values ('Model', 6), ('load', 8), ('load', 9)) as v(s, a)""",
+    "jsx_renders": """select 'src/view/v' || n_nationkey || '.tsx' as source_file, 'View' || n_nationkey as source_name, 'View' || ((n_nationkey + 1) % 25) as target_name, 'probable' as confidence, 5 as line from nation
+        union all select 'src/view/v' || n_nationkey || '.tsx', 'View' || n_nationkey, 'Panel' || n_nationkey, 'unresolved', 6 from nation""",
+    "jsx_callbacks": "select 'src/view/v' || n_nationkey || '.tsx' as source_file, 'View' || n_nationkey as source_name, 'pick' || n_nationkey as target_name, 'probable' as confidence, 5 as line from nation",
+    "call_cycles": TS + "select string_agg('p' || k, ',' order by i) as members, count(*) as length from placed group by path",
     "corpus_directories": FOLDERS + "select f as qualified_name, split_part(f, '/', -1) as name from folders",
     "corpus_directory_edges": FOLDERS + "select case when contains(f, '/') then split_part(f, '/', 1) else '' end as parent, f as child from folders",
     "text_lines": LINES + "select path, cast(line as integer) as line, text, cast(coalesce(sum(length(text) + 1) over (partition by path order by line rows between unbounded preceding and 1 preceding), 0) as bigint) as \"offset\" from lines",

@@ -15,8 +15,8 @@ from ..extractors.base import Corpus
 from ..functions.lineage import cut
 from .tables import read
 
-#: Rows that a file of code and a document hold.
-CODE_BLOCK, TEXT_BLOCK = 40, 20
+#: Rows that a file of code, a document and a file of classes hold, and re-exports between a class and those that extend it.
+CODE_BLOCK, TEXT_BLOCK, CLASS_BLOCK, CHAIN = 40, 20, 25, 30
 SHARED = "src/shared/util.ts"
 
 
@@ -43,6 +43,33 @@ def typescript_files(part: DataFrame) -> DataFrame:
     return _files(rows, c("path"), "p_partkey", head, body)
 
 
+def class_files(customer: DataFrame) -> DataFrame:
+    """A class per customer, with fields, methods that call each other and its base, an object with a method, a type, comments and templates that look like code."""
+    c, k = F.col, F.col("c_custkey")
+    block = F.floor(k / CLASS_BLOCK)
+    rows = customer.withColumn("path", _text("src/model/c", block, ".ts"))
+    body = _text(
+        "// import { ghost } from './ghost';\n/* class Gone", k, " {\n  lost() {}\n} */\nexport type Key", k, " = { id: number } | string;\nexport class Model", k, " extends Base {\n  private key?: Key", k, ";\n",
+        "  constructor(private owner: Model", k, ") { super(); }\n  async load", k, "(key: Key", k, ",\n    more: string): Promise<Key", k, "> {\n    const text = `ghost(${this.name", k, "()} class Not {`;\n    this.owner.name", k, "();\n    this.base();\n    return key;\n  }\n",
+        "  name", k, "() { return \"fake(1)\"; }\n}\nexport const tools", k, " = {\n  run", k, "() { new Model", k, "(); },\n  total: 1,\n};\n",
+    )
+    return _files(rows, c("path"), "c_custkey", F.lit('import { Base } from "../shared/chain0";\n'), body)
+
+
+def chain_files(spark: SparkSession) -> DataFrame:
+    """A base class behind a chain of CHAIN re-exports, by name and by star in turn."""
+    links = spark.range(CHAIN).select(_text("src/shared/chain", F.col("id"), ".ts").alias("path"), F.when(F.col("id") % 2 == 0, _text('export { Base } from "./chain', F.col("id") + 1, '";\n')).otherwise(_text('export * from "./chain', F.col("id") + 1, '";\n')).alias("content"))
+    end = spark.range(1).select(F.lit(f"src/shared/chain{CHAIN}.ts").alias("path"), F.lit("export class Base {\n  base() {}\n}\n").alias("content"))
+    return links.unionByName(end)
+
+
+def view_files(nation: DataFrame) -> DataFrame:
+    """A component per nation that shows the next one's and one that is nowhere, with text that looks like code."""
+    c, k = F.col, F.col("n_nationkey")
+    body = _text("export function View", k, "() {\n  return (\n    <section title={call", k, "(1)}>\n      text with View", k, "(2) and import x from 'y'\n      <View", (k + 1) % 25, " onPick={pick", k, "} />\n      <Lost.Panel", k, " />\n    </section>\n  );\n}\nfunction call", k, "(n: number) { return n; }\nexport const pick", k, " = () => null;\n")
+    return nation.select(_text("src/view/v", k, ".tsx").alias("path"), body.alias("content"))
+
+
 def markdown_files(supplier: DataFrame) -> DataFrame:
     c = F.col
     path = _text("docs/n", c("s_nationkey"), "/", F.floor(c("s_suppkey") / TEXT_BLOCK), ".md")
@@ -90,3 +117,10 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
     """The corpus of a folder of tables, written once per session."""
     return Corpus(cut(files_of(spark, sf_dir)), "generated", "generated")
+
+
+@lru_cache(maxsize=4)
+def rich_corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Classes, objects, types, markup, re-exports, and text that only looks like code; written once per session."""
+    files = class_files(read(spark, sf_dir, "customer")).unionByName(chain_files(spark)).unionByName(view_files(read(spark, sf_dir, "nation")))
+    return Corpus(cut(files), "rich", "rich")
