@@ -10,8 +10,12 @@ text ever changes and how much of it is link text. Nodes that stay constant over
 are the site's template; varying slots in the main region are content. Elements whose kind or class
 says menu, header, footer, sidebar, notice, advert, form or reader comment are never content.
 
-The main region is the page's article or main element; without one it is the smallest node of the
-wrapper that holds most of the varying text that is not links.
+The main region is a slot of the wrapper: from the root down, the child that holds REGION_SHARE of the varying text that is not
+links, for as long as there is one; an article or main element on that way is taken as it is, with its title. Where a host has too few different pages
+to compare, the page's own article or main element is the region, or else the whole page.
+
+Class words count for boxes only, and only where every other word of the class is a neutral one ("site-header", not "related-work"); a
+form that holds an article or headings is a frame around the page and no form.
 
 Defined results: null or empty html gives "" ; a page without tags is one block of text; pages without
 a host share the empty host; a host with one page (or only copies of it) has no template, and only the
@@ -49,7 +53,7 @@ FOLDED = frozenset("p li dt dd tr td th h1 h2 h3 h4 h5 h6 pre blockquote".split(
 BROADCAST_BYTES = 32_000_000
 
 # Element names of the HTML standard by role.
-DROPPED = frozenset("script style noscript template nav footer aside form button select option textarea input label iframe object embed svg canvas math head dialog menu audio video map fieldset".split())
+DROPPED = frozenset("script style noscript template nav footer aside button select option textarea input label iframe object embed svg canvas math head dialog menu audio video map fieldset".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
@@ -62,6 +66,10 @@ UNWANTED = frozenset(
     "header masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog subscribe subscription newsletter signup login search form comment comments commentlist disqus respond reply replies "
     "discussion share sharing social follow related recommended recommendations popular trending pagination pager skip copyright contentinfo complementary hidden".split()
 )
+#: Words that say nothing beside them.
+NEUTRAL = frozenset("a b box block area wrap wrapper container content section list item items inner outer main top bottom left right bar links link buttons button icons site page global primary secondary large small wide fixed sticky mobile desktop col column row group panel module unit slot text the and my post entry article blog news for of in on".split())
+#: Blocks of text: what their class says never takes them out.
+TEXTS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote article main body html".split())
 UNWANTED_ARTICLES = frozenset("ad ads advert sponsored promo comment comments reply replies related recommended teaser".split())
 
 TAG = re.compile(r"<(?:!--(?:.*?--!?>|.*\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|\Z))", re.S)
@@ -94,10 +102,11 @@ def _marks(tag: str, attributes: str) -> tuple[str, bool]:
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none", value, re.I)):
             unwanted = True
         elif name in ("class", "id", "role"):
-            words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", value)
             kinds = UNWANTED_ARTICLES if tag in ("article", "main") else UNWANTED
-            if tag not in ("body", "html") and not kinds.isdisjoint(w.lower() for w in words):
-                unwanted = True
+            for token in value.split() if tag in ("article", "main") or tag not in TEXTS else ():
+                words = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", token)]
+                if any(w in kinds for w in words) and all(w in UNWANTED or w in NEUTRAL for w in words):
+                    unwanted = True
             if name == "class":
                 label += "." + value
     return label, unwanted
@@ -186,9 +195,26 @@ def parse(page: str) -> Node:
             continue
         stack[-1].items.append(node)
         stack.append(node)
+    _judge_forms(root)
     return root
 
 
+def _judge_forms(node: Node) -> bool:
+    """Mark forms that hold no article and no heading; whether node holds one."""
+    todo, order = [node], []
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [x for x in n.items if isinstance(x, Node)]
+    holds: set[int] = set()
+    for n in reversed(order):
+        if n.tag in ("article", "main", "h1", "h2") or any(id(x) in holds for x in n.items if isinstance(x, Node)):
+            holds.add(id(n))
+        elif n.tag == "form":
+            n.unwanted = True
+    return id(node) in holds
+
+
 class Run:
     """Like siblings of a page, as one node of the tree that is aligned."""
 
@@ -371,7 +397,6 @@ def prune(w: dict) -> dict:
 def finish(w: dict, different: int) -> dict:
     """The wrapper with its template nodes and main region marked."""
     pages = w["n"]
-    named = []
 
     def mass(x: dict) -> float:
         x["k"] = different >= CONSTANT_PAGES and not x["v"] and bool(x["h"]) and x["n"] >= max(CONSTANT_PAGES, CONSTANT_SHARE * pages)
@@ -384,18 +409,19 @@ def finish(w: dict, different: int) -> dict:
         if x["u"]:
             for c in x["c"]:
                 mass(c)
-        elif x["l"].split(".")[0] in ("article", "main"):
-            named.append(x)
         return x["m"]
 
     total = mass(w)
-    if not named and total:
+    if different >= CONSTANT_PAGES and total:
         x = w
         while heavy := [c for c in x["c"] if c["m"] >= REGION_SHARE * total]:
-            if heavy[0]["l"].split(".")[0] in ("p", "pre", "blockquote", "ul", "ol", "table", "h1", "h2", "h3"):
+            tag = heavy[0]["l"].split(".")[0]
+            if tag in TEXTS - {"article", "main", "body", "html"} or tag in ("ul", "ol", "table"):
                 break
             x = heavy[0]
-        if x is not w:
+            if tag in ("article", "main"):
+                break
+        if x["l"].split(".")[0] not in ("#page", "html", "body"):
             x["r"] = True
     return w
 
@@ -426,7 +452,8 @@ def blocks(page: Node, wrapper: dict | None) -> list[str]:
             return [n]
         return [r for x in n.items if isinstance(x, Node) for r in regions(x, named)]
 
-    roots = regions(page, True) or regions(page, False) or [page]
+    # the wrapper's slot; on a page that lacks it, or of a host that is too small to compare, the elements' own names
+    roots = regions(page, False) or regions(page, True) or [page]
     if len(roots) > 1:
         mains = [r for r in roots if r.tag == "main"]
         roots = mains or roots
