@@ -36,6 +36,19 @@ def node_in_scope(scope: str = "code") -> Column:
     return ~is_knowledge_node() | (F.col("source_category").isin(*admitted) & F.col("source_category").isNotNull() if admitted else F.lit(False))
 
 
+def category() -> Column:
+    """What a node is to the scopes, in one word: code, or its category among knowledge."""
+    return F.when(is_knowledge_node(), F.coalesce("source_category", F.lit(""))).otherwise("code")
+
+
+def end_in_scope(end: str, scope: str = "code") -> Column:
+    """node_in_scope() of an edge's end, by the category stored with the edge (null: there is no such node)."""
+    if scope not in SCOPES:
+        raise ValueError(f"unknown scope {scope!r}; one of {', '.join(SCOPES)}")
+    known = F.col(f"{end}_category")
+    return known.isNotNull() if scope == "full" else F.coalesce(known.isin("code", *CATEGORIES[scope]), F.lit(False))
+
+
 def is_test_file(file: Column) -> Column:
     out = F.lit(False)
     for pattern in TEST_PATHS:

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..schema import CONFIDENCES, Graph
 from .lookups import clamp, file_nodes, search_symbols, symbol
-from .scope import is_test_file, node_in_scope, scoped_edges, scoped_nodes
+from .scope import end_in_scope, is_test_file, node_in_scope, scoped_edges, scoped_nodes, trusted
 from .strong import least_ancestor, strongly_connected, trimmed
 
 AFFECTED_KINDS = ("calls", "imports", "invokes", "renders", "listens", "uses_type")
 BOUNDARY_KINDS = ("invokes", "listens", "emits", "registers")
+EDGE_SHORT = ("ord", "id", "source", "target", "kind", "confidence")
+#: Roots up to which a traversal lists them (as it does the nodes of a frontier) instead of joining them.
+MOST_LISTED = 500
 CYCLE_KINDS = {True: ("imports", "calls"), False: ("imports", "calls", "mentions", "configures", "tests", "related_to")}
 
 
@@ -33,6 +36,26 @@ def _is_one_of(column: Column, values: Iterable[str]) -> Column:
     return column.isin(*values) if values else F.lit(False)
 
 
+class _Near:
+    """The scoped edges of a few nodes. Of a stored graph only these are read, level by level; else all scoped edges are held while the traversal lasts."""
+
+    def __init__(self, graph: Graph, scope: str, probable: bool, unresolved: bool, kinds: Iterable[str] | None):
+        self.graph, self.options, self.held = graph, (scope, probable, unresolved, kinds), None
+        if graph.incident is None:
+            self.held = scoped_edges(graph, *self.options).select(*EDGE_SHORT).persist()
+
+    def __call__(self, ids: list[str], ends: tuple[str, ...] = ("source", "target")) -> DataFrame:
+        if self.held is not None:
+            hit = _is_one_of(F.col(ends[0]), ids)
+            return self.held.where(hit | _is_one_of(F.col(ends[1]), ids) if len(ends) == 2 else hit)
+        scope = self.options[0]
+        return trusted(self.graph.incident(ids, ends), *self.options).where(end_in_scope("source", scope) & end_in_scope("target", scope)).select(*EDGE_SHORT)
+
+    def close(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+
+
 @dataclass(frozen=True)
 class Neighborhood:
     nodes: DataFrame
@@ -43,15 +66,15 @@ class Neighborhood:
 def neighborhood(graph: Graph, node_id: str, depth: int = 2, max_nodes: int = 50, max_edges: int | None = None, scope: str = "code", probable: bool = False, unresolved: bool = False, edge_kinds: Iterable[str] = (), node_kinds: Iterable[str] = ()) -> Neighborhood:
     """Undirected breadth-first search; new nodes are accepted in the storage order of the edges that reach them."""
     if symbol(graph, node_id).isEmpty():
-        raise NotFound(f"Symbol not found: {node_id}")
+        raise NotFound(f"no node has the id {node_id}")
     depth, max_nodes = clamp(depth, 0, 8), clamp(max_nodes, 1, 500)
     max_edges = clamp(4 * max_nodes if max_edges is None else max_edges, 1, 2000)
-    edges = scoped_edges(graph, scope, probable, unresolved, list(edge_kinds) or None).select("ord", "id", "source", "target", "kind", "confidence").persist()
+    near = _Near(graph, scope, probable, unresolved, list(edge_kinds) or None)
     visited, frontier, truncated = [node_id], [node_id], False
     level_of = F.lit(None).cast("int")
     try:
         for level in range(depth):
-            touching = edges.where(_is_one_of(F.col("source"), frontier) | _is_one_of(F.col("target"), frontier))
+            touching = near(frontier)
             other = F.when(_is_one_of(F.col("source"), frontier), F.col("target")).otherwise(F.col("source"))
             room = max_nodes - len(visited)
             fresh = touching.select(other.alias("node"), "ord").where(~_is_one_of(F.col("node"), visited)).groupBy("node").agg(F.min("ord").alias("ord")).orderBy("ord").limit(room + 1).collect()
@@ -68,9 +91,9 @@ def neighborhood(graph: Graph, node_id: str, depth: int = 2, max_nodes: int = 50
             kept = (F.col("id") == node_id) | F.col("kind").isin(*node_kinds)
         nodes = graph.nodes.where(_is_one_of(F.col("id"), visited) & node_in_scope(scope) & kept).orderBy("ord")
         ids = [r["id"] for r in nodes.select("id").collect()]  # at most max_nodes
-        found = edges.withColumn("level", level_of).where(F.col("level").isNotNull() & _is_one_of(F.col("source"), ids) & _is_one_of(F.col("target"), ids)).orderBy("level", "ord").limit(max_edges + 1).collect()
+        found = near(ids, ("source",)).withColumn("level", level_of).where(F.col("level").isNotNull() & _is_one_of(F.col("target"), ids)).orderBy("level", "ord").limit(max_edges + 1).collect()
     finally:
-        edges.unpersist()
+        near.close()
     schema = "ord string, id string, source string, target string, kind string, confidence string, level int"
     return Neighborhood(nodes, graph.spark.createDataFrame(found[:max_edges], schema), truncated or len(found) > max_edges)
 
@@ -107,7 +130,8 @@ def affected(graph: Graph, name: str, depth: int = 3, max_nodes: int = 100, incl
     depth, max_nodes = clamp(depth, 1, 8), clamp(max_nodes, 1, 500)
     roots = affected_roots(graph, name, scope)
     root_ids = roots.select(F.col("id").alias("root")).persist()
-    edges = scoped_edges(graph, scope, probable, unresolved, AFFECTED_KINDS if scope == "code" else None).select("ord", "id", "source", "target", "kind", "confidence").persist()
+    kinds = AFFECTED_KINDS if scope == "code" else None
+    near = _Near(graph, scope, probable, unresolved, kinds)
     taken: list = []
     frontier: list[str] | None = None
     try:
@@ -116,15 +140,21 @@ def affected(graph: Graph, name: str, depth: int = 3, max_nodes: int = 100, incl
             room = max_nodes - len(taken)
             if not room or frontier == []:
                 break
-            # the roots of a file may be many, so they join; later frontiers are short lists
-            reached = edges.join(root_ids, edges["target"] == F.col("root"), "left_semi") if frontier is None else edges.where(_is_one_of(F.col("target"), frontier))
+            # the roots of a file may be many, then they join; later frontiers are short lists
+            if frontier is None and n_roots <= MOST_LISTED:
+                frontier = [r["root"] for r in root_ids.collect()]
+            if frontier is None:
+                edges = near.held if near.held is not None else scoped_edges(graph, scope, probable, unresolved, kinds).select(*EDGE_SHORT)
+                reached = edges.join(root_ids, edges["target"] == F.col("root"), "left_semi")
+            else:
+                reached = near(frontier, ("target",))
             reached = reached.where(~_is_one_of(F.col("source"), [r["source"] for r in taken])).join(root_ids, F.col("source") == F.col("root"), "left_anti")
             first = reached.groupBy("source").agg(F.min_by(F.struct("ord", "id", "target", "kind", "confidence"), "ord").alias("e")).select("source", "e.*").orderBy("ord").limit(room)
             new = first.withColumn("level", F.lit(level)).collect()
             taken += new
             frontier = [r["source"] for r in new]
     finally:
-        edges.unpersist()
+        near.close()
         root_ids.unpersist()
     schema = "source string, ord string, id string, target string, kind string, confidence string, level int"
     relationships = spark.createDataFrame(taken, schema)

@@ -205,5 +205,7 @@ QUERIES: dict[str, Query] = {
     # stored graphs
     "stored_symbol": lambda s, d: store.read(s, stored(s, d)).nodes.where((F.col("kind") == "function") & (F.col("id") == PART)).select("id", "kind", "name", "qualified_name", "file"),
     "stored_edges_touching": lambda s, d: store.edges_touching(s, stored(s, d), [PART, "pkg:s3"]).select("id", "source", "target", "kind", "confidence"),
+    "stored_neighborhood": lambda s, d: traverse.neighborhood(store.read(s, stored(s, d)), PART, 2, 50).edges.select("id", "level"),
+    "stored_affected": lambda s, d: traverse.affected(store.read(s, stored(s, d)), PART, 2, 60).relationships.select("id", "source", "target", "level"),
     "stored_files": lambda s, d: s.read.parquet(f"{store.discover(s, stored(s, d))}/files").select("file", "id"),
 }

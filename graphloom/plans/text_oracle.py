@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .oracle import GRAPH
+from .oracle import SQL as GRAPH_SQL
 
 TS = r"""
 with ts as (
@@ -56,6 +57,8 @@ with placed as (select c_custkey as k, 'src/model/c' || (c_custkey // 25) || '.t
 """
 
 SQL: dict[str, str] = {
+    "stored_neighborhood": GRAPH_SQL["neighborhood_edges"],
+    "stored_affected": GRAPH_SQL["affected_transitive"],
     "token_kinds": RICH + "select path, v.kind, sum(v.n)::bigint + (case when v.kind = 'string' then 1 else 0 end) as n from placed, (values ('comment', 2), ('template', 2), ('string', 1), ('number', 1)) as v(kind, n) group by path, v.kind",
     "class_members": RICH + """select path, cast(l0 + v.a as integer) as line, cast(l0 + v.b as integer) as "end", v.kind, v.name || k as name, case when v.inside then 'Model' || k end as class, v.kind = 'method' and v.name = 'load' as async
         from placed, (values (4, 4, 'type_alias', 'Key', false), (5, 16, 'class', 'Model', false), (8, 14, 'method', 'load', true), (15, 15, 'method', 'name', true), (18, 18, 'method', 'run', false)) as v(a, b, kind, name, inside)""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,6 +51,8 @@ class Graph:
     edges: DataFrame
     diagnostics: DataFrame
     runs: DataFrame
+    #: Of a stored graph: incident(ids, ends) reads the edges that have one of a few ids at one of the ends, with the categories of both ends.
+    incident: Callable[[list[str], tuple[str, ...]], DataFrame] | None = None
 
     @property
     def spark(self) -> SparkSession:

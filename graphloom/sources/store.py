@@ -18,6 +18,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from ..operators.scope import category
 from ..schema import DIAGNOSTIC, EDGE, NODE, RUN, SCHEMA_VERSION, Graph, shaped
 
 POINTERS, KEPT = "versions", 3
@@ -100,8 +102,13 @@ def write(graph: Graph, index: str, manifest: dict, state: DataFrame | None = No
     # a kind of many nodes is many ranges, and so is an end that many edges share
     graph.nodes.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").write.parquet(f"{base}/nodes")
     graph.nodes.where("kind = 'file' and file is not null").select("file", "id", "language", "adapter").write.parquet(f"{base}/files")
+    ends = graph.nodes.select("id", category().alias("c"))
+    edges = graph.edges
     for end in ("source", "target"):
-        graph.edges.repartitionByRange(end, "id").sortWithinPartitions(end, "id").write.parquet(f"{base}/edges_by_{end}")
+        edges = edges.join(ends.select(F.col("id").alias(end), F.col("c").alias(f"{end}_category")), end, "left")
+    edges = cut(edges.select(*graph.edges.columns, "source_category", "target_category"))
+    for end in ("source", "target"):
+        edges.repartitionByRange(end, "id").sortWithinPartitions(end, "id").write.parquet(f"{base}/edges_by_{end}")
     graph.diagnostics.write.parquet(f"{base}/diagnostics")
     if state is not None:
         state.write.parquet(f"{base}/state")
@@ -120,7 +127,11 @@ def read(spark: SparkSession, index: str, by: str = "source") -> Graph:
     base = discover(spark, index)
     version = base.rsplit("/", 1)[1]
     runs = spark.read.parquet(f"{index.rstrip('/')}/runs").where(F.col("version") == version)
-    return Graph(shaped(spark.read.parquet(f"{base}/nodes"), NODE), shaped(spark.read.parquet(f"{base}/edges_by_{by}"), EDGE), shaped(spark.read.parquet(f"{base}/diagnostics"), DIAGNOSTIC), shaped(runs, RUN))
+
+    def incident(ids: list[str], ends: tuple[str, ...]) -> DataFrame:
+        return _touching(spark, base, ids, ends)
+
+    return Graph(shaped(spark.read.parquet(f"{base}/nodes"), NODE), shaped(spark.read.parquet(f"{base}/edges_by_{by}"), EDGE), shaped(spark.read.parquet(f"{base}/diagnostics"), DIAGNOSTIC), shaped(runs, RUN), incident)
 
 
 def manifest_of(spark: SparkSession, index: str) -> dict | None:
@@ -135,11 +146,17 @@ def state_of(spark: SparkSession, index: str) -> DataFrame:
     return spark.read.parquet(f"{discover(spark, index)}/state")
 
 
+def _touching(spark: SparkSession, base: str, ids: list[str], ends: tuple[str, ...]) -> DataFrame:
+    """Each layout answers for its own end with a pushed-down filter, which leaves files and row groups out; an edge comes once."""
+    parts = [spark.read.parquet(f"{base}/edges_by_{end}").where(F.col(end).isin(*ids)) for end in ends]
+    if len(parts) == 2:
+        parts[1] = parts[1].where(~F.coalesce(F.col(ends[0]).isin(*ids), F.lit(False)))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def edges_touching(spark: SparkSession, index: str, ids: list[str]) -> DataFrame:
-    """Edges of a few nodes: each layout answers for its own end with a pushed-down filter; an edge comes once."""
-    base = discover(spark, index)
-    ends = [spark.read.parquet(f"{base}/edges_by_{end}").where(F.col(end).isin(*ids)) for end in ("source", "target")]
-    return reduce(DataFrame.unionByName, ends).dropDuplicates(["id"])
+    """Edges of a few nodes."""
+    return _touching(spark, discover(spark, index), ids, ("source", "target"))
 
 
 def runs_history(spark: SparkSession, index: str) -> DataFrame:
