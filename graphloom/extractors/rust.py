@@ -111,6 +111,11 @@ def items(toks: DataFrame, lines: DataFrame) -> DataFrame:
     return known.select("path", "i", "to", "line", "end", "column", F.when(inner, "method").otherwise(c("kind")).alias("kind"), "name", F.when(inner, c("owner.type")).alias("owner_type"), F.when(inner, c("owner.of")).alias("trait_owner"), "module", "attributes").withColumn("qualified_name", F.concat("path", F.lit("::"), F.when(c("owner_type").isNotNull(), F.concat("owner_type", F.lit("."))).otherwise(""), "name"))
 
 
+def module_count(found: DataFrame) -> DataFrame:
+    """One row: the different module paths of items()."""
+    return found.agg(F.count_distinct(key(F.col("module"))).alias("modules"))
+
+
 def _leaves(texts: Column) -> Column:
     """The paths that a use tree spells: a fold over its tokens with the prefixes of the lists that are open; no depth is too deep."""
     state = F.struct(F.array().cast("array<string>").alias("open"), F.lit("").alias("path"), F.array().cast("array<string>").alias("out"))

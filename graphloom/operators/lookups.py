@@ -42,6 +42,21 @@ def overview_edges(graph: Graph, scope: str = "code") -> DataFrame:
     return count_by_kind(scoped_edges(graph, scope))
 
 
+def overview(graph: Graph, scope: str = "code", repository: dict[str, str] | None = None) -> DataFrame:
+    """The whole overview as rows (part, name, value): the repository's own facts, scope, scoped and total counts, nodes and edges by kind, and the extractors that ran with what they found."""
+    spark = graph.spark
+    facts = {"scope": scope} | (repository or {})
+    told = spark.createDataFrame([("repository" if k != "scope" else "request", k, str(v)) for k, v in facts.items()], "part string, name string, value string")
+    names = ("files", "nodes", "edges", "diagnostics", "total_files", "total_nodes", "total_edges")
+    counts = overview_counts(graph, scope).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("c")).select(F.when(F.col("c.name").startswith("total_"), "total").otherwise("count").alias("part"), F.regexp_replace("c.name", "^total_", "").alias("name"), "c.value")
+    kinds = lambda df, part: df.select(F.lit(part).alias("part"), F.col("kind").alias("name"), F.col("n").alias("value"))
+    ran = graph.runs.where("detected").groupBy("adapter").agg(F.max("node_count").alias("n")).select(F.lit("adapter").alias("part"), F.col("adapter").alias("name"), F.col("n").alias("value"))
+    out = told
+    for df in (counts, kinds(overview_nodes(graph, scope), "nodes_by_kind"), kinds(overview_edges(graph, scope), "edges_by_kind"), ran):
+        out = out.unionByName(df.withColumn("value", F.col("value").cast("string")))
+    return out
+
+
 def adapters(graph: Graph) -> DataFrame:
     return graph.runs.orderBy("adapter")
 
@@ -151,8 +166,8 @@ def framework_bindings(graph: Graph, framework: str | None = None, scope: str =
     return chosen.unionByName(related), edges
 
 
-def architecture_knowledge(graph: Graph, scope: str, limit: int = 100) -> tuple[DataFrame, DataFrame]:
-    """The first nodes by the rank of their kind, and the scoped edges among them."""
+def architecture_knowledge(graph: Graph, scope: str, limit: int = 100) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first nodes by the rank of their kind, the scoped edges among them, and one row with whether nodes were left out."""
     rank = F.when(is_knowledge_node(), 6).otherwise(5)
     for i, kind in enumerate(("repository", "directory", "framework_command", "framework_event", "file")):
         rank = F.when(F.col("kind") == kind, i).otherwise(rank)
@@ -161,4 +176,4 @@ def architecture_knowledge(graph: Graph, scope: str, limit: int = 100) -> tuple[
     edges = trusted(graph.edges, scope)
     for end in ("source", "target"):
         edges = edges.join(ids.withColumnRenamed("id", end), end)
-    return top, edges.select(*graph.edges.columns)
+    return top, edges.select(*graph.edges.columns), scoped_nodes(graph.nodes, scope).agg((F.count("*") > limit).alias("truncated"))

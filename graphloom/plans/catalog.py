@@ -56,6 +56,8 @@ def _diff(state: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "overview_counts": _over(q.overview_counts),
+    "overview_report": _over(lambda g: q.overview(g, "code", {"name": "tables"})),
+    "architecture_knowledge_truncated": _over(lambda g: q.architecture_knowledge(g, "code+docs", 80)[2]),
     "overview_nodes_by_kind": _over(q.overview_nodes),
     "overview_edges_by_kind": _over(lambda g: q.overview_edges(g, "full")),
     "scoped_nodes_code": _scoped_nodes("code"),

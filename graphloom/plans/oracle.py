@@ -119,6 +119,15 @@ old as (select path, case when doc_id % 7 = 0 then content || '!' else content e
 TRADE = "select distinct s_nationkey as a, c_nationkey as b from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join supplier on l_suppkey = s_suppkey"
 SQL: dict[str, str] = {
     "overview_counts": _sql(f" select (select count(*) from {nodes('code')} where kind = 'file') as files, (select count(*) from {nodes('code')}) as nodes, (select count(*) from {edges()}) as edges, (select count(*) from diagnostics) as diagnostics, (select count(*) from nodes where kind = 'file') as total_files, (select count(*) from nodes) as total_nodes, (select count(*) from edges) as total_edges"),
+    "overview_report": _sql(f""", n as (select (select count(*) from {nodes('code')} where kind = 'file') as files, (select count(*) from {nodes('code')}) as nodes, (select count(*) from {edges()}) as edges, (select count(*) from diagnostics) as diagnostics,
+            (select count(*) from nodes where kind = 'file' and file is not null) as tf, (select count(*) from nodes) as tn, (select count(*) from edges) as te)
+        select 'request' as part, 'scope' as name, 'code' as value union all select 'repository', 'name', 'tables'
+        union all select 'count', v.k, cast(v.c as varchar) from n, lateral (values ('files', files), ('nodes', nodes), ('edges', edges), ('diagnostics', diagnostics)) as v(k, c)
+        union all select 'total', v.k, cast(v.c as varchar) from n, lateral (values ('files', tf), ('nodes', tn), ('edges', te)) as v(k, c)
+        union all select 'adapter', 'tables', cast(tn as varchar) from n
+        union all select 'nodes_by_kind', kind, cast(count(*) as varchar) from {nodes('code')} group by kind
+        union all select 'edges_by_kind', kind, cast(count(*) as varchar) from {edges()} group by kind"""),
+    "architecture_knowledge_truncated": _sql(f" select count(*) > 80 as truncated from {nodes('code+docs')}"),
     "overview_nodes_by_kind": _sql(f" select kind, count(*) as n from {nodes('code')} group by kind"),
     "overview_edges_by_kind": _sql(f" select kind, count(*) as n from {edges('full')} group by kind"),
     **{f"scoped_nodes_{k}": _sql(f" select {NODE_COLUMNS} from {nodes(s)}") for k, s in (("code", "code"), ("docs", "code+docs"), ("config", "code+config"), ("tests", "code+tests"), ("full", "full"))},

@@ -139,6 +139,15 @@ def _text_calls_owner(spark: SparkSession, d: str) -> DataFrame:
     return code.with_owner(lines_of(files).select("path", "line"), ranges).select("path", "line", F.col("owner.name").alias("owner"))
 
 
+def _spliced(spark: SparkSession, d: str) -> DataFrame:
+    """Parts by brand as nodes by file: two brands are analysed anew, with every other part of theirs."""
+    c = F.col
+    before = read(spark, d, "part").select(c("p_partkey").alias("id"), c("p_brand").alias("file"))
+    affected = spark.createDataFrame([("Brand#12",), ("Brand#34",)], "file string")
+    after = before.join(affected, "file", "left_semi").where("id % 2 = 0").select((c("id") + 1_000_000).alias("id"), "file")
+    return snapshots.spliced(before, after, affected)
+
+
 def _bindings(spark: SparkSession, d: str) -> DataFrame:
     """What one side of made-up bindings lacks: parts define, suppliers invoke, orders register."""
     names = lambda t, k: read(spark, d, t).select(F.col(k).cast("string").alias("name"))
@@ -163,6 +172,7 @@ QUERIES: dict[str, Query] = {
     "ts_diagnostics": lambda s, d: found_by(s, d, "typescript").diagnostics.groupBy("code", "severity").agg(F.count("*").alias("n")),
     "range_owner": _text_calls_owner,
     "rust_items": lambda s, d: rust.items(_tokens(s, d, "rust"), code.code_lines(_files(s, d, r"\.rs$"), "rust")).select("path", "line", "end", "kind", "name", "owner_type", F.array_join("module", "::").alias("module")),
+    "rust_modules": lambda s, d: rust.module_count(rust.items(_tokens(s, d, "rust"), code.code_lines(_files(s, d, r"\.rs$"), "rust"))),
     "rust_calls": _calls("rust", True),
     "rust_unresolved_calls": _calls("rust", False),
     # classes, objects, types, markup, and what only looks like code
@@ -186,6 +196,10 @@ QUERIES: dict[str, Query] = {
     "crossing_edges": lambda s, d: snapshots.crossing_edges(graph_of(s, d).edges, graph_of(s, d).nodes, _changed(s, d)).select("id"),
     "event_bursts": lambda s, d: watch.bursts(watch.relevant(_events(s, d)), "1 minute"),
     "fresh_errors": lambda s, d: watch.fresh_errors(_events(s, d).select(F.col("user_id").alias("session"), F.col("path").alias("operation"), F.lit("").alias("message"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at")), 3.6e9).select("session", "operation", F.col("at").cast("long").alias("at")).distinct(),
+    "framework_files": lambda s, d: rich_corpus_of(s, d).files.select("path", snapshots.framework_relevant(F.col("path"), F.col("content")).alias("relevant")),
+    "fallback_reasons": lambda s, d: read(s, d, "orders").select(snapshots.fallback_reason(*[F.col("o_orderkey") % k == 0 for k in (7, 5, 3)]).alias("reason")).groupBy("reason").agg(F.count("*").alias("n")),
+    "index_states": lambda s, d: read(s, d, "orders").select(snapshots.state(*[F.col("o_orderkey") % k == 0 for k in (11, 2, 7, 5, 3)]).alias("state")).groupBy("state").agg(F.count("*").alias("n")),
+    "spliced_nodes": _spliced,
     # shapes and views
     "nodes_standard": lambda s, d: output.shaped_nodes(graph_of(s, d).nodes.where("kind = 'function'"), "standard").drop("metadata"),
     "edges_compact": lambda s, d: output.shaped_edges(graph_of(s, d).edges.where("kind = 'imports'"), "compact").select("id", "source", "target", "kind", "confidence", F.size("evidence").alias("pieces"), F.col("evidence")[0]["line"].alias("line")),

@@ -57,6 +57,12 @@ with placed as (select c_custkey as k, 'src/model/c' || (c_custkey // 25) || '.t
 """
 
 SQL: dict[str, str] = {
+    "rust_modules": RS + "select count(distinct module) + 1 as modules from placed",
+    "framework_files": RICH + f"""select distinct path, false as relevant from placed union all select 'src/shared/chain' || c || '.ts', false from range(31) as r(c) union all select 'src/view/v' || n_nationkey || '.tsx', true from nation""",
+    "fallback_reasons": """select case when o_orderkey % 7 = 0 then 'graph schema changed' when o_orderkey % 5 = 0 then 'adapter version changed' when o_orderkey % 3 = 0 then 'configuration changed'
+        else 'changed files have dependency, framework, or unresolved relationships requiring a full adapter rebuild' end as reason, count(*) as n from orders group by 1""",
+    "index_states": "select case when o_orderkey % 2 <> 0 then 'missing' when o_orderkey % 11 = 0 or o_orderkey % 7 = 0 or o_orderkey % 5 = 0 or o_orderkey % 3 = 0 then 'stale' else 'fresh' end as state, count(*) as n from orders group by 1",
+    "spliced_nodes": "select p_partkey as id, p_brand as file from part where p_brand not in ('Brand#12', 'Brand#34') union all select p_partkey + 1000000, p_brand from part where p_brand in ('Brand#12', 'Brand#34') and p_partkey % 2 = 0",
     "stored_neighborhood": GRAPH_SQL["neighborhood_edges"],
     "stored_affected": GRAPH_SQL["affected_transitive"],
     "token_kinds": RICH + "select path, v.kind, sum(v.n)::bigint + (case when v.kind = 'string' then 1 else 0 end) as n from placed, (values ('comment', 2), ('template', 2), ('string', 1), ('number', 1)) as v(kind, n) group by path, v.kind",
