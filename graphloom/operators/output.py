@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,21 @@ def shaped_edges(edges: DataFrame, mode: str = "compact", most: int | None = Non
     return edges.select("id", "source", "target", "kind", "confidence", *more, proof.alias("evidence"))
 
 
+def format_output(result: object, mode: str = "compact", most: int | None = None) -> object:
+    """A result with every table of edges and every table of nodes in it in the shape of a mode, however it nests them; all else stays. Edges are looked for first."""
+    again = lambda x: format_output(x, mode, most)
+    if isinstance(result, DataFrame):
+        have = set(result.columns)
+        if {"id", "source", "target", "kind", "confidence", "evidence", "metadata"} <= have:
+            return shaped_edges(result, mode, most)
+        return shaped_nodes(result, mode) if {"id", "name", "kind", "qualified_name", "metadata"} <= have else result
+    if dataclasses.is_dataclass(result) and not isinstance(result, type):
+        return {f.name: again(getattr(result, f.name)) for f in dataclasses.fields(result)}
+    if isinstance(result, dict):
+        return {k: again(v) for k, v in result.items()}
+    return type(result)(map(again, result)) if isinstance(result, list | tuple) else result
+
+
 def as_objects(rows: DataFrame) -> DataFrame:
     """One JSON object per row; null fields stay out and JSON text in metadata becomes an object."""
     if "metadata" in rows.columns:

@@ -218,9 +218,10 @@ def _first_entries(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"component": list(entry), "entry": list(entry.values())})
 
 
-def cycles(graph: Graph, scope: str = "code", probable: bool = False, unresolved: bool = False) -> DataFrame:
-    """(members in path order, length) of the cycles that a depth-first search closes, whose roots and edges are taken in storage order."""
-    return cycles_of(scoped_edges(graph, scope, probable, unresolved, CYCLE_KINDS[scope == "code"]).select("ord", "source", "target"))
+def cycles(graph: Graph, scope: str = "code", probable: bool = False, unresolved: bool = False, limit: int | None = None) -> DataFrame:
+    """(members in path order, length) of the cycles that a depth-first search closes, whose roots and edges are taken in storage order; with a limit the first by their members."""
+    found = cycles_of(scoped_edges(graph, scope, probable, unresolved, CYCLE_KINDS[scope == "code"]).select("ord", "source", "target"))
+    return found if limit is None else found.orderBy("members").limit(limit)
 
 
 def cycles_of(edges: DataFrame) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ from ..extractors.manifests import PackageManifests
 from ..extractors.rust import Rust
 from ..extractors.typescript import TypeScript
 from ..functions.lineage import cut, scratch
+from ..functions.memo import per_folder
 from ..operators import architecture, output, snapshots, traverse, views
 from ..operators.lookups import clamp
 from ..schema import DIAGNOSTIC, EDGE, NODE, RUN, Graph, empty
@@ -31,7 +30,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 PART, FILE = "fn:p5", "standard/Brand1.ts"
 
 
-@lru_cache(maxsize=8)
+@per_folder(8)
 def found_by(spark: SparkSession, sf_dir: str, *names: str) -> Found:
     """What the named extractors find in the generated corpus, each one seeing those before it."""
     known = {e.name: e for e in (Files(), TypeScript(), Rust(), Markdown(), PackageManifests(), Linker())}
@@ -42,11 +41,11 @@ def found_by(spark: SparkSession, sf_dir: str, *names: str) -> Found:
     return out
 
 
-@lru_cache(maxsize=8)
+@per_folder(8)
 def rich_found(spark: SparkSession, sf_dir: str, components: bool = False) -> Found:
     """What the TypeScript extractor, and with components the one of components after it, find in the corpus of classes and markup."""
     corpus = rich_corpus_of(spark, sf_dir)
-    before = rich_found(spark, sf_dir) if components else Found(empty(spark, NODE), empty(spark, EDGE), empty(spark, DIAGNOSTIC))
+    before = rich_found(spark, sf_dir, False) if components else Found(empty(spark, NODE), empty(spark, EDGE), empty(spark, DIAGNOSTIC))
     one = (Components() if components else TypeScript()).extract(corpus, before).complete(spark)
     return Found(cut(merged(before.nodes.unionByName(one.nodes))), cut(merged(before.edges.unionByName(one.edges))), cut(before.diagnostics.unionByName(one.diagnostics)))
 
@@ -103,7 +102,7 @@ def _changed(spark: SparkSession, d: str) -> DataFrame:
     return spark.range(1).select(F.lit(FILE).alias("path"), F.lit("modified").alias("change"))
 
 
-@lru_cache(maxsize=4)
+@per_folder(4)
 def stored(spark: SparkSession, sf_dir: str) -> str:
     """The relational graph, written once per session as an index."""
     index = scratch(spark)

@@ -5,14 +5,13 @@ Files hold a bounded number of rows each (blocks of keys), so the corpus grows i
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..extractors.base import Corpus
 from ..functions.lineage import cut
+from ..functions.memo import per_folder
 from .tables import read
 
 #: Rows that a file of code, a document and a file of classes hold, and re-exports between a class and those that extend it.
@@ -113,13 +112,13 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@lru_cache(maxsize=4)
+@per_folder(4)
 def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
     """The corpus of a folder of tables, written once per session."""
     return Corpus(cut(files_of(spark, sf_dir)), "generated", "generated")
 
 
-@lru_cache(maxsize=4)
+@per_folder(4)
 def rich_corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
     """Classes, objects, types, markup, re-exports, and text that only looks like code; written once per session."""
     files = class_files(read(spark, sf_dir, "customer")).unionByName(chain_files(spark)).unionByName(view_files(read(spark, sf_dir, "nation")))

@@ -6,13 +6,12 @@ branches before they are read. All keys are made from the rows' own keys; nothin
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.contains import containment_join
+from ..functions.memo import per_folder
 from ..schema import DIAGNOSTIC, EDGE, EVIDENCE, NODE, RUN, Graph, shaped, sortable
 
 ADAPTER = "tables"
@@ -139,7 +138,7 @@ def runs(graph_nodes: DataFrame, graph_edges: DataFrame, graph_diagnostics: Data
     return shaped(joined.withColumns({"detected": F.lit(True), "duration_ms": F.lit(0)}), RUN)
 
 
-@lru_cache(maxsize=8)
+@per_folder(8)
 def graph_of(spark: SparkSession, sf_dir: str) -> Graph:
     """The graph of a folder of tables: plans only, built once per session."""
     n, e, d = nodes(spark, sf_dir), edges(spark, sf_dir), diagnostics(spark, sf_dir)

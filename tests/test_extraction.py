@@ -103,6 +103,8 @@ def test_output_shapes(analysed):
     compact = output.shaped_edges(graph.edges, "compact", 0).first()
     assert compact["evidence"] == [] and set(output.shaped_edges(graph.edges, "compact").first()["evidence"][0].asDict()) == {"file", "line", "column"}
     assert output.evidence_kept("standard") == 3 and output.evidence_kept("full", 1000) == 100
+    around = output.format_output({"graph": [graph, {"left": 1}], "n": None}, "compact", 0)
+    assert around["graph"][0]["nodes"].columns == ["id", "name", "kind", "file", "start_line"] and around["graph"][0]["edges"].first()["evidence"] == [] and around["graph"][1] == {"left": 1}
     told = [json.loads(r["value"]) for r in output.as_objects(graph.nodes.where("kind = 'function'")).collect()]
     assert all(isinstance(t["metadata"], dict) and None not in t.values() for t in told)
     rows = graph.spark.createDataFrame([('{"symbolCount": 3, "other": 1}',), (None,), ('{"other": 1}',)], "metadata string")
