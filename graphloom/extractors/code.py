@@ -7,6 +7,8 @@ statements; declarations, calls and bindings are patterns over its tokens. Rows
 from __future__ import annotations
 
 import heapq
+import itertools
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,44 +39,63 @@ def in_context(tokens: DataFrame, back: int = 2, ahead: int = 3) -> DataFrame:
     return code.select("*", *text, *more)
 
 
-def _around(places: pa.Table, ranges: pa.Table, at: str, to: str) -> list[int | None]:
-    """For each place the number of the smallest range around it: ranges are taken up as the places reach them, and leave when they have ended."""
-    starts, ends, where = (t.column(c).to_pylist() for t, c in ((ranges, at), (ranges, to), (places, at)))
-    order = sorted(range(len(starts)), key=lambda k: starts[k])
-    out: list[int | None] = [None] * len(where)
-    active: list[tuple[int, int, int]] = []
-    taken = 0
-    for p in sorted((p for p in range(len(where)) if where[p] is not None), key=lambda p: where[p]):
-        while taken < len(order) and starts[order[taken]] <= where[p]:
-            k = order[taken]
-            heapq.heappush(active, (ends[k] - starts[k], starts[k], k))
-            taken += 1
-        while active and ends[active[0][2]] < where[p]:
-            heapq.heappop(active)
-        if active:
-            out[p] = active[0][2]
-    return out
+def swept(places: DataFrame, ranges: DataFrame, at: str, to: str, name: str, field: T.DataType, choose: Callable[[list[tuple[int, int, int]], int], object], strictly: bool = False) -> DataFrame:
+    """places (path, at, ...) with what choose makes of the ranges (path, at, to, ...) that have begun at each, strictly before it or there.
+
+    Places and ranges of a file come sorted, and files come one after the other, so a task passes any number of them in one go. choose(open, place) gets the heap of
+    (length, start, end, number) of the ranges that have begun, and may take ended ones off it; it gives the number, or a list of numbers, of ranges."""
+    fields = [c for c in ranges.columns if c != "path"]
+    begun, met = (1, 0) if strictly else (0, 1)
+    one = ranges.select("path", F.col(at).alias("_at"), F.lit(begun).alias("_turn"), F.col(to).alias("_to"), F.struct(*fields).alias("_range"), F.lit(None).alias("_place"))
+    both = one.unionByName(places.select("path", F.col(at).alias("_at"), F.lit(met).alias("_turn"), F.lit(None).alias("_to"), F.lit(None).alias("_range"), F.struct(*places.columns).alias("_place")))
+    schema = T.StructType([*places.schema.fields, T.StructField(name, field)])
+    names = places.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, carried = None, None
+        open_: list[tuple[int, int, int, int]] = []
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            known = column("_range") if carried is None else pa.concat_arrays([carried, column("_range")])
+            rows, chosen, first = [], [], len(known) - batch.num_rows
+            for row, (path, place, turn, end) in enumerate(zip(*(column(c).to_pylist() for c in ("path", "_at", "_turn", "_to")), strict=True)):
+                if path != file:
+                    file, open_ = path, []
+                if turn == begun:
+                    heapq.heappush(open_, (end - place, place, end, first + row))
+                else:
+                    rows.append(row)
+                    chosen.append(None if place is None else choose(open_, place))
+            if rows:
+                yield pa.RecordBatch.from_arrays([*column("_place").take(pa.array(rows)).flatten(), _taken(known, chosen)], names=[*names, name])
+            # the ranges that the next batch may lie in
+            open_.sort()
+            carried = known.take(pa.array([r[3] for r in open_], pa.int64()))
+            open_ = [(*r[:3], k) for k, r in enumerate(open_)]
+
+    def _taken(known: pa.Array, chosen: list) -> pa.Array:
+        if not isinstance(field, T.ArrayType):
+            return known.take(pa.array(chosen, pa.int64()))
+        offsets = [0, *itertools.accumulate(len(x or ()) for x in chosen)]
+        flat = known.take(pa.array([k for x in chosen for k in x or ()], pa.int64()))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.field(0))
+
+    return both.repartition("path").sortWithinPartitions("path", "_at", "_turn", F.desc("_to")).mapInArrow(run, schema)
+
+
+def _smallest(open_: list[tuple[int, int, int, int]], place: int) -> int | None:
+    while open_ and open_[0][2] < place:
+        heapq.heappop(open_)
+    return open_[0][3] if open_ else None
 
 
 def with_owner(places: DataFrame, ranges: DataFrame, name: str = "owner", at: str = "line", to: str = "end") -> DataFrame:
     """places (path, at, ...) with the fields of the smallest range (path, at, to, ...) around each as a struct; null outside all.
 
-    A sweep over one file's sorted starts and places: no row carries more than its own owner."""
+    A sweep over sorted starts and places: no row carries more than its own owner."""
     fields = [c for c in ranges.columns if c != "path"]
     struct = T.StructType([T.StructField(c, ranges.schema[c].dataType) for c in fields])
-
-    def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
-        right = right.rename_columns([c.removeprefix("r_") for c in right.column_names]).sort_by([(c, "ascending") for c in (at, to)])
-        found = pa.array(_around(left, right, at, to), pa.int64())
-        taken = right.select(fields).take(found)
-        columns = [taken.column(c).combine_chunks() for c in fields]
-        owner = pa.StructArray.from_arrays(columns, fields=[pa.field(c, x.type) for c, x in zip(fields, columns, strict=True)], mask=found.is_null())
-        return left.append_column(name, owner)
-
-    schema = T.StructType([*places.schema.fields, T.StructField(name, struct)])
-    # names of their own: both sides may stem from one table
-    other = ranges.select(*[F.col(c).alias(f"r_{c}") for c in ("path", *fields)])
-    return places.groupBy("path").cogroup(other.groupBy("r_path")).applyInArrow(sweep, schema)
+    return swept(places, ranges, at, to, name, struct, _smallest)
 
 
 def calls_in(lines: DataFrame, pattern: str, keywords: tuple[str, ...]) -> DataFrame:

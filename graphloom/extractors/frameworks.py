@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import settled
 from .base import RUST_FILES, TYPESCRIPT_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, matches, node_rows, union
 from .code import code_lines, in_context, with_owner
 from .lexer import tokens
@@ -41,7 +41,7 @@ class Components:
         parts = callable_.where(looks)
         refined = parts.withColumn("metadata", F.to_json(F.struct(c("kind").alias("originalKind"), c("adapter").alias("originalAdapter"), F.get_json_object("metadata", "$.jsxCandidate").alias("jsxCandidate")))).withColumn("kind", F.lit("react_component")).withColumn("adapter", F.lit(self.name)).withColumn("ord", F.concat(F.lit(f"{self.rank:02d}:"), "ord"))
         ranges = _ranges(callable_)
-        code = cut(in_context(tokens(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)), "typescript"), 1, 4))
+        code = settled(in_context(tokens(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)), "typescript"), 1, 4))
         by_name = parts.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("one"))
         shown_tags = code.where((c("kind") == "jsx") & c("text").rlike("^[A-Z]"))
         tags = shown_tags.select("path", "line", "column", F.element_at(F.split("text", r"\."), -1).alias("name"))
@@ -94,8 +94,8 @@ def event_names(said: DataFrame, toks: DataFrame, nodes: DataFrame) -> DataFrame
     c = F.col
     ranges = _ranges(nodes, ("function", "method"), "rust")
     constants = with_owner(constants_of(toks), ranges)
-    constants = cut(constants.select(key(F.concat(module_of(c("path")), F.array("name"))).alias("at"), c("path").alias("c_path"), c("line").alias("c_line"), c("owner.id").alias("c_owner"), "value"))
-    bound = cut(use_bindings(toks, ranges, "line", "end").where("not wildcard and owner_id is null").select(key(c("module")).alias("from"), "alias", key(c("target")).alias("imported")))
+    constants = settled(constants.select(key(F.concat(module_of(c("path")), F.array("name"))).alias("at"), c("path").alias("c_path"), c("line").alias("c_line"), c("owner.id").alias("c_owner"), "value"))
+    bound = settled(use_bindings(toks, ranges, "line", "end").where("not wildcard and owner_id is null").select(key(c("module")).alias("from"), "alias", key(c("target")).alias("imported")))
     open_ = said.select("call", "path", "line", "owner_id", F.regexp_replace(F.trim("expression"), "^&", "").alias("expression"))
     done, seen = [], None
     while True:
@@ -110,7 +110,7 @@ def event_names(said: DataFrame, toks: DataFrame, nodes: DataFrame) -> DataFrame
         here = c("c_path") == c("path")
         best = met.groupBy("call").agg(F.max_by(F.struct("c_path", "c_line", "c_owner", "value"), F.struct(here, c("c_line"))).alias("k"), F.count_if(here).alias("near"), F.count("*").alias("n"))
         chosen = best.where("near > 0 or n = 1")
-        open_ = cut(chosen.select("call", c("k.c_path").alias("path"), c("k.c_line").alias("line"), c("k.c_owner").alias("owner_id"), c("k.value").alias("expression")))
+        open_ = settled(chosen.select("call", c("k.c_path").alias("path"), c("k.c_line").alias("line"), c("k.c_owner").alias("owner_id"), c("k.value").alias("expression")))
         if open_.isEmpty():
             break
         seen = union(seen, open_.select("call", c("path").alias("c_path"), c("line").alias("c_line")))
@@ -152,8 +152,8 @@ class Bridge:
         parts.append(edge_rows(placed.where("kind <> 'invokes'"), self.name, self.rank, c("kind"), F.when(to_event, c("owner_id")).otherwise(event), F.when(to_event, event).otherwise(c("owner_id")), "exact", c("path"), c("line"), c("column"), F.concat("kind", F.lit("()")), c("name"), "literal-event-name", metadata=F.lit(extra)))
         # registrations
         rust_files = corpus.files.where(c("path").rlike(RUST_FILES))
-        rust_tokens = cut(in_context(tokens(rust_files, "rust"), 2, 2))
-        registered = cut(handler_tokens(rust_tokens))
+        rust_tokens = settled(in_context(tokens(rust_files, "rust"), 2, 2))
+        registered = settled(handler_tokens(rust_tokens))
         parts.append(edge_rows(registered, self.name, self.rank, "registers", file_id(corpus, c("path")), command, "exact", c("path"), c("line"), c("column"), "generate_handler! handler", c("name"), "literal-handler-token", metadata=F.lit(extra)))
         # the backend's event expressions
         rust = code_lines(rust_files, "rust")
@@ -163,7 +163,7 @@ class Bridge:
         # events belong to the function around them; outside of any there is none to own them
         raised = with_owner(raised, ranges).where("owner is not null").withColumn("owner_id", c("owner.id"))
         inside = F.instr(F.expr("substring(text, at)"), c("expression"))
-        raised = cut(raised.select("path", "line", "kind", "expression", "owner_id", (c("at") + inside - 1).alias("column")).withColumn("call", F.monotonically_increasing_id()))
+        raised = settled(raised.select("path", "line", "kind", "expression", "owner_id", (c("at") + inside - 1).alias("column")).withColumn("call", F.monotonically_increasing_id()))
         named = event_names(raised, rust_tokens, graph.nodes)
         fine, open_ = named.where("event is not null").withColumn("name", c("event")), named.where("event is null")
         blank = id_of(corpus, "unresolved_symbol", F.concat(F.lit("tauri:event-expression:"), "path", F.lit(":"), "expression"), c("path"), "framework")

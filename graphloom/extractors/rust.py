@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fixpoint import fixpoint
-from ..functions.lineage import cut
+from ..functions.lineage import settled
 from .base import RUST_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, matches, node_rows, union
-from .code import calls_in, code_lines, in_context, with_owner
+from .code import calls_in, code_lines, in_context, swept, with_owner
 from .lexer import tokens
 
 ADAPTER, RANK = "rust", 11
@@ -57,23 +56,12 @@ def modules(toks: DataFrame) -> DataFrame:
 def with_module(places: DataFrame, inline: DataFrame, at: str = "line", to: str = "end", strictly: bool = False) -> DataFrame:
     """places with module: the file's module path and the modules around the place in it, from the outermost.
 
-    A sweep over one file's places: the modules that are open at a place are a stack."""
-    def sweep(left: pa.Table, right: pa.Table) -> pa.Table:
-        ranges = sorted(zip(*(right.column(f"r_{c}").to_pylist() for c in (at, to, "name")), strict=True), key=lambda r: (r[0], -r[1]))
-        where = left.column(at).to_pylist()
-        out: list[list[str]] = [[] for _ in where]
-        open_: list[tuple[int, int, str]] = []
-        taken = 0
-        for p in sorted(range(len(where)), key=lambda p: where[p]):
-            while taken < len(ranges) and (ranges[taken][0] < where[p] if strictly else ranges[taken][0] <= where[p]):
-                open_ = [r for r in open_ if r[1] >= ranges[taken][0]] + [ranges[taken]]
-                taken += 1
-            out[p] = [name for _, end, name in open_ if end >= where[p]]
-        return left.append_column("_inner", pa.array(out, pa.list_(pa.string())))
-
-    schema = T.StructType([*places.schema.fields, T.StructField("_inner", T.ArrayType(T.StringType()))])
-    other = inline.select(*[F.col(c).alias(f"r_{c}") for c in ("path", at, to, "name")])
-    found = places.groupBy("path").cogroup(other.groupBy("r_path")).applyInArrow(sweep, schema)
+    A sweep over sorted places: the modules that are open at a place, by their starts, are its path."""
+    def around(open_: list[tuple[int, int, int, int]], place: int) -> list[int]:
+        open_[:] = [r for r in open_ if r[2] >= place]
+        return [r[3] for r in sorted(open_, key=lambda r: (r[1], -r[2]))]
+
+    found = swept(places, inline.select("path", "name", at, to), at, to, "_inner", T.ArrayType(T.StringType()), around, strictly)
     return found.withColumn("module", F.concat(module_of(F.col("path")), "_inner")).drop("_inner")
 
 
@@ -90,7 +78,7 @@ def attributes(lines: DataFrame) -> DataFrame:
 def items(toks: DataFrame, lines: DataFrame) -> DataFrame:
     """path, i, to, line, end, column, kind, name, owner_type, trait_owner, module, attributes of functions, methods, types, traits and modules."""
     c = F.col
-    code = cut(in_context(toks, 1, 2))
+    code = settled(in_context(toks, 1, 2))
     word = c("kind") == "word"
     # the header of an impl block: the texts up to its brace
     blocks = code.where(word & (c("text") == "impl") & ((c("i") == c("stmt")) | F.coalesce(c("p1").isin("unsafe", "]", "default"), F.lit(False)))).select("path", "stmt", "depth", c("i").alias("from"), "stop", "line", "stop_line")
@@ -169,7 +157,7 @@ def followed(bindings: DataFrame, functions: DataFrame) -> DataFrame:
         by_wild = open_.join(wild, "there").select("module", "alias", "owner", key(F.concat("base", F.array("name"))).alias("at"), key(F.col("base")).alias("there"), "name")
         return by_name.unionByName(by_wild).select(*columns)
 
-    reached = fixpoint(cut(seed), step, ["module", "alias", "owner", "at"])
+    reached = fixpoint(settled(seed), step, ["module", "alias", "owner", "at"])
     return reached.join(functions.select("at", "id"), "at").select("module", "alias", F.when(F.col("owner") != "", F.col("owner")).alias("owner_id"), "id").distinct()
 
 
@@ -194,11 +182,11 @@ class Rust:
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
         files = corpus.files.where(c("path").rlike(RUST_FILES))
-        toks = cut(in_context(tokens(files, "rust"), 1, 2))
-        lines = cut(code_lines(files, "rust"))
+        toks = settled(in_context(tokens(files, "rust"), 1, 2))
+        lines = settled(code_lines(files, "rust"))
         inline = modules(toks)
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))
-        found = cut(items(toks, lines).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "rust", place)))
+        found = settled(items(toks, lines).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "rust", place)))
         facts = F.to_json(F.struct(F.transform("attributes", lambda a: a["name"]).alias("attributes"), F.transform("attributes", lambda a: a["at"]).alias("attributeLines"), c("module").alias("modulePath"), c("owner_type").alias("ownerType"), c("trait_owner").alias("traitOwner")))
         macros = matches(lines, "bare", rf"\b({NAME})!\s*[(\[{{]", "macro").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "macro"))).alias("macros"))
         with_macros = files.select("path").join(macros, "path", "left").withColumn("module", module_of(c("path")))
@@ -214,13 +202,13 @@ class Rust:
         functions = found.where("kind = 'function'").select(key(F.concat("module", F.array("name"))).alias("at"), "name", "id")
         methods = found.where("kind = 'method' and owner_type is not null and trait_owner is null").select(key(F.concat("module", F.array("owner_type", "name"))).alias("at"), "id")
         bodies = found.where("kind in ('function', 'method')").select("path", "i", "to", "line", "end", "id", "owner_type", "name", "module")
-        bound = cut(use_bindings(toks, bodies))
+        bound = settled(use_bindings(toks, bodies))
         visible = bound.select(key(c("module")).alias("from"), "alias", "target", "wildcard", "owner_id")
         # calls
         said = with_owner(calls_in(lines.where(~c("bare").rlike(r"^\s*#!?\s*\[")), CALL, KEYWORDS), bodies.drop("i", "to"))
         said = said.join(found.select("path", "line", c("name").alias("callee")), ["path", "line", "callee"], "left_anti")
         outer = with_module(said, inline).withColumn("module", F.coalesce("owner.module", "module"))
-        calls = cut(outer.withColumn("source", F.coalesce("owner.id", file_id(corpus, c("path")))).withColumn("owner_type", c("owner.owner_type")).withColumn("owner_id", c("owner.id")).drop("owner").withColumn("call", F.monotonically_increasing_id()))
+        calls = settled(outer.withColumn("source", F.coalesce("owner.id", file_id(corpus, c("path")))).withColumn("owner_type", c("owner.owner_type")).withColumn("owner_id", c("owner.id")).drop("owner").withColumn("call", F.monotonically_increasing_id()))
         dotted = c("callee").contains(".")
         paths = calls.where(~dotted).withColumn("parts", F.split("callee", "::")).withColumn("from", key(c("module")))
         mine = lambda df: df.where("owner_id_ is null or owner_id_ = owner_id")  # noqa: E731  bindings inside a function are its own
@@ -257,7 +245,7 @@ class Rust:
         every = union(keyed, by_import, by_wild, by_module, by_name, by_type)
         best = every.groupBy("call").agg(F.min("rank").alias("rank"))
         hit = every.join(best, ["call", "rank"]).groupBy("call", "rank").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-        met = cut(calls.join(hit, "call", "left").withColumn("candidates", F.coalesce(F.size("ids"), F.lit(0))))
+        met = settled(calls.join(hit, "call", "left").withColumn("candidates", F.coalesce(F.size("ids"), F.lit(0))))
         one = met.where("candidates = 1")
         sure = F.when(c("rank") == 4, "probable").otherwise("resolved")
         how = F.when(dotted, "syntactic-receiver-type").when(c("rank") == 4, "unique-repository-name").when(c("callee").contains("::"), "repository-module-path").otherwise("module-or-import-binding")

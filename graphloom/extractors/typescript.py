@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import fixpoint
-from ..functions.lineage import cut
+from ..functions.lineage import settled
 from ..functions.text import package_of
 from .base import TYPESCRIPT_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, node_rows, union
 from .code import in_context, resolve_imports, with_owner
@@ -40,7 +40,7 @@ def _at(tokens_: DataFrame, index: str, prefix: str, *columns: str) -> DataFrame
 def declarations(toks: DataFrame) -> DataFrame:
     """path, i, to (first and last token), line, end, column, kind, name, class, arrow, exported, default, async, jsx, name_i; arrow and function expressions count as functions."""
     c = F.col
-    code = cut(in_context(toks, 4, 4).withColumn("markup", F.sum((c("kind") == "jsx").cast("int")).over(W.partitionBy("path").orderBy("i"))))
+    code = settled(in_context(toks, 4, 4).withColumn("markup", F.sum((c("kind") == "jsx").cast("int")).over(W.partitionBy("path").orderBy("i"))))
     word = c("kind") == "word"
     statement = code.where(word & c("text").isin("function", "class", "interface", "type")).where(_leads())
     named = F.when((c("text") == "function") & (c("t1") == "*"), c("t2")).otherwise(c("t1"))
@@ -72,7 +72,7 @@ def declarations(toks: DataFrame) -> DataFrame:
     whole = F.coalesce(c("open_then") == "{", F.lit(False))
     members = members.where(modified & (whole | ((c("up_role") == "class") & F.coalesce(c("open_then").isin(";", "}"), F.lit(True)) & (c("text") != "constructor"))))
     methods = members.select("path", c("stmt").alias("i"), c("stop").alias("to"), F.lit("method").alias("kind"), c("text").alias("name"), c("i").alias("name_i"), "depth", F.lit(False).alias("arrow"), F.array("p1", "p2", "p3").alias("before"))
-    every = cut(union(plain, variables, methods))
+    every = settled(union(plain, variables, methods))
     classes = every.where("kind = 'class'").select("path", c("i").alias("name_i"), "to", c("name").alias("class"))
     owned = with_owner(every, classes, "around", "name_i", "to").withColumn("class", F.when(c("kind") != "class", c("around.class"))).drop("around")
     place = _at(code, "i", "", "line", "column", "markup")
@@ -95,7 +95,7 @@ def imports(toks: DataFrame, files: DataFrame) -> DataFrame:
 def names_of(toks: DataFrame) -> DataFrame:
     """path, stmt, word, original, alias of every name that an import or export statement lists: default for a default one, * for all."""
     c = F.col
-    code = cut(in_context(toks, 2, 4))
+    code = settled(in_context(toks, 2, 4))
     heads = code.where("i = stmt and depth = 0 and text in ('import', 'export')").select("path", "stmt", c("text").alias("word"))
     top = code.where("depth = 0").join(heads, ["path", "stmt"])
     is_name = c("kind") == "word"
@@ -129,9 +129,9 @@ def exports(toks: DataFrame, taken: DataFrame, declared: DataFrame, bound: DataF
     local = here.join(outer.select("path", c("name").alias("original"), "id", "kind"), ["path", "original"]).select("path", c("alias").alias("name"), "id", "kind")
     # a name that was imported and is given on is a re-export
     passed = here.select("path", "original", c("alias").alias("name")).join(bound.where("original <> '*'").select("path", c("alias").alias("original"), c("original").alias("there"), "target"), ["path", "original"]).select("path", "name", "there", "target")
-    links = cut(passed.unionByName(listed.where("target is not null and original <> '*'").select("path", c("alias").alias("name"), c("original").alias("there"), "target")))
-    stars = cut(listed.where("target is not null and original = '*' and alias = '*'").select("path", "target").distinct())
-    named = cut(union(own.select("path", "name"), local.select("path", "name"), links.select("path", "name")).distinct())
+    links = settled(passed.unionByName(listed.where("target is not null and original <> '*'").select("path", c("alias").alias("name"), c("original").alias("there"), "target")))
+    stars = settled(listed.where("target is not null and original = '*' and alias = '*'").select("path", "target").distinct())
+    named = settled(union(own.select("path", "name"), local.select("path", "name"), links.select("path", "name")).distinct())
 
     def given(new: DataFrame) -> DataFrame:
         there = new.select(c("path").alias("target"), c("name").alias("there"), "id", "kind")
@@ -171,8 +171,8 @@ def resolved_calls(calls: DataFrame, declared: DataFrame, bound: DataFrame, expo
     Plain names meet declarations in scope, this.x the methods of the class around and of the classes it extends, X.y the methods of a
     class or the exports of a module in scope, v.y and this.f.y those of the type given to a variable or field. Each way is an equi-join by file and name."""
     c = F.col
-    scope = cut(named_in_scope(declared, bound, exported))
-    rows = cut(calls.withColumn("call", F.monotonically_increasing_id()).withColumn("parts", F.split("callee", r"\.")))
+    scope = settled(named_in_scope(declared, bound, exported))
+    rows = settled(calls.withColumn("call", F.monotonically_increasing_id()).withColumn("parts", F.split("callee", r"\.")))
     plain = rows.where(F.size("parts") == 1).select("call", "path", c("callee").alias("name")).join(scope.where("kind in ('function', 'class')"), ["path", "name"]).select("call", "id")
     # (class_id, name, id, far): methods of a class, its own and inherited ones
     classes = declared.where("kind = 'class'").select("path", c("name").alias("class"), c("id").alias("class_id"))
@@ -237,9 +237,9 @@ class TypeScript:
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
         files = corpus.files.where(c("path").rlike(TYPESCRIPT_FILES))
-        toks = cut(in_context(tokens(files, "typescript"), 4, 4))
+        toks = settled(in_context(tokens(files, "typescript"), 4, 4))
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))
-        declared = cut(declarations(toks).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "typescript", place)))
+        declared = settled(declarations(toks).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "typescript", place)))
         facts = F.to_json(F.struct("async", "exported", "arrow", c("jsx").alias("jsxCandidate")))
         nodes = [
             node_rows(files, corpus, ADAPTER, RANK, "file", F.element_at(F.split("path", "/"), -1), c("path"), language="typescript", file=c("path")),
@@ -247,7 +247,7 @@ class TypeScript:
         ]
         contains = edge_rows(declared, ADAPTER, RANK, "contains", file_id(corpus, c("path")), c("id"), "exact", c("path"), c("line"), c("column"))
         # imports
-        taken = cut(imports(toks, files))
+        taken = settled(imports(toks, files))
         away = (~c("specifier").startswith(".")) & c("target").isNull()
         package = package_of(c("specifier"))
         lost = c("target").isNull() & c("specifier").startswith(".")
@@ -257,8 +257,8 @@ class TypeScript:
         import_edges = edge_rows(taken, ADAPTER, RANK, "imports", file_id(corpus, c("path")), target, F.when(lost, "unresolved").otherwise("resolved"), c("path"), c("line"), c("column"), None, c("specifier"), F.when(c("target").isNotNull(), "module-file").otherwise(F.when(lost, "unresolved").otherwise("resolved")))
         misses = diagnostic_rows(taken.where(lost), ADAPTER, "unresolved-import", "warning", F.concat(F.lit("Unable to resolve import "), "specifier"), c("path"), c("line"))
         # calls
-        bound = cut(bindings(toks, taken))
-        exported = cut(exports(toks, taken, declared, bound))
+        bound = settled(bindings(toks, taken))
+        exported = settled(exports(toks, taken, declared, bound))
         scope = named_in_scope(declared, bound, exported)
         ranges = declared.select("path", "i", "to", "id", "class", "name", "kind")
         # classes and what they extend
@@ -268,7 +268,7 @@ class TypeScript:
         parents = over.join(scope.where("kind = 'class'").select("path", "name", c("id").alias("over")), ["path", "name"]).select("class_id", "over").where("class_id <> over").distinct()
         said = with_owner(calls_of(toks, declared), ranges, "owner", "i", "to")
         said = said.withColumn("owner_id", c("owner.id")).withColumn("class", F.when(c("owner.kind") == "class", c("owner.name")).otherwise(c("owner.class")))
-        met = cut(resolved_calls(said, declared, bound, exported, typed_names(toks, declared), parents).withColumn("source", F.coalesce("owner_id", file_id(corpus, c("path")))))
+        met = settled(resolved_calls(said, declared, bound, exported, typed_names(toks, declared), parents).withColumn("source", F.coalesce("owner_id", file_id(corpus, c("path")))))
         member = c("callee").contains(".")
         last = F.element_at(F.split("callee", r"\."), -1)
         scope_name = F.when(member & last.isin(*LOW_VALUE), "<common-method>").otherwise(c("callee"))

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from .lineage import cut
+from .lineage import merging, settled
 
 #: Rounds after which the rows found so far are written together, so that a long chain keeps a short plan.
 FOLD = 8
@@ -18,13 +18,13 @@ def fixpoint(seed: DataFrame, rules: Callable[[DataFrame], DataFrame], keys: lis
 
     Each round's new rows are written to the shared folder. Rounds are as many as the longest derivation has steps."""
     keys = keys or seed.columns
-    delta = cut(seed.dropDuplicates(keys))
+    delta = settled(seed.dropDuplicates(keys))
     parts = [delta]
     while not delta.isEmpty():
         known = reduce(DataFrame.unionByName, parts)
         if len(parts) > FOLD:
-            known = cut(known)
+            known = settled(known)
             parts = [known]
-        delta = cut(rules(delta).select(*seed.columns).dropDuplicates(keys).join(known.select(*keys), keys, "left_anti").select(*seed.columns))
+        delta = settled(rules(delta).select(*seed.columns).dropDuplicates(keys).join(merging(known.select(*keys)), keys, "left_anti").select(*seed.columns))
         parts.append(delta)
-    return reduce(DataFrame.unionByName, parts)
+    return merging(reduce(DataFrame.unionByName, parts))

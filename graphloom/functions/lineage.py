@@ -25,3 +25,14 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def merging(df: DataFrame) -> DataFrame:
+    """df, to be joined by sorting and merging. Files of repeated words and names are a hundredth of their rows in memory, so by their size Spark takes
+    tables that grow with the corpus for small ones and sends them whole through the driver. F.broadcast() of what is bounded goes before this."""
+    return df.hint("merge")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """cut() of a table that grows with the corpus: its joins merge, whatever its files weigh."""
+    return merging(cut(df))

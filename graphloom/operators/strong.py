@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixpoint import fixpoint
-from ..functions.lineage import cut
+from ..functions.lineage import settled
 
 
 def trimmed(edges: DataFrame, both: bool = True) -> DataFrame:
@@ -18,7 +18,7 @@ def trimmed(edges: DataFrame, both: bool = True) -> DataFrame:
         edges = edges.join(edges.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
         if both:
             edges = edges.join(edges.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        edges = cut(edges)
+        edges = settled(edges)
         now = edges.count()
         if now == left:
             break
@@ -28,14 +28,14 @@ def trimmed(edges: DataFrame, both: bool = True) -> DataFrame:
 
 def least_ancestor(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(node, label): the least label of a node and of all that reach it; labels(node, label). Only labels that have become less go on."""
-    known = cut(labels)
+    known = settled(labels)
     new = known
     while True:
         sent = new.select(F.col("node").alias("source"), "label").join(edges.select("source", "target"), "source").groupBy(F.col("target").alias("node")).agg(F.min("label").alias("sent"))
-        new = cut(sent.join(known, "node", "left").where("label is null or sent < label").select("node", F.col("sent").alias("label")))
+        new = settled(sent.join(known, "node", "left").where("label is null or sent < label").select("node", F.col("sent").alias("label")))
         if new.isEmpty():
             return known
-        known = cut(known.join(new.select("node", F.col("label").alias("less")), "node", "full").select("node", F.coalesce("less", "label").alias("label")))
+        known = settled(known.join(new.select("node", F.col("label").alias("less")), "node", "full").select("node", F.coalesce("less", "label").alias("label")))
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -52,14 +52,14 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
         nodes = left.select(F.explode(F.array("source", "target")).alias("node")).distinct()
         colour = least_ancestor(left, nodes.select("node", F.col("node").alias("label")))
         end = lambda e: colour.select(F.col("node").alias(e), F.col("label").alias(f"{e}_colour"))  # noqa: E731, B023
-        inside = cut(left.join(end("source"), "source").join(end("target"), "target").where("source_colour = target_colour").select("source", "target", F.col("source_colour").alias("colour")))
+        inside = settled(left.join(end("source"), "source").join(end("target"), "target").where("source_colour = target_colour").select("source", "target", F.col("source_colour").alias("colour")))
         back = inside.select(F.col("target").alias("node"), F.col("source").alias("before"))
         reached = fixpoint(colour.where("node = label").select("node", F.col("label").alias("component")), lambda new: new.join(back, "node").select(F.col("before").alias("node"), "component"), ["node"])  # noqa: B023
-        reached = cut(reached)
+        reached = settled(reached)
         found.append(reached)
         done = reached.select("node")
-        left = cut(inside.join(done.withColumnRenamed("node", "source"), "source", "left_anti").join(done.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
+        left = settled(inside.join(done.withColumnRenamed("node", "source"), "source", "left_anti").join(done.withColumnRenamed("node", "target"), "target", "left_anti").select("source", "target"))
     if not found:
         return edges.select(F.col("source").alias("node"), F.col("source").alias("component")).limit(0)
-    every = cut(reduce(DataFrame.unionByName, found))
+    every = settled(reduce(DataFrame.unionByName, found))
     return every.join(every.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi").select("node", "component")

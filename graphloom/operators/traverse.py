@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import settled
 from ..schema import CONFIDENCES, Graph
 from .lookups import clamp, file_nodes, search_symbols, symbol
 from .scope import end_in_scope, is_test_file, node_in_scope, scoped_edges, scoped_nodes, trusted
@@ -233,18 +233,18 @@ def cycles_of(edges: DataFrame) -> DataFrame:
     c = F.col
     edges = edges.where("source is not null and target is not null")
     # roots are sources in the order of their first edge, whether or not that edge leads to a cycle; a node's root is the first one that reaches it
-    first = cut(edges.groupBy(c("source").alias("node")).agg(F.min(F.struct("ord", c("source").alias("root"))).alias("label")))
-    edges = cut(trimmed(edges, both=False))
+    first = settled(edges.groupBy(c("source").alias("node")).agg(F.min(F.struct("ord", c("source").alias("root"))).alias("label")))
+    edges = settled(trimmed(edges, both=False))
     loops = edges.where("source = target").select(c("source").alias("node")).distinct()
     strong = strongly_connected(edges)
-    part = cut(strong.unionByName(loops.join(strong.select("node"), "node", "left_anti").select("node", c("node").alias("component"))))
-    region = cut(least_ancestor(edges, first.join(edges.select(c("source").alias("node")).distinct(), "node", "left_semi")).select("node", "label.root"))
+    part = settled(strong.unionByName(loops.join(strong.select("node"), "node", "left_anti").select("node", c("node").alias("component"))))
+    region = settled(least_ancestor(edges, first.join(edges.select(c("source").alias("node")).distinct(), "node", "left_semi")).select("node", "label.root"))
     inner = lambda e: region.join(part, "node", "left").select(c("node").alias(e), c("root").alias(f"{e}_root"), c("component").alias(f"{e}_part"))
-    placed = cut(edges.join(inner("source"), "source").join(inner("target"), "target").where("source_root = target_root"))
+    placed = settled(edges.join(inner("source"), "source").join(inner("target"), "target").where("source_root = target_root"))
     inside = placed.where("source_part = target_part")
     at_root = region.where("node = root").join(part, "node").select("component", c("node").alias("entry"))
     others = part.select("component").distinct().join(at_root.select("component"), "component", "left_anti")
-    doors = cut(placed.where("target_part is not null and not (source_part <=> target_part)").select(c("target_part").alias("component"), c("target").alias("entry"), c("source_root").alias("root")).distinct().join(others, "component"))
+    doors = settled(placed.where("target_part is not null and not (source_part <=> target_part)").select(c("target_part").alias("component"), c("target").alias("entry"), c("source_root").alias("root")).distinct().join(others, "component"))
     single = doors.groupBy("component").agg(F.count_distinct("entry").alias("n"), F.min("entry").alias("entry"), F.min("root").alias("root"))
     open_ = single.where("n > 1").select("root").distinct()
     walked = placed.withColumn("root", c("source_root")).join(open_, "root").groupBy("root").applyInPandas(_first_entries, "component string, entry string")

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..extractors.base import Corpus
-from ..functions.lineage import cut
+from ..functions.lineage import settled
 from ..functions.memo import per_folder
 from .tables import read
 
@@ -115,11 +115,11 @@ def files_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 @per_folder(4)
 def corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
     """The corpus of a folder of tables, written once per session."""
-    return Corpus(cut(files_of(spark, sf_dir)), "generated", "generated")
+    return Corpus(settled(files_of(spark, sf_dir)), "generated", "generated")
 
 
 @per_folder(4)
 def rich_corpus_of(spark: SparkSession, sf_dir: str) -> Corpus:
     """Classes, objects, types, markup, re-exports, and text that only looks like code; written once per session."""
     files = class_files(read(spark, sf_dir, "customer")).unionByName(chain_files(spark)).unionByName(view_files(read(spark, sf_dir, "nation")))
-    return Corpus(cut(files), "rich", "rich")
+    return Corpus(settled(files), "rich", "rich")
