@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import settled
 from .base import RUST_FILES, TYPESCRIPT_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, matches, node_rows, union
 from .code import code_lines, in_context, with_owner
-from .lexer import tokens
+from .lexer import MARKUP, tokens
 from .rust import absolute, key, module_of, use_bindings
 
 # Callback properties, calls across the bridge, the macro of handler lists, and patterns of event calls.
@@ -17,6 +17,7 @@ CALLBACK = "^on[A-Z][A-Za-z0-9_]*$"
 LITERAL_CALLS = {"invoke": "invokes", "listen": "listens", "once": "listens", "emit": "emits"}
 HANDLERS = "generate_handler"
 EVENT_CALLS = [("emits", r"\.emit(?:_filter)?\s*\(\s*([^,\n)]+)"), ("emits", r"\.emit_to\s*\(\s*[^,\n)]+\s*,\s*([^,\n)]+)"), ("listens", r"\.listen(?:_global|_any)?\s*\(\s*([^,\n)]+)")]
+MARKUP_FILES = rf"\.(?:{'|'.join(MARKUP)})$"
 COMMAND_ATTRIBUTE = r"^tauri\s*::\s*command(?:\s*\(.*\))?$"
 
 
@@ -41,7 +42,8 @@ class Components:
         parts = callable_.where(looks)
         refined = parts.withColumn("metadata", F.to_json(F.struct(c("kind").alias("originalKind"), c("adapter").alias("originalAdapter"), F.get_json_object("metadata", "$.jsxCandidate").alias("jsxCandidate")))).withColumn("kind", F.lit("react_component")).withColumn("adapter", F.lit(self.name)).withColumn("ord", F.concat(F.lit(f"{self.rank:02d}:"), "ord"))
         ranges = _ranges(callable_)
-        code = settled(in_context(tokens(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)), "typescript"), 1, 4))
+        # the scanner looks for markup in these files only, so no other has tags or properties
+        code = settled(in_context(tokens(corpus.files.where(c("path").rlike(MARKUP_FILES)), "typescript"), 1, 4))
         by_name = parts.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("one"))
         shown_tags = code.where((c("kind") == "jsx") & c("text").rlike("^[A-Z]"))
         tags = shown_tags.select("path", "line", "column", F.element_at(F.split("text", r"\."), -1).alias("name"))

@@ -37,10 +37,22 @@ def _at(tokens_: DataFrame, index: str, prefix: str, *columns: str) -> DataFrame
     return tokens_.where("i is not null").select("path", F.col("i").alias(index), *[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
 
+def prepared(toks: DataFrame) -> DataFrame:
+    """Code tokens with all that depends on their neighbours, stored: 4 tokens to both sides; the markup begun so far; role, kind and place of the token before; angle, the
+    type arguments open in the statement. One pass sorts each file's tokens for all of it; what comes after reads the columns it needs. Tokens that have them stay as they are."""
+    if "markup" in toks.columns:
+        return toks
+    c, place = F.col, W.partitionBy("path").orderBy("i")
+    before = {name: F.lag(column).over(place) for name, column in (("p_role", "role"), ("kind_1", "kind"), ("new_line", "line"), ("new_column", "column"))}
+    angle = F.sum(F.when(c("text") == "<", 1).when(c("text") == ">", -1).otherwise(0)).over(W.partitionBy("path", "stmt").orderBy("i"))
+    markup = F.sum((c("kind") == "jsx").cast("int")).over(place)
+    return settled(in_context(toks, 4, 4).withColumns(before | {"markup": markup}).withColumn("angle", angle))
+
+
 def declarations(toks: DataFrame) -> DataFrame:
     """path, i, to (first and last token), line, end, column, kind, name, class, arrow, exported, default, async, jsx, name_i; arrow and function expressions count as functions."""
     c = F.col
-    code = settled(in_context(toks, 4, 4).withColumn("markup", F.sum((c("kind") == "jsx").cast("int")).over(W.partitionBy("path").orderBy("i"))))
+    toks = code = prepared(toks)
     word = c("kind") == "word"
     statement = code.where(word & c("text").isin("function", "class", "interface", "type")).where(_leads())
     named = F.when((c("text") == "function") & (c("t1") == "*"), c("t2")).otherwise(c("t1"))
@@ -67,8 +79,8 @@ def declarations(toks: DataFrame) -> DataFrame:
     params = _at(toks.where("text = '('"), "opens", "open_", "then")
     ahead = c("i") - c("stmt")
     modified = (ahead == 0) | c("p1").isin(*MEMBER_MODIFIERS) | ((c("p1") == ")") & (c("stmt_text") == "@")) | ((c("kind_1") == "word") & (c("p2") == "@"))
-    members = code.withColumn("kind_1", F.lag("kind").over(W.partitionBy("path").orderBy("i"))).where(word & c("opens").isNotNull() & ~c("text").isin(*KEYWORDS)).join(body, ["path", "up"]).join(params, ["path", "opens"])
-    members = members.where(c("up_role").isin("class", "object")).join(_at(code, "stmt", "stmt_", "text"), ["path", "stmt"])
+    members = code.where(word & c("opens").isNotNull() & ~c("text").isin(*KEYWORDS)).join(body, ["path", "up"]).join(params, ["path", "opens"])
+    members = members.where(c("up_role").isin("class", "object")).join(_at(code.where("i = stmt"), "stmt", "stmt_", "text"), ["path", "stmt"])
     whole = F.coalesce(c("open_then") == "{", F.lit(False))
     members = members.where(modified & (whole | ((c("up_role") == "class") & F.coalesce(c("open_then").isin(";", "}"), F.lit(True)) & (c("text") != "constructor"))))
     methods = members.select("path", c("stmt").alias("i"), c("stop").alias("to"), F.lit("method").alias("kind"), c("text").alias("name"), c("i").alias("name_i"), "depth", F.lit(False).alias("arrow"), F.array("p1", "p2", "p3").alias("before"))
@@ -95,7 +107,7 @@ def imports(toks: DataFrame, files: DataFrame) -> DataFrame:
 def names_of(toks: DataFrame) -> DataFrame:
     """path, stmt, word, original, alias of every name that an import or export statement lists: default for a default one, * for all."""
     c = F.col
-    code = settled(in_context(toks, 2, 4))
+    code = prepared(toks)
     heads = code.where("i = stmt and depth = 0 and text in ('import', 'export')").select("path", "stmt", c("text").alias("word"))
     top = code.where("depth = 0").join(heads, ["path", "stmt"])
     is_name = c("kind") == "word"
@@ -131,7 +143,8 @@ def exports(toks: DataFrame, taken: DataFrame, declared: DataFrame, bound: DataF
     passed = here.select("path", "original", c("alias").alias("name")).join(bound.where("original <> '*'").select("path", c("alias").alias("original"), c("original").alias("there"), "target"), ["path", "original"]).select("path", "name", "there", "target")
     links = settled(passed.unionByName(listed.where("target is not null and original <> '*'").select("path", c("alias").alias("name"), c("original").alias("there"), "target")))
     stars = settled(listed.where("target is not null and original = '*' and alias = '*'").select("path", "target").distinct())
-    named = settled(union(own.select("path", "name"), local.select("path", "name"), links.select("path", "name")).distinct())
+    # of interest where a module has a star only
+    named = settled(union(own.select("path", "name"), local.select("path", "name"), links.select("path", "name")).join(stars.select("path").distinct(), "path", "left_semi").distinct())
 
     def given(new: DataFrame) -> DataFrame:
         there = new.select(c("path").alias("target"), c("name").alias("there"), "id", "kind")
@@ -199,9 +212,7 @@ def resolved_calls(calls: DataFrame, declared: DataFrame, bound: DataFrame, expo
 def calls_of(toks: DataFrame, declared: DataFrame) -> DataFrame:
     """path, i, line, column, callee: calls and constructions; names of declarations and of members are none."""
     c = F.col
-    code = in_context(toks, 2, 1)
-    place = W.partitionBy("path").orderBy("i")
-    code = code.withColumn("new_line", F.lag("line").over(place)).withColumn("new_column", F.lag("column").over(place))
+    code = prepared(toks)
     made = c("p1") == "new"
     said = code.where((c("kind") == "word") & (c("opens").isNotNull() | F.coalesce(made & (c("t1") != "."), F.lit(False))) & ~F.split(F.col("chain"), r"[.(\[]")[0].isin(*KEYWORDS) & ~c("text").isin("function", "class"))
     said = said.where(~F.coalesce(c("p1") == "function", F.lit(False)) & ~F.coalesce((c("p1") == "*") & (c("p2") == "function"), F.lit(False)) & ~F.coalesce(c("chain").contains(".") & c("text").isin("constructor"), F.lit(False)))
@@ -217,14 +228,14 @@ def calls_of(toks: DataFrame, declared: DataFrame) -> DataFrame:
 def type_references(toks: DataFrame) -> DataFrame:
     """path, i, line, column, name: words in the place of a type."""
     c = F.col
-    role = F.lag("role").over(W.partitionBy("path").orderBy("i"))
-    code = in_context(toks.where("i is not null"), 3, 1).withColumn("p_role", role)
+    code = prepared(toks)
     in_list = (c("p1") == ",") & c("t1").isin(",", ">") & ~c("up_text").eqNullSafe("{")
     inherits = (c("p1") == "extends") & F.coalesce(c("p3").isin("class", "interface"), F.lit(False))
-    ups = _at(toks, "up", "up_", "text")
+    ups = _at(code.where("text = '{'"), "up", "up_", "text")
     there = ((c("p1") == ":") & (c("p_role") == "annotation")) | (c("p1").isin(*BEFORE_TYPES) & ~inherits) | in_list | ((c("p1") == "=") & (c("stmt_text") == "type"))
-    heads = toks.where("i = stmt").select("path", "stmt", F.col("text").alias("stmt_text"))
-    rows = code.where("kind = 'word' and p1 is not null").join(ups, ["path", "up"], "left").join(heads, ["path", "stmt"], "left")
+    heads = code.where("i = stmt").select("path", "stmt", F.col("text").alias("stmt_text"))
+    # the token before tells most words apart without a look at what is around them
+    rows = code.where("kind = 'word'").where(c("p1").isin(":", ",", "=", *BEFORE_TYPES)).join(ups, ["path", "up"], "left").join(heads, ["path", "stmt"], "left")
     return rows.where(F.coalesce(there, F.lit(False))).select("path", "i", "line", "column", c("text").alias("name"))
 
 
@@ -237,7 +248,7 @@ class TypeScript:
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
         files = corpus.files.where(c("path").rlike(TYPESCRIPT_FILES))
-        toks = settled(in_context(tokens(files, "typescript"), 4, 4))
+        toks = prepared(tokens(files, "typescript"))
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))
         declared = settled(declarations(toks).withColumn("id", id_of(corpus, c("kind"), c("qualified_name"), c("path"), "typescript", place)))
         facts = F.to_json(F.struct("async", "exported", "arrow", c("jsx").alias("jsxCandidate")))
@@ -262,8 +273,7 @@ class TypeScript:
         scope = named_in_scope(declared, bound, exported)
         ranges = declared.select("path", "i", "to", "id", "class", "name", "kind")
         # classes and what they extend
-        angle = F.sum(F.when(c("text") == "<", 1).when(c("text") == ">", -1).otherwise(0)).over(W.partitionBy("path", "stmt").orderBy("i"))
-        extends = in_context(toks, 1, 1).withColumn("angle", angle).where("text = 'extends' and kind = 'word' and angle = 0 and k1 = 'word'").select("path", c("stmt").alias("i"), c("t1").alias("name"))
+        extends = toks.where("text = 'extends' and kind = 'word' and angle = 0 and k1 = 'word'").select("path", c("stmt").alias("i"), c("t1").alias("name"))
         over = declared.where("kind = 'class'").select("path", "i", c("id").alias("class_id")).join(extends, ["path", "i"])
         parents = over.join(scope.where("kind = 'class'").select("path", "name", c("id").alias("over")), ["path", "name"]).select("class_id", "over").where("class_id <> over").distinct()
         said = with_owner(calls_of(toks, declared), ranges, "owner", "i", "to")

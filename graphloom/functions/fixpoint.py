@@ -6,25 +6,32 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .lineage import merging, settled
 
-#: Rounds after which the rows found so far are written together, so that a long chain keeps a short plan.
-FOLD = 8
+#: Rounds after which the rows found so far are written together, so that a long chain keeps a short plan; new rows up to which they are sent to what is known.
+FOLD, SENT = 8, 100_000
 
 
 def fixpoint(seed: DataFrame, rules: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> DataFrame:
     """seed and all that rules derive from it, rules from new rows only (semi-naive); a row whose keys are known is not new, so cycles end.
 
-    Each round's new rows are written to the shared folder. Rounds are as many as the longest derivation has steps."""
+    Each round's new rows are written to the shared folder. Rounds are as many as the longest derivation has steps; what a round moves follows its
+    new rows: where they are few they go to the known ones, which stay where they are."""
     keys = keys or seed.columns
-    delta = settled(seed.dropDuplicates(keys))
-    parts = [delta]
+    first = delta = settled(seed.dropDuplicates(keys))
+    more: list[DataFrame] = []
     while not delta.isEmpty():
-        known = reduce(DataFrame.unionByName, parts)
-        if len(parts) > FOLD:
-            known = settled(known)
-            parts = [known]
-        delta = settled(rules(delta).select(*seed.columns).dropDuplicates(keys).join(merging(known.select(*keys)), keys, "left_anti").select(*seed.columns))
-        parts.append(delta)
-    return merging(reduce(DataFrame.unionByName, parts))
+        fresh = settled(rules(delta).select(*seed.columns).dropDuplicates(keys))
+        n = fresh.count()
+        if not n:
+            break
+        known = reduce(DataFrame.unionByName, [first, *more]).select(*keys)
+        if n <= SENT:
+            known = known.join(F.broadcast(fresh.select(*keys)), keys, "left_semi")
+        delta = settled(fresh.join(merging(known), keys, "left_anti").select(*seed.columns))
+        more.append(delta)
+        if len(more) > FOLD:
+            more = [settled(reduce(DataFrame.unionByName, more))]
+    return merging(reduce(DataFrame.unionByName, [first, *more]))
