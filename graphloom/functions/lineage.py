@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def merging(df: DataFrame) -> DataFrame:
-    """df, to be joined by sorting and merging. Files of repeated words and names are a hundredth of their rows in memory, so by their size Spark takes
+    """df, to be joined by sorting and merging. Files of repeated words and names are far smaller than their rows in memory, so by their size Spark takes
     tables that grow with the corpus for small ones and sends them whole through the driver. F.broadcast() of what is bounded goes before this."""
     return df.hint("merge")
 

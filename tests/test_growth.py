@@ -14,7 +14,7 @@ def plan_of(df):
 
 
 def test_tables_that_compress_well_are_not_sent_through_the_driver(spark):
-    """20,000 equal rows are a few kilobytes of Parquet, far below the size up to which Spark broadcasts."""
+    """20,000 rows with one text between them are little as Parquet, below the size up to which Spark broadcasts."""
     wide = settled(spark.range(20_000).select((F.col("id") % 10).alias("k"), F.lit("x" * 200).alias("text")))
     for df in (wide.where("text = '('").join(wide.groupBy("k").count(), "k", "left"), spark.range(9).toDF("k").join(fixpoint(wide.select("k"), lambda new: new.where("k < 0")), "k")):
         assert "SortMergeJoin" in plan_of(df) and "BroadcastHashJoin" not in plan_of(df)
