@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..schema import SEVERITIES, Graph
-from .scope import is_knowledge_node, scoped_edges, scoped_nodes, trusted, with_endpoints
+from .scope import between_scoped, is_knowledge_node, placed_edges, scoped_nodes, trusted, with_endpoints
 
 CALLER_KINDS = ("calls", "invokes", "renders", "listens")
 CALLEE_KINDS = ("calls", "invokes", "renders", "emits", "uses_type")
@@ -21,12 +22,18 @@ def count_by_kind(rows: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind")
 
 
-def overview_counts(graph: Graph, scope: str = "code") -> DataFrame:
-    """One row: scoped counts (diagnostics are never scoped) and total counts."""
+def census(graph: Graph) -> DataFrame:
+    """How many edges there are of each kind, confidence, domain and categories of both ends: a few rows, stored, so that all counts of edges take one pass over them."""
+    return cut(placed_edges(graph).groupBy("kind", "confidence", "graph_domain", "source_category", "target_category").agg(F.count("*").alias("n")))
+
+
+def overview_counts(graph: Graph, scope: str = "code", edges_by: DataFrame | None = None) -> DataFrame:
+    """One row: scoped counts (diagnostics are never scoped) and total counts. edges_by: the census, where it was taken already."""
+    edges_by = census(graph) if edges_by is None else edges_by
     total = graph.nodes.agg(F.count("*").alias("total_nodes"), F.count_if((F.col("kind") == "file") & F.col("file").isNotNull()).alias("total_files"))
     scoped = scoped_nodes(graph.nodes, scope).agg(F.count("*").alias("nodes"), F.count_if(F.col("kind") == "file").alias("files"))
-    edges = scoped_edges(graph, scope).agg(F.count("*").alias("edges"))
-    all_edges = graph.edges.agg(F.count("*").alias("total_edges"))
+    edges = between_scoped(edges_by, scope).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("edges"))
+    all_edges = edges_by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_edges"))
     diagnostics = graph.diagnostics.agg(F.count("*").alias("diagnostics"))
     out = total
     for one in (scoped, edges, all_edges, diagnostics):
@@ -38,21 +45,22 @@ def overview_nodes(graph: Graph, scope: str = "code") -> DataFrame:
     return count_by_kind(scoped_nodes(graph.nodes, scope))
 
 
-def overview_edges(graph: Graph, scope: str = "code") -> DataFrame:
-    return count_by_kind(scoped_edges(graph, scope))
+def overview_edges(graph: Graph, scope: str = "code", edges_by: DataFrame | None = None) -> DataFrame:
+    edges_by = census(graph) if edges_by is None else edges_by
+    return between_scoped(edges_by, scope).groupBy("kind").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "kind")
 
 
 def overview(graph: Graph, scope: str = "code", repository: dict[str, str] | None = None) -> DataFrame:
     """The whole overview as rows (part, name, value): the repository's own facts, scope, scoped and total counts, nodes and edges by kind, and the extractors that ran with what they found."""
-    spark = graph.spark
+    spark, edges_by = graph.spark, census(graph)
     facts = {"scope": scope} | (repository or {})
     told = spark.createDataFrame([("repository" if k != "scope" else "request", k, str(v)) for k, v in facts.items()], "part string, name string, value string")
     names = ("files", "nodes", "edges", "diagnostics", "total_files", "total_nodes", "total_edges")
-    counts = overview_counts(graph, scope).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("c")).select(F.when(F.col("c.name").startswith("total_"), "total").otherwise("count").alias("part"), F.regexp_replace("c.name", "^total_", "").alias("name"), "c.value")
+    counts = overview_counts(graph, scope, edges_by).select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("c")).select(F.when(F.col("c.name").startswith("total_"), "total").otherwise("count").alias("part"), F.regexp_replace("c.name", "^total_", "").alias("name"), "c.value")
     kinds = lambda df, part: df.select(F.lit(part).alias("part"), F.col("kind").alias("name"), F.col("n").alias("value"))
     ran = graph.runs.where("detected").groupBy("adapter").agg(F.max("node_count").alias("n")).select(F.lit("adapter").alias("part"), F.col("adapter").alias("name"), F.col("n").alias("value"))
     out = told
-    for df in (counts, kinds(overview_nodes(graph, scope), "nodes_by_kind"), kinds(overview_edges(graph, scope), "edges_by_kind"), ran):
+    for df in (counts, kinds(overview_nodes(graph, scope), "nodes_by_kind"), kinds(overview_edges(graph, scope, edges_by), "edges_by_kind"), ran):
         out = out.unionByName(df.withColumn("value", F.col("value").cast("string")))
     return out
 

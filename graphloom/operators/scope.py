@@ -75,5 +75,22 @@ def with_endpoints(edges: DataFrame, nodes: DataFrame, scope: str = "code") -> D
     return out.select(*edges.columns)
 
 
+def placed_edges(graph: Graph) -> DataFrame:
+    """The edges with the categories of both ends."""
+    if graph.placed is not None:
+        return graph.placed
+    ends, edges = graph.nodes.select("id", category().alias("c")), graph.edges
+    for end in ("source", "target"):
+        edges = edges.join(ends.select(F.col("id").alias(end), F.col("c").alias(f"{end}_category")), end, "left")
+    return edges.select(*graph.edges.columns, "source_category", "target_category")
+
+
+def between_scoped(placed: DataFrame, scope: str = "code", probable: bool = False, unresolved: bool = False, kinds: Iterable[str] | None = None) -> DataFrame:
+    """Of edges with the categories of both ends, those of an edge set whose ends are in scope."""
+    return trusted(placed, scope, probable, unresolved, kinds).where(end_in_scope("source", scope) & end_in_scope("target", scope))
+
+
 def scoped_edges(graph: Graph, scope: str = "code", probable: bool = False, unresolved: bool = False, kinds: Iterable[str] | None = None) -> DataFrame:
-    return with_endpoints(trusted(graph.edges, scope, probable, unresolved, kinds), graph.nodes, scope)
+    if graph.placed is None:
+        return with_endpoints(trusted(graph.edges, scope, probable, unresolved, kinds), graph.nodes, scope)
+    return between_scoped(graph.placed, scope, probable, unresolved, kinds).select(*graph.edges.columns)

@@ -37,6 +37,8 @@ EDGE = T.StructType([
     T.StructField("evidence", T.ArrayType(EVIDENCE)),
     T.StructField("metadata", T.StringType()),
 ])
+#: Edges with what both ends' nodes are to the scopes (see operators.scope.category; null: there is no such node).
+PLACED = T.StructType([*EDGE.fields, T.StructField("source_category", T.StringType()), T.StructField("target_category", T.StringType())])
 DIAGNOSTIC = T.StructType([*[T.StructField(n, T.StringType()) for n in ("ord", "code", "severity", "message", "file")], T.StructField("line", T.IntegerType()), T.StructField("column", T.IntegerType()), T.StructField("adapter", T.StringType()), T.StructField("metadata", T.StringType())])
 RUN = T.StructType([T.StructField("adapter", T.StringType()), T.StructField("detected", T.BooleanType()), *[T.StructField(n, T.LongType()) for n in ("duration_ms", "file_count", "node_count", "edge_count", "diagnostic_count")]])
 
@@ -53,6 +55,8 @@ class Graph:
     runs: DataFrame
     #: Of a stored graph: incident(ids, ends) reads the edges that have one of a few ids at one of the ends, with the categories of both ends.
     incident: Callable[[list[str], tuple[str, ...]], DataFrame] | None = None
+    #: The edges with the categories of both ends (PLACED), where the source knows these for less than joining all edges with all nodes.
+    placed: DataFrame | None = None
 
     @property
     def spark(self) -> SparkSession:
