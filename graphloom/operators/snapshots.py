@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixpoint import SENT
 from ..functions.identity import content_hash
+from ..functions.lineage import cut, merging
 
 #: Added and modified files up to which a sync may be incremental; deleted files do not count.
 INCREMENTAL_LIMIT = 10
@@ -41,7 +43,9 @@ def fallback_reason(schema_changed: Column, adapters_changed: Column, config_cha
 
 def crossing_edges(edges: DataFrame, nodes: DataFrame, changed: DataFrame) -> DataFrame:
     """Edges with exactly one end in a changed file."""
-    inside = nodes.join(changed.select(F.col("path").alias("file")).distinct(), "file").select("id")
+    inside = cut(nodes.join(changed.select(F.col("path").alias("file")).distinct(), "file").select("id"))
+    # few nodes go to the edges; by the size of all nodes' tables Spark would move every edge twice
+    inside = F.broadcast(inside) if inside.count() <= SENT else merging(inside)
     flag = lambda end: inside.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
     flagged = edges.join(flag("source"), "source", "left").join(flag("target"), "target", "left")
     return flagged.where(F.coalesce("_source", F.lit(False)) != F.coalesce("_target", F.lit(False))).select(*edges.columns)
