@@ -19,11 +19,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/graphloom-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: later steps neither recompute it nor depend on any executor."""
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later steps neither recompute it nor depend on any executor. options are the writer's."""
     spark = df.sparkSession
     path = scratch(spark)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

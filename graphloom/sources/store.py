@@ -4,25 +4,31 @@ A writer puts its version's folder down whole and then claims the next number by
 number is the current version. So a reader finds a whole version at any time, a writer that dies leaves the last one current, and of two
 writers one is told. Versions older than the last KEPT are removed; readers of those kept read on.
 
-Nodes lie by kind and id, edges twice, by source and by target, each in ranges over many files, so that a look-up of one end reads
-few files and row groups by their statistics.
+Nodes lie by kind and id, edges twice, by source and by target, each in ranges over many files of about TASK_EDGES rows, so that a look-up of one end reads
+few files and pages by their statistics.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
-from ..operators.scope import category
-from ..schema import DIAGNOSTIC, EDGE, NODE, RUN, SCHEMA_VERSION, Graph, shaped
+from ..operators.scope import placed_edges
+from ..schema import DIAGNOSTIC, EDGE, NODE, PLACED, RUN, SCHEMA_VERSION, Graph, shaped
 
 POINTERS, KEPT = "versions", 3
+#: Edges that one task sorts and one file holds (several hundred bytes each in memory), and ids of one condition: readers ask the statistics for so many, of longer lists only for least and greatest.
+TASK_EDGES, LISTED = 400_000, 10
+#: Ids in order begin alike: each is stored as what differs from the one before.
+SORTED_TEXT = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary#id": "false", "parquet.enable.dictionary#ord": "false", "compression": "zstd"}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -93,26 +99,27 @@ def commit(spark: SparkSession, index: str, version: str, kept: int = KEPT) -> i
     return n
 
 
-def write(graph: Graph, index: str, manifest: dict, state: DataFrame | None = None, exports: bool = False) -> str:
+def write(graph: Graph, index: str, manifest: dict, state: DataFrame | None = None, exports: bool = False, counted: Callable[[DataFrame, DataFrame, DataFrame], DataFrame] | None = None) -> str:
     """Write a graph as a new version and make it the current one; runs are appended to the history, all else is replaced.
 
-    state(path, sha256) are the fingerprints of the files it was made from; exports adds the tables as JSON lines."""
+    state(path, sha256) are the fingerprints of the files it was made from; exports adds the tables as JSON lines. counted(nodes, edges, diagnostics)
+    makes the runs from the tables as written, where graph.runs would derive them once more."""
     spark, version = graph.spark, f"v-{uuid.uuid4().hex}"
     base = f"{index.rstrip('/')}/{version}"
+    # ranges are found by a sample, which reads all rows again: they are written once before that
+    nodes = cut(graph.nodes)
     # a kind of many nodes is many ranges, and so is an end that many edges share
-    graph.nodes.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").write.parquet(f"{base}/nodes")
-    graph.nodes.where("kind = 'file' and file is not null").select("file", "id", "language", "adapter").write.parquet(f"{base}/files")
-    ends = graph.nodes.select("id", category().alias("c"))
-    edges = graph.edges
+    nodes.repartitionByRange("kind", "id").sortWithinPartitions("kind", "id").write.parquet(f"{base}/nodes")
+    nodes.where("kind = 'file' and file is not null").select("file", "id", "language", "adapter").write.parquet(f"{base}/files")
+    edges = cut(placed_edges(replace(graph, nodes=nodes)), compression="zstd")
+    tasks = 1 + edges.count() // TASK_EDGES
     for end in ("source", "target"):
-        edges = edges.join(ends.select(F.col("id").alias(end), F.col("c").alias(f"{end}_category")), end, "left")
-    edges = cut(edges.select(*graph.edges.columns, "source_category", "target_category"))
-    for end in ("source", "target"):
-        edges.repartitionByRange(end, "id").sortWithinPartitions(end, "id").write.parquet(f"{base}/edges_by_{end}")
+        edges.repartitionByRange(tasks, end, "id").sortWithinPartitions(end, "id").write.options(**SORTED_TEXT).parquet(f"{base}/edges_by_{end}")
     graph.diagnostics.write.parquet(f"{base}/diagnostics")
     if state is not None:
         state.write.parquet(f"{base}/state")
-    graph.runs.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{index.rstrip('/')}/runs")
+    runs = graph.runs if counted is None else counted(nodes, edges, spark.read.parquet(f"{base}/diagnostics"))
+    runs.withColumn("version", F.lit(version)).write.mode("append").parquet(f"{index.rstrip('/')}/runs")
     write_text(spark, f"{base}/manifest.json", json.dumps(manifest | {"schemaVersion": SCHEMA_VERSION}, indent=2))
     if exports:
         _export(graph, base)
@@ -131,7 +138,8 @@ def read(spark: SparkSession, index: str, by: str = "source") -> Graph:
     def incident(ids: list[str], ends: tuple[str, ...]) -> DataFrame:
         return _touching(spark, base, ids, ends)
 
-    return Graph(shaped(spark.read.parquet(f"{base}/nodes"), NODE), shaped(spark.read.parquet(f"{base}/edges_by_{by}"), EDGE), shaped(spark.read.parquet(f"{base}/diagnostics"), DIAGNOSTIC), shaped(runs, RUN), incident)
+    edges = spark.read.parquet(f"{base}/edges_by_{by}")
+    return Graph(shaped(spark.read.parquet(f"{base}/nodes"), NODE), shaped(edges, EDGE), shaped(spark.read.parquet(f"{base}/diagnostics"), DIAGNOSTIC), shaped(runs, RUN), incident, shaped(edges, PLACED))
 
 
 def manifest_of(spark: SparkSession, index: str) -> dict | None:
@@ -148,7 +156,9 @@ def state_of(spark: SparkSession, index: str) -> DataFrame:
 
 def _touching(spark: SparkSession, base: str, ids: list[str], ends: tuple[str, ...]) -> DataFrame:
     """Each layout answers for its own end with a pushed-down filter, which leaves files and row groups out; an edge comes once."""
-    parts = [spark.read.parquet(f"{base}/edges_by_{end}").where(F.col(end).isin(*ids)) for end in ends]
+    # short lists joined by "or" go to the statistics value by value, each file's pages are left out by them
+    listed = lambda end: reduce(Column.__or__, [F.col(end).isin(*ids[i : i + LISTED]) for i in range(0, len(ids), LISTED)], F.lit(False))
+    parts = [spark.read.parquet(f"{base}/edges_by_{end}").where(listed(end)) for end in ends]
     if len(parts) == 2:
         parts[1] = parts[1].where(~F.coalesce(F.col(ends[0]).isin(*ids), F.lit(False)))
     return reduce(DataFrame.unionByName, parts)
