@@ -60,13 +60,13 @@ def first_underlying(edges: DataFrame, kept: int = UNDERLYING_KEPT) -> DataFrame
     return listed.select(F.col("from").alias("source"), F.col("to").alias("target"), F.transform("x", lambda e: e["id"]).alias("underlying"), F.slice(F.flatten(F.transform("x", lambda e: e["evidence"])), 1, EVIDENCE_KEPT).alias("evidence"))
 
 
-def architecture(graph: Graph, limit: int = 100, scope: str = "code", probable: bool = False, unresolved: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+def architecture(graph: Graph, limit: int = 100, scope: str = "code", probable: bool = False, unresolved: bool = False, flows: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, one row with truncated) of the file-level view.
 
-    Files come first by path, linked external packages fill what is left of the limit."""
+    Files come first by path, linked external packages fill what is left of the limit. flows: unit_edges() as stored before; edges need them twice."""
     inside = scoped_nodes(graph.nodes, scope)
     units = file_units(inside)
-    flows = unit_edges(graph, scope, probable, unresolved)
+    flows = unit_edges(graph, scope, probable, unresolved) if flows is None else flows
     pairs = rolled_up(flows)
     listed = units.select(F.col("unit").alias("id"), F.lit("file").alias("kind"), basename(F.col("file")).alias("name"), F.col("file").alias("qualified_name"), "file", "language", "symbol_count", "synthesised", F.lit(0).alias("group"))
     linked = pairs.select(F.explode(F.array("source", "target")).alias("id")).distinct()
@@ -78,7 +78,9 @@ def architecture(graph: Graph, limit: int = 100, scope: str = "code", probable:
     outgoing = shown.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("outgoing"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(f"{c}_count")
     nodes = visible.join(incoming, "id", "left").join(outgoing, "id", "left").select("id", "kind", "name", "qualified_name", "file", "language", "symbol_count", "synthesised", zero("incoming"), zero("outgoing"))
-    edges = shown.join(first_underlying(flows), ["source", "target"]).orderBy("source", "target", "kind")
+    # only what is between units that are shown is ranked
+    inner = flows.join(ids.withColumnRenamed("id", "from"), "from", "left_semi").join(ids.withColumnRenamed("id", "to"), "to", "left_semi")
+    edges = shown.join(first_underlying(inner), ["source", "target"]).orderBy("source", "target", "kind")
     truncated = units.agg((F.count("*") > limit).alias("truncated"))
     return nodes, edges, truncated
 
