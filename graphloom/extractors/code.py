@@ -105,17 +105,20 @@ def calls_in(lines: DataFrame, pattern: str, keywords: tuple[str, ...]) -> DataF
     return found.withColumn("callee", callee).where(~F.regexp_extract("callee", r"^([^.:]*)", 1).isin(*keywords)).select("path", "line", "column", "nth", "callee")
 
 
-def import_candidates(path: Column, specifier: Column) -> Column:
-    """Files that a relative import may mean, the likeliest first."""
-    base = normalize(F.concat_ws("/", dirname(path), specifier))
+def import_candidates(folder: Column, specifier: Column) -> Column:
+    """Files that a relative import in a folder may mean, the likeliest first."""
+    base = normalize(F.concat_ws("/", folder, specifier))
     bare = F.regexp_replace(base, r"\.(?:js|jsx|mjs|cjs)$", "")
     tails = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx"]
     return F.array_distinct(F.concat(F.array(*[F.concat(base, F.lit(t)) for t in tails]), F.array(*[F.concat(bare, F.lit(t)) for t in (".ts", ".tsx")])))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """imports (path, specifier, ...) with target: the first candidate that is a file; null for bare specifiers and misses."""
-    wanted = imports.where(F.col("specifier").startswith(".")).select("path", "specifier").distinct()
-    candidates = wanted.select("path", "specifier", F.posexplode(import_candidates(F.col("path"), F.col("specifier"))).alias("rank", "target"))
-    hit = candidates.join(files.select(F.col("path").alias("target")), "target").groupBy("path", "specifier").agg(F.min_by("target", "rank").alias("target"))
-    return imports.join(hit, ["path", "specifier"], "left")
+    """imports (path, specifier, ...) with target: the first candidate that is a file; null for bare specifiers and misses.
+
+    What a specifier means depends on the folder only, so candidates are made once a folder and not once a file."""
+    placed = imports.withColumn("_folder", dirname(F.col("path")))
+    wanted = placed.where(F.col("specifier").startswith(".")).select("_folder", "specifier").distinct()
+    candidates = wanted.select("_folder", "specifier", F.posexplode(import_candidates(F.col("_folder"), F.col("specifier"))).alias("rank", "target"))
+    hit = candidates.join(files.select(F.col("path").alias("target")), "target").groupBy("_folder", "specifier").agg(F.min_by("target", "rank").alias("target"))
+    return placed.join(hit, ["_folder", "specifier"], "left").select(*imports.columns, "target")

@@ -96,12 +96,23 @@ def declarations(toks: DataFrame) -> DataFrame:
 
 
 def imports(toks: DataFrame, files: DataFrame) -> DataFrame:
-    """path, stmt, line, column, word (import or export), specifier, target of every import and re-export that names a module."""
+    """path, stmt, line, column, word (import or export), specifier, target of every import and re-export that names a module; of several specifiers the first.
+
+    Tokens are read once and few of them move: heads of statements, strings, and the words that stand ahead of a module's name."""
     c = F.col
-    code = in_context(toks, 1, 1)
-    words = code.where("i = stmt and depth = 0 and text in ('import', 'export')").select("path", "stmt", "line", "column", c("text").alias("word"))
-    named = code.where("kind = 'string' and depth = 0 and p1 in ('from', 'import')").select("path", "stmt", F.expr("substring(text, 2, length(text) - 2)").alias("specifier"))
-    return resolve_imports(words.join(named, ["path", "stmt"]).dropDuplicates(["path", "stmt"]), files)
+    head = F.coalesce((c("i") == c("stmt")) & (c("depth") == 0) & c("text").isin("import", "export"), F.lit(False))
+    ahead = ("from", "import")
+    text = F.coalesce((c("kind") == "string") & (c("depth") == 0), F.lit(False))
+    if "p1" in toks.columns:
+        code = toks.where(head | text)
+    else:
+        place = W.partitionBy("path").orderBy("i")
+        few = toks.where("i is not null").where(head | text | c("text").isin(*ahead)).select("path", "i", "kind", "text", "line", "column", "depth", "stmt")
+        code = few.withColumn("p1", F.when(F.lag("i").over(place) == c("i") - 1, F.lag("text").over(place)))
+    opens = F.when(head, F.struct("line", "column", c("text").alias("word")))
+    named = F.when(text & c("p1").isin(*ahead), F.expr("substring(text, 2, length(text) - 2)"))
+    rows = code.groupBy("path", "stmt").agg(F.max(opens).alias("h"), F.min_by(named, F.when(named.isNotNull(), c("i"))).alias("specifier")).where("h is not null and specifier is not null")
+    return resolve_imports(settled(rows.select("path", "stmt", "h.line", "h.column", "h.word", "specifier")), files)
 
 
 def names_of(toks: DataFrame) -> DataFrame:
