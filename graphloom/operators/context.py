@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..schema import Graph
 from .lookups import clamp
-from .scope import is_test_file, scoped_nodes, trusted, with_endpoints
+from .scope import is_test_file, scoped_nodes, trusted
 
 #: Nodes that are ranked: the first by degree, before the scope is applied.
 POOL = 2000
@@ -56,15 +57,15 @@ def ranked_symbols(graph: Graph, task: str, max_symbols: int = 50, scope: str =
 
 def context(graph: Graph, task: str, max_symbols: int = 50, max_files: int = 20, scope: str = "code", probable: bool = False, unresolved: bool = False) -> Context:
     max_symbols, max_files = clamp(max_symbols, 1, 200), clamp(max_files, 1, 100)
-    symbols = ranked_symbols(graph, task, max_symbols, scope)
-    ids = symbols.select("id")
-    edges = trusted(graph.edges, scope, probable, unresolved)
-    chosen = lambda end: ids.select(F.col("id").alias(end), F.lit(True).alias(f"_{end}"))
-    # at most max_symbols ids: both flags come from broadcasts
-    flagged = edges.join(F.broadcast(chosen("source")), "source", "left").join(F.broadcast(chosen("target")), "target", "left").where("_source or _target")
-    near = with_endpoints(flagged.select("ord", "id", "source", "target", "kind", "confidence", "_source", "_target"), graph.nodes, scope)
-    relationships = near.where("_source and _target").orderBy("ord").limit(3 * max_symbols).drop("_source", "_target")
+    # stored, as all parts below ask for it: the degrees that it needs read every edge
+    symbols = cut(ranked_symbols(graph, task, max_symbols, scope)).orderBy(F.desc("score"), "qualified_name", "ord")
+    ids = [r["id"] for r in symbols.select("id").collect()]  # at most max_symbols
+    # as values the ids filter the rows that edges are made of, before those are grouped
+    from_chosen, to_chosen = F.col("source").isin(ids), F.col("target").isin(ids)
+    edges = trusted(graph.edges, scope, probable, unresolved).select("ord", "id", "source", "target", "kind", "confidence")
+    # symbols are nodes in scope, so only an edge's other end has to be asked
+    relationships = edges.where(from_chosen & to_chosen).orderBy("ord").limit(3 * max_symbols)
     files = symbols.where("file is not null").groupBy("file").agg(F.sum("score").alias("score"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("reasons")).orderBy(F.desc("score"), "file").limit(max_files)
-    other = near.select(F.when(F.col("_source"), F.col("target")).otherwise(F.col("source")).alias("id")).distinct()
-    tests = graph.nodes.where(F.col("file").isNotNull() & is_test_file(F.col("file"))).join(other, "id").select("file").distinct().orderBy("file")
+    other = edges.where(from_chosen | to_chosen).select(F.when(from_chosen, F.col("target")).otherwise(F.col("source")).alias("id")).distinct()
+    tests = scoped_nodes(graph.nodes, scope).where(F.col("file").isNotNull() & is_test_file(F.col("file"))).join(other, "id").select("file").distinct().orderBy("file")
     return Context(symbols, files, relationships, tests)

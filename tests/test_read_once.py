@@ -1,9 +1,13 @@
-"""Steps that read what they need once: imports out of one scan, candidates once a folder."""
+"""Steps that read what they need once: imports out of one scan, a context's symbols before its edges."""
 
 from pyspark.sql import functions as F
 
 from graphloom.extractors import code, lexer, typescript
+from graphloom.operators import context
+from graphloom.operators.scope import is_test_file, scoped_nodes, trusted, with_endpoints
+from graphloom.sources.tables import graph_of
 
+SMALL = "/root/testdata/sf0.001"
 SOURCE = """import a from "./a"; import { b } /* from "./ghost" */ from '../b'; // from "./gone"
 export * from "./c.js";
 import "./side";
@@ -39,3 +43,21 @@ def test_candidates_are_made_once_a_folder(spark):
     assert {r["target"] for r in found.collect()} == {"src/a.tsx"} and found.count() == 300
     grouped = [line for line in plan_of(found).splitlines() if "HashAggregate" in line or "SortAggregate" in line]
     assert grouped and not any("path#" in line for line in grouped)
+
+
+def test_context_asks_only_for_the_symbols_edges(spark):
+    """The symbols' ids are values that filter lineitem's rows before pairs of them are grouped; no edge meets all nodes."""
+    graph = graph_of(spark, SMALL)
+    for scope in ("code", "full"):
+        got = context.context(graph, "brand standard click customer doc", 30, scope=scope, probable=True)
+        ids = context.ranked_symbols(graph, "brand standard click customer doc", 30, scope)
+        assert [r["id"] for r in got.symbols.collect()] == [r["id"] for r in ids.collect()]
+        chosen = {r["id"] for r in got.symbols.collect()}
+        near = [r for r in with_endpoints(trusted(graph.edges, scope, True), graph.nodes, scope).select("ord", "id", "source", "target").collect() if r["source"] in chosen or r["target"] in chosen]
+        both = sorted((r["ord"], r["id"]) for r in near if r["source"] in chosen and r["target"] in chosen)[:90]
+        assert [(r["ord"], r["id"]) for r in got.relationships.collect()] == both and both
+        other = {r["target"] if r["source"] in chosen else r["source"] for r in near}
+        tests = sorted({r["file"] for r in scoped_nodes(graph.nodes, scope).where(F.col("file").isNotNull() & is_test_file(F.col("file"))).collect() if r["id"] in other})
+        assert [r["file"] for r in got.related_tests.collect()] == tests
+        plan = plan_of(got.relationships)
+        assert "degree" not in plan and "cmp:c" in plan
