@@ -24,6 +24,7 @@ uniform over the unknown word and the end; repeated rows score alike; extra colu
 
 from __future__ import annotations
 
+import copy
 import heapq
 import math
 import zlib
@@ -46,6 +47,8 @@ OWN_OUTPUT = 600
 SPAN, EPOCHS, TRAIN_LANES, TRAIN_WINDOW, RATE = 400, 1, 128, 24, 0.01
 #: Averagings over the text, words that a training task has at least, words that lanes hold at a time, weights in a row.
 ROUNDS, TASK_WORDS, TRAIN_WORDS, PIECE = 4, 1_000_000, 200_000, 1 << 14
+#: Rows whose classes are computed at a time (they stay in a core's cache).
+BLOCK = 1024
 END = b""
 
 
@@ -58,10 +61,6 @@ def ending_class(word: Column) -> Column:
     return (F.crc32(F.right(word, F.lit(2)).cast("binary")) % OTHER_CLASSES).cast("int")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 class Model:
     """ids: 0.. the classes of other words, then the vocabulary by falling count (the end token among them)."""
 
@@ -78,6 +77,7 @@ class Model:
             self.cls[k:] = k + np.minimum((mass / mass[-1] * (classes - 1)).astype(np.int64), classes - 2)
             used = np.unique(self.cls)
             self.cls = np.searchsorted(used, self.cls)
+        self.cls = self.cls.astype(np.min_scalar_type(-n))  # short numbers are sorted faster
         self.start = np.searchsorted(self.cls, np.arange(self.cls.max() + 2))
         k = len(self.start) - 1
         r = np.random.default_rng(seed)
@@ -91,66 +91,94 @@ class Model:
         i = self.ids.get(word)
         return other_class(word) if i is None else i
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One gated step on words x: new state, and what the backward pass needs."""
-        return self.gate(self.p["X"][x] + self.p["b"], h)
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the outputs with their constants as one more input: (hidden + 1, classes) and (words, hidden + 1)."""
+        return np.vstack((self.p["C"], self.p["c"])), np.column_stack((self.p["W"], self.p["w"]))
+
+    def halves(self) -> np.ndarray:
+        """What the gates' sums are multiplied by: a sigmoid is a tanh of half its input."""
+        return np.repeat(np.float32([0.5, 1]), (2 * self.hidden, self.hidden))
 
-    def gate(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """step() from a word's part of the gates' sums."""
+    def gate(self, a: np.ndarray, u: np.ndarray, h: np.ndarray, zr: np.ndarray, n: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """The new state, in out, from the words' (a) and the old state's (u) parts of the gates' sums times halves(); zr and n get the gates."""
         k = self.hidden
-        u = h @ self.p["U"]
-        zr = _sigmoid(a[:, : 2 * k] + u[:, : 2 * k])
-        z, r = zr[:, :k], zr[:, k:]
-        n = np.tanh(a[:, 2 * k :] + r * u[:, 2 * k :])
-        return n + z * (h - n), z, r, n, u[:, 2 * k :]
-
-    def output(self, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probabilities of the words y after states h (of other words, their class's alone); the loss's gradient by h."""
-        p = self.p
-        rows = np.arange(len(y))
+        np.add(a[:, : 2 * k], u[:, : 2 * k], out=zr)
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
+        np.multiply(zr[:, k:], u[:, 2 * k :], out=n)
+        n += a[:, 2 * k :]
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= zr[:, :k]
+        out += n
+        return out
+
+    @np.errstate(over="ignore", invalid="ignore")
+    def output(self, h: np.ndarray, y: np.ndarray, joined: tuple[np.ndarray, np.ndarray], grad: tuple[np.ndarray, np.ndarray] | None = None, careful: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+        """Natural log-probabilities of the words y after states h (of other words, their class's alone); the mean loss's gradient by h, and in grad those by joined().
+
+        Exponentials are summed as they are; where a sum leaves the range of numbers, all is done again from each row's maximum (careful)."""
+        (top, words), size, k, asked = joined, len(y), self.hidden, y
+        # rows in order of their class, so that each class's rows are one slice
+        by = np.argsort(self.cls[y], kind="stable")
+        y = y[by]
         c = self.cls[y]
-        s = h @ p["C"]
-        s += p["c"]
-        s -= s.max(1, keepdims=True)
-        out = s[rows, c]
-        e = np.exp(s, out=s)
-        total = e.sum(1, keepdims=True)
-        out -= np.log(total[:, 0])
-        gh = None
+        hs = np.ones((size, k + 1), np.float32)
+        hs[:, :k] = h[by]
+        values, total, gh = np.empty(size, np.float32), np.empty(size, np.float32), np.empty((size, k), np.float32)
+        ones = np.ones(top.shape[1], np.float32)
         if grad is not None:
-            e /= total
-            e[rows, c] -= 1
-            grad["C"] += h.T @ e
-            grad["c"] += e.sum(0)
-            gh = e @ p["C"].T
-        # rows in order of their class, so that each class's rows are one slice
-        by = np.argsort(c, kind="stable")
-        edge = np.searchsorted(c[by], np.arange(len(self.start)))
-        hs, own, values = h[by], y[by] - self.start[c[by]], np.zeros(len(y), np.float32)
-        ghs = None if grad is None else np.zeros_like(hs)
-        for k in range(len(self.start) - 1):
-            i = slice(edge[k], edge[k + 1])
-            lo, hi = self.start[k], self.start[k + 1]
-            if edge[k] == edge[k + 1] or hi - lo == 1:
-                continue
-            s = hs[i] @ p["W"][lo:hi].T
-            s += p["w"][lo:hi]
-            s -= s.max(1, keepdims=True)
-            at = (rows[: len(s)], own[i])
-            values[i] = s[at]
-            e = np.exp(s, out=s)
-            total = e.sum(1, keepdims=True)
-            values[i] -= np.log(total[:, 0])
+            grad[0][:], grad[1][:] = 0, 0
+        for at in range(0, size, BLOCK):
+            i = slice(at, at + BLOCK)
+            s = hs[i] @ top
+            if careful:
+                s -= s.max(1, keepdims=True)
+            flat, pick = s.reshape(-1), np.arange(0, s.size, s.shape[1]) + c[i]
+            values[i] = flat[pick]
+            np.exp(s, out=s)
+            total[i] = t = s @ ones
             if grad is not None:
-                e /= total
-                e[at] -= 1
-                grad["W"][lo:hi] += e.T @ hs[i]
-                grad["w"][lo:hi] += e.sum(0)
-                ghs[i] = e @ p["W"][lo:hi]
-        out[by] += values
-        if grad is not None:
-            gh[by] += ghs
-        return out, gh
+                flat[pick] -= t
+                t = (1 / (size * t))[:, None]
+                grad[0][:] += (hs[i] * t).T @ s
+                np.multiply(s @ top[:k].T, t, out=gh[i])
+        # all words of each row's class, end to end; a word alone in its class is certain
+        width = np.diff(self.start)[c]
+        stop = np.cumsum(width)
+        begin = stop - width
+        flat = np.zeros(stop[-1], np.float32)
+        edge = np.searchsorted(c, np.arange(len(self.start)))
+        parts = [(a, b, lo, hi, flat[begin[a] : stop[b - 1]].reshape(b - a, hi - lo)) for a, b, lo, hi in zip(*(x.tolist() for x in (edge[:-1], edge[1:], self.start[:-1], self.start[1:])), strict=True) if a < b and hi - lo > 1]
+        for a, b, lo, hi, s in parts:
+            np.matmul(hs[a:b], words[lo:hi].T, out=s)
+        if careful:
+            flat -= np.repeat(np.maximum.reduceat(flat, begin), width)
+        pick = begin + y - self.start[c]
+        values += flat[pick]
+        np.exp(flat, out=flat)
+        t = np.add.reduceat(flat, begin)
+        if not careful and not (1e-30 < min(total.min(), t.min()) and max(total.max(), t.max()) < 1e30):
+            return self.output(h, asked, joined, grad, careful=True)
+        values -= np.log(total)
+        values -= np.log(t)
+        out = np.empty(size, np.float32)
+        out[by] = values
+        if grad is None:
+            return out, None
+        flat[pick] -= t
+        t = (1 / (size * t))[:, None]
+        hs *= t
+        more = np.zeros((size, k + 1), np.float32)
+        for a, b, lo, hi, s in parts:
+            np.matmul(s.T, hs[a:b], out=grad[1][lo:hi])
+            np.matmul(s, words[lo:hi], out=more[a:b])
+        more *= t
+        gh += more[:, :k]
+        back = np.empty_like(gh)
+        back[by] = gh
+        return out, back
 
     def vector(self) -> np.ndarray:
         return np.concatenate([self.p[n].ravel() for n in sorted(self.p)])
@@ -165,83 +193,123 @@ class Model:
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each document's words (ending with the end token); of other words, their class's."""
-        out = np.zeros(len(docs))
+        out, k, joined = np.zeros(len(docs)), self.hidden, self.joined()
         flow = Lanes(docs, LANES, self.ids.get(END, 0))
-        state = np.zeros((flow.width[0], self.hidden), np.float32)
-        waiting, done = [], 0
-        for j in range(len(flow.width)):
-            xs, fs = flow.inputs(j)
-            state = state[: len(xs)]
-            if fs.any():
-                state = np.where(fs[:, None], np.float32(0), state)
-            state = self.step(xs, state)[0]
-            waiting.append(state)
-            if flow.start[j + 1] - done >= WINDOW or j + 1 == len(flow.width):
-                part = slice(done, flow.start[j + 1])
-                values, _ = self.output(np.concatenate(waiting), flow.y[part])
-                out += np.bincount(flow.owner[part], values, len(docs))
-                waiting, done = [], flow.start[j + 1]
+        inputs, recurrent = (self.p["X"] + self.p["b"]) * self.halves(), self.p["U"] * self.halves()
+        full = flow.width[0]
+        state, zr, n = np.zeros((full, k), np.float32), np.empty((full, 2 * k), np.float32), np.empty((full, k), np.float32)
+        done = 0
+        while done < len(flow.width):
+            # steps whose outputs are computed together
+            last = min(max(int(np.searchsorted(flow.start, flow.start[done] + WINDOW)), done + 1), len(flow.width))
+            part = slice(flow.start[done], flow.start[last])
+            states = np.empty((part.stop - part.start, k), np.float32)
+            for j in range(done, last):
+                xs, fs = flow.inputs(j)
+                w = len(xs)
+                state = state[:w]
+                if fs.any():
+                    state = np.where(fs[:, None], np.float32(0), state)
+                at = flow.start[j] - part.start
+                state = self.gate(inputs.take(xs, 0), state @ recurrent, state, zr[:w], n[:w], states[at : at + w])
+            values, _ = self.output(states, flow.y[part], joined)
+            out += np.bincount(flow.owner[part], values, len(docs))
+            done = last
         return out
 
 
 class Trainer:
-    """Truncated backpropagation over lanes of documents, state carried between windows; Adam, for inputs only where a window has them."""
+    """Truncated backpropagation over lanes of documents, state carried between windows; Adam, for inputs only where a window has them.
+
+    The given model stays as it is (tasks of one worker share it); the one trained is model."""
 
     def __init__(self, model: Model):
-        self.model, self.t = model, 0
-        self.m = {n: np.zeros_like(v) for n, v in model.p.items()}
-        self.v = {n: np.zeros_like(v) for n, v in model.p.items()}
+        self.model, self.t = copy.copy(model), 0
+        top, words = model.joined()
+        dense = (model.p["U"], model.p["b"], top, words)
+        # all weights but the inputs' lie in one row, as do their gradients and moments
+        cuts = np.cumsum([0, *(x.size for x in dense)])
+        views = lambda row: [row[a:b].reshape(x.shape) for a, b, x in zip(cuts, cuts[1:], dense, strict=False)]
+        self.row = np.concatenate([x.ravel() for x in dense])
+        self.grad, self.m, self.v = (np.zeros_like(self.row) for _ in range(3))
+        u, b, *self.joined = views(self.row)
+        self.by_u, self.by_b, *self.by_joined = views(self.grad)
+        top, words = self.joined
+        self.model.p = {"X": model.p["X"].copy(), "U": u, "b": b, "C": top[:-1], "c": top[-1], "W": words[:, :-1], "w": words[:, -1]}
+        self.mx, self.vx = np.zeros_like(model.p["X"]), np.zeros_like(model.p["X"])
 
     def learn(self, docs: list[np.ndarray], before: np.ndarray, rate: float) -> None:
         """before: the word ahead of each document's first."""
-        p, k = self.model.p, self.model.hidden
+        p, k, halves = self.model.p, self.model.hidden, self.model.halves()
         flow = Lanes(docs, TRAIN_LANES, before)
         state = np.zeros((flow.width[0], k), np.float32)
         for at in range(0, len(flow.width), TRAIN_WINDOW):
-            grad = {n: np.zeros_like(v) for n, v in p.items() if n != "X"}
             steps = range(at, min(at + TRAIN_WINDOW, len(flow.width)))
             lo, hi = flow.start[at], flow.start[steps[-1] + 1]
             here = [slice(flow.start[j] - lo, flow.start[j + 1] - lo) for j in steps]
-            a = p["X"][flow.x[lo:hi]]
+            x, size = flow.x[lo:hi], hi - lo
+            a = p["X"].take(x, 0)
             a += p["b"]
-            keep = ~flow.first[lo:hi, None]
-            old, new, z, r, n, un = (np.empty((hi - lo, k), np.float32) for _ in range(6))
+            a *= halves
+            recurrent = p["U"] * halves
+            keep = (~flow.first[lo:hi, None]).astype(np.float32)
+            old, new, n = (np.empty((size, k), np.float32) for _ in range(3))
+            zr, u = np.empty((size, 2 * k), np.float32), np.empty((size, 3 * k), np.float32)
             for i in here:
-                old[i] = np.where(keep[i], state[: i.stop - i.start], np.float32(0))
-                state, z[i], r[i], n[i], un[i] = self.model.gate(a[i], old[i])
-                new[i] = state
-            _, own = self.model.output(new, flow.y[lo:hi], grad)
+                np.multiply(state[: i.stop - i.start], keep[i], out=old[i])
+                np.matmul(old[i], recurrent, out=u[i])
+                state = self.model.gate(a[i], u[i], old[i], zr[i], n[i], new[i])
+            _, own = self.model.output(new, flow.y[lo:hi], self.joined, self.by_joined)
             # what a state's gradient is multiplied by: for z, r, and n's recurrent part; and for n's input part
+            z, r, un = zr[:, :k], zr[:, k:], u[:, 2 * k :]
             by_n = (1 - z) * (1 - n * n)
-            by = np.stack(((old - n) * z * (1 - z), by_n * un * r * (1 - r), by_n * r), 1)
-            gu = np.empty((hi - lo, 3 * k), np.float32)
+            by = np.empty((size, 3, k), np.float32)
+            np.multiply(by_n, r, out=by[:, 2])
+            by[:, 0], by[:, 1] = (old - n) * (z * (1 - z)), by[:, 2] * un * (1 - r)
+            gu = np.empty((size, 3 * k), np.float32)
+            split = gu.reshape(size, 3, k)
             gh = np.zeros((0, k), np.float32)
             back = np.ascontiguousarray(p["U"].T)
             for i in reversed(here):
                 g = own[i]
                 g[: len(gh)] += gh
-                gu[i] = (g[:, None] * by[i]).reshape(-1, 3 * k)
+                np.multiply(g[:, None], by[i], out=split[i])
                 gh = gu[i] @ back
                 gh += g * z[i]
                 gh *= keep[i]
-            grad["U"] += old.T @ gu
+            np.matmul(old.T, gu, out=self.by_u)
             gx = gu
-            gx[:, 2 * k :] = own * by_n
-            grad["b"] += gx.sum(0)
-            order = np.argsort(flow.x[lo:hi], kind="stable")
-            words, first = np.unique(flow.x[lo:hi][order], return_index=True)
-            grad["X"] = np.add.reduceat(gx[order], first, axis=0)
+            np.multiply(own, by_n, out=split[:, 2])
+            gx.sum(0, out=self.by_b)
+            order = np.argsort(x.astype(np.uint16) if len(p["X"]) <= 1 << 16 else x, kind="stable")
+            words = x[order]
+            first = np.flatnonzero(np.append(True, words[1:] != words[:-1]))
+            words = words[first]
+            gx = np.add.reduceat(gx.take(order, 0), first, axis=0)
             self.t += 1
-            by = rate * min(1, self.t / 20)  # each round's moments start anew
-            for name, g in grad.items():
-                i = words if name == "X" else slice(None)
-                g /= hi - lo
-                m, v = self.m[name][i], self.v[name][i]
-                m += 0.1 * (g - m)
-                v += 0.002 * (g * g - v)
-                if name == "X":
-                    self.m[name][i], self.v[name][i] = m, v
-                p[name][i] -= by / (1 - 0.9**self.t) * m / (np.sqrt(v / (1 - 0.998**self.t)) + 1e-8)
+            # the moments are kept as plain sums: 10 and 500 times the means
+            root = math.sqrt(0.002 / (1 - 0.998**self.t))
+            by, least = 0.1 * rate * min(1, self.t / 20) / (1 - 0.9**self.t) / root, 1e-8 / root  # each round's moments start anew
+            for i in range(0, len(self.row), PIECE):
+                i = slice(i, i + PIECE)
+                self.adam(self.row[i], self.m[i], self.v[i], self.grad[i], by, least)
+            m, v, w = self.mx.take(words, 0), self.vx.take(words, 0), p["X"].take(words, 0)
+            self.adam(w, m, v, gx, by, least)
+            self.mx[words], self.vx[words], p["X"][words] = m, v, w
+
+    @staticmethod
+    def adam(w: np.ndarray, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float, least: float) -> None:
+        """A step of the weights w in place; g is used up."""
+        m *= 0.9
+        m += g
+        g *= g
+        v *= 0.998
+        v += g
+        np.sqrt(v, out=g)
+        g += least
+        np.divide(m, g, out=g)
+        g *= rate
+        w -= g
 
 
 class Lanes:
@@ -341,8 +409,7 @@ def train_all(train: DataFrame, model: Model, words: int, text: str = "text") ->
         rate = RATE * (1 if k + 1 < EPOCHS * ROUNDS else 0.3)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, rate=rate) -> Iterator[pa.RecordBatch]:
-            model = shared.value
-            trainer, seen, end = Trainer(model), Seen(model, {}), model.ids.get(END, 0)
+            trainer, seen, end = Trainer(shared.value), Seen(shared.value, {}), shared.value.ids.get(END, 0)
             docs, before, size, done = [], [], 0, 0
             for batch in batches:
                 for _, texts in text_slices(batch, "text"):
@@ -360,7 +427,7 @@ def train_all(train: DataFrame, model: Model, words: int, text: str = "text") ->
             if docs:
                 trainer.learn(docs, np.array(before), rate)
             if done + size:
-                vector = model.vector()
+                vector = trainer.model.vector()
                 pieces = [vector[i : i + PIECE].tobytes() for i in range(0, len(vector), PIECE)]
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(pieces)), pa.int32()), pa.array([done + size] * len(pieces), pa.int64()), pa.array(pieces, pa.binary())], ["piece", "words", "weights"])
 
