@@ -13,7 +13,7 @@ from ..schema import Graph
 from .lookups import clamp
 from .scope import is_test_file, scoped_nodes, trusted
 
-#: Nodes that are ranked: the first by degree, before the scope is applied.
+#: Where only a pool is ranked: its nodes, the first by degree, before the scope is applied.
 POOL = 2000
 LEFT_OUT = ("repository", "directory", "file", "unresolved_symbol")
 
@@ -35,11 +35,13 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
 
 
-def ranked_symbols(graph: Graph, task: str, max_symbols: int = 50, scope: str = "code") -> DataFrame:
+def ranked_symbols(graph: Graph, task: str, max_symbols: int = 50, scope: str = "code", pool: int | None = None) -> DataFrame:
+    """The symbols that say most about a task, of all in scope; with a pool only of the first so many nodes by degree."""
     words = task_words(task)
     candidates = graph.nodes.where(~F.col("kind").isin(*LEFT_OUT)).join(degrees(graph.edges), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
-    pool = scoped_nodes(candidates.orderBy(F.desc("degree"), "qualified_name", "ord").limit(POOL), scope)
-    low = pool.withColumns({"_n": F.lower("name"), "_q": F.lower("qualified_name"), "_f": F.lower(F.coalesce("file", F.lit("")))})
+    if pool is not None:
+        candidates = candidates.orderBy(F.desc("degree"), "qualified_name", "ord").limit(pool)
+    low = scoped_nodes(candidates, scope).withColumns({"_n": F.lower("name"), "_q": F.lower("qualified_name"), "_f": F.lower(F.coalesce("file", F.lit("")))})
     score, matched = F.least("degree", F.lit(20)) / 10.0, []
     for w in words:
         in_name, in_file = F.contains(F.col("_n"), F.lit(w)), F.contains(F.col("_f"), F.lit(w))
@@ -55,10 +57,10 @@ def ranked_symbols(graph: Graph, task: str, max_symbols: int = 50, scope: str =
     return low.withColumn("score", score).withColumn("reasons", reasons).where("score > 0").drop("_n", "_q", "_f").orderBy(F.desc("score"), "qualified_name", "ord").limit(max_symbols)
 
 
-def context(graph: Graph, task: str, max_symbols: int = 50, max_files: int = 20, scope: str = "code", probable: bool = False, unresolved: bool = False) -> Context:
+def context(graph: Graph, task: str, max_symbols: int = 50, max_files: int = 20, scope: str = "code", probable: bool = False, unresolved: bool = False, pool: int | None = None) -> Context:
     max_symbols, max_files = clamp(max_symbols, 1, 200), clamp(max_files, 1, 100)
     # stored, as all parts below ask for it: the degrees that it needs read every edge
-    symbols = cut(ranked_symbols(graph, task, max_symbols, scope)).orderBy(F.desc("score"), "qualified_name", "ord")
+    symbols = cut(ranked_symbols(graph, task, max_symbols, scope, pool)).orderBy(F.desc("score"), "qualified_name", "ord")
     ids = [r["id"] for r in symbols.select("id").collect()]  # at most max_symbols
     # as values the ids filter the rows that edges are made of, before those are grouped
     from_chosen, to_chosen = F.col("source").isin(ids), F.col("target").isin(ids)

@@ -86,9 +86,9 @@ QUERIES: dict[str, Query] = {
     "architecture_nodes": _over(lambda g: arch.architecture(g, 60)[0].select("id", "kind", "name", "symbol_count", "synthesised", "incoming_count", "outgoing_count")),
     "architecture_edges": _over(lambda g: arch.rolled_up(arch.unit_edges(g)).select("id", "source", "target", "kind", "confidence", "underlying_count")),
     "architecture_knowledge": _over(lambda g: _nodes(q.architecture_knowledge(g, "code+docs", 80)[0])),
-    "context_symbols": _over(lambda g: ctx.ranked_symbols(g, TASK).select("id", "degree", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))),
-    "context_files": _over(lambda g: ctx.context(g, TASK).files.select("file", F.round("score", 6).alias("score"))),
-    "context_relationships": _over(lambda g: _edges(ctx.context(g, TASK).relationships)),
+    "context_symbols": _over(lambda g: ctx.ranked_symbols(g, TASK, pool=ctx.POOL).select("id", "degree", F.round("score", 6).alias("score"), F.array_join("reasons", "; ").alias("reasons"))),
+    "context_files": _over(lambda g: ctx.context(g, TASK, pool=ctx.POOL).files.select("file", F.round("score", 6).alias("score"))),
+    "context_relationships": _over(lambda g: _edges(ctx.context(g, TASK, pool=ctx.POOL).relationships)),
     "context_related_tests": _over(lambda g: ctx.context(g, TASK).related_tests),
     "degrees": _over(lambda g: ctx.degrees(g.edges)),
     "neighborhood_d2": _over(lambda g: _nodes(traverse.neighborhood(g, PART, 2, 50).nodes)),
