@@ -157,7 +157,7 @@ SQL: dict[str, str] = {
     "degrees": _sql(" select * from degrees", DEGREES),
     "context_symbols": _sql(" select id, degree, round(cast(score as double), 6) as score, array_to_string(list_filter([case when terms <> '' then 'matched task terms: ' || terms end, case when degree > 0 then 'graph degree ' || degree end, case when kind like 'framework\\_%' escape '\\' then 'framework binding' end], lambda x: x is not null), '; ') as reasons from ranked", RANKED),
     "context_files": _sql(" select file, round(cast(sum(score) as double), 6) as score from ranked where file is not null group by file order by sum(score) desc, file limit 20", RANKED),
-    "context_relationships": _sql(f" select {EDGE_COLUMNS} from {edges()} where source in (select id from ranked) and target in (select id from ranked) order by ord limit 150", RANKED),
+    "context_relationships": _sql(f" select {EDGE_COLUMNS} from {edges()} where source in (select id from ranked) and target in (select id from ranked) order by ord limit 150", RANKED_ALL),
     "context_related_tests": _sql(f" select distinct file from nodes where file is not null and (regexp_matches(file, '\\.(?:test|spec)\\.[^.]+$') or regexp_matches(file, '(?:^|/)__tests__(?:/|$)') or regexp_matches(file, '(?:^|/)tests?/[^/]+$')) and id in (select case when source in (select id from ranked) then target else source end from {edges()} where source in (select id from ranked) or target in (select id from ranked))", RANKED_ALL),
     "neighborhood_d2": _sql(f" select {NODE_COLUMNS} from nodes where id in (select node from v2)", around("fn:p5", 2, 50)),
     "neighborhood_edges": _sql(" select id, cast(min(level) as integer) as level from (select id, ord, 0 as level from c1 where other in (select node from v1) union all select id, ord, 1 from c2 where other in (select node from v2)) group by id order by min(level), min(ord) limit 200", around("fn:p5", 2, 50)),

@@ -23,3 +23,9 @@ def test_related_tests_of_symbols_beyond_the_first_by_degree(spark):
     graph = crowded(spark)
     assert [r["file"] for r in context.context(graph, "brand", 2).related_tests.collect()] == ["tests/a.test.ts"]
     assert context.context(graph, "brand", 2, pool=2000).related_tests.count() == 0
+
+
+def test_relationships_between_symbols_beyond_the_first_by_degree(spark):
+    graph = crowded(spark)
+    assert [r["id"] for r in context.context(graph, "brand", 2).relationships.collect()] == ["brandy>brand"]
+    assert "brandy>brand" not in [r["id"] for r in context.context(graph, "brand", 2, pool=2000).relationships.collect()]
