@@ -12,7 +12,6 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,15 +27,9 @@ def code_lines(files: DataFrame, language: str) -> DataFrame:
     return lines.select("path", (F.col("i") + 1).alias("line"), *[F.regexp_replace(F.col("l")[c], "\r$", "").alias(c) for c in ("text", "bare")])
 
 
-def in_context(tokens: DataFrame, back: int = 2, ahead: int = 3) -> DataFrame:
-    """Code tokens with their neighbours: p1, p2 (texts before), t1, t2 (texts after) and k1, k2 (their kinds), then1, then2. Tokens that have them stay as they are."""
-    if f"p{back}" in tokens.columns and (not ahead or f"t{ahead}" in tokens.columns):
-        return tokens
-    w = W.partitionBy("path").orderBy("i")
-    code = tokens.where("i is not null")
-    text = [F.lag("text", n).over(w).alias(f"p{n}") for n in range(1, back + 1)] + [F.lead("text", n).over(w).alias(f"t{n}") for n in range(1, ahead + 1)]
-    more = [F.lead(c, n).over(w).alias(f"{a}{n}") for c, a in (("kind", "k"), ("then", "then")) for n in range(1, ahead + 1)]
-    return code.select("*", *text, *more)
+def in_context(tokens: DataFrame) -> DataFrame:
+    """Code tokens; what stands around them is in the columns that the scanner made."""
+    return tokens.where("i is not null")
 
 
 def swept(places: DataFrame, ranges: DataFrame, at: str, to: str, name: str, field: T.DataType, choose: Callable[[list[tuple[int, int, int]], int], object], strictly: bool = False) -> DataFrame:

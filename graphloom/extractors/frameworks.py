@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lineage import settled
+from ..functions.lineage import sent, settled
 from .base import RUST_FILES, TYPESCRIPT_FILES, Corpus, Found, diagnostic_rows, edge_rows, file_id, id_of, matches, node_rows, union
 from .code import code_lines, in_context, with_owner
 from .lexer import MARKUP, tokens
@@ -37,34 +37,48 @@ class Components:
 
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
-        callable_ = graph.nodes.where("language = 'typescript' and kind in ('function', 'method')")
-        looks = c("name").rlike("^[A-Z]") | (F.get_json_object("metadata", "$.jsxCandidate") == "true")
-        parts = callable_.where(looks)
+        lost, renders, passes, told = self.parts(corpus, graph.nodes)
+        parts = self.looking_like(graph.nodes)
         refined = parts.withColumn("metadata", F.to_json(F.struct(c("kind").alias("originalKind"), c("adapter").alias("originalAdapter"), F.get_json_object("metadata", "$.jsxCandidate").alias("jsxCandidate")))).withColumn("kind", F.lit("react_component")).withColumn("adapter", F.lit(self.name)).withColumn("ord", F.concat(F.lit(f"{self.rank:02d}:"), "ord"))
-        ranges = _ranges(callable_)
-        # the scanner looks for markup in these files only, so no other has tags or properties
-        code = settled(in_context(tokens(corpus.files.where(c("path").rlike(MARKUP_FILES)), "typescript"), 1, 4))
-        by_name = parts.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("one"))
+        return Found(refined.unionByName(lost), renders.unionByName(passes), told)
+
+    def callables(self, nodes: DataFrame) -> DataFrame:
+        return nodes.where("language = 'typescript' and kind in ('function', 'method')")
+
+    def looking_like(self, nodes: DataFrame) -> DataFrame:
+        """Functions and methods that look like components."""
+        return self.callables(nodes).where(F.col("name").rlike("^[A-Z]") | (F.get_json_object("metadata", "$.jsxCandidate") == "true"))
+
+    def parts(self, corpus: Corpus, nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """Nodes of components that are nowhere, edges of what is shown and of callbacks, and what is told."""
+        c = F.col
+        callable_ = self.callables(nodes)
+        parts = self.looking_like(nodes)
+        # the scanner looks for markup in these files only, so no other has tags, properties or owners of them
+        ranges = settled(_ranges(callable_).where(c("path").rlike(MARKUP_FILES)))
+        code = settled(in_context(tokens(corpus.files.where(c("path").rlike(MARKUP_FILES)), "typescript")).select("path", "line", "column", "kind", "text", "t1", "t2", "t3", "t4", "k3"))
+        # of all functions only those with a name that is asked for are counted
+        asked = lambda rows, by: rows.join(sent(settled(by.select("name").distinct())), "name", "left_semi").groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("one"))
         shown_tags = code.where((c("kind") == "jsx") & c("text").rlike("^[A-Z]"))
         tags = shown_tags.select("path", "line", "column", F.element_at(F.split("text", r"\."), -1).alias("name"))
-        shown = with_owner(tags, ranges).where("owner is not null").join(by_name, "name", "left")
+        shown = settled(with_owner(tags, ranges).where("owner is not null").join(asked(parts, tags), "name", "left"))
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))
         unknown = shown.where("coalesce(n, 0) <> 1")
         blank = id_of(corpus, "unresolved_symbol", F.concat(F.lit("jsx:"), "name"), c("path"), "typescript", place)
         lost = node_rows(unknown, corpus, self.name, self.rank, "unresolved_symbol", c("name"), F.concat(F.lit("jsx:"), "name"), language="typescript", file=c("path"), start_line=c("line"), start_column=c("column"), metadata=F.to_json(F.struct(F.lit("jsx-component").alias("category"), F.coalesce("n", F.lit(0)).alias("candidateCount"))), discriminator=place)
         renders = edge_rows(shown, self.name, self.rank, "renders", c("owner.id"), F.when(c("n") == 1, c("one")).otherwise(blank), F.when(c("n").isNull(), "unresolved").otherwise("probable"), c("path"), c("line"), c("column"), "jsx-element", c("name"), "component-name-heuristic")
-        names = callable_.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("one"))
         handed = code.where((c("kind") == "jsx_attr") & c("text").rlike(CALLBACK) & (c("t1") == "=") & (c("t2") == "{") & (c("k3") == "word") & (c("t4") == "}"))
-        given = with_owner(handed.select("path", "line", "column", c("text").alias("prop"), c("t3").alias("callback")), ranges).join(names.withColumnRenamed("name", "callback"), "callback", "left")
+        handed = handed.select("path", "line", "column", c("text").alias("prop"), c("t3").alias("name"))
+        given = with_owner(handed, ranges).join(asked(callable_, handed), "name", "left").withColumnRenamed("name", "callback")
         fine = c("owner").isNotNull() & (F.coalesce("n", F.lit(0)) == 1)
         passes = edge_rows(given.where(fine), self.name, self.rank, "passes_callback", c("owner.id"), c("one"), "probable", c("path"), c("line"), c("column"), "jsx-attribute", c("callback"), "unique-function-name-heuristic", metadata=F.to_json(F.struct("prop")))
         told = diagnostic_rows(given.where(~fine), self.name, "unresolved-react-callback", "info", F.concat(F.lit("No single function for callback property "), "prop", F.lit("={"), "callback", F.lit("}")), c("path"), c("line"))
-        return Found(refined.unionByName(lost), renders.unionByName(passes), told)
+        return lost, renders, passes, told
 
 
 def handler_tokens(toks: DataFrame) -> DataFrame:
     """(path, line, column, name): the last path segment of each entry of a handler list; toks are of Rust files."""
-    lists = in_context(toks, 2, 0).where(F.col("text") == "[").where((F.col("p1") == "!") & (F.col("p2") == HANDLERS)).select("path", F.col("i").alias("up"))
+    lists = in_context(toks).where(F.col("text") == "[").where((F.col("p1") == "!") & (F.col("p2") == HANDLERS)).select("path", F.col("i").alias("up"))
     entries = toks.where("kind = 'word'").join(lists, ["path", "up"]).groupBy("path", "up", "stmt").agg(F.max_by(F.struct("line", "column", "text"), "i").alias("t"))
     return entries.select("path", "t.line", "t.column", F.col("t.text").alias("name"))
 
@@ -72,7 +86,7 @@ def handler_tokens(toks: DataFrame) -> DataFrame:
 def constants_of(toks: DataFrame) -> DataFrame:
     """(path, line, name, value): constants and the text of what they are, from the tokens of Rust files."""
     c = F.col
-    code = in_context(toks, 1, 1)
+    code = in_context(toks)
     heads = code.where("kind = 'word' and text = 'const' and k1 = 'word' and t1 <> 'fn'").select("path", "stmt", "depth", "line", c("t1").alias("name"), c("i").alias("from"))
     rest = toks.where("i is not null").select("path", "stmt", "depth", "i", "text").join(heads, ["path", "stmt", "depth"]).where("i > from")
     equal = rest.where("text = '='").groupBy("path", "stmt", "depth").agg(F.min("i").alias("equal"))
@@ -141,7 +155,7 @@ class Bridge:
         defined = marked.select(c("file").alias("path"), F.coalesce(F.try_element_at("m.attributeLines", c("at").cast("int")), c("start_line")).alias("line"), "name", "id")
         parts = [edge_rows(defined, self.name, self.rank, "invokes", own("framework_command", c("name")), c("id"), "exact", c("path"), c("line"), 1, "attribute_item", c("name"), "structured-rust-attribute", metadata=row(role=F.lit("command-definition")))]
         # the frontend's literal names
-        code = in_context(tokens(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)), "typescript"), 1, 1)
+        code = in_context(tokens(corpus.files.where(c("path").rlike(TYPESCRIPT_FILES)), "typescript"))
         ranges = _ranges(graph.nodes)
         first = code.where("kind in ('string', 'template')").select("path", (c("i") - 1).alias("opens"), F.expr("substring(text, 2, length(text) - 2)").alias("name"), c("column").alias("at"), c("line").alias("at_line"), c("kind").alias("how"), c("t1").alias("after"))
         calls = code.where((c("kind") == "word") & c("text").isin(*LITERAL_CALLS) & c("opens").isNotNull()).select("path", "opens", "line", c("text").alias("word"))
@@ -154,7 +168,7 @@ class Bridge:
         parts.append(edge_rows(placed.where("kind <> 'invokes'"), self.name, self.rank, c("kind"), F.when(to_event, c("owner_id")).otherwise(event), F.when(to_event, event).otherwise(c("owner_id")), "exact", c("path"), c("line"), c("column"), F.concat("kind", F.lit("()")), c("name"), "literal-event-name", metadata=F.lit(extra)))
         # registrations
         rust_files = corpus.files.where(c("path").rlike(RUST_FILES))
-        rust_tokens = settled(in_context(tokens(rust_files, "rust"), 2, 2))
+        rust_tokens = settled(in_context(tokens(rust_files, "rust")))
         registered = settled(handler_tokens(rust_tokens))
         parts.append(edge_rows(registered, self.name, self.rank, "registers", file_id(corpus, c("path")), command, "exact", c("path"), c("line"), c("column"), "generate_handler! handler", c("name"), "literal-handler-token", metadata=F.lit(extra)))
         # the backend's event expressions

@@ -50,7 +50,7 @@ def key(parts: Column) -> Column:
 
 def modules(toks: DataFrame) -> DataFrame:
     """path, i, to, line, end, name of modules with a body in the file."""
-    return in_context(toks, 1, 2).where("text = 'mod' and kind = 'word' and k1 = 'word' and t2 = '{'").select("path", "i", F.col("stop").alias("to"), "line", F.col("stop_line").alias("end"), F.col("t1").alias("name"))
+    return in_context(toks).where("text = 'mod' and kind = 'word' and k1 = 'word' and t2 = '{'").select("path", "i", F.col("stop").alias("to"), "line", F.col("stop_line").alias("end"), F.col("t1").alias("name"))
 
 
 def with_module(places: DataFrame, inline: DataFrame, at: str = "line", to: str = "end", strictly: bool = False) -> DataFrame:
@@ -78,7 +78,7 @@ def attributes(lines: DataFrame) -> DataFrame:
 def items(toks: DataFrame, lines: DataFrame) -> DataFrame:
     """path, i, to, line, end, column, kind, name, owner_type, trait_owner, module, attributes of functions, methods, types, traits and modules."""
     c = F.col
-    code = settled(in_context(toks, 1, 2))
+    code = settled(in_context(toks))
     word = c("kind") == "word"
     # the header of an impl block: the texts up to its brace
     blocks = code.where(word & (c("text") == "impl") & ((c("i") == c("stmt")) | F.coalesce(c("p1").isin("unsafe", "]", "default"), F.lit(False)))).select("path", "stmt", "depth", c("i").alias("from"), "stop", "line", "stop_line")
@@ -121,7 +121,7 @@ def _leaves(texts: Column) -> Column:
 
 def use_bindings(toks: DataFrame, functions: DataFrame, at: str = "i", to: str = "to") -> DataFrame:
     """module, alias, absolute path (array), wildcard, owner_id (of a use inside a function). functions: path, at, to, id, ..."""
-    code = in_context(toks, 1, 1)
+    code = in_context(toks)
     heads = code.where("text = 'use' and kind = 'word' and (i = stmt or p1 in ('pub', ')', ']'))").select("path", "stmt", F.col("i").alias("from"), F.col("stop").alias("last"), "line")
     # the statement's tokens and those of the lists in it follow each other, so a running maximum of heads tells which use a token is part of
     w = W.partitionBy("path").orderBy("i")
@@ -182,7 +182,7 @@ class Rust:
     def extract(self, corpus: Corpus, graph: Found) -> Found:
         c = F.col
         files = corpus.files.where(c("path").rlike(RUST_FILES))
-        toks = settled(in_context(tokens(files, "rust"), 1, 2))
+        toks = settled(in_context(tokens(files, "rust")))
         lines = settled(code_lines(files, "rust"))
         inline = modules(toks)
         place = F.concat_ws(":", c("line").cast("string"), c("column").cast("string"))

@@ -8,10 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .lineage import merging, settled
+from .lineage import SENT, merging, settled
 
-#: Rounds after which the rows found so far are written together, so that a long chain keeps a short plan; new rows up to which they are sent to what is known.
-FOLD, SENT = 8, 100_000
+#: Rounds after which the rows found so far are written together, so that a long chain keeps a short plan.
+FOLD = 8
 
 
 def fixpoint(seed: DataFrame, rules: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> DataFrame:
@@ -29,8 +29,9 @@ def fixpoint(seed: DataFrame, rules: Callable[[DataFrame], DataFrame], keys: lis
             break
         known = reduce(DataFrame.unionByName, [first, *more]).select(*keys)
         if n <= SENT:
-            known = known.join(F.broadcast(fresh.select(*keys)), keys, "left_semi")
-        delta = settled(fresh.join(merging(known), keys, "left_anti").select(*seed.columns))
+            # known rows differ from each other, so that no more than n of them can be met again
+            known = F.broadcast(known.join(F.broadcast(fresh.select(*keys)), keys, "left_semi"))
+        delta = settled(fresh.join(known if n <= SENT else merging(known), keys, "left_anti").select(*seed.columns))
         more.append(delta)
         if len(more) > FOLD:
             more = [settled(reduce(DataFrame.unionByName, more))]

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -36,3 +37,12 @@ def merging(df: DataFrame) -> DataFrame:
 def settled(df: DataFrame) -> DataFrame:
     """cut() of a table that grows with the corpus: its joins merge, whatever its files weigh."""
     return merging(cut(df))
+
+
+#: Rows up to which a stored table is sent to the other side of a join.
+SENT = 100_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A stored table, to be sent whole to the other side of a join while it has few rows, however much it weighs as a file; else it merges."""
+    return F.broadcast(df) if df.limit(SENT + 1).count() <= SENT else merging(df)
