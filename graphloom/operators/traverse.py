@@ -231,7 +231,7 @@ def cycles_of(edges: DataFrame) -> DataFrame:
     each component is searched by itself, once it is known where the whole search enters it: at the root, if the root is in it; at the only node that edges
     from outside lead to; only where they lead to several is the region of that root (the nodes that no earlier root reaches) walked to see which comes first."""
     c = F.col
-    edges = edges.where("source is not null and target is not null")
+    edges = settled(edges.where("source is not null and target is not null"))
     # roots are sources in the order of their first edge, whether or not that edge leads to a cycle; a node's root is the first one that reaches it
     first = settled(edges.groupBy(c("source").alias("node")).agg(F.min(F.struct("ord", c("source").alias("root"))).alias("label")))
     edges = settled(trimmed(edges, both=False))
